@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import near_dedup, quality
+from locuspark.llm import decontaminate, mixing, near_dedup, pii, quality
 from locuspark.llm.common import staged
 
 
@@ -18,7 +18,28 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return near_dedup.drop_near_duplicates(docs)
 
 
-STAGES = [("quality_rules", keep_good), ("near_dedup", keep_first_copies)]
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold an item go."""
+    return decontaminate.drop_leaky(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: every span is masked."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents are sampled by calibrated probabilities."""
+    return mixing.sample_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("near_dedup", keep_first_copies),
+    ("decontaminate", drop_benchmark),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix),
+]
 
 #: No SQL twin: signatures, fingerprints and pattern scores have none.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, quality
+from . import decontaminate, mixing, near_dedup, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,60 @@ FROM judged
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(_table(spark, sf_dir, "documents"))
+
+
+def _op6_sql() -> str:
+    """The same sweeps and cap rounds, one materialised step each."""
+    steps, now = [], "w0"
+    for k in range(mixing.SWEEPS):
+        for d in mixing.DIMENSIONS:
+            new = f"w{k}_{d}"
+            steps.append(f"""{new} AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, weight * target / have AS weight
+  FROM {now} JOIN (SELECT {d}, sum(weight) AS have FROM {now} GROUP BY {d}) USING ({d}) JOIN target_{d} USING ({d}))""")
+            now = new
+    steps.append(f"c0 AS MATERIALIZED (SELECT {mixing.KEEP} * sum(tokens) AS scale FROM cells)")
+    for k in range(mixing.CAP_ROUNDS):
+        steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT scale * {mixing.KEEP} * (SELECT sum(tokens) FROM cells) / (SELECT sum(tokens * least(1.0, scale * weight / tokens)) FROM {now}) AS scale FROM c{k})""")
+    targets = ",\n".join(
+        f"""target_{d} AS MATERIALIZED (SELECT {d}, part / sum(part) OVER () AS target FROM (SELECT {d}, pow(sum(tokens), {mixing.ALPHA}) AS part FROM cells GROUP BY {d}))"""
+        for d in mixing.DIMENSIONS
+    )
+    return f"""
+WITH labelled AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+         CASE WHEN text IS NULL THEN '(none)' WHEN contains(text, ' | ') THEN 'table'
+              WHEN contains(text, '### ') OR contains(text, '$$$ ') THEN 'noise' WHEN contains(text, '!! ') THEN 'shouting'
+              WHEN length(text) >= 2000 THEN 'long prose' ELSE 'short prose' END AS topic,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens
+  FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM labelled GROUP BY ALL HAVING sum(tokens) > 0),
+{targets},
+w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells),
+{", ".join(steps)},
+mix AS (SELECT source, lang, topic, weight, least(1.0, (SELECT scale FROM c{mixing.CAP_ROUNDS}) * weight / tokens) AS probability FROM {now})
+SELECT doc_id, source, lang, topic, l.tokens AS tokens, round(coalesce(weight, 0), 6) AS weight, round(coalesce(probability, 0), 6) AS probability,
+       CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 < coalesce(probability, 0) AS sampled
+FROM labelled l LEFT JOIN mix USING (source, lang, topic)
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item that a document holds."""
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_words")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_quality_rules)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op6_mixing, op7_decontaminate, op9_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_mixing": _op6_sql()}
