@@ -7,13 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, pii, quality
+from . import decontaminate, html, langid, licenses, mixing, near_dedup, pii, quality, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def _op1_sql() -> str:
+    quoted = ", ".join("('{}', '{}')".format(n, b.replace("'", "''")) for n, b in licenses.TEMPLATES)
+    words = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')".format
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t AS (SELECT license, {grams} AS tg FROM (SELECT license, {words('body')} AS w FROM (VALUES {quoted}) AS v(license, body))),
+d AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents),
+plain AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\n]+', ' ', 'g') AS text FROM d),
+parts AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS part FROM plain
+  UNION ALL SELECT doc_id, part FROM (SELECT doc_id, unnest(string_split_regex(text, '\n *\n')) AS part FROM plain) WHERE contains(part, chr(10))
+  UNION ALL SELECT doc_id, text FROM plain WHERE contains(text, chr(10))),
+units AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words('part')} AS w FROM parts)),
+pairs AS (
+  SELECT doc_id, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice
+  FROM units JOIN t ON 2 * least(len(g), len(tg)) >= {licenses.DICE} * (len(g) + len(tg)))
+SELECT doc_id, license, count(*) AS n_units, round(max(dice), 6) AS best_dice FROM pairs WHERE dice >= {licenses.DICE} GROUP BY ALL
+"""
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +78,25 @@ FROM judged
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages")).where("gap_bytes IS NULL")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= {warc.MIN_SHARED} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(_table(spark, sf_dir, "documents"))
 
@@ -101,13 +144,23 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_words")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_quality_rules, op6_mixing, op7_decontaminate, op9_personal_data)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_quality_rules, op4_warc, op5_language, op6_mixing, op7_decontaminate, op8_main_text, op9_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op6_mixing": _op6_sql()}
+    return {"op1_license_scan": _op1_sql(), "op4_warc": OP4_SQL, "op3_quality_rules": OP3_SQL, "op6_mixing": _op6_sql()}
