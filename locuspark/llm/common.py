@@ -21,6 +21,7 @@ BLOCK_BYTES = 1 << 20
 #: Ways in which rows of one key are dealt out by ``attach``.
 SALTS = 32
 SHINGLE_WORDS = 5
+BITMAP_BITS = 22
 
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_CODE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,3 +189,14 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     both = int(np.minimum(a[1][i], b[1][j]).sum())
     total = int(a[1].sum() + b[1].sum()) - both
     return both / total if total else 0.0
+
+
+def bitmap(tokens: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of 2**BITMAP_BITS bits with the top bits of each hash set; at most 2**(BITMAP_BITS - 6) rows come to the driver."""
+    at = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITMAP_BITS}) % 64 as int))")
+    rows = tokens.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    cells = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for at, bits in rows.toLocalIterator():
+        cells[at] = bits
+    return np.unpackbits(cells.astype("<i8").view(np.uint8), bitorder="little").astype(bool)

@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, bag, mix, shingles, slices, staged, text_bytes, weighted_jaccard, words
+from .common import BITMAP_BITS, SHINGLE_WORDS, bag, bitmap, mix, shingles, slices, staged, text_bytes, weighted_jaccard, words
 
 SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS = RADIUS + 1
-BITMAP_BITS = 22
 #: Words whose bit counts are held at a time.
 SPAN = 1 << 16
 
@@ -62,16 +61,6 @@ def read_items(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["item_id", "item", "size", "item_print", "tokens"])
 
 
-def bitmap(tokens: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**BITMAP_BITS bits with the top bits of each hash set; at most 2**(BITMAP_BITS - 6) rows come to the driver."""
-    top = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
-    rows = tokens.select((top / 64).cast("long").alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITMAP_BITS}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    cells = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for at, bits in rows.toLocalIterator():
-        cells[at] = bits
-    return np.unpackbits(cells.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
-
-
 def window_finder(known: np.ndarray, sizes: list[int], similarity: float) -> Callable[[Batches], Batches]:
     """doc_id, text_hash, text in; a row for each candidate window out."""
     need = {n: math.ceil(2 * (n - SHINGLE_WORDS + 1) * similarity / (1 + similarity) - 1e-9) for n in sizes}

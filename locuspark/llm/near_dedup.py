@@ -21,23 +21,27 @@ rows get a row each; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, bag, mix, shingles, slices, staged, weighted_jaccard, words
+from .common import BITMAP_BITS, attach, bag, bitmap, mix, shingles, slices, staged, weighted_jaccard, words
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 M = BANDS * ROWS
 SMALL_BUCKET = 32
+COMMON = 8
+MOST_COMMON = 1 << 18
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SIGNED = np.int64
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def _processes(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Element index, seed, octave width and lowest level of each process that a bag needs."""
@@ -83,7 +87,7 @@ def _mixed_sum(row: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
     return out
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Batches) -> Batches:
     """doc_id, text in; doc_id, n_shingles, bag (two longs), bands out."""
     for batch in batches:
         for low, high in slices(batch.column(1), 2 << 20):
@@ -106,7 +110,7 @@ def text_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bag(*shingles(row, h))[1:]
 
 
-def similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def similar_pairs(batches: Batches) -> Batches:
     """a, b, text_a, text_b in; a, b, similarity out. Neighbouring rows often share text_a."""
     last: tuple[str | None, tuple] = (None, ())
     for batch in batches:
@@ -144,35 +148,73 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def _rare_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text in; doc_id, shingle, its occurrence number (a bag as a set) and bag size out."""
+def _bag_tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token and bag size; the n-th occurrence of a shingle is a token of its own, so bags are sets."""
+    row, _, _, h = words(text)
+    r, x, w = bag(*shingles(row, h))
+    nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) if len(w) else np.zeros(0, np.int64)
+    r = np.repeat(r, w)
+    return r, mix(np.repeat(x, w) + nth.astype(np.uint64) * _GOLD), np.bincount(r, minlength=len(text))[r]
+
+
+def all_tokens(batches: Batches) -> Batches:
+    """doc_id, text in; node, token, size out."""
     for batch in batches:
         for low, high in slices(batch.column(1)):
             ids = batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)
-            row, _, _, h = words(batch.column(1).slice(low, high - low))
-            r, x, w = bag(*shingles(row, h))
-            nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) if len(w) else np.zeros(0, np.int64)
-            r, x = np.repeat(r, w), np.repeat(x, w)
-            x = mix(x + nth.astype(np.uint64) * _GOLD).view(_SIGNED)
-            size = np.bincount(r, minlength=high - low)[r]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(x), pa.array(size.astype(np.int64))], names=["node", "token", "size"])
+            r, x, size = _bag_tokens(batch.column(1).slice(low, high - low))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(x.view(_SIGNED)), pa.array(size.astype(np.int64))], names=["node", "token", "size"])
 
 
-def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes of different classes that share a token of their rare prefixes.
+def rare_prefixes(known: np.ndarray, similarity: float) -> Callable[[Batches], Batches]:
+    """doc_id, text in; node, token, size, place of the tokens of the probing prefix out.
 
-    Tokens are ordered by frequency, then by hash. Two bags of at least the similarity share
-    one among the first ``size - ceil(similarity * size) + 1`` of either.
+    Tokens that are not in the bitmap come first; otherwise hashes give the order.
+    """
+    packed = np.packbits(known)
+
+    def prefixes(batches: Batches) -> Batches:
+        known = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            for low, high in slices(batch.column(1)):
+                ids = batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)
+                r, x, size = _bag_tokens(batch.column(1).slice(low, high - low))
+                order = np.lexsort((x, known[x >> np.uint64(64 - BITMAP_BITS)], r))
+                r, x, size = r[order], x[order], size[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                keep = place < size - np.ceil(size * similarity - 1e-9) + 1
+                cols = (ids[r], x.view(_SIGNED), size, place)
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(np.int64)) for c in cols], names=["node", "token", "size", "place"])
+
+    return prefixes
+
+
+def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, most_common: int = MOST_COMMON) -> DataFrame:
+    """Pairs of nodes of different classes that pass the prefix, size and position filters.
+
+    Tokens of at least ``COMMON`` nodes come last in the order. Up to ``most_common`` of them
+    are sent to the tasks as a bitmap of fixed size; more are joined instead. Of two bags of at
+    least the similarity, the probing prefix of the larger, ``size - ceil(s * size) + 1``
+    tokens, and the indexed one of the smaller, ``size - ceil(2s / (1 + s) * size) + 1``,
+    share a token, and enough tokens follow it.
     """
-    tokens = texts.mapInArrow(_rare_prefixes, "node long, token long, size long")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = attach(tokens, counts, ["token"], ["node"]).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    most = (F.col("size") - F.ceil(F.col("size") * similarity) + 1).cast("int")
-    kept = ranked.select("node", "size", F.explode(F.slice("t", F.lit(1), most)).alias("x")).where("x.n > 1").select("node", "size", F.col("x.token").alias("token"))
-    side = staged(kept.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "prefix")
-    a, b = side.toDF("a", "size_a", "token", "label_a"), side.toDF("b", "size_b", "token", "label_b")
-    close = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    return a.join(b, "token").where(close).select("a", "b").distinct()
+    tokens = texts.mapInArrow(all_tokens, "node long, token long, size long")
+    common = staged(tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("token"), "common")
+    if common.count() <= most_common:
+        side = texts.mapInArrow(rare_prefixes(bitmap(common, "token"), similarity), "node long, token long, size long, place long")
+    else:
+        marked = attach(tokens, common.withColumn("often", F.lit(True)), ["token"], ["node"], how="left").withColumn("often", F.coalesce("often", F.lit(False)))
+        order = Window.partitionBy("node").orderBy("often", "token")
+        side = marked.withColumn("place", F.row_number().over(order).cast("long") - 1).where(F.col("place") < F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select("node", "token", "size", "place")
+    side = staged(side.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "prefix")
+    a, b = (side.select(*(F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "place", "label")), "token") for k in "ab")
+    a = a.where(F.col("place_a") < F.col("size_a") - F.ceil(F.col("size_a") * (2 * similarity / (1 + similarity)) - 1e-9) + 1)
+    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
+    overlap = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9)
+    after = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= overlap
+    close = smaller & after & (F.col("size_a") >= F.col("size_b") * similarity) & (F.col("label_a") != F.col("label_b"))
+    pairs = a.join(b, "token").where(close)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

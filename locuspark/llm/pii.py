@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, slices, staged, words
-from .decontaminate import BITMAP_BITS, bitmap
+from .common import BITMAP_BITS, attach, bitmap, slices, staged, words
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 MIN_SUPPORT = 5
