@@ -15,7 +15,7 @@ a null doc_id share one hash; clashing columns are ignored; an empty table gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -54,34 +54,42 @@ def cell_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("tokens")).where("tokens > 0")
 
 
-def tempered_targets(cells: DataFrame, dimension: str, alpha: float = ALPHA) -> DataFrame:
-    """Target share of each value of a dimension."""
-    marginal = cells.groupBy(dimension).agg(F.pow(F.sum("tokens"), F.lit(alpha)).alias("part"))
-    whole = marginal.agg(F.sum("part")).first()[0] or 1.0
-    return marginal.select(dimension, (F.col("part") / F.lit(whole)).alias("target"))
+def _total(value: str, dimension: str) -> Column:
+    return F.sum(value).over(Window.partitionBy(dimension))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """The cells with ``weight``, shares of 1 whose marginals meet the targets."""
+def with_targets(cells: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The cells with a ``target_<dimension>`` each: the wanted share of the cell's value."""
+    parts = cells.select("*", *(F.pow(_total("tokens", d), F.lit(alpha)).alias(f"target_{d}") for d in DIMENSIONS), *(F.count("*").over(Window.partitionBy(d)).alias(f"n_{d}") for d in DIMENSIONS))
+    parts = staged(parts, "targets")
+    whole = parts.agg(*(F.sum(F.col(f"target_{d}") / F.col(f"n_{d}")) for d in DIMENSIONS)).first()
+    return parts.select(*DIMENSIONS, "tokens", *((F.col(f"target_{d}") / F.lit(w or 1.0)).alias(f"target_{d}") for d, w in zip(DIMENSIONS, whole, strict=True)))
+
+
+def rake(cells: DataFrame, sweeps: int = SWEEPS, per_job: int = 4) -> DataFrame:
+    """The cells with ``weight``, shares of 1 whose marginals meet the targets.
+
+    Cells are few rows next to documents: a dimension's value holds at most the values of the
+    two others. A sweep is three windows; ``per_job`` sweeps run as one job.
+    """
     whole = cells.agg(F.sum("tokens")).first()[0] or 1.0
     now = cells.withColumn("weight", F.col("tokens") / F.lit(whole))
     for k in range(sweeps):
         for d in DIMENSIONS:
-            scale = now.groupBy(d).agg(F.sum("weight").alias("have")).join(targets[d], d).select(d, (F.col("target") / F.col("have")).alias("scale"))
-            now = now.join(scale, d).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        if k % 2:
+            now = now.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / _total("weight", d))
+        if (k + 1) % per_job == 0:
             now = staged(now, "raked")
     return now
 
 
 def probabilities(cells: DataFrame, keep: float = KEEP, rounds: int = CAP_ROUNDS) -> DataFrame:
-    """The raked cells with ``probability``; the expected tokens are ``keep`` of all if any cap allows it."""
+    """The raked cells with ``probability``; the expected tokens are ``keep`` of all if the caps allow it."""
     factor = F.col("weight") / F.col("tokens")
     whole = cells.agg(F.sum("tokens")).first()[0] or 0.0
     scale = keep * whole
     for _ in range(rounds):
         got = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(scale) * factor))).first()[0]
-        if not got:
+        if not got or abs(got / (keep * whole) - 1) < 1e-12:
             break
         scale *= keep * whole / got
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(scale) * factor))
@@ -94,8 +102,7 @@ def uniform(doc_id: Column) -> Column:
 
 def calibrated_cells(rows: DataFrame, keep: float = KEEP, alpha: float = ALPHA) -> DataFrame:
     cells = staged(cell_table(rows), "cells")
-    targets = {d: staged(tempered_targets(cells, d, alpha), "targets") for d in DIMENSIONS}
-    return staged(probabilities(rake(cells, targets), keep).select(*DIMENSIONS, "weight", "probability"), "mix")
+    return staged(probabilities(rake(with_targets(cells, alpha)), keep).select(*DIMENSIONS, "weight", "probability"), "mix")
 
 
 def sampled(docs: DataFrame, keep: float = KEEP, alpha: float = ALPHA) -> DataFrame:
