@@ -159,7 +159,7 @@ def metaprofile(points: DataFrame, track: DataFrame, flank: int, step: int, by:
     cells = cut.groupBy(F.col(key + "_a").alias(key), F.col(by + "_a").alias(by), at.alias("bin")).agg((F.sum(F.col("value_b") * part) / step).alias("v")).where("v <> 0")
     members = cells.groupBy(by).agg(F.count_distinct(key).alias("n"))
     sums = cells.groupBy(by, "bin").agg(F.sum("v").alias("s"))
-    grid = members.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).cast("long"))
+    grid = members.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
     return grid.join(sums, [by, "bin"], "left").select(by, "bin", "n", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("signal"))
 
 

@@ -186,7 +186,7 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[s
         return None
     inv = np.linalg.inv(m["xx"])
     beta = inv @ m["xy"]
-    rss = max(m["yy"] - beta @ m["xy"], 0.0)
+    rss = max(float(m["yy"] - beta @ m["xy"]), 0.0)
     tss_ = m["yy"] - m["sy"] ** 2 / n
     se = np.sqrt(np.diag(inv) * rss / (n - k))
     llf = -n / 2 * (math.log(2 * math.pi * rss / n) + 1)
