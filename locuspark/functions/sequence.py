@@ -49,14 +49,14 @@ def reverse_complement(seq: Column | str) -> Column:
 
 def classify_motif(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = MOTIFS) -> Column:
     """struct(structure, span_start, span_end): the first class with a match, its first pattern, leftmost match; else other."""
-    s, out = _c(seq), None
+    s, hit = _c(seq), None
     for name, patterns in classes:
         for p in patterns:
-            start = F.regexp_instr(s, F.lit(p)) - 1
-            hit = F.struct(F.lit(name).alias("structure"), start.alias("span_start"), (start + F.length(F.regexp_extract(s, p, 0))).alias("span_end"))
-            out = F.when(s.rlike(p), hit) if out is None else out.when(s.rlike(p), hit)
-    none = F.lit(None).cast("int")
-    return out.otherwise(F.struct(F.lit("other").alias("structure"), none.alias("span_start"), none.alias("span_end")))
+            found = F.struct(F.lit(name).alias("structure"), F.lit(p).alias("pattern"))
+            hit = F.when(s.rlike(p), found) if hit is None else hit.when(s.rlike(p), found)
+    start = F.regexp_instr(s, hit["pattern"]) - 1
+    end = start + F.length(F.call_function("regexp_extract", s, hit["pattern"], F.lit(0)))
+    return F.struct(F.coalesce(hit["structure"], F.lit("other")).alias("structure"), start.alias("span_start"), end.alias("span_end"))
 
 
 def classify_both_strands(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = MOTIFS) -> Column:

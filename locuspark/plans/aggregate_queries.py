@@ -150,9 +150,10 @@ def window_signal(spark, sf):
 
 @query(f"""{cte('gene', 'track')}, p AS (SELECT gene, chrom, tss, strand, CASE WHEN gene IN (SELECT gene FROM (SELECT concat('ENSG', lpad(CAST(p_partkey AS VARCHAR), 8, '0')) AS gene FROM part WHERE p_size % 10 = 0)) THEN 'control' ELSE 'other' END AS grp FROM gene),
 b AS (SELECT *, tss - 2000 + k * 50 AS s, CASE WHEN strand = '-' THEN 79 - k ELSE k END AS bin FROM p, (SELECT unnest(range(0, 80)) AS k)),
-v AS (SELECT b.gene, grp, bin, sum(value * (least(s + 50, t."end") - greatest(s, t.start))) / 50 AS v FROM b JOIN track t ON b.chrom = t.chrom AND t.start < s + 50 AND t."end" > s GROUP BY ALL),
+w AS (SELECT b.gene AS gene, grp, bin, value * (least(s + 50, t."end") - greatest(s, t.start)) AS x FROM b JOIN track t ON b.chrom = t.chrom AND t.start < s + 50 AND t."end" > s),
+v AS (SELECT gene, grp, bin, sum(x) / 50 AS v FROM w GROUP BY ALL),
 n AS (SELECT grp, count(DISTINCT gene) AS n FROM v GROUP BY 1)
-SELECT n.grp AS grp, g.bin AS bin, n, round(coalesce(sum(v), 0) / n, 4) AS signal FROM n CROSS JOIN (SELECT unnest(range(0, 80)) AS bin) g LEFT JOIN v ON v.grp = n.grp AND v.bin = g.bin GROUP BY ALL""")
+SELECT n.grp AS grp, g.bin AS bin, n, round(coalesce(sum(v), 0) / n, 4) AS signal FROM n CROSS JOIN (SELECT unnest(range(0, 80)) AS bin) g LEFT JOIN v ON v.grp = n.grp AND v.bin = g.bin GROUP BY n.grp, g.bin, n""")
 def group_metaprofile(spark, sf):
     genes = A.flag_in(frame(spark, sf, "gene"), frame(spark, sf, "ctrl"), "gene", "c")
     points = genes.select("gene", "chrom", F.col("tss").alias("pos"), "strand", F.when(F.col("c"), "control").otherwise("other").alias("grp"))

@@ -38,7 +38,8 @@ def _dir(t: int) -> str:
     return f"CASE WHEN padj_{t} < 0.05 AND lfc_{t} > 0.5 THEN 'repressed' WHEN padj_{t} < 0.05 AND lfc_{t} < -0.5 THEN 'induced' ELSE 'not_sig' END AS dir_{t}"
 
 
-DIRS = f"{cte('de')}, dirs AS (SELECT *, {', '.join(map(_dir, S.TIMES))} FROM de)"
+DIR_CTE = f"dirs AS (SELECT *, {', '.join(map(_dir, S.TIMES))} FROM de)"
+DIRS = f"{cte('de')}, {DIR_CTE}"
 
 # sources and sinks
 
@@ -268,7 +269,8 @@ def _hits(ts) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN dir_{t} <> 'not_sig' THEN '{t}' END" for t in ts) + ", 'NA')"
 
 
-LABELS = f"{DIRS}, labels AS (SELECT *, {_traj()} AS trajectory, {_response()} AS response, {_hits((12, 30, 60))} AS first_hit, {_hits((60, 30, 12))} AS last_hit FROM dirs)"
+LABEL_CTE = f"labels AS (SELECT *, {_traj()} AS trajectory, {_response()} AS response, {_hits((12, 30, 60))} AS first_hit, {_hits((60, 30, 12))} AS last_hit FROM dirs)"
+LABELS = f"{DIRS}, {LABEL_CTE}"
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
