@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,17 +54,29 @@ def classify_motif(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]
         for p in patterns:
             found = F.struct(F.lit(name).alias("structure"), F.lit(p).alias("pattern"))
             hit = F.when(s.rlike(p), found) if hit is None else hit.when(s.rlike(p), found)
-    start = F.regexp_instr(s, hit["pattern"]) - 1
-    end = start + F.length(F.call_function("regexp_extract", s, hit["pattern"], F.lit(0)))
-    return F.struct(F.coalesce(hit["structure"], F.lit("other")).alias("structure"), start.alias("span_start"), end.alias("span_end"))
+    none = F.struct(F.lit("other").alias("structure"), F.lit(None).cast("string").alias("pattern"))
+
+    def span(h: Column) -> Column:
+        start = F.regexp_instr(s, h["pattern"]) - 1
+        end = start + F.length(F.call_function("regexp_extract", s, h["pattern"], F.lit(0)))
+        return F.struct(h["structure"].alias("structure"), start.alias("span_start"), end.alias("span_end"))
+
+    return _once(hit.otherwise(none), span)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a costly value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def classify_both_strands(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = MOTIFS) -> Column:
-    """struct(strand, structure, span_start, span_end): the plus strand wins unless it is other."""
+    """struct(structure, span_start, span_end, strand): the plus strand wins unless it is other."""
     plus, minus = classify_motif(seq, classes), classify_motif(reverse_complement(seq), classes)
-    def on(strand: str, x: Column) -> Column:
-        return F.struct(F.lit(strand).alias("strand"), x["structure"].alias("structure"), x["span_start"].alias("span_start"), x["span_end"].alias("span_end"))
-    return F.when((plus["structure"] != "other") | (minus["structure"] == "other"), on("+", plus)).otherwise(on("-", minus))
+
+    def other_strand(p: Column) -> Column:
+        return F.when(p["structure"] != "other", p.withField("strand", F.lit("+"))).otherwise(_once(minus, lambda m: F.when(m["structure"] != "other", m.withField("strand", F.lit("-"))).otherwise(p.withField("strand", F.lit("+")))))
+
+    return _once(plus, other_strand)
 
 
 def span_to_coords(start: Column | str, end: Column | str, strand: Column | str, span_start: Column | str, span_end: Column | str) -> Column:
