@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy pass handles; a longer text is cut at white space.
 BLOCK_BYTES = 1 << 20
@@ -63,6 +64,29 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str]
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``doc``, so no other column can clash with its columns, keyed by id and text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_hash"))
+
+
+def edited(df: DataFrame, facts: str, schema: StructType, edit: Callable[[str, list], str]) -> DataFrame:
+    """Rows of ``packed`` with ``text`` put through ``edit(text, facts)`` where there are facts; n_chars follows, if there is one."""
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = dict(zip(schema.names, batch.column(0).flatten(), strict=True))
+            texts, given = cols["text"].to_pylist(), batch.column(1).to_pylist()
+            changed = [bool(t and g) for t, g in zip(texts, given, strict=True)]
+            texts = [edit(t, g) if c else t for t, g, c in zip(texts, given, changed, strict=True)]
+            cols["text"] = pa.array(texts, cols["text"].type)
+            if "n_chars" in cols:
+                n = [len(t) if c else old for t, c, old in zip(texts, changed, cols["n_chars"].to_pylist(), strict=True)]
+                cols["n_chars"] = pa.array(n, cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=schema.names)
+
+    return df.select("doc", facts).mapInArrow(rewrite, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _M1

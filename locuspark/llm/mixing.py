@@ -113,9 +113,10 @@ def sampled(docs: DataFrame, keep: float = KEEP, alpha: float = ALPHA) -> DataFr
 
 
 def sample_documents(docs: DataFrame, keep: float = KEEP, alpha: float = ALPHA) -> DataFrame:
-    """The sampled documents, with topic and probability besides the columns of ``docs``."""
+    """The sampled documents, with mix_topic and mix_probability (replaced if there) besides the columns of ``docs``."""
     cells = calibrated_cells(labelled(docs), keep, alpha).toDF("_source", "_lang", "_topic", "_weight", "_probability")
     none = F.lit("(none)")
     same = (F.coalesce(docs["source"].cast("string"), none) == cells["_source"]) & (F.coalesce(docs["lang"].cast("string"), none) == cells["_lang"]) & (topic(docs["text"]) == cells["_topic"])
     kept = docs.join(cells, same).where(uniform(docs["doc_id"]) < cells["_probability"])
-    return kept.select(*(docs[c] for c in docs.columns), F.col("_topic").alias("mix_topic"), F.round("_probability", 6).alias("mix_probability"))
+    own = [docs[c] for c in docs.columns if c not in ("mix_topic", "mix_probability")]
+    return kept.select(*own, cells["_topic"].alias("mix_topic"), F.round(cells["_probability"], 6).alias("mix_probability"))

@@ -51,7 +51,7 @@ def _processes(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
     while len(live):
         size = 1 if octave == 0 else 1 << (octave - 1)
         index.append(live)
-        seed.append(mix(h[live] + np.uint64(octave + 1) * _GOLD))
+        seed.append(mix(h[live] + np.uint64((octave + 1) * int(_GOLD) % (1 << 64))))
         width.append(np.full(len(live), size, np.float64))
         lowest.append(np.full(len(live), low, np.int64))
         octave, low = octave + 1, low + size

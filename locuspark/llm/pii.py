@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, attach, bitmap, slices, staged, words
+from .common import BITMAP_BITS, attach, bitmap, edited, packed, slices, staged, words
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 MIN_SUPPORT = 5
@@ -224,28 +224,19 @@ def report(docs: DataFrame) -> DataFrame:
     return spans(docs).select("doc_id", "spans").mapInArrow(digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_id long")
 
 
-def mask(batches: Batches) -> Batches:
-    """Replace each span in ``text`` by its kind in brackets; of overlapping ones the first, then the longer, stays."""
-    for batch in batches:
-        names = batch.schema.names
-        texts = batch.column("text").to_pylist()
-        for i, found in enumerate(batch.column("spans").to_pylist()):
-            if not found or not texts[i]:
-                continue
-            parts, at = [], 0
-            for x in sorted(found, key=lambda x: (x["start"], -x["end"])):
-                if x["start"] >= at:
-                    parts += [texts[i][at : x["start"]], f"[{x['kind'].upper()}]"]
-                at = max(at, x["end"])
-            texts[i] = "".join([*parts, texts[i][at:]])
-        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-        keep = [n for n in names if n != "spans"]
-        yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in keep], names=keep)
+def masked(text: str, found: list[dict]) -> str:
+    """Each span replaced by its kind in brackets; of overlapping ones the first, then the longer, stays."""
+    parts, at = [], 0
+    for x in sorted(found, key=lambda x: (x["start"], -x["end"])):
+        if x["start"] >= at:
+            parts += [text[at : x["start"]], f"[{x['kind'].upper()}]"]
+        at = max(at, x["end"])
+    return "".join([*parts, text[at:]])
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans masked and n_chars counted anew; columns as before."""
-    found = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_hash"] == found["_hash"]), "left")
-    return both.select(*(keyed[c] for c in docs.columns), "spans").mapInArrow(mask, docs.schema)
+    found = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), "text_hash", "spans").dropDuplicates(["id", "text_hash"])
+    rows = packed(docs)
+    both = rows.join(found, rows["key_id"].eqNullSafe(found["id"]) & (rows["key_hash"] == found["text_hash"]), "left")
+    return edited(both, "spans", docs.schema, masked)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, slices, staged, text_bytes, words
+from .common import attach, edited, packed, slices, staged, text_bytes, words
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -138,23 +138,15 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, min_left_percent: int =
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def strip_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Take the lines whose hashes stand in ``boilerplate`` out of ``text``; adjusts n_chars."""
-    for batch in batches:
-        names = batch.schema.names
-        texts, gone = batch.column("text").to_pylist(), batch.column("boilerplate").to_pylist()
-        for i, (t, g) in enumerate(zip(texts, gone, strict=True)):
-            if t and g:
-                drop = set(g)
-                texts[i] = "\n".join(x for x in t.split("\n") if _signed(_hash(normal_line(x))) not in drop)
-        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-        keep = [n for n in names if n != "boilerplate"]
-        yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in keep], names=keep)
+def without_lines(text: str, boilerplate: list[int]) -> str:
+    """The text without the lines of the given hashes."""
+    drop = set(boilerplate)
+    return "\n".join(x for x in text.split("\n") if _signed(_hash(normal_line(x))) not in drop)
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without rejected documents and without boilerplate lines, columns as before."""
-    out = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "boilerplate").dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = keyed.join(out, keyed["doc_id"].eqNullSafe(out["_id"]) & (keyed["_hash"] == out["_hash"]))
-    return kept.select(*(keyed[c] for c in docs.columns), "boilerplate").mapInArrow(strip_lines, docs.schema)
+    out = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("id"), "text_hash", "boilerplate").dropDuplicates(["id", "text_hash"])
+    rows = packed(docs)
+    kept = rows.join(out, rows["key_id"].eqNullSafe(out["id"]) & (rows["key_hash"] == out["text_hash"]))
+    return edited(kept, "boilerplate", docs.schema, without_lines)
