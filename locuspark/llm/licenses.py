@@ -3,7 +3,8 @@
 A unit is a line, a paragraph (between blank lines) or the whole text, normalised to lower
 case words of letters and digits. A unit is compared only with templates that its number of
 bigrams allows to reach the wanted coefficient: ``2*min/(min+max)`` bounds it from above.
-Before that, a unit must hold one of a few anchor words, which loses no match.
+Before that, a text must hold one of a few words, and a unit one of a few bigrams, that no match
+can do without.
 
 Defined results: null and empty texts match nothing; of several templates all that reach
 the coefficient are reported; repeated units add up in ``n_units``; repeated rows and rows
@@ -57,30 +58,40 @@ def template_table(spark: SparkSession) -> DataFrame:
     return rows.select("license", bigrams(F.split(normal(F.col("body")), " ")).alias("t_grams")).withColumn("t_n", F.size("t_grams"))
 
 
-def anchors(dice: float) -> list[str]:
-    """Words of which every unit that reaches the coefficient with some template has one.
+def rare_grams(dice: float) -> list[tuple[str, str]]:
+    """Bigrams of which every unit that reaches the coefficient with some template has one.
 
     Such a unit shares at least ``dice / (2 - dice)`` of the template's bigrams, so it has one
-    of any larger remainder of them; of each in that remainder the longer word is taken.
+    of any larger remainder of them; those with the longest words make the remainder.
     """
     found = set()
     for _, body in TEMPLATES:
         w = "".join(c if c.isalnum() else " " for c in body.lower()).split()
         grams = sorted(set(zip(w, w[1:], strict=False)), key=lambda g: (-max(map(len, g)), g))
         least = math.ceil(len(grams) * dice / (2 - dice) - 1e-9)
-        found |= {max(g, key=len) for g in grams[: len(grams) - least + 1]}
+        found |= set(grams[: len(grams) - least + 1])
     return sorted(found)
 
 
 def units(docs: DataFrame, dice: float) -> DataFrame:
-    """doc_id and the words of each line, paragraph and whole text that has an anchor word."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace("text", "\r\n?", "\n")), "[^\\p{L}\\p{N}\n]+", " ")
-    lines = F.split(plain, "\n")
-    paragraphs = F.filter(F.split(plain, "\n *\n"), lambda p: p.contains("\n"))
-    whole = F.when(plain.contains("\n"), F.array(plain)).otherwise(F.array().cast("array<string>"))
-    parts = docs.select(F.col("doc_id").cast("long"), F.explode(F.concat(lines, paragraphs, whole)).alias("part"))
-    named = parts.select("doc_id", F.split(F.trim(F.translate("part", "\n", " ")), " +").alias("w"))
-    return named.where(F.arrays_overlap("w", F.array(*map(F.lit, anchors(dice)))))
+    """doc_id and the words of each line, paragraph and whole text that has one of the rare bigrams.
+
+    Whole texts are first tested for one word of each such bigram.
+    """
+    grams = rare_grams(dice)
+    marks = F.array(*map(F.lit, sorted({max(g, key=lambda w: (len(w), w)) for g in grams})))
+    text = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    plain = docs.select(F.col("doc_id").cast("long"), F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\n]+", " ").alias("plain"))
+    held = plain.where(F.arrays_overlap(F.split(F.translate("plain", "\n", " "), " "), marks))
+    lines = F.split("plain", "\n")
+    paragraphs = F.filter(F.split("plain", "\n *\n"), lambda p: p.contains("\n"))
+    whole = F.when(F.col("plain").contains("\n"), F.array("plain")).otherwise(F.array().cast("array<string>"))
+    parts = held.select("doc_id", F.explode(F.concat(lines, paragraphs, whole)).alias("part"))
+    named = parts.select("doc_id", F.regexp_replace("part", "[ \n]+", " ").alias("unit"))
+    padded, some = F.concat(F.lit(" "), "unit", F.lit(" ")), F.lit(False)
+    for x, y in grams:
+        some = some | F.contains(padded, F.lit(f" {x} {y} "))
+    return named.where(some).select("doc_id", F.split(F.trim("unit"), " ").alias("w"))
 
 
 def scan(docs: DataFrame, dice: float = DICE) -> DataFrame:
