@@ -1,0 +1,172 @@
+"""Boundaries, properties and textbook values."""
+
+import math
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from locuspark.functions import pvalues as P
+from locuspark.functions import scalars as S
+from locuspark.functions import sequence as Q
+from locuspark.operators import binning as B
+from locuspark.operators import intervals as I
+from locuspark.operators import stats as T
+from locuspark.operators import summaries as A
+from locuspark.sources import readers as R
+
+
+def ivs(spark, rows):
+    return spark.createDataFrame(rows, "id long, chrom string, start long, end long")
+
+
+def random_intervals(seed, n):
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        start = rng.randrange(500)
+        out.append((k, f"c{rng.randrange(2)}", start, start + rng.choice([0, 1, 5, 60, 300])))
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 16, 1 << 14])
+def test_overlap_join_equals_theta_join(spark, width):
+    a, b = random_intervals(1, 60), random_intervals(2, 60)
+    want = {(x[0], y[0]) for x in a for y in b if x[1] == y[1] and max(x[2], y[2]) < min(x[3], y[3])}
+    got = [(r[0], r[1]) for r in I.overlap_pairs(ivs(spark, a), ivs(spark, b), width).select("id_a", "id_b").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_semi_and_anti_make_the_input(spark):
+    a, b = ivs(spark, random_intervals(3, 80)), ivs(spark, random_intervals(4, 8))
+    hit, miss = I.overlap_semi(a, b, ["id"]).count(), I.overlap_anti(a, b, ["id"]).count()
+    assert hit + miss == 80 and hit and miss
+
+
+def test_merge_joins_touching_intervals_and_is_idempotent(spark):
+    rows = ivs(spark, [(1, "a", 0, 5), (2, "a", 5, 9), (3, "a", 10, 12), (4, "b", 0, 3), (5, "a", 1, 30)])
+    once = I.merge(rows, width=4)
+    assert {tuple(r) for r in once.collect()} == {("a", 0, 30, 4), ("b", 0, 3, 1)}
+    assert {tuple(r)[:3] for r in I.merge(once).collect()} == {tuple(r)[:3] for r in once.collect()}
+
+
+def test_tiles_restart_and_drop_the_rest(spark):
+    got = I.tile(spark.createDataFrame([("c", 0, "ABCDEFG"), ("d", 3, "AB")], "chrom string, start long, seq string"), 3).collect()
+    assert [(r["start"], r["end"], r["seq"]) for r in got] == [(0, 3, "ABC"), (3, 6, "DEF")]
+
+
+def test_motif_spans_on_both_strands(spark):
+    g = "AAGGGTAGGGTAGGGTAGGGCC"
+    rc = g[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    df = spark.createDataFrame([(0, g), (1, rc), (2, "ACGT")], "id long, seq string").select("id", Q.classify_both_strands("seq").alias("m"))
+    got = {r["id"]: r["m"] for r in df.collect()}
+    assert (got[0]["structure"], got[0]["strand"], got[0]["span_start"], got[0]["span_end"]) == ("loop1_3", "+", 2, 20)
+    assert (got[1]["structure"], got[1]["strand"]) == ("loop1_3", "-") and got[2]["structure"] == "other"
+    at = spark.range(1).select(Q.span_to_coords(F.lit(100), F.lit(122), F.lit("-"), F.lit(2), F.lit(20)).alias("x")).first()["x"]
+    assert tuple(at) == (102, 120, 111)
+
+
+def test_qcut_equals_pandas(spark):
+    rng = np.random.Generator(np.random.PCG64(0))
+    values = [float(v) for v in rng.integers(0, 12, 200)] + [None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, v double")
+    got = {r["id"]: r["bin"] for r in B.qcut(df, "v", 10).collect()}
+    want = pd.qcut(pd.Series(values, dtype=float), 10, labels=False, duplicates="drop") + 1
+    assert got == {k: None if math.isnan(w) else int(w) for k, w in enumerate(want)}
+
+
+def test_ranks_equal_pandas(spark):
+    values = [3.0, 1.0, 3.0, 2.0, 3.0, None, -5.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, v double")
+    got = {r["id"]: r["rank"] for r in B.avg_rank(df, "v").collect()}
+    assert got == {k: None if math.isnan(r) else r for k, r in enumerate(pd.Series(values).rank())}
+
+
+def test_sample_needs_enough_rows(spark):
+    with pytest.raises(ValueError):
+        B.sample_k(spark.range(5), 6, "id")
+    with pytest.raises(ValueError):
+        R.assert_min_rows(spark.range(5), 6)
+
+
+def test_bh_is_monotone_and_treats_nulls(spark):
+    p = [0.01, 0.04, 0.03, None, 0.5]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(p)], "id long, p_value double")
+    one = {r["id"]: r["p_adj"] for r in T.bh_adjust(df).collect()}
+    assert one[0] == pytest.approx(0.05) and one[1] == one[2] == pytest.approx(0.2 / 3) and one[3] == 1.0
+    out = {r["id"]: r["p_adj"] for r in T.bh_adjust(df, null_as_one=False).collect()}
+    assert out[0] == pytest.approx(0.04) and out[3] is None
+
+
+def test_labels(spark):
+    row = spark.range(1).select(
+        S.direction(F.lit(0.6), F.lit(0.01)).alias("a"), S.direction(F.lit(-0.6), F.lit(0.01)).alias("b"), S.direction(F.lit(0.6), F.lit(None).cast("double")).alias("c"),
+        S.trajectory([F.lit("repressed"), F.lit("not_sig"), F.lit("repressed")], F.lit(1.0)).alias("d"), S.trajectory([F.lit("repressed"), F.lit("induced"), F.lit("not_sig")], F.lit(1.0)).alias("e"),
+        S.response_label(F.lit(0.01), [F.lit("not_sig")] * 3).alias("f"), S.first_hit([F.lit("not_sig"), F.lit("induced"), F.lit("induced")], S.TIMES).alias("g"),
+        S.strip_version(F.lit("ENSG1.20_PAR_Y"), "number").alias("h"), S.strip_version(F.lit("ENSG1.20_PAR_Y"), "first").alias("i"), S.strip_version(F.lit("ENSG1.20_PAR_Y"), "last").alias("j"),
+        S.number_or_null(F.lit("NA")).alias("k"), S.number_or_null(F.lit("2.5")).alias("l"),
+    ).first()
+    assert tuple(row) == ("repressed", "induced", "not_sig", "repressed_sustained", "complex", "sig_lrt_no_pairwise", "30", "ENSG1.20_PAR_Y", "ENSG1", "ENSG1", None, 2.5)
+
+
+def test_tail_probabilities():
+    assert P.normal_sf(1.959963984540054) == pytest.approx(0.025)
+    assert P.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05) and P.chi2_sf(18.307038053275146, 10) == pytest.approx(0.05)
+    assert P.t_two_sided(2.2281388519649385, 10) == pytest.approx(0.05)
+    assert P.f_sf(4.9646027437307145, 1, 10) == pytest.approx(0.05)
+    assert P.fisher_p(8, 2, 1, 5) == pytest.approx(0.034965034965)
+    assert P.fisher_p(8, 2, 1, 5, "greater") == pytest.approx(0.0244755244755)
+    assert P.mann_whitney_p(20, 5, 4, 0, "greater") == pytest.approx(1 / 126)
+    assert P.mann_whitney_p(0, 5, 4, 0) == pytest.approx(2 / 126)
+
+
+def test_published_odds_ratio(spark):
+    row = T.fisher(spark.createDataFrame([(3887, 5750, 919, 2624)], "a long, b long, c long, d long"), alternative="greater").first()
+    assert row["odds_ratio"] == pytest.approx(1.930, abs=1e-3) and row["p_value"] == pytest.approx(2.94e-54, rel=0.01)
+
+
+def test_u_statistics_add_up(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([("ab"[k % 2], float(rng.randrange(6))) for k in range(61)], "g string, v double")
+    x, y = T.mann_whitney(df, "v", "g", "a", "b").first(), T.mann_whitney(df, "v", "g", "b", "a").first()
+    assert x["u"] + y["u"] == x["n_a"] * x["n_b"] and x["rank_biserial"] == pytest.approx(-y["rank_biserial"])
+
+
+def test_models_equal_numpy(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    x, z = rng.normal(size=200), rng.normal(size=200)
+    y = 1 + 2 * x - z + rng.normal(size=200) * 0.1
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "y": y, "hit": (x + rng.normal(size=200) > 0).astype(float)}))
+    fit = T.ols(df, "y", ["x", "z"])
+    want = np.linalg.lstsq(np.c_[np.ones(200), x, z], y, rcond=None)[0]
+    assert [t["coef"] for t in fit["terms"]] == pytest.approx(want.tolist())
+    assert T.partial_slope(df, "y", "x", ["z"]) == pytest.approx(want[1])
+    assert T.compare_nested(df, "y", ["x"], ["z"])["p_value"] < 1e-20
+    odds = T.logit(df, "hit", ["x"])
+    assert odds["terms"][1]["coef"] > 0 and odds["terms"][1]["p_value"] < 1e-6 and 0 < odds["mcfadden_r2"] < 1
+
+
+def test_resampling(spark):
+    rng = np.random.Generator(np.random.PCG64(4))
+    x = rng.normal(size=120)
+    pdf = pd.DataFrame({"k": range(120), "x": x, "y": x + rng.normal(size=120), "g": ["a", "b"] * 60})
+    df = spark.createDataFrame(pdf)
+    ci = T.bootstrap_spearman(df, "x", "y", "k", times=60).first()
+    assert ci["ci_low"] < ci["rho"] < ci["ci_high"] and ci["rho"] == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()))
+    assert 0 <= T.permutation_test(df, "x", "y", "g", "a", "b", "k", times=50).first()["p_value"] <= 1
+
+
+def test_group_summary_keeps_empty_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "g string, v double")
+    got = {r["g"]: r for r in A.group_summary(df, "g", "v", ["a", "b"]).collect()}
+    assert got["a"]["mean"] == 2 and got["b"]["n"] == 0 and got["b"]["mean"] is None
+
+
+def test_strict_bed_fails_on_bad_lines(spark, tmp_path):
+    path = tmp_path / "x.bed"
+    path.write_text("# note\nc\t1\t5\tn\t0\t+\nc\t9\t9\tm\t0\t-\nc\t1\t2\tp\t0\t.\n")
+    assert R.read_bed(spark, str(path), strand_at=5).count() == 2
+    with pytest.raises(Exception, match="malformed"):
+        R.read_bed(spark, str(path), strand_at=5, strict=True).collect()
