@@ -30,14 +30,14 @@ def with_p(df: DataFrame, name: str, fn: Callable[..., float | None], *cols: str
 
 
 def mann_whitney(df: DataFrame, col: str, group: str, a: str, b: str, by: Sequence[str] = (), alternative: str = "two-sided") -> DataFrame:
-    """n_a, n_b, u (of a), ties, rank_biserial = 1 - 2u/(n_a n_b) and p_value of two groups."""
+    """n_a, n_b, u (of a), ties, rank_biserial = 1 - 2u/(n_a n_b) and p_value of two groups; null without rows of both."""
     rows = df.where(F.col(col).isNotNull() & F.col(group).isin(a, b))
     hist = rows.groupBy(*by, col).agg(F.count_if(F.col(group) == a).alias("na"), F.count("*").alias("n"))
     low = running_totals(hist, col, ["n"], by)
     n = F.col("n").cast("double")
     out = low.groupBy(*by).agg(F.sum("na").alias("n_a"), (F.sum("n") - F.sum("na")).alias("n_b"), F.sum(F.col("na") * (F.col("below_n") + (n + 1) / 2)).alias("_r"), F.sum(n * n * n - n).alias("ties"))
     pairs = F.col("n_a").cast("double") * F.col("n_b")
-    out = out.withColumn("u", F.col("_r") - F.col("n_a").cast("double") * (F.col("n_a") + 1) / 2).drop("_r")
+    out = out.withColumn("u", F.when(pairs > 0, F.col("_r") - F.col("n_a").cast("double") * (F.col("n_a") + 1) / 2)).drop("_r")
     out = out.withColumn("rank_biserial", 1 - 2 * F.col("u") / F.nullif(pairs, F.lit(0.0)))
     return with_p(out, "p_value", lambda u, x, y, t: pvalues.mann_whitney_p(u, int(x), int(y), t, alternative), "u", "n_a", "n_b", "ties")
 

@@ -24,7 +24,7 @@ def rank_sql(col: str, by: str = "1") -> str:
 
 def u_sql(rows: str, col: str, a: str, b: str, by: str, group: str = "grp") -> str:
     """by, n_a, n_b, u of the two-sample test of each ``by``."""
-    return f"""SELECT {by}, count(*) FILTER (g = '{a}') AS n_a, count(*) FILTER (g = '{b}') AS n_b, CAST(sum(rk) FILTER (g = '{a}') - count(*) FILTER (g = '{a}') * (count(*) FILTER (g = '{a}') + 1) / 2.0 AS DOUBLE) AS u
+    return f"""SELECT {by}, count(*) FILTER (g = '{a}') AS n_a, count(*) FILTER (g = '{b}') AS n_b, CAST(CASE WHEN count(*) FILTER (g = '{b}') > 0 THEN sum(rk) FILTER (g = '{a}') END - count(*) FILTER (g = '{a}') * (count(*) FILTER (g = '{a}') + 1) / 2.0 AS DOUBLE) AS u
 FROM (SELECT {by}, {group} AS g, {rank_sql(col, by)} AS rk FROM {rows} WHERE {group} IN ('{a}', '{b}') AND {col} IS NOT NULL) GROUP BY {by}"""
 
 
