@@ -2,7 +2,8 @@
 
 A unit is a line, a paragraph (between blank lines) or the whole text, normalised to lower
 case words of letters and digits. A unit is compared only with templates that its number of
-bigrams allows to reach the wanted coefficient: ``2*min/(min+max)`` bounds it from above.
+bigrams allows to reach the wanted coefficient, as ``2*min/(min+max)`` bounds it from above:
+an equi-join on that number, with each template under all numbers that it allows.
 Before that, a text must hold one of a few words, and a unit one of a few bigrams, that no match
 can do without.
 
@@ -96,9 +97,9 @@ def units(docs: DataFrame, dice: float) -> DataFrame:
 
 def scan(docs: DataFrame, dice: float = DICE) -> DataFrame:
     """doc_id, license, n_units, best_dice of the documents in which a template is found."""
-    templates = template_table(docs.sparkSession)
+    sizes = F.sequence(F.ceil(F.col("t_n") * (dice / (2 - dice)) - F.lit(1e-9)).cast("int"), F.floor(F.col("t_n") * ((2 - dice) / dice) + F.lit(1e-9)).cast("int"))
+    templates = template_table(docs.sparkSession).select("*", F.explode(sizes).alias("n"))
     grams = units(docs, dice).select("doc_id", bigrams(F.col("w")).alias("grams")).withColumn("n", F.size("grams"))
-    reach = F.least("n", "t_n") * 2 >= dice * (F.col("n") + F.col("t_n"))
     shared = F.size(F.array_intersect("grams", "t_grams"))
-    pairs = grams.join(F.broadcast(templates), reach).select("doc_id", "license", (2 * shared / (F.col("n") + F.col("t_n"))).alias("dice"))
+    pairs = grams.join(F.broadcast(templates), "n").select("doc_id", "license", (2 * shared / (F.col("n") + F.col("t_n"))).alias("dice"))
     return pairs.where(F.col("dice") >= dice).groupBy("doc_id", "license").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
