@@ -3,8 +3,9 @@
 Lines are normalised (white space to one space, trimmed, lower case) and hashed. For each
 host the documents that hold a line are counted; a line of at least ``MIN_DOCS`` documents,
 and ``MIN_SHARE`` of the host's, whose holders otherwise differ is boilerplate and is removed. "Differ" is measured by each
-document's *content key*, the smallest hash of its longer lines: copies of a text share
-few keys, so the lines of a text that was copied often are not taken for boilerplate. A
+holder's *content key*, the smallest hash of its longer lines other than the line itself, or
+that of its whole text if it has none: copies of a text share few keys, so the lines of a
+text that was copied often are not taken for boilerplate. A
 document that keeps under ``MIN_LEFT_PERCENT`` of its words is rejected as depleted.
 
 Defined results: null or empty text has no words, zero counts and fails the base rule; a
@@ -38,7 +39,7 @@ SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 _SPACES = re.compile("[\\x20\\x09-\\x0D]+")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCHEMA = "uid long, doc_id long, host string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS) + ", key long, lines array<struct<line: long, n: long>>"
+_SCHEMA = "uid long, doc_id long, host string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS) + ", keys array<long>, lines array<struct<line: long, n: long>>"
 
 
 def _repeated_words(row: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
@@ -71,9 +72,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def read_lines(text: str | None) -> tuple[int, int, list[dict]]:
-    """Lines equal to an earlier one, the content key, and words by hash of each normalised line."""
-    seen, n_dup, by_hash, longer = set(), 0, {}, []
+def read_lines(text: str | None) -> tuple[int, list[int], list[dict]]:
+    """Lines equal to an earlier one, the two smallest hashes for content keys, and words by hash of each normalised line."""
+    seen, n_dup, by_hash, longer = set(), 0, {}, set()
     for line in (text or "").split("\n"):
         if not (x := normal_line(line)):
             continue
@@ -82,9 +83,8 @@ def read_lines(text: str | None) -> tuple[int, int, list[dict]]:
         h = _hash(x)
         by_hash[h] = by_hash.get(h, 0) + x.count(" ") + 1
         if len(x) >= KEY_LINE_CHARS:
-            longer.append(h)
-    key = min(longer or by_hash, default=0)
-    return n_dup, _signed(key), [{"line": _signed(h), "n": n} for h, n in by_hash.items()]
+            longer.add(h)
+    return n_dup, [_signed(h) for h in sorted(longer or by_hash)[:2]], [{"line": _signed(h), "n": n} for h, n in by_hash.items()]
 
 
 def _per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -102,12 +102,12 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b, at = text_bytes(part)
             row, _, _, h = words(part)
             solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
-            n_dup, key, lines = zip(*map(read_lines, part.to_pylist()), strict=True)
+            n_dup, keys, lines = zip(*map(read_lines, part.to_pylist()), strict=True)
             counts = [np.bincount(row, minlength=len(part)), _per_row(solid & ((b & 0xC0) != 0x80), at), _per_row(_IS_SYMBOL[b], at), np.array(n_dup), _repeated_words(row, h, len(part))]
             same = [batch.column(k).slice(low, high - low) for k in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [*same, *(pa.array(c.astype(np.int64)) for c in counts), pa.array(key, pa.int64()), pa.array(lines, line_type)],
-                names=["uid", "doc_id", "host", "text_hash", *COUNTS, "key", "lines"],
+                [*same, *(pa.array(c.astype(np.int64)) for c in counts), pa.array(keys, pa.list_(pa.int64())), pa.array(lines, line_type)],
+                names=["uid", "doc_id", "host", "text_hash", *COUNTS, "keys", "lines"],
             )
 
 
@@ -118,8 +118,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_key_share: float = MIN_KEY_SHARE) -> DataFrame:
     """host, line, n_docs, n_keys of the boilerplate lines."""
-    lines = rows.select(F.coalesce("host", F.lit("")).alias("host"), "key", F.explode("lines.line").alias("line"))
-    by_key = lines.groupBy("host", "line", "key").agg(F.count("*").alias("n"))
+    lines = rows.select(F.coalesce("host", F.lit("")).alias("host"), "keys", "text_hash", F.explode("lines.line").alias("line"))
+    other = F.when(F.get("keys", F.lit(0)) != F.col("line"), F.get("keys", F.lit(0))).otherwise(F.coalesce(F.get("keys", F.lit(1)), "text_hash"))
+    by_key = lines.withColumn("key", other).groupBy("host", "line", "key").agg(F.count("*").alias("n"))
     by_line = by_key.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_keys"))
     often = by_line.where((F.col("n_docs") >= min_docs) & (F.col("n_keys") >= min_key_share * F.col("n_docs")))
     hosts = rows.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
@@ -132,7 +133,7 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, min_left_percent: int =
     lines = rows.select("uid", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("x")).select("uid", "host", "x.line", "x.n")
     hit = attach(lines, frequent_lines(rows, min_docs), ["host", "line"], ["uid"])
     removed = hit.groupBy("uid").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("boilerplate"))
-    out = rows.drop("lines", "key").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    out = rows.drop("lines", "keys").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < min_left_percent * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)

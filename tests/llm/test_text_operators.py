@@ -155,6 +155,19 @@ def test_boilerplate_is_cut_and_copies_stay(spark):
     assert kept[200]["text"] == story
 
 
+def test_boilerplate_is_no_key_of_its_own_holders(spark):
+    rng = random.Random(6)
+    line = min(("".join(rng.choice("abcdefgh ijk") for _ in range(58)).strip().ljust(60, "x") for _ in range(4000)), key=lambda x: quality._hash(quality.normal_line(x)))
+    n = len(line.split())
+    rows = [(k, line + "\n" + " ".join(words(25, rng)), "en", "h") for k in range(20)]
+    rows += [(100 + k, f"{line}\n{' '.join(words(12, rng))[:39]}", "en", "only") for k in range(20)]
+    depleted = " ".join(rng.choice("bcdfg") + str(k) for k in range(40))
+    rows += [(200 + k, f"{depleted}\npage {k}", "en", "left") for k in range(20)]
+    out = {r["doc_id"]: r for r in quality.verdicts(table(spark, rows)).collect()}
+    assert all(out[k]["removed_words"] == n and out[100 + k]["removed_words"] == n for k in range(20))
+    assert all(out[200 + k]["removed_words"] == 40 and not out[200 + k]["kept"] and not out[200 + k]["base_failed"] for k in range(20))
+
+
 def test_quality_of_odd_rows(spark):
     out = quality.verdicts(table(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows())
