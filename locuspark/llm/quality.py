@@ -1,8 +1,8 @@
 """Quality rules: per-document counts, and cross-document line frequency per host.
 
 Lines are normalised (white space to one space, trimmed, lower case) and hashed. For each
-host the documents that hold a line are counted; a line of at least ``MIN_DOCS`` documents,
-and ``MIN_SHARE`` of the host's, whose holders otherwise differ is boilerplate and is removed. "Differ" is measured by each
+host the documents that hold a line are counted; a line of at least ``MIN_DOCS`` documents
+whose distinct texts otherwise differ is boilerplate and is removed, however large the host is. "Differ" is measured by each
 holder's *content key*, the smallest hash of its longer lines other than the line itself, or
 that of its whole text if it has none: copies of a text share few keys, so the lines of a
 text that was copied often are not taken for boilerplate. A
@@ -30,6 +30,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_DOCS = 10
+#: Of the SQL twin only: the share of its host's documents that a line is in.
 MIN_SHARE = 0.005
 MIN_KEY_SHARE = 0.5
 KEY_LINE_CHARS = 40
@@ -116,15 +117,14 @@ def measured(docs: DataFrame) -> DataFrame:
     return staged(rows.mapInArrow(measure, _SCHEMA), "quality")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_key_share: float = MIN_KEY_SHARE) -> DataFrame:
-    """host, line, n_docs, n_keys of the boilerplate lines."""
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_key_share: float = MIN_KEY_SHARE) -> DataFrame:
+    """host and line of the boilerplate lines; in the share of keys, copies of a text count once."""
     lines = rows.select(F.coalesce("host", F.lit("")).alias("host"), "keys", "text_hash", F.explode("lines.line").alias("line"))
     other = F.when(F.get("keys", F.lit(0)) != F.col("line"), F.get("keys", F.lit(0))).otherwise(F.coalesce(F.get("keys", F.lit(1)), "text_hash"))
-    by_key = lines.withColumn("key", other).groupBy("host", "line", "key").agg(F.count("*").alias("n"))
-    by_line = by_key.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_keys"))
-    often = by_line.where((F.col("n_docs") >= min_docs) & (F.col("n_keys") >= min_key_share * F.col("n_docs")))
-    hosts = rows.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
-    return attach(often, hosts, ["host"], ["line"]).where(F.col("n_docs") >= min_share * F.col("host_docs")).select("host", "line")
+    texts = lines.withColumn("key", other).groupBy("host", "line", "key", "text_hash").agg(F.count("*").alias("n"))
+    by_key = texts.groupBy("host", "line", "key").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    by_line = by_key.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.sum("texts").alias("n_texts"), F.count("*").alias("n_keys"))
+    return by_line.where((F.col("n_docs") >= min_docs) & (F.col("n_keys") >= min_key_share * F.greatest("n_texts", F.lit(min_docs)))).select("host", "line")
 
 
 def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:

@@ -168,6 +168,21 @@ def test_boilerplate_is_no_key_of_its_own_holders(spark):
     assert all(out[200 + k]["removed_words"] == 40 and not out[200 + k]["kept"] and not out[200 + k]["base_failed"] for k in range(20))
 
 
+def test_copies_and_large_hosts_do_not_hide_boilerplate(spark):
+    rng = random.Random(8)
+    line = "Footer of this site, all pages have it"
+    own = [line + "\n" + " ".join(words(25, rng)) for _ in range(30)]
+    rows = [(k, x, "en", "copied") for k, x in enumerate(own)] + [(100 + k, own[0], "en", "copied") for k in range(100)]
+    rows += [(1000 + k, x, "en", "large") for k, x in enumerate(own[:12])]
+    rows += [(2000 + k, " ".join(words(12, rng)), "en", "large") for k in range(3000)]
+    story = [" ".join(words(12, rng)) for _ in range(6)]
+    near = [[*story[: k % 6], story[k % 6] + f" edit{k}", *story[k % 6 + 1 :]] for k in range(120)]
+    rows += [(6000 + k, "\n".join(x), "en", "near") for k, x in enumerate(near)]
+    out = {r["doc_id"]: r["removed_words"] for r in quality.verdicts(table(spark, rows)).collect()}
+    assert {out[k] for k in [*range(30), *range(100, 200), *range(1000, 1012)]} == {len(line.split())}
+    assert {out[6000 + k] for k in range(120)} == {0}
+
+
 def test_quality_of_odd_rows(spark):
     out = quality.verdicts(table(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows())
