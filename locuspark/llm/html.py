@@ -3,9 +3,10 @@
 A page is read as a row of text blocks, each with its path of tags from the root to the
 leaf. Per path, the length of text and the punctuation of its blocks are added up and
 divided by the number of its tags. These ratios are smoothed over neighbouring blocks in
-page order, the two are fused into one score, and blocks over the mean of the page are
-content. The smallest element that holds most of the content is the article: all of its
-blocks are returned, but for parts that are never article text (navigation, forms, asides,
+page order, the two are fused into one score, and blocks over the mean of the page, by
+it or by their path's own ratios, are content. The smallest element that holds all of the content is the article, or each outermost
+article or main element that holds some: all of their blocks are returned, and headings just
+before the content with what lies between, but for parts that are never article text (navigation, forms, asides,
 footers, adverts, notices, comments of readers and the like, by tag, role, class or id).
 
 Rules of reading: a block element ends the block before it; comments, scripts, styles and
@@ -47,8 +48,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PUNCT = re.compile(r"[^\w\s]")
 SMOOTH = 2
-#: An element is the article if it holds this share of the content's characters.
-SHARE = 0.75
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -146,8 +146,8 @@ def read_blocks(page: str) -> list[Block]:
     return out
 
 
-def path_scores(blocks: list[Block]) -> np.ndarray:
-    """The smoothed and fused tag-path ratios of each block: of text length and of punctuation."""
+def path_scores(blocks: list[Block], width: int = SMOOTH) -> np.ndarray:
+    """The smoothed and fused tag-path ratios of each block: of text length and of punctuation; not smoothed for width 0."""
     size, marks, count = {}, {}, {}
     for b in blocks:
         p = b.node.path
@@ -155,11 +155,11 @@ def path_scores(blocks: list[Block]) -> np.ndarray:
         size[p] = size.get(p, 0) + plain
         marks[p] = marks.get(p, 0) + len(_PUNCT.findall(b.text)) * (plain > 0)
         count[p] = count.get(p, 0) + 1
-    kernel = np.exp(-(np.arange(-SMOOTH, SMOOTH + 1) ** 2) / 2.0)
+    kernel = np.exp(-(np.arange(-width, width + 1) ** 2) / 2.0)
 
     def smooth(x: np.ndarray) -> np.ndarray:
-        weight = np.convolve(np.ones(len(x)), kernel)[SMOOTH : SMOOTH + len(x)]
-        return np.convolve(x, kernel)[SMOOTH : SMOOTH + len(x)] / weight
+        weight = np.convolve(np.ones(len(x)), kernel)[width : width + len(x)]
+        return np.convolve(x, kernel)[width : width + len(x)] / weight
 
     length = smooth(np.array([size[b.node.path] / count[b.node.path] for b in blocks]))
     punct = smooth(np.array([marks[b.node.path] / count[b.node.path] for b in blocks]))
@@ -171,19 +171,45 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     fit = [b for b in blocks if not b.node.aside]
     if not fit:
         return []
-    score = path_scores(fit)
-    content = [b for b, s in zip(fit, score, strict=True) if s >= score.mean() * 0.999]
-    total = sum(len(b.text) for b in content)
-    held: dict[int, list] = {}
-    for b in content:
-        node = b.node
-        while node is not None:
-            held.setdefault(id(node), [node, 0])[1] += len(b.text)
-            node = node.parent
-    said = [x for x in held.values() if x[0].tag in ARTICLE_TAGS]  # elements that say so go first
-    big = said or [x for x in held.values() if x[1] >= SHARE * total and x[0].tag not in INLINE and x[0].tag != "p"]
-    chosen = max(big, key=lambda x: (x[1] if said else 0, x[0].depth))[0]
-    return [b for b in fit if _within(b.node, chosen)]
+    score, own = path_scores(fit), path_scores(fit, 0)
+    over = (score >= score.mean() * 0.999) | (own >= own.mean() * 0.999)
+    content = [b for b, c in zip(fit, over, strict=True) if c]
+    lines = [_ancestors(b.node) for b in content]
+    held: dict[int, list[int]] = {}
+    for k, line in enumerate(lines):
+        for node in line:
+            held.setdefault(id(node), []).append(k)
+    chosen: dict[int, Node] = {}
+    for line in lines:  # elements that say so go first
+        said = [x for x in line if x.tag in ARTICLE_TAGS]
+        if said:  # of the outermost, the deepest that holds the same content
+            same = [x for x in said if len(held[id(x)]) == len(held[id(said[0])])]
+            chosen[id(same[-1])] = same[-1]
+    if chosen:
+        return [b for b in fit if any(id(x) in chosen for x in _ancestors(b.node))]
+    article = [x for x in lines[0] if len(held[id(x)]) == len(content)][-1]
+    while article.parent and (article.tag in INLINE or article.tag in HEADINGS or article.tag == "p"):
+        article = article.parent
+    alone = sum(_within(b.node, article) for b in fit) == 1
+    if alone and article.parent and article.parent.tag not in ("", "html", "body"):
+        article = article.parent
+    first = start = next(k for k, b in enumerate(fit) if _within(b.node, article))
+    for k in range(first - 1, -1, -1):
+        if 2 * fit[k].linked > len(fit[k].text):
+            break
+        heading = next((x for x in _ancestors(fit[k].node) if x.tag in HEADINGS), None)
+        if heading and _within(article, heading.parent):
+            start = k
+    return [b for k, b in enumerate(fit) if start <= k < first or _within(b.node, article)]
+
+
+def _ancestors(node: Node | None) -> list[Node]:
+    """The elements from the root to the node."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out[::-1]
 
 
 def _within(node: Node | None, outer: Node) -> bool:

@@ -348,6 +348,23 @@ def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+LONG = "A long passage, with marks, which says something, and then says more of it, at length. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div class=post><h1>Title</h1><p>Lead.</p><div class=text>{LONG}</div></div></body>", f"Title Lead. {LONG}"),
+        (f"<body><h1>Title</h1><p>Lead.</p><div class=text><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title Lead. {LONG} {LONG}"),
+        (f"<body><div><p>{LONG * 2}</p><p>{LONG * 2}</p></div><div><p>{LONG}</p></div></body>", f"{LONG * 2} {LONG * 2} {LONG}"),
+        (f"<body><div><a href=x>Home page</a></div><article><p>{LONG * 2}</p></article><article><h2>Next</h2><p>{LONG}</p></article></body>", f"{LONG * 2} Next {LONG}"),
+        (f"<body><main><article><p>{LONG}</p></article><ul><li>more</li></ul></main></body>", LONG),
+    ],
+)
+def test_main_text_is_whole(page, text):
+    assert html.extract(page) == " ".join(text.split())
+
+
 def test_main_text_of_articles(spark):
     import html as entity
 
