@@ -7,35 +7,40 @@ seeded by shingle and octave, so a shingle of weight w needs O(log w) processes.
 the top octave carry a level and count only if it is below w. Two texts agree in a component
 with a probability equal to their weighted Jaccard similarity.
 
-Texts with equal bags are one node. Nodes that share a band are tested by exact weighted
-Jaccard similarity in three passes that together lose no pair of a bucket: against the
-bucket's smallest and its best connected node; then all pairs in buckets of up to
-``SMALL_BUCKET`` nodes that are still in different classes; for larger ones, pairs that share
-a shingle of their rare prefix (each pair of the wanted similarity does). Classes are
-connected components; ``class_id`` is the smallest doc_id.
+Texts with equal bags are one node. Of each bucket (nodes that share a band) the best
+connected node is the hub; buckets with one hub are a group. Every node of a group is compared
+with the hub, exactly: that gives links, and what each text has more and less than the hub.
+Only groups whose nodes are still in different classes go on, see ``group_pairs``: pairs
+whose differences from a common middle leave room for the wanted similarity are compared
+exactly. No link between two nodes of a bucket is lost, and no group is paired out.
+
+``class_id`` is the smallest doc_id of the class that has no other text; of a class
+without such an id it is a negative number made from the texts' hash.
 
 Defined results: a text without words (null, empty) is a class of its own; one of under five
 words has one shingle of all its words; rows with a null doc_id get a null class; repeated
-rows get a row each; columns other than doc_id and text are ignored.
+rows get a row each; a doc_id may occur with several texts, which stay apart; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, attach, bag, bitmap, mix, shingles, slices, staged, weighted_jaccard, words
+from .common import attach, bag, mix, packed, shingles, slices, staged, words
 
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 M = BANDS * ROWS
-SMALL_BUCKET = 32
-COMMON = 8
-MOST_COMMON = 1 << 18
+#: Texts that are compared with one copy of their hub's text.
+CHUNK = 256
+#: A difference from the hub that this share of a group has goes last in the order of tokens.
+OFTEN = 1 / 16
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SIGNED = np.int64
@@ -88,11 +93,11 @@ def _mixed_sum(row: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
 
 
 def signatures(batches: Batches) -> Batches:
-    """doc_id, text in; doc_id, n_shingles, bag (two longs), bands out."""
+    """doc_id, text_hash, text in; doc_id, text_hash, n_shingles, bag (two longs), bands out."""
     for batch in batches:
-        for low, high in slices(batch.column(1), 2 << 20):
+        for low, high in slices(batch.column(2), 2 << 20):
             n = high - low
-            row, _, _, h = words(batch.column(1).slice(low, n))
+            row, _, _, h = words(batch.column(2).slice(low, n))
             r, x, w = bag(*shingles(row, h))
             sig = bag_minhash(r, x, w, n).view(np.uint64).reshape(n, BANDS, ROWS)
             key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _GOLD, n, axis=0)
@@ -102,32 +107,58 @@ def signatures(batches: Batches) -> Batches:
             count = np.bincount(r, weights=w, minlength=n).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(key.reshape(-1).view(_SIGNED)))
             bags = [pa.array(_mixed_sum(r, y, n).view(_SIGNED)) for y in (item, mix(item + _GOLD))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), pa.array(count), *bags, bands], names=["doc_id", "n_shingles", "bag_a", "bag_b", "bands"])
+            same = [batch.column(k).slice(low, n) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(count), *bags, bands], names=["doc_id", "text_hash", "n_shingles", "bag_a", "bag_b", "bands"])
 
 
-def text_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    row, _, _, h = words(pa.array([text], pa.string()))
-    return bag(*shingles(row, h))[1:]
+def _bag_tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and token, sorted; the n-th occurrence of a shingle is a token of its own, so bags are sets."""
+    row, _, _, h = words(text)
+    r, x, w = bag(*shingles(row, h))
+    nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) if len(w) else np.zeros(0, np.int64)
+    r, x = np.repeat(r, w), mix(np.repeat(x, w) + nth.astype(np.uint64) * _GOLD).view(_SIGNED)
+    order = np.lexsort((x, r))
+    return r[order], x[order]
 
 
-def similar_pairs(batches: Batches) -> Batches:
-    """a, b, text_a, text_b in; a, b, similarity out. Neighbouring rows often share text_a."""
-    last: tuple[str | None, tuple] = (None, ())
+def differences(batches: Batches) -> Batches:
+    """hub, salt, node, text in, a hub's own text (node is null) before those of its nodes; ``_COMPARED`` out."""
+    last = np.zeros(0, np.int64)
     for batch in batches:
-        out = []
-        for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if last[0] != ta:
-                last = (ta, text_bag(ta or ""))
-            out.append(weighted_jaccard(last[1], text_bag(tb or "")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have at least the weighted Jaccard similarity."""
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(similar_pairs, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+        for low, high in slices(batch.column(3)):
+            part, n = batch.slice(low, high - low), high - low
+            hub, node = part.column(0).to_pylist(), part.column(2).to_pylist()
+            r, x = _bag_tokens(part.column(3))
+            at, out = np.searchsorted(r, np.arange(n + 1)), []
+            for k in range(n):
+                own = x[at[k] : at[k + 1]]
+                if node[k] is None:
+                    last = own
+                    continue
+                place = np.minimum(np.searchsorted(last, own), max(len(last) - 1, 0))
+                same = last[place] == own if len(last) else np.zeros(len(own), bool)
+                both = int(same.sum())
+                total = len(last) + len(own) - both
+                out.append((hub[k], node[k], len(last), len(own), both / total if total else 0.0, own[~same], np.delete(last, place[same])))
+            if out:
+                cols = list(zip(*out, strict=True))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["hub", "node", "n_hub", "n", "similarity", "more", "less"])
+
+
+_COMPARED = "hub long, node long, n_hub long, n long, similarity double, more array<long>, less array<long>"
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``_COMPARED`` for the pairs (hub, node): sizes of both bags, similarity, tokens that only the node or only the hub has.
+
+    Each hub's text goes once to every ``CHUNK`` of its nodes, and nodes are dealt to chunks by hash.
+    """
+    chunks = pairs.groupBy("hub").agg(F.floor(F.count("*") / CHUNK).alias("chunks"))
+    dealt = attach(pairs, chunks, ["hub"], ["node"]).select("hub", F.pmod(F.xxhash64("node"), F.col("chunks") + 1).alias("salt"), "node")
+    hubs = chunks.join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), "chunks")).alias("salt"), F.lit(None).cast("long").alias("node"), "text")
+    both = hubs.union(dealt.join(texts, "node").select("hub", "salt", "node", "text"))
+    return both.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first()).mapInArrow(differences, _COMPARED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,114 +179,119 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def _bag_tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, token and bag size; the n-th occurrence of a shingle is a token of its own, so bags are sets."""
-    row, _, _, h = words(text)
-    r, x, w = bag(*shingles(row, h))
-    nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) if len(w) else np.zeros(0, np.int64)
-    r = np.repeat(r, w)
-    return r, mix(np.repeat(x, w) + nth.astype(np.uint64) * _GOLD), np.bincount(r, minlength=len(text))[r]
+def group_pairs(members: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Sure links and pairs still to compare (a, b) of the groups whose nodes are in different classes.
 
+    Let K be any set of tokens, ``extra`` and ``gone`` a node's tokens outside K and those of K
+    that it lacks, d their number, n the node's size and c = (1 - s) / (1 + s). Nodes x and y
+    are similar if d(x) + d(y) - 2 * shared differences <= c * (n(x) + n(y)). With
+    v = d - c * n, that is: shared differences >= (v(x) + v(y)) / 2.
 
-def all_tokens(batches: Batches) -> Batches:
-    """doc_id, text in; node, token, size out."""
-    for batch in batches:
-        for low, high in slices(batch.column(1)):
-            ids = batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)
-            r, x, size = _bag_tokens(batch.column(1).slice(low, high - low))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(x.view(_SIGNED)), pa.array(size.astype(np.int64))], names=["node", "token", "size"])
-
-
-def rare_prefixes(known: np.ndarray, similarity: float) -> Callable[[Batches], Batches]:
-    """doc_id, text in; node, token, size, place of the tokens of the probing prefix out.
-
-    Tokens that are not in the bitmap come first; otherwise hashes give the order.
-    """
-    packed = np.packbits(known)
-
-    def prefixes(batches: Batches) -> Batches:
-        known = np.unpackbits(packed).astype(bool)
-        for batch in batches:
-            for low, high in slices(batch.column(1)):
-                ids = batch.column(0).slice(low, high - low).to_numpy(zero_copy_only=False)
-                r, x, size = _bag_tokens(batch.column(1).slice(low, high - low))
-                order = np.lexsort((x, known[x >> np.uint64(64 - BITMAP_BITS)], r))
-                r, x, size = r[order], x[order], size[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                keep = place < size - np.ceil(size * similarity - 1e-9) + 1
-                cols = (ids[r], x.view(_SIGNED), size, place)
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(np.int64)) for c in cols], names=["node", "token", "size", "place"])
-
-    return prefixes
-
-
-def prefix_pairs(texts: DataFrame, labels: DataFrame, similarity: float, most_common: int = MOST_COMMON) -> DataFrame:
-    """Pairs of nodes of different classes that pass the prefix, size and position filters.
-
-    Tokens of at least ``COMMON`` nodes come last in the order. Up to ``most_common`` of them
-    are sent to the tasks as a bitmap of fixed size; more are joined instead. Of two bags of at
-    least the similarity, the probing prefix of the larger, ``size - ceil(s * size) + 1``
-    tokens, and the indexed one of the smaller, ``size - ceil(2s / (1 + s) * size) + 1``,
-    share a token, and enough tokens follow it.
+    So where v(x) + v(y) <= 0 both are surely linked, also to the node of the smallest v: those
+    are the group's core and need no comparison. All other pairs must share a difference,
+    hence one in the prefixes of both, in an order that all nodes of the group keep: the rare
+    extra tokens first. If they share no extra token, 2 * gone >= v(x) + v(y) holds
+    for both, which leaves out most nodes. K is the hub with what most of the group has
+    changed. It is chosen for speed only and no result depends on it.
     """
-    tokens = texts.mapInArrow(all_tokens, "node long, token long, size long")
-    common = staged(tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("token"), "common")
-    if common.count() <= most_common:
-        side = texts.mapInArrow(rare_prefixes(bitmap(common, "token"), similarity), "node long, token long, size long, place long")
-    else:
-        marked = attach(tokens, common.withColumn("often", F.lit(True)), ["token"], ["node"], how="left").withColumn("often", F.coalesce("often", F.lit(False)))
-        order = Window.partitionBy("node").orderBy("often", "token")
-        side = marked.withColumn("place", F.row_number().over(order).cast("long") - 1).where(F.col("place") < F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select("node", "token", "size", "place")
-    side = staged(side.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "prefix")
-    a, b = (side.select(*(F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "place", "label")), "token") for k in "ab")
-    a = a.where(F.col("place_a") < F.col("size_a") - F.ceil(F.col("size_a") * (2 * similarity / (1 + similarity)) - 1e-9) + 1)
-    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
-    overlap = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9)
-    after = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= overlap
-    close = smaller & after & (F.col("size_a") >= F.col("size_b") * similarity) & (F.col("label_a") != F.col("label_b"))
-    pairs = a.join(b, "token").where(close)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    c = (1 - similarity) / (1 + similarity)
+    label = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = label.groupBy("hub").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l <> h").select("hub", "size")
+    rows = staged(attach(label, mixed, ["hub"], ["node"]), "open")
+    sides = [F.arrays_zip(F.col(k).alias("token"), F.array_repeat(F.lit(e), F.size(k)).alias("outside")) for k, e in (("more", True), ("less", False))]
+    changed = rows.select("hub", "size", F.explode(F.concat(*sides)).alias("x"))
+    counts = changed.groupBy("hub", "x.token", "x.outside").agg(F.count("*").alias("n"), F.first("size").alias("size")).where((F.col("n") > 1) & (F.col("n") >= F.col("size") * OFTEN))
+    most = F.struct("n", "token")
+
+    def listed(which: Column) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(which, most))), lambda x: x["token"])
+
+    flip = 2 * F.col("n") > F.col("size")
+    middle = counts.groupBy("hub").agg(listed(F.lit(True)).alias("often"), listed(flip & F.col("outside")).alias("put"), listed(flip & ~F.col("outside")).alias("cut"))
+    none = F.array().cast("array<bigint>")
+    placed = attach(rows, middle, ["hub"], ["node"], how="left").withColumns({k: F.coalesce(k, none) for k in ("often", "put", "cut")})
+    placed = placed.withColumns({"extra": F.concat(F.array_except("more", "put"), F.array_except("cut", "less")), "gone": F.concat(F.array_except("less", "cut"), F.array_except("put", "more"))})
+    ordered = {k: F.concat(F.sort_array(F.array_except(k, "often")), F.array_intersect("often", k)) for k in ("extra", "gone")}
+    placed = placed.select("hub", "node", "label", "n", *(x.alias(k) for k, x in ordered.items()))
+    placed = staged(placed.withColumn("d", F.size("extra") + F.size("gone")).withColumn("v", F.col("d") - c * F.col("n")).withColumn("u", 2 * F.size("gone") - F.col("v")), "placed")
+
+    lowest = placed.groupBy("hub").agg(F.min(F.struct("v", "node", "label")).alias("x")).select("hub", F.col("x.v").alias("v0"), F.col("x.node").alias("first"), F.col("x.label").alias("label0"))
+    near = attach(placed, lowest, ["hub"], ["node"]).withColumn("core", F.col("v") + F.col("v0") <= 1e-9).withColumn("label", F.when(F.col("core"), F.col("label0")).otherwise(F.col("label")))
+    near = staged(near, "core")
+    sure = near.where("core and node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    limits = near.groupBy("hub").agg(F.min(F.when(F.col("label") != F.col("label0"), F.col("v"))).alias("v_out"), F.max("u").alias("u_max"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("hub", "v_out", "u_max")
+    left = attach(near, limits, ["hub"], ["node"])
+    least = F.greatest(F.lit(1.0), F.ceil((F.col("v") + F.when(F.col("core"), F.col("v_out")).otherwise(F.col("v0"))) / 2 - 1e-9), F.ceil(F.col("v") - c / similarity * F.col("n") - 1e-9))
+    ways = F.when(F.col("core"), F.col("u") >= F.col("v_out") - 1e-9).otherwise(F.col("v") <= F.col("u_max") + 1e-9)
+    whole = F.when(ways, F.concat("extra", "gone")).otherwise(F.col("extra"))
+    prefix = F.slice(whole, F.lit(1), F.greatest(F.lit(0), F.col("d") - least + 1).cast("int"))
+    tokens = left.select("hub", "node", "label", "n", "d", "v", F.posexplode(prefix).alias("place", "token"))
+    tokens = staged(tokens, "prefixes")
+    useful = tokens.groupBy("hub", "token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("hub", "token")
+    tokens = tokens.join(useful, ["hub", "token"], "left_semi")
+    a, b = (tokens.select("hub", "token", *(F.col(x).alias(f"{x}_{k}") for x in ("node", "label", "n", "d", "v", "place"))) for k in "ab")
+    shared = F.least(F.col("d_a") - F.col("place_a"), F.col("d_b") - F.col("place_b"))
+    close = (F.col("label_a") < F.col("label_b")) & (2 * shared >= F.col("v_a") + F.col("v_b") - 1e-9) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = a.join(b, ["hub", "token"]).where(close)
+    return sure, pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _made_up(x: Column) -> Column:
+    """A negative number."""
+    return -1 - F.pmod(x, F.lit(1 << 62))
+
+
+def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, class_id, n_shingles for every row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    sig = staged(docs.mapInArrow(signatures, "doc_id long, text_hash long, n_shingles long, bag_a long, bag_b long, bands array<long>"), "signatures")
+    bags = [F.when(F.col("n_shingles") > 0, F.col(k)).otherwise(F.lit(0)) for k in ("bag_a", "bag_b")]
+    several = sig.where("doc_id is not null").groupBy("doc_id").agg(*(f(x).alias(f"{n}{k}") for k, x in enumerate(bags) for n, f in (("l", F.min), ("h", F.max)))).where("l0 <> h0 or l1 <> h1")
+    several = staged(several.select("doc_id", F.lit(True).alias("several")), "ids")
+    rows = sig.join(several, "doc_id", "left").withColumn("own_id", F.when(F.col("several").isNull(), F.col("doc_id")))
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    nodes = known.groupBy("bag_a", "bag_b").agg(F.min("own_id").alias("own_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("bands").alias("bands"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = staged(attach(bands, sizes, ["band"], ["node"]), "buckets")
+    degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
+    best = buckets.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
+    groups = staged(attach(buckets, best, ["band"], ["node"]).select("hub", "node").distinct(), "groups")
+    at = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "at.doc_id", "at.text_hash")
+    texts = staged(attach(docs.where("doc_id is not null").withColumn("uid", F.monotonically_increasing_id()), at, ["doc_id", "text_hash"], ["uid"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    stars = staged(compared(groups.where("hub <> node"), texts), "stars")
+    links = stars.where(F.col("similarity") >= similarity).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels = components(links)
+    none = F.array().cast("array<bigint>")
+    hubs = stars.groupBy("hub").agg(F.first("n_hub").alias("n")).select("hub", F.col("hub").alias("node"), "n", none.alias("more"), none.alias("less"))
+    sure, pairs = group_pairs(hubs.union(stars.select("hub", "node", "n", "more", "less")), labels, similarity)
+    found = compared(pairs.toDF("hub", "node"), texts).where(F.col("similarity") >= similarity).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    more = sure.union(found)
+    for k in "ab":  # links between classes
+        more = more.join(labels.select(F.col("node").alias(k), "label"), k, "left").withColumn(k, F.coalesce("label", k)).drop("label")
+    last = components(more.where("a <> b"))
+
+    named = nodes.select("bag_a", "bag_b", "node", "own_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(last.toDF("label", "top"), "label", "left").withColumn("label", F.coalesce("top", "label")).select("bag_a", "bag_b", "own_id", "label")
+    named = staged(named, "named")
+    ids = named.groupBy("label").agg(F.coalesce(F.min("own_id"), _made_up(F.min("bag_a"))).alias("class_id"))
+    classes = attach(named, ids, ["label"], ["bag_a"]).select("bag_a", "bag_b", "class_id")
+    out = attach(rows.select("doc_id", "own_id", "text_hash", "n_shingles", "bag_a", "bag_b").withColumn("uid", F.monotonically_increasing_id()), staged(classes, "classes"), ["bag_a", "bag_b"], ["uid"], how="left")
+    alone = F.when(F.col("n_shingles") == 0, F.coalesce("own_id", _made_up(F.xxhash64("doc_id")))).otherwise(F.col("class_id"))
+    return out.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), alone).alias("class_id"), "n_shingles")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_shingles for every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = staged(docs.mapInArrow(signatures, "doc_id long, n_shingles long, bag_a long, bag_b long, bands array<long>"), "signatures")
-    known = sig.where("n_shingles > 0 and doc_id is not null")
-    nodes = known.groupBy("bag_a", "bag_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    bands = staged(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    sizes = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1")
-    rows = staged(attach(bands, sizes, ["band"], ["node"]), "buckets")
-    degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
-    best = rows.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("top"))
-    hubs = attach(rows, best, ["band"], ["node"])
-    star = hubs.select(F.explode(F.array("low", "top")).alias("hub"), "node").where("hub <> node")
-    tested = staged(star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "pairs")
-    texts = staged(docs.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    edges = staged(verified(tested, texts, similarity).select("a", "b"), "edges")
-    labels = components(edges)
-
-    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-    open_rows = staged(attach(labelled.where("size > 2"), mixed, ["band"], ["node"]), "open")
-    small = open_rows.where(F.col("size") <= SMALL_BUCKET).select("band", "node", "label")
-    a, b = small.toDF("band", "a", "label_a"), small.toDF("band", "b", "label_b")
-    more = a.join(b, "band").where("a < b and label_a <> label_b").select("a", "b")
-    large = open_rows.where(F.col("size") > SMALL_BUCKET).select(F.col("node").alias("doc_id")).distinct()
-    if not large.isEmpty():
-        more = more.union(prefix_pairs(texts.join(large, "doc_id", "left_semi"), labels, similarity))
-    rest = more.distinct().join(tested, ["a", "b"], "left_anti")
-    found = staged(edges.union(verified(rest, texts, similarity).select("a", "b")), "edges")
-    final = components(found)
-
-    named = nodes.select("bag_a", "bag_b", "node").join(final, "node", "left").select("bag_a", "bag_b", F.coalesce("label", "node").alias("class_id"))
-    out = attach(sig.select("doc_id", "n_shingles", "bag_a", "bag_b").withColumn("uid", F.monotonically_increasing_id()), staged(named, "classes"), ["bag_a", "bag_b"], ["uid"], how="left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_shingles")
+    return labelled(docs, similarity).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of the smallest doc_id; rows without an id stay."""
-    firsts = classes(docs, similarity).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    firsts = labelled(docs, similarity).where("doc_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    firsts = staged(firsts.select(F.col("x.doc_id").alias("key_id"), F.col("x.text_hash").alias("key_hash")), "firsts")
+    rows = packed(docs)
+    kept = rows.where("key_id is not null").join(firsts, ["key_id", "key_hash"], "left_semi").groupBy("key_id", "key_hash").agg(F.first("doc").alias("doc"))
+    return kept.select("doc").union(rows.where("key_id is null").select("doc")).select("doc.*")

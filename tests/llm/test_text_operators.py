@@ -98,15 +98,80 @@ def near_copies(seed, n_groups=4, copies=14):
     return docs
 
 
-@pytest.mark.parametrize(("small", "most"), [(32, 1 << 18), (2, 1 << 18), (2, 0)])
-def test_near_duplicate_classes(spark, monkeypatch, small, most):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
-    monkeypatch.setattr(near_dedup.prefix_pairs, "__defaults__", (most,))
+def test_near_duplicate_classes(spark):
     docs = near_copies(3)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table(spark, docs)).collect()}
     assert got == brute_classes(docs)
 
 
+def cloud(n, seed, edits=(0, 1, 2, 3, 4, 6, 9, 14), size=120):
+    """Copies of one text with words changed, put in and left out."""
+    rng, docs = random.Random(seed), []
+    base = words(size, rng)
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.choice(edits)):
+            at, way = rng.randrange(len(w)), rng.randrange(6)
+            w[at : at + 1] = [w[at], f"x{rng.randrange(10**9)}"] if way == 0 else [] if way == 1 else [f"x{rng.randrange(10**9)}"]
+        docs.append((k, " ".join(w)))
+    return docs
+
+
+def test_large_groups_lose_no_link(spark):
+    """One middle; two middles that share much; three; cuts of one text; runs of one word."""
+    docs, rng = [], random.Random(9)
+    for seed, sizes in ((40, [150]), (50, [60, 60]), (60, [90, 30, 30])):
+        head = None
+        for k, n in enumerate(sizes):
+            group = cloud(n, seed + k)
+            head = head or group[0][1].split()
+            group = [" ".join(head[:85] + t.split()[85:]) if k else t for _, t in group]
+            docs += list(enumerate(group, len(docs)))
+    base = words(150, rng)
+    cuts = [" ".join(base[: 40 + 2 * k]) for k in range(55)] + [" ".join(base[k:]) for k in range(0, 60, 3)]
+    docs += list(enumerate([*cuts, *("again and " * (20 + 3 * k) for k in range(12))], len(docs)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table(spark, docs)).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_one_id_with_several_texts_keeps_them_apart(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(words(30, rng)) for _ in "ab")
+    rows = [(1, a), (1, b), (2, b), (3, a)]
+    got = near_dedup.labelled(table(spark, rows)).join(table(spark, rows), "doc_id").select("doc_id", "class_id").distinct().collect()
+    assert {r["class_id"] for r in got} == {2, 3}
+    kept = [r["text"] for r in near_dedup.drop_near_duplicates(table(spark, rows)).collect()]
+    assert sorted(kept) == sorted([a, b])
+    only = near_dedup.classes(table(spark, [(1, a), (1, b), (1, None)])).collect()
+    assert len({r["class_id"] for r in only}) == 3 and all(r["class_id"] < 0 for r in only)
+
+
+def test_work_follows_the_size_of_a_group(spark):
+    """Rows of tokens, of candidate pairs and of comparisons for one group of near copies."""
+    rows = {}
+    for n in (200, 800):
+        docs = cloud(n, 77)
+        whole, pairs_of = near_dedup.compared, near_dedup.group_pairs
+        seen = {}
+
+        def pairs(members, labels, similarity):
+            sure, found = pairs_of(members, labels, similarity)
+            seen["pairs"] = found.count()
+            return sure, found
+
+        def stars_of(given, texts):
+            seen["compared"] = seen.get("compared", 0) + given.count()
+            return whole(given, texts)
+
+        near_dedup.group_pairs, near_dedup.compared = pairs, stars_of
+        try:
+            near_dedup.classes(table(spark, docs)).count()
+        finally:
+            near_dedup.group_pairs, near_dedup.compared = pairs_of, whole
+        rows[n] = dict(seen)
+    assert rows[800]["compared"] <= 6 * rows[200]["compared"] and rows[800]["pairs"] <= 6 * rows[200]["pairs"] + 400
+
+
 def test_signatures_are_unbiased():
     rng = np.random.Generator(np.random.PCG64(1))
     h = common.mix(np.arange(1, 61, dtype=np.uint64))
