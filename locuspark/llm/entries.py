@@ -49,7 +49,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH d AS (
-  SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS uid, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS host, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents),
 win AS (SELECT uid, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT uid, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d)),
@@ -59,11 +59,16 @@ raw AS (SELECT uid, host, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (SELECT uid, host, line, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS norm FROM raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT uid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY uid),
 doc_lines AS (SELECT uid, host, norm, sum(len(norm) - len(replace(norm, ' ', '')) + 1) AS n FROM lines GROUP BY ALL),
-keys AS (SELECT uid, coalesce(min(md5(norm)) FILTER (length(norm) >= {quality.KEY_LINE_CHARS}), min(md5(norm))) AS key FROM doc_lines GROUP BY uid),
-hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+sorted AS (
+  SELECT uid, list_sort(list(md5(norm)) FILTER (length(norm) >= {quality.KEY_LINE_CHARS})) AS longer, list_sort(list(md5(norm))) AS hashes
+  FROM doc_lines GROUP BY uid),
+keys AS (SELECT uid, coalesce(longer, hashes) AS ks FROM sorted),
+held AS (
+  SELECT DISTINCT doc_lines.host, norm, md5(text) AS body, CASE WHEN ks[1] <> md5(norm) THEN ks[1] ELSE coalesce(ks[2], md5(text)) END AS key
+  FROM doc_lines JOIN keys USING (uid) JOIN d USING (uid)),
 freq AS (
-  SELECT host, norm FROM doc_lines JOIN keys USING (uid) JOIN hosts USING (host) GROUP BY host, norm, host_docs
-  HAVING count(*) >= {quality.MIN_DOCS} AND count(DISTINCT key) >= {quality.MIN_KEY_SHARE} * count(*) AND count(*) >= {quality.MIN_SHARE} * host_docs),
+  SELECT host, norm FROM held GROUP BY host, norm
+  HAVING count(*) >= {quality.MIN_DOCS} AND count(DISTINCT key) >= {quality.MIN_KEY_SHARE} * count(*)),
 gone AS (SELECT uid, sum(n) AS removed_words FROM doc_lines JOIN freq USING (host, norm) GROUP BY uid),
 counts AS (
   SELECT d.uid, doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,

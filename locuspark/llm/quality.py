@@ -1,15 +1,17 @@
 """Quality rules: per-document counts, and cross-document line frequency per host.
 
 Lines are normalised (white space to one space, trimmed, lower case) and hashed. For each
-host the documents that hold a line are counted; a line of at least ``MIN_DOCS`` documents
-whose distinct texts otherwise differ is boilerplate and is removed, however large the host is. "Differ" is measured by each
+host the distinct documents that hold a line are counted (rows with one text are one
+document); a line of at least ``MIN_DOCS`` of them that otherwise differ is boilerplate and is
+removed, however large the host is. "Differ" is measured by each
 holder's *content key*, the smallest hash of its longer lines other than the line itself, or
 that of its whole text if it has none: copies of a text share few keys, so the lines of a
-text that was copied often are not taken for boilerplate. A
-document that keeps under ``MIN_LEFT_PERCENT`` of its words is rejected as depleted.
+text that was copied often are not taken for boilerplate. ``min_key_share=0`` turns that off
+and leaves the plain count. A document that keeps under ``MIN_LEFT_PERCENT`` of its words is
+rejected as depleted.
 
 Defined results: null or empty text has no words, zero counts and fails the base rule; a
-null host is a host of its own; repeated rows count as documents each and all get a row;
+null host is a host of its own, apart from the empty one; repeated rows all get a row;
 columns other than doc_id, text and source are ignored; an empty table gives no rows.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, edited, packed, slices, staged, text_bytes, words
@@ -30,8 +32,6 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_DOCS = 10
-#: Of the SQL twin only: the share of its host's documents that a line is in.
-MIN_SHARE = 0.005
 MIN_KEY_SHARE = 0.5
 KEY_LINE_CHARS = 40
 MIN_LEFT_PERCENT = 20
@@ -117,21 +117,26 @@ def measured(docs: DataFrame) -> DataFrame:
     return staged(rows.mapInArrow(measure, _SCHEMA), "quality")
 
 
+def host_key() -> Column:
+    """The host with null apart from all strings."""
+    return F.when(F.col("host").isNull(), "").otherwise(F.concat(F.lit("="), "host")).alias("host")
+
+
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_key_share: float = MIN_KEY_SHARE) -> DataFrame:
-    """host and line of the boilerplate lines; in the share of keys, copies of a text count once."""
-    lines = rows.select(F.coalesce("host", F.lit("")).alias("host"), "keys", "text_hash", F.explode("lines.line").alias("line"))
+    """host (as ``host_key``) and line of the boilerplate lines; texts and, in the share of keys, copies count once."""
+    lines = rows.select(host_key(), "keys", "text_hash", F.explode("lines.line").alias("line"))
     other = F.when(F.get("keys", F.lit(0)) != F.col("line"), F.get("keys", F.lit(0))).otherwise(F.coalesce(F.get("keys", F.lit(1)), "text_hash"))
-    texts = lines.withColumn("key", other).groupBy("host", "line", "key", "text_hash").agg(F.count("*").alias("n"))
-    by_key = texts.groupBy("host", "line", "key").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-    by_line = by_key.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.sum("texts").alias("n_texts"), F.count("*").alias("n_keys"))
-    return by_line.where((F.col("n_docs") >= min_docs) & (F.col("n_keys") >= min_key_share * F.greatest("n_texts", F.lit(min_docs)))).select("host", "line")
+    texts = lines.select("host", "line", other.alias("key"), "text_hash").distinct()
+    by_key = texts.groupBy("host", "line", "key").agg(F.count("*").alias("texts"))
+    by_line = by_key.groupBy("host", "line").agg(F.sum("texts").alias("n_docs"), F.count("*").alias("n_keys"))
+    return by_line.where((F.col("n_docs") >= min_docs) & (F.col("n_keys") >= min_key_share * F.col("n_docs"))).select("host", "line")
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, min_left_percent: int = MIN_LEFT_PERCENT, min_key_share: float = MIN_KEY_SHARE) -> DataFrame:
     """One row per document: the base counts, base_failed, removed_words, kept, boilerplate (line hashes)."""
     rows = measured(docs)
-    lines = rows.select("uid", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("x")).select("uid", "host", "x.line", "x.n")
-    hit = attach(lines, frequent_lines(rows, min_docs), ["host", "line"], ["uid"])
+    lines = rows.select("uid", host_key(), F.explode("lines").alias("x")).select("uid", "host", "x.line", "x.n")
+    hit = attach(lines, frequent_lines(rows, min_docs, min_key_share), ["host", "line"], ["uid"])
     removed = hit.groupBy("uid").agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("boilerplate"))
     out = rows.drop("lines", "keys").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

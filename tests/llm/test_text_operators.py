@@ -248,6 +248,17 @@ def test_copies_and_large_hosts_do_not_hide_boilerplate(spark):
     assert {out[6000 + k] for k in range(120)} == {0}
 
 
+def test_null_host_and_repeated_rows(spark):
+    rng = random.Random(3)
+    rows = [(100 * h + k, "One line of all\n" + " ".join(words(25, rng)), "en", host) for h, (host, n) in enumerate([(None, 9), ("", 9), ("full", 10)]) for k in range(n)]
+    rows += [(400, "Line of a repeated row\n" + " ".join(words(25, rng)), "en", "full")] * 20
+    out = {r["doc_id"]: r["removed_words"] for r in quality.verdicts(table(spark, rows)).collect()}
+    assert {out[k] for k in [*range(9), *range(100, 109), 400]} == {0} and {out[200 + k] for k in range(10)} == {4}
+    copies = [(k, "Told again\n" + " ".join(["a tale"] * 20) + "\n" + " ".join(["told twice"] * 10) + f"\nend {k}", "en", "h") for k in range(30)]
+    plain = {r["removed_words"] for r in quality.verdicts(table(spark, copies), min_key_share=0).collect()}
+    assert plain == {62} and {r["removed_words"] for r in quality.verdicts(table(spark, copies)).collect()} == {0}
+
+
 def test_quality_of_odd_rows(spark):
     out = quality.verdicts(table(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows())
