@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_bytes
 
 LIMIT = 1024
-#: Lengths of pieces that a task keeps at most; beyond it starts anew.
-CACHE_PIECES = 300_000
+#: Characters of pieces whose lengths a task keeps at most; beyond it starts anew.
+CACHE_CHARS = 8 << 20
 SLICE_BYTES = 4 << 20
 
 #: A piece: up to the next space that a non-space follows. Any white space counts.
@@ -53,13 +53,16 @@ def counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         library.no_truncation()
         library.no_padding()
         known: dict[str, int] = {}
+        held = 0
         for batch in batches:
             for low, high in slices(batch.column(1), SLICE_BYTES):
                 part = batch.column(1).slice(low, high - low)
                 cut = [pieces(t) if t else [] for t in part.to_pylist()]
-                if len(known) > CACHE_PIECES:
+                if held > CACHE_CHARS:
                     known.clear()
+                    held = 0
                 new = list({p for one in cut for p in one if p not in known})
+                held += sum(map(len, new))
                 known.update(zip(new, map(len, library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
                 n = [sum(map(known.__getitem__, one)) for one in cut]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(text_bytes(part)[1])), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
