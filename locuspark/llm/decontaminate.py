@@ -3,21 +3,23 @@
 Each benchmark item has a 64-bit SimHash of its words. In a document, every window of as
 many words as some item has is a candidate if enough of its five-word shingles occur in the
 benchmark at all; a window that fails this cannot reach the similarity, so nothing is lost.
-Candidate windows get fingerprints. Fingerprints are cut into ``RADIUS + 1`` blocks; two
-that differ in at most ``RADIUS`` bits agree in a block, so an equi-join on (size, block
-number, block) finds all of them. What lies within the radius is verified by the exact
-Jaccard similarity of the two weighted bags of five-word shingles.
+Candidate windows get fingerprints. Fingerprints are cut into ``BLOCKS`` blocks; two that
+differ in at most ``RADIUS`` bits differ in at most ``FLIPS`` bits of some block. An item is
+listed under every value that its blocks can take so, a window under its own, and an
+equi-join on (size, block number, value) finds all pairs within the radius. They are verified
+by the exact Jaccard similarity of the two weighted bags of five-word shingles. An item of
+fewer words is one shingle.
 
 Shingles of the benchmark are held in tasks as a bitmap of fixed size, whatever the
 benchmark's size; distinct item lengths are the only other thing sent.
 
-Defined results: null and empty texts match nothing; items of under five words are not
-searched for; repeated items are reported each, repeated document rows once; a null doc_id
+Defined results: null and empty texts match nothing; repeated items are reported each, repeated document rows once; a null doc_id
 is reported as null; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -30,7 +32,9 @@ from .common import BITMAP_BITS, SHINGLE_WORDS, bag, bitmap, mix, shingles, slic
 
 SIMILARITY = 0.8
 RADIUS = 15
-BLOCKS = RADIUS + 1
+BLOCKS = 4
+WIDTH = 64 // BLOCKS
+FLIPS = RADIUS // BLOCKS
 #: Words whose bit counts are held at a time.
 SPAN = 1 << 16
 
@@ -53,7 +57,7 @@ def read_items(batches: Batches) -> Batches:
         out = []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             row, _, _, h = words(pa.array([t], pa.string()))
-            if len(h) >= SHINGLE_WORDS:
+            if len(h):
                 x = shingles(row, h)[1]
                 out.append((i, t, len(h), int(fingerprints(bit_sums(h), np.zeros(1, np.int64), len(h))[0]), x.view(np.int64).tolist()))
         cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -63,39 +67,50 @@ def read_items(batches: Batches) -> Batches:
 
 def window_finder(known: np.ndarray, sizes: list[int], similarity: float) -> Callable[[Batches], Batches]:
     """doc_id, text_hash, text in; a row for each candidate window out."""
-    need = {n: math.ceil(2 * (n - SHINGLE_WORDS + 1) * similarity / (1 + similarity) - 1e-9) for n in sizes}
+    parts = {n: max(1, n - SHINGLE_WORDS + 1) for n in sizes}
+    need = {n: math.ceil(2 * m * similarity / (1 + similarity) - 1e-9) for n, m in parts.items()}
     packed = np.packbits(known)
 
-    def windows(h: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def windows(h: np.ndarray, hits: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Size, starts and fingerprints of the candidate windows of one text."""
-        total = np.r_[0, np.cumsum(hit)]
-        for n in sizes:
-            m = n - SHINGLE_WORDS + 1
+        totals = {k: np.r_[0, np.cumsum(x)] for k, x in hits.items()}
+        for n, m in parts.items():
+            total = totals[min(n, SHINGLE_WORDS)]
             if len(h) < n or total[-1] < need[n]:
                 continue
-            start = np.flatnonzero(total[m : len(hit) + 1] - total[: len(hit) + 1 - m] >= need[n])
+            start = np.flatnonzero(total[m:] - total[: len(total) - m] >= need[n])
+            seen = np.zeros(0, np.int64)
             while len(start):
                 now = start[start < start[0] + SPAN]
                 sums = bit_sums(h[now[0] : now[-1] + n])
-                yield n, now, fingerprints(sums, now - now[0], n)
+                prints, at = fingerprints(sums, now - now[0], n), slice(None)
+                if m == 1:  # windows of one shingle are equal or have nothing in common
+                    prints, at = np.unique(prints, return_index=True)
+                    new = ~np.isin(prints, seen)
+                    prints, at = prints[new], at[new]
+                    seen = np.r_[seen, prints]
+                yield n, now[at], prints
                 start = start[len(now) :]
 
     def find(batches: Batches) -> Batches:
         known = np.unpackbits(packed).astype(bool)
-        least = min(need.values(), default=0)
+        lengths = sorted({min(n, SHINGLE_WORDS) for n in sizes})
         for batch in batches:
             for low, high in slices(batch.column(2)):
                 part = batch.column(2).slice(low, high - low)
                 row, s, e, h = words(part)
-                x = np.zeros(max(0, len(h) - SHINGLE_WORDS + 1), np.uint64)
-                for k in range(SHINGLE_WORDS if len(x) else 0):
-                    x = x * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(x)]
-                hit = known[mix(x + np.uint64(SHINGLE_WORDS)) >> np.uint64(64 - BITMAP_BITS)] & (row[: len(x)] == row[len(h) - len(x) :])
-                many = np.flatnonzero(np.bincount(row[: len(x)][hit], minlength=1) >= least) if hit.any() else []
+                hits, some = {}, np.zeros(len(part), bool)
+                for size in lengths:
+                    x = np.zeros(max(0, len(h) - size + 1), np.uint64)
+                    for k in range(size if len(x) else 0):
+                        x = x * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(x)]
+                    hits[size] = known[mix(x + np.uint64(size)) >> np.uint64(64 - BITMAP_BITS)] & (row[: len(x)] == row[len(h) - len(x) :])
+                    least = min(n for i, n in need.items() if min(i, SHINGLE_WORDS) == size)
+                    some |= np.bincount(row[: len(x)][hits[size]], minlength=len(part)) >= least
                 b, out = text_bytes(part)[0], []
-                for r in many:
+                for r in np.flatnonzero(some):
                     a, z = np.searchsorted(row, [r, r + 1])
-                    for n, start, prints in windows(h[a:z], hit[a : z - SHINGLE_WORDS + 1]):
+                    for n, start, prints in windows(h[a:z], {size: x[a : max(a, z - size + 1)] for size, x in hits.items()}):
                         for k, p in zip(start.tolist(), prints.tolist(), strict=True):
                             out.append((low + r, k, n, p, b[s[a + k] : e[a + k + n - 1]].tobytes().decode()))
                 if out:
@@ -108,8 +123,13 @@ def window_finder(known: np.ndarray, sizes: list[int], similarity: float) -> Cal
 
 def _blocks(column: str) -> Column:
     """The blocks of a fingerprint with their numbers, to explode."""
-    width = 64 // BLOCKS
-    return F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(column), k * width).bitwiseAND((1 << width) - 1).alias("v")) for k in range(BLOCKS)))
+    return F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(column), k * WIDTH).bitwiseAND((1 << WIDTH) - 1).alias("v")) for k in range(BLOCKS)))
+
+
+def _near_blocks(column: str) -> Column:
+    """As ``_blocks``, with every value within ``FLIPS`` bits of each block."""
+    masks = F.lit([sum(1 << k for k in ks) for n in range(FLIPS + 1) for ks in itertools.combinations(range(WIDTH), n)]).cast("array<bigint>")
+    return F.flatten(F.transform(_blocks(column), lambda x: F.transform(masks, lambda mask: F.struct(x["k"].alias("k"), x["v"].bitwiseXOR(mask).alias("v")))))
 
 
 def verify(batches: Batches) -> Batches:
@@ -133,7 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     found = rows.mapInArrow(window_finder(known, sizes, similarity), "doc_id long, text_hash long, start long, size long, print long, window string")
     left = found.select("*", F.explode(_blocks("print")).alias("block"))
-    right = items.select("item_id", "item", "size", "item_print", F.explode(_blocks("item_print")).alias("block"))
+    right = items.select("item_id", "item", "size", "item_print", F.explode(_near_blocks("item_print")).alias("block"))
     near = left.join(right, ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     pairs = near.select("doc_id", "text_hash", "item_id", "start", "size", "window", "item").distinct()
     best = pairs.mapInArrow(verify, "doc_id long, text_hash long, item_id long, start long, size long, similarity double").where(F.col("similarity") >= similarity)

@@ -272,7 +272,7 @@ def test_quality_of_odd_rows(spark):
 
 def test_leaks_against_all_windows(spark):
     rng = random.Random(7)
-    items = [(k, " ".join(words(rng.randrange(12, 40), rng))) for k in range(25)] + [(90, "too short"), (91, None)]
+    items = [(k, " ".join(words(rng.randrange(12, 40), rng))) for k in range(25)] + [(90, "two words"), (91, None), (92, "lone"), (93, "three of them"), (94, "three of them")]
     docs = []
     for k in range(90):
         w = words(rng.randrange(5, 120), rng)
@@ -281,23 +281,27 @@ def test_leaks_against_all_windows(spark):
             leak = leak[: len(leak) - k % 4] if k % 2 else leak
             at = rng.randrange(len(w))
             w[at:at] = leak
+        if k % 10 == 0:
+            w[3:3] = ["lone", "lone", "two", "words"]
+        if k % 25 == 1:
+            w += ["three", "of", "them"]
         docs.append((k, "\n".join([" ".join(w[:7]), " ".join(w[7:])])))
 
     def bag(w):
-        return collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
 
     want = set()
     for d, t in docs:
         w = WORD.findall(t)
         for i, x in items:
             n = len(WORD.findall(x or ""))
-            if n < 5:
+            if not n:
                 continue
             item = bag(WORD.findall(x))
             for k in range(len(w) - n + 1):
                 win = bag(w[k : k + n])
                 both = sum((win & item).values())
-                if both / (2 * (n - 4) - both) >= 0.8:
+                if both / (2 * max(1, n - 4) - both) >= 0.8:
                     want.add((d, i))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.leaks(table(spark, docs), bench).collect()
