@@ -1,13 +1,17 @@
 """Language identification by compression with a raw-content dictionary per language.
 
 A dictionary holds the distinct words of a bounded sample of a language's labelled texts
-(``SAMPLE_DOCS`` documents, ``SAMPLE_CHARS`` characters of each, chosen by a hash of the id),
-the most frequent last, where matches cost least. A text is cut into chunks, each chunk is compressed with each dictionary, and the language with the smallest
-total wins. The score is the margin to the runner-up: the share of bytes saved, scaled so
+(about ``SAMPLE_DOCS`` documents, chosen by a hash of id and text; each is read whole), the most
+frequent last, where matches cost least. A text is cut into chunks, each chunk is
+compressed with each dictionary, and the language with the smallest total
+wins. The score is the margin to the runner-up: the share of bytes saved, scaled so
 that ``SURE`` counts as 1. ``rejected`` marks margins under ``MIN_SCORE``.
 
-Defined results: ``und``, score 0 and rejected where a text is null, has no letter, or no
-language was learned; ties go to the language first in order; a null doc_id is not held out
+There is one dictionary per value of ``lang``, held by the driver and all tasks: labels must be
+languages, so few.
+
+Defined results: ``und``, score 0 and rejected where a text is null, has no letter (as
+``str.isalpha`` says), or no language was learned; ties go to the language first in order; a null doc_id is not held out
 and not learned from; repeated rows get a row each; other columns are ignored.
 """
 
@@ -22,8 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 300
-SAMPLE_CHARS = 800
-DICT_BYTES = 64 << 10
 CHUNK_CHARS = 300
 LEVEL = 12
 SURE = 0.1
@@ -38,23 +40,36 @@ def held_out(doc_id: Column) -> Column:
 
 def letters(text: str) -> str:
     """Lower case, with all that is not a letter as one space."""
-    return _NO_LETTER.sub(" ", text.lower()).strip()
+    plain = _NO_LETTER.sub(" ", text.lower())
+    if not plain.replace(" ", "").isalpha():  # number signs and the like
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split())
+    return plain.strip()
+
+
+def sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, text in; lang, word and how often, by batch, out."""
+    for batch in batches:
+        found: dict[str, Counter] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found.setdefault(lang, Counter()).update(letters(text).split())
+        rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary of each language; at most SAMPLE_DOCS short samples per language come to the driver."""
+    """Dictionary of each language; the distinct words of about SAMPLE_DOCS texts per language come to the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(order).alias("n")).collect()}
     if not sizes:
         return {}
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))))
-    few = rows.where(order < share[F.col("lang")]).select("lang", order.alias("o"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    found = {lang: Counter() for lang in sizes}
-    for r in few.collect():
-        found[r["lang"]].update(letters(r["text"]).split())
-    by_use = {lang: " ".join(sorted(c, key=lambda w: (c[w], w))) for lang, c in found.items() if c}
-    return {lang: by_use[lang].encode()[-DICT_BYTES:] for lang in sorted(by_use)}
+    few = rows.where(order < share[F.col("lang")]).groupBy("lang", order.alias("o")).agg(F.first("text").alias("text"))
+    found: dict[str, list] = {}
+    for r in few.select("lang", "text").mapInArrow(sample_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+        found.setdefault(r["lang"], []).append((r["n"], r["word"]))
+    return {lang: " ".join(w for _, w in sorted(found[lang])).encode() for lang in sorted(found)}
 
 
 def chunks(text: str) -> Iterator[bytes]:

@@ -401,6 +401,35 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_languages_against_plain_compression(spark):
+    """The predictions from dictionaries and sizes that plain Python makes, one frame at a time."""
+    import zlib
+
+    import zstandard as zstd
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(9000, "²½① 12 — …", "en"), (9001, "x", None), (9002, "der und die", None), (9003, None, "de")]
+    found = collections.defaultdict(collections.Counter)
+    for d, text, lang in rows:
+        if text and lang and zlib.crc32(str(d).encode()) % 4 != 2:
+            found[lang].update("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    books = {lang: zstd.ZstdCompressionDict(" ".join(sorted(c, key=lambda w: (c[w], w))).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT) for lang, c in sorted(found.items())}
+    want = {}
+    for d, text, _ in rows:
+        plain = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        total = {lang: sum(len(zstd.ZstdCompressor(level=langid.LEVEL, dict_data=b, write_content_size=False, write_dict_id=False).compress(plain[k : k + langid.CHUNK_CHARS].encode())) for k in range(0, len(plain), langid.CHUNK_CHARS)) for lang, b in books.items()}
+        want[d] = min(total, key=total.get) if plain else "und"
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 3)
+    rows = [(1, f"same word{'ab'[k % 2]}", "en") for k in range(200)] + [(5, f"other term{chr(97 + k % 26)}{chr(97 + k // 26)}", "de") for k in range(200)]
+    model = langid.learn(table(spark, rows))
+    assert sorted(model["en"].split()) == [b"same", b"worda", b"wordb"] and len(model.get("de", b"").split()) <= 13
+
+
 def test_languages_of_odd_rows(spark):
     out = langid.identify(table(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows()) and all(r["lang_pred"] == "und" and r["score"] == 0 for r in out if r["doc_id"] in (1, 2, 3))
