@@ -7,6 +7,7 @@ run of bytes other than space and 0x09-0x0D, so the same words come out of
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,9 +36,13 @@ _powers = np.ones(1, np.uint64)
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in local tests, a temporary folder serves.
+    Only a session whose driver and executors are one local process may leave that unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -74,15 +79,17 @@ def edited(df: DataFrame, facts: str, schema: StructType, edit: Callable[[str, l
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = dict(zip(schema.names, batch.column(0).flatten(), strict=True))
-            texts, given = cols["text"].to_pylist(), batch.column(1).to_pylist()
-            changed = [bool(t and g) for t, g in zip(texts, given, strict=True)]
-            texts = [edit(t, g) if c else t for t, g, c in zip(texts, given, changed, strict=True)]
-            cols["text"] = pa.array(texts, cols["text"].type)
-            if "n_chars" in cols:
-                n = [len(t) if c else old for t, c, old in zip(texts, changed, cols["n_chars"].to_pylist(), strict=True)]
-                cols["n_chars"] = pa.array(n, cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=schema.names)
+            fields = dict(zip(schema.names, batch.column(0).flatten(), strict=True))
+            for low, high in slices(fields["text"]):
+                cols = {k: v.slice(low, high - low) for k, v in fields.items()}
+                texts, given = cols["text"].to_pylist(), batch.column(1).slice(low, high - low).to_pylist()
+                changed = [bool(t and g) for t, g in zip(texts, given, strict=True)]
+                texts = [edit(t, g) if c else t for t, g, c in zip(texts, given, changed, strict=True)]
+                cols["text"] = pa.array(texts, cols["text"].type)
+                if "n_chars" in cols:
+                    n = [len(t) if c else old for t, c, old in zip(texts, changed, cols["n_chars"].to_pylist(), strict=True)]
+                    cols["n_chars"] = pa.array(n, cols["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=schema.names)
 
     return df.select("doc", facts).mapInArrow(rewrite, schema)
 

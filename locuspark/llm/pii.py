@@ -5,8 +5,8 @@ entities. A lexical pattern is the pair of words before an identifier-like token
 and token values form a graph. Confidence goes back and forth: a pattern is as good as the
 share of all its occurrences in the corpus that confident values follow, given at least
 ``MIN_SUPPORT`` distinct ones, and a value is as good as its best accepted pattern. After
-``ROUNDS`` rounds, what follows a pattern of at least ``MIN_CONFIDENCE`` is reported as
-kind ``id``, whatever its shape.
+``ROUNDS`` rounds, all texts are read again, and what follows a pattern of at least
+``MIN_CONFIDENCE`` is reported as kind ``id``, whatever its length and digits.
 
 Defined results: null and empty texts have no spans; a span found by context that touches a
 base span is dropped; repeated rows get a row each; a null doc_id stays null; other columns
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, attach, bitmap, edited, packed, slices, staged, words
+from .common import BITMAP_BITS, attach, bitmap, edited, packed, slices, staged, text_bytes, words
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 MIN_SUPPORT = 5
@@ -42,6 +42,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 #: An identifier-like token: no white space, quotes or marks, at least two digits.
 _TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/+=:@-]*[A-Za-z0-9=]")
+#: What stands after a pattern: a token of any length, maybe in quotes or brackets.
+_AFTER = re.compile(r"[\"'(\[{<]*([A-Za-z0-9](?:[A-Za-z0-9._/+=:@-]*[A-Za-z0-9=])?)")
 _HEX = re.compile(rf"[0-9A-Fa-f]{{{SEED_HEX},}}")
 _DIGIT = re.compile(r"[0-9]")
 _SPACE = re.compile("[\\x20\\x09-\\x0D]+")
@@ -140,18 +142,50 @@ def _pair_hashes(pairs: list[str]) -> np.ndarray:
 def scan(batches: Batches) -> Batches:
     """uid, doc_id, text_hash, text in; those of ``_SCHEMA`` out."""
     for batch in batches:
-        bases, founds, lefts = [], [], []
-        for text in batch.column(3).to_pylist():
-            base = base_spans(text or "")
-            ids = identifiers(text, base) if text else []
-            bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
-            founds.append([{"ctx": 0, "value": _hash(v), "start": s, "end": e, "seed": seed} for _, v, s, e, seed in ids])
-            lefts += [x[0] for x in ids]
-        ctx = iter(_pair_hashes(lefts).tolist() if lefts else [])
-        for f in founds:
-            for x in f:
-                x["ctx"] = next(ctx)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bases, _SPANS), pa.array(founds, _FOUND)], names=["uid", "doc_id", "text_hash", "base", "found"])
+        for low, high in slices(batch.column(3)):
+            bases, founds, lefts = [], [], []
+            for text in batch.column(3).slice(low, high - low).to_pylist():
+                base = base_spans(text or "")
+                ids = identifiers(text, base) if text else []
+                bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
+                founds.append([{"ctx": 0, "value": _hash(v), "start": s, "end": e, "seed": seed} for _, v, s, e, seed in ids])
+                lefts += [x[0] for x in ids]
+            ctx = iter(_pair_hashes(lefts).tolist() if lefts else [])
+            for f in founds:
+                for x in f:
+                    x["ctx"] = next(ctx)
+            same = [c.slice(low, high - low) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(bases, _SPANS), pa.array(founds, _FOUND)], names=["uid", "doc_id", "text_hash", "base", "found"])
+
+
+def followers(known: np.ndarray) -> Callable[[Batches], Batches]:
+    """doc_id, text_hash, text in; ctx, start, end of the value after each pair of words whose bit is set out."""
+    packed = np.packbits(known)
+
+    def find(batches: Batches) -> Batches:
+        known = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            for low, high in slices(batch.column(2)):
+                part = batch.column(2).slice(low, high - low)
+                row, s, e, h = words(part)
+                pair = (h[:-2] * _PLACE + h[1:-1])[row[:-2] == row[2:]]
+                hit = known[pair >> np.uint64(64 - BITMAP_BITS)]
+                at, pair = np.flatnonzero(row[:-2] == row[2:])[hit] + 2, pair[hit].view(np.int64)
+                b, edge = text_bytes(part)
+                rows, out, done = row[at], [], (-1, 0, 0)
+                for ctx, r, start, end in zip(pair.tolist(), rows.tolist(), s[at].tolist(), e[at].tolist(), strict=True):
+                    m = _AFTER.match(b[start:end].tobytes().decode())
+                    if m:
+                        if done[0] != r:
+                            done = (r, int(edge[r]), 0)
+                        done = (r, start, done[2] + len(b[done[1] : start].tobytes().decode()))
+                        out.append((r, ctx, done[2] + m.start(1), done[2] + m.end(1)))
+                if out:
+                    r, ctx, start, end = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
+                    same = [batch.column(k).slice(low, high - low).take(r) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*same, ctx, start, end], names=["doc_id", "text_hash", "ctx", "start", "end"])
+
+    return find
 
 
 def pair_counter(known: np.ndarray) -> Callable[[Batches], Batches]:
@@ -196,11 +230,14 @@ def spans(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     rows = staged(slim.mapInArrow(scan, _SCHEMA), "identifiers")
     accepted = confident_contexts(rows, docs)
-    loose = rows.select("uid", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("b"), F.explode("found").alias("x"))
-    free = loose.where(~F.exists("b", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))).select("uid", "x.ctx", "x.start", "x.end")
-    new = attach(free, accepted, ["ctx"], ["uid", "start"]).groupBy("uid").agg(F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("new"))
-    both = rows.join(new, "uid", "left")
-    return both.select("doc_id", "text_hash", F.concat("base", F.coalesce("new", F.expr("cast(array() as array<struct<kind: string, start: bigint, end: bigint>>)"))).alias("spans"))
+    after = slim.drop("uid").mapInArrow(followers(bitmap(accepted, "ctx")), "doc_id long, text_hash long, ctx long, start long, end long")
+    value = F.struct("start", "end")
+    new = attach(after, accepted, ["ctx"], ["text_hash", "start"]).groupBy("doc_id", "text_hash").agg(F.collect_set(value).alias("new"))
+    new = staged(new.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), "values")
+    both = rows.join(new, rows["doc_id"].eqNullSafe(new["_id"]) & (rows["text_hash"] == new["_hash"]), "left")
+    free = F.filter("new", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    ids = F.transform(F.array_sort(free), lambda x: F.struct(F.lit("id").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return both.select("doc_id", "text_hash", F.concat("base", F.coalesce(ids, F.expr("cast(array() as array<struct<kind: string, start: bigint, end: bigint>>)"))).alias("spans"))
 
 
 def _joined(spans_of: Iterator[dict]) -> str:
@@ -209,7 +246,7 @@ def _joined(spans_of: Iterator[dict]) -> str:
 
 def digest(batches: Batches) -> Batches:
     """doc_id, spans in; the counts, the digest of the base spans and all spans as text out."""
-    for batch in batches:
+    for batch in (x.slice(k, 1024) for x in batches for k in range(0, len(x), 1024)):
         out = []
         for found in batch.column(1).to_pylist():
             n = [sum(x["kind"] == k for x in found) for k in KINDS]

@@ -341,7 +341,7 @@ def test_base_spans(text):
 
 def test_contexts_find_unseen_identifiers(spark):
     rng = random.Random(2)
-    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(12)]
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
     rows = [(k, f"some text here token = \"{x}\" and then more words {k}") for k, x in enumerate(hexes)]
     rows += [(50, 'other prose token = "ZX-99-unseen-77" follows'), (51, "plain prose with report 2024-11-23 and code ABC12345 only"), (52, "mail me at a.b@mail.example.com or +1 (555) 123-4567")]
     out = {r["doc_id"]: r for r in pii.report(table(spark, rows)).collect()}
@@ -349,6 +349,10 @@ def test_contexts_find_unseen_identifiers(spark):
     assert out[50]["spans"] == f"id:{start}:{start + 15}" and out[50]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert out[51]["spans"] == "" and out[0]["n_id"] == 1 and (out[52]["n_email"], out[52]["n_phone"]) == (1, 1)
     safe = {r["doc_id"]: r["text"] for r in pii.redact(table(spark, rows)).collect()}
+    more = [*rows, (60, 'été token = "AB-4821", and token = "77" here'), (61, "the token = 'secret' of letters"), (62, "ends with token =")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(table(spark, more)).collect()}
+    at = [more[-3][1].index(x) for x in ("AB-4821", "77")]
+    assert got[60] == f"id:{at[0]}:{at[0] + 7},id:{at[1]}:{at[1] + 2}" and got[61] == "id:13:19" and got[62] == ""
     assert safe[50] == 'other prose token = "[ID]" follows' and safe[52] == "mail me at [EMAIL] or [PHONE]" and safe[51] == rows[-2][1]
 
 
