@@ -3,11 +3,15 @@
 A page is read as a row of text blocks, each with its path of tags from the root to the
 leaf. Per path, the length of text and the punctuation of its blocks are added up and
 divided by the number of its tags. These ratios are smoothed over neighbouring blocks in
-page order, the two are fused into one score, and blocks over the mean of the page, by
-it or by their path's own ratios, are content. The smallest element that holds all of the content is the article, or each outermost
-article or main element that holds some: all of their blocks are returned, and headings just
-before the content with what lies between, but for parts that are never article text (navigation, forms, asides,
-footers, adverts, notices, comments of readers and the like, by tag, role, class or id).
+page order, the two are fused into one score, and blocks over the mean of the page are content,
+by their path's own ratios, or by the smoothed ones and half of the mean by their own. The article is the smallest element that holds
+all of the content, with headings just before the content and what lies between; where
+that is the whole body, only what lies from the first to the last content counts.
+
+Parts that are never article text (navigation, forms, asides, footers, adverts, notices,
+comments of readers and the like, by tag, role, class or id) are taken out before the scores
+are made. A name takes out no heading, no element that holds an article or main element,
+and "header" takes out nothing inside of those.
 
 Rules of reading: a block element ends the block before it; comments, scripts, styles and
 the head are skipped; character references are decoded; white space becomes one space;
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +39,9 @@ from .common import slices
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = frozenset("head script style noscript template svg iframe object canvas math textarea select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+SKIPPED = frozenset("head script style noscript template svg iframe canvas textarea select title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE |= frozenset("math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle semantics annotation".split())
 #: Parts of a page that are not its article.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 ARTICLE_TAGS = ("article", "main")
@@ -44,50 +50,69 @@ ASIDE_NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|consent|cookies?\w*|copyright|disclaimer|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|pager|popup|promo\w*|related\w*|recommend\w*|replies|reply|respond|search\w*|share|sharing|sidebar|signup|social\w*|sponsor\w*|subscribe|subscription|toolbar|widget)(?:$|[-_\s])",
     re.I,
 )
+_READERS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[-_\s])", re.I)
+_IN_ARTICLE = re.compile(r"(?:header|masthead)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PUNCT = re.compile(r"[^\w\s]")
 SMOOTH = 2
+#: Part of the mean that a path must reach by itself where its neighbours lift it.
+OWN = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
+    """An element; ``first`` and ``last`` number the blocks that it holds."""
+
     tag: str
     parent: Node | None
     path: int
     aside: bool = False
+    named: Node | None = None
+    wraps: bool = False
     in_article: bool = False
-    depth: int = 0
+    heading: Node | None = None
+    first: int = 0
+    last: int = 0
+
+    def holds(self, number: int) -> bool:
+        return self.first <= number <= self.last
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
     node: Node
+    number: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
+    @property
+    def aside(self) -> bool:
+        named = self.node.named
+        return self.node.aside or (named is not None and not named.wraps)
 
-def _is_aside(tag: str, attrs: str, parent: Node) -> bool:
-    if parent.aside or tag in ASIDE_TAGS:
-        return True
-    if tag == "header" and not parent.in_article:
-        return True
-    if attrs and tag not in ("html", "body", "article", "main"):
-        for name, *values in _ATTR.findall(attrs):
-            name, value = name.lower(), "".join(values)
-            if name in ("class", "id") and ASIDE_NAMES.search(value) or name == "role" and value.lower() in ASIDE_ROLES:
-                return True
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-    return False
+
+def _kinds(tag: str, attrs: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element is an aside by tag, role or style, and whether by name."""
+    sure = tag in ASIDE_TAGS or (tag == "header" and not parent.in_article)
+    named = False
+    for name, *values in _ATTR.findall(attrs) if attrs and tag not in ("html", "body", "main") else ():
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id") and tag not in HEADINGS:
+            value = _IN_ARTICLE.sub("", value) if parent.in_article else value
+            named |= bool((_READERS if tag == "article" else ASIDE_NAMES).search(value))
+        sure |= name == "role" and value.lower() in ASIDE_ROLES and tag != "article"
+        sure |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(re.search(r"display\s*:\s*none", value, re.I)))
+    return sure, named
 
 
 def read_blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order, with the element that each lies in."""
     root, paths = Node("", None, 0), {}
-    node, blocks, at, skip_to = root, [Block(root)], 0, None
+    node, blocks, at = root, [Block(root)], 0
+    open_tags: Counter[str] = Counter()
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
@@ -99,10 +124,19 @@ def read_blocks(page: str) -> list[Block]:
 
     def block() -> None:
         if blocks[-1].parts:
-            blocks.append(Block(node))
+            blocks.append(Block(node, len(blocks)))
         else:
             blocks[-1].node = node
 
+    def close(outer: Node) -> Node:
+        """End all open elements up to and with ``outer``."""
+        now = node
+        while now is not outer.parent:
+            now.last = len(blocks) - (1 if blocks[-1].parts else 2)
+            open_tags[now.tag] -= 1
+            now = now.parent
+        return now
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -112,11 +146,11 @@ def read_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if open_tags[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up)
             if tag not in INLINE:
                 block()
         elif tag in VOID:
@@ -126,18 +160,31 @@ def read_blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:
-            if tag not in INLINE:
+            if tag not in INLINE and open_tags["p"] > 0:
                 up = node  # a paragraph, and what stands open in it, ends here
-                while up is not root and (up.tag in INLINE or up.tag == "p"):
-                    if up.tag == "p":
-                        node = up.parent
-                        break
+                while up.tag in INLINE:
                     up = up.parent
+                if up.tag == "p":
+                    node = close(up)
             path = paths.setdefault((node.path, tag), len(paths) + 1)
-            node = Node(tag, node, path, _is_aside(tag, m[3] or m[6] or "", node), node.in_article or tag in ARTICLE_TAGS, node.depth + 1)
+            sure, named = _kinds(tag, m[3] or m[6] or "", node)
+            new = Node(tag, node, path, node.aside or sure, node.named, False, node.in_article or tag in ARTICLE_TAGS, node.heading)
+            if named:
+                new.named = new
+            if tag in ARTICLE_TAGS and not named:
+                up = new.named
+                while up is not None and not up.wraps:
+                    up.wraps = True
+                    up = up.parent.named
+            if tag in HEADINGS:
+                new.heading = new
+            node = new
+            open_tags[tag] += 1
             if tag not in INLINE:
                 block()
+            node.first = len(blocks) - 1
     text(page[at:])
+    close(root)
     out = []
     for b in blocks:
         b.text = " ".join(entities.unescape("".join(b.parts)).split())
@@ -168,56 +215,31 @@ def path_scores(blocks: list[Block], width: int = SMOOTH) -> np.ndarray:
 
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks of the article: see the module's text."""
-    fit = [b for b in blocks if not b.node.aside]
+    fit = [b for b in blocks if not b.aside]
     if not fit:
         return []
     score, own = path_scores(fit), path_scores(fit, 0)
-    over = (score >= score.mean() * 0.999) | (own >= own.mean() * 0.999)
+    over = (own >= own.mean() * 0.999) | ((score >= score.mean() * 0.999) & (own >= own.mean() * OWN))
     content = [b for b, c in zip(fit, over, strict=True) if c]
-    lines = [_ancestors(b.node) for b in content]
-    held: dict[int, list[int]] = {}
-    for k, line in enumerate(lines):
-        for node in line:
-            held.setdefault(id(node), []).append(k)
-    chosen: dict[int, Node] = {}
-    for line in lines:  # elements that say so go first
-        said = [x for x in line if x.tag in ARTICLE_TAGS]
-        if said:  # of the outermost, the deepest that holds the same content
-            same = [x for x in said if len(held[id(x)]) == len(held[id(said[0])])]
-            chosen[id(same[-1])] = same[-1]
-    if chosen:
-        return [b for b in fit if any(id(x) in chosen for x in _ancestors(b.node))]
-    article = [x for x in lines[0] if len(held[id(x)]) == len(content)][-1]
-    while article.parent and (article.tag in INLINE or article.tag in HEADINGS or article.tag == "p"):
+    low, high = content[0].number, content[-1].number
+    article = content[0].node
+    while article.parent and not (article.holds(low) and article.holds(high)) or article.tag in INLINE or article.tag in HEADINGS or article.tag == "p":
         article = article.parent
-    alone = sum(_within(b.node, article) for b in fit) == 1
-    if alone and article.parent and article.parent.tag not in ("", "html", "body"):
+    if sum(article.holds(b.number) for b in fit) == 1 and article.tag not in ("", "html", "body", *ARTICLE_TAGS) and article.parent.tag not in ("", "html", "body"):
         article = article.parent
-    first = start = next(k for k, b in enumerate(fit) if _within(b.node, article))
+    if article.tag in ("", "html", "body"):
+        inside = [low <= b.number <= high for b in fit]
+    else:
+        inside = [article.holds(b.number) for b in fit]
+        low = article.first
+    first = start = inside.index(True)
     for k in range(first - 1, -1, -1):
         if 2 * fit[k].linked > len(fit[k].text):
             break
-        heading = next((x for x in _ancestors(fit[k].node) if x.tag in HEADINGS), None)
-        if heading and _within(article, heading.parent):
+        heading = fit[k].node.heading
+        if heading and heading.parent.first <= low and heading.parent.holds(low):
             start = k
-    return [b for k, b in enumerate(fit) if start <= k < first or _within(b.node, article)]
-
-
-def _ancestors(node: Node | None) -> list[Node]:
-    """The elements from the root to the node."""
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out[::-1]
-
-
-def _within(node: Node | None, outer: Node) -> bool:
-    while node is not None:
-        if node is outer:
-            return True
-        node = node.parent
-    return False
+    return [b for k, (b, x) in enumerate(zip(fit, inside, strict=True)) if start <= k < first or x]
 
 
 def extract(page: str | None) -> str:

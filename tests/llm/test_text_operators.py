@@ -478,6 +478,67 @@ def test_main_text_is_whole(page, text):
     assert html.extract(page) == " ".join(text.split())
 
 
+LINKS = "".join(f"<li><a href=/{k}>Place {k}</a></li>" for k in range(9))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div class=zone><ul>{LINKS}</ul></div><div class=story><h1>Title</h1><p>{LONG}</p><p>Short end.</p></div><div class=zone-b><span>Our site</span></div></body>", f"Title {LONG} Short end."),
+        (f"<body><table><tr><td><ul>{LINKS}</ul></td><td><p>{LONG}</p><p>{LONG}</p></td></tr></table><div>Made by us</div></body>", f"{LONG} {LONG}"),
+        (f"<body><div>top</div><p>{LONG}</p><h2>Part</h2><p>{LONG}</p><div>end of the site</div></body>", f"{LONG} Part {LONG}"),
+    ],
+)
+def test_scores_decide(monkeypatch, page, text):
+    assert html.extract(page) == " ".join(text.split())
+    monkeypatch.setattr(html, "path_scores", lambda blocks, width=2: np.ones(len(blocks)))
+    assert html.extract(page) != " ".join(text.split())
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h2 class='section-header'>Head</h2><p>{LONG}</p><p>x <math><mi>E</mi></math> y</p></article>", f"Head {LONG} x E y"),
+        (f"<article><div class='section-header'><h2>Head</h2></div><p>{LONG}</p><object>{LONG}</object></article>", f"Head {LONG} {LONG}"),
+        (f"<div class='page widget'><main><p>{LONG}</p></main><div class=widget>More</div></div>", LONG),
+        (f"<article><p>{LONG}</p><div class=notice>Closed.</div></article><div id=comments><article class=comment-body><p>{LONG}</p></article></div>", LONG),
+    ],
+)
+def test_article_keeps_its_parts(page, text):
+    assert html.extract(page) == " ".join(text.split())
+
+
+def test_path_scores_by_hand():
+    rng = random.Random(1)
+    for _ in range(40):
+        tags = ["div", "p", "ul", "li", "td", "section"]
+        page = "".join(f"<{(x := rng.choice(tags))}>{'<a>' * (k % 4 == 0)}{'w, ' * rng.randrange(1, 30)}{'</a>' * (k % 4 == 0)}</{x}>" for k in range(rng.randrange(1, 12)))
+        blocks = html.read_blocks(page)
+
+        def path(node):
+            return path(node.parent) + (node.tag,) if node else ()
+
+        ratio = []
+        for mark in (False, True):
+            per = collections.defaultdict(list)
+            for b in blocks:
+                plain = max(0, len(b.text) - b.linked)
+                per[path(b.node)].append(len(re.findall(r"[^\w\s]", b.text)) * (plain > 0) if mark else plain)
+            raw = [sum(per[path(b.node)]) / len(per[path(b.node)]) for b in blocks]
+            near = [[(math.exp(-((i - k) ** 2) / 2), raw[i]) for i in range(max(0, k - 2), min(len(raw), k + 3))] for k in range(len(raw))]
+            ratio.append([sum(w * x for w, x in n) / sum(w for w, _ in n) for n in near])
+        assert html.path_scores(blocks) == pytest.approx([math.sqrt(a * (1 + b)) for a, b in zip(*ratio, strict=True)])
+
+
+@pytest.mark.parametrize("page", ["<div>t" * 100_000, "<i>" * 50_000 + "<div></div></b>" * 50_000, "<p><b>x<a '>" * 50_000])
+def test_deep_pages_take_seconds(page):
+    import time
+
+    began = time.monotonic()
+    html.extract(page)
+    assert time.monotonic() - began < 20
+
+
 def test_main_text_of_articles(spark):
     import html as entity
 
