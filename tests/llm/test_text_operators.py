@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -407,8 +408,6 @@ def test_language_accuracy_on_held_out_rows(spark):
 
 def test_languages_against_plain_compression(spark):
     """The predictions from dictionaries and sizes that plain Python makes, one frame at a time."""
-    import zlib
-
     import zstandard as zstd
 
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
@@ -618,6 +617,50 @@ def test_salvage_goes_on_after_damage(packed):
     assert sum(n for _, n in gaps) + sum(len(parts[k]) for k in (0, 1, 3, 4)) == len(data)
 
 
+def test_a_writer_that_runs_again_leaves_each_record_once(spark, monkeypatch):
+    monkeypatch.setattr(warc.writer, "__defaults__", (3000,))
+    rng = random.Random(1)
+    rows = [(k, f"u{k}", " ".join(words(rng.randrange(5, 90), rng))) for k in range(120)]
+    folder = common.shared_path(spark, "warc")
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    out = warc.read_archives(spark, folder).collect()
+    assert sorted(r["page_id"] for r in out) == list(range(120)) and len({r["file"] for r in out}) > 3
+
+
+def test_salvage_inside_a_member():
+    parts = [*records(5)]
+    parts[2] = parts[2].replace(b"page 2page", b"page XXXXX")
+    packed = warc.member(b"".join(parts))
+    out = [x for _, x in warc.salvage(packed)]
+    assert [x.get("page_id") for x in out] == [0, 1, None, 3, 4]
+    assert (out[2]["gap_bytes"], out[2]["inner"]) == (len(parts[2]), len(parts[0] + parts[1]))
+    long = b"".join(r for k in range(400) for r in records(5))
+    cut = warc.member(long)
+    cut = cut[: len(cut) * 2 // 3] + warc.member(records(7)[6])
+    out = [x for _, x in warc.salvage(cut)]
+    assert [x["page_id"] for x in out if "page_id" in x][-1] == 6 and len(out) > 500 and 1 <= sum("gap_bytes" in x for x in out) <= 2
+
+
+def test_large_archives_are_read_in_blocks(tmp_path):
+    import tracemalloc
+
+    payload = b"some page text, " * (1 << 14)
+    one = warc.record("response", 7, "http://x/", payload, len(payload), hashlib.sha256(payload).hexdigest(), None)
+    n = (1 << 30) // len(one) + 1
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    with open(tmp_path / "a.warc.gz", "wb") as f:
+        for _ in range(n):
+            f.write(pack.compress(one))
+        f.write(pack.flush())
+    tracemalloc.start()
+    with warc._store(str(tmp_path / "a.warc.gz"))[0].open_input_file(str(tmp_path / "a.warc.gz")) as f:
+        assert sum(x["page_id"] == 7 for _, x in warc.salvage(f)) == n
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+
 # licences
 
 
