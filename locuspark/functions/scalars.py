@@ -43,7 +43,7 @@ def log2p1(x: Column | str) -> Column:
 
 
 def neg_log10(p: Column | str) -> Column:
-    return -F.log10(F.greatest(_c(p), F.lit(1e-300)))
+    return F.when(_c(p).isNotNull(), -F.log10(F.greatest(_c(p), F.lit(1e-300))))
 
 
 def rpkm(count: Column | str, length: Column | str, total: Column | str) -> Column:

@@ -6,6 +6,7 @@ ranges, whose own totals (a few rows) give the offsets.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,8 +37,12 @@ def qcut(df: DataFrame, col: str, q: int, name: str = "bin", by: Sequence[str] =
     return joined.withColumn(name, bin_).drop("edges")
 
 
-def running_totals(df: DataFrame, order: str, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``df`` (one row per value and group) with ``below_<c>``: the sum of c over smaller values of the group."""
+def running_totals(df: DataFrame, order: str, cols: Sequence[str], by: Sequence[str] = (), keep_part: bool = False) -> DataFrame:
+    """``df`` (one row per value and group) with ``below_<c>``: the sum of c over smaller values of the group.
+
+    Values fall into ranges of about equal numbers of rows, all groups together; totals are taken within ranges
+    and added up over ranges. With ``keep_part`` the number of the range stays as ``_part``.
+    """
     span = df.agg(F.approx_percentile(F.col(order).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
     edges = sorted(set(span))
     part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
@@ -45,10 +50,11 @@ def running_totals(df: DataFrame, order: str, cols: Sequence[str], by: Sequence[
     within = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_all_{c}") for c in cols))
-    offsets = offsets.select(*by, "_part", *(F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols))
+    offsets = offsets.select(*(F.col(c).alias(f"_key_{c}") for c in (*by, "_part")), *(F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols))
     local = cut.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{c}") for c in cols))
-    out = local.join(offsets, [*by, "_part"])
-    return out.select(*df.columns, *((F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"below_{c}") for c in cols))
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in (*by, "_part")]
+    out = local.join(offsets, functools.reduce(lambda u, v: u & v, same))
+    return out.select(*df.columns, *(["_part"] if keep_part else []), *((F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"below_{c}") for c in cols))
 
 
 def value_ranks(df: DataFrame, col: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

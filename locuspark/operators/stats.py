@@ -6,6 +6,7 @@ probabilities are taken on the few result rows that remain (``with_p``).
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Sequence
@@ -14,8 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import pvalues
+from ..sources.staging import staged
 from .binning import running_totals, value_ranks
 
 
@@ -89,7 +92,7 @@ def chi2_contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> D
 def _rank_cells(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Distinct complete value tuples with their number of rows m and the average rank of each column."""
     rows = df.dropna(subset=list(cols))
-    cells = rows.groupBy(*by, *cols).agg(F.count("*").alias("m"))
+    cells = staged(rows.groupBy(*by, *cols).agg(F.count("*").alias("m")), "cells")
     for c in cols:
         cells = cells.join(value_ranks(cells, c, by, weight="m").select(*by, c, F.col("rank").alias(f"r_{c}")), [*by, c])
     return cells
@@ -125,16 +128,27 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: Sequence[str] =
 
 
 def bh_adjust(df: DataFrame, p: str = "p_value", family: Sequence[str] = (), name: str = "p_adj", null_as_one: bool = True) -> DataFrame:
-    """Benjamini-Hochberg within each family; null p count as 1, or stay null and do not count."""
+    """Benjamini-Hochberg within each family; null p count as 1, or stay null and do not count.
+
+    Works on the distinct p of a family: equal p share the largest rank. The least of p * m / rank
+    over larger p is taken within ranges of p, and over ranges from their own least values.
+    """
     value = F.coalesce(F.col(p), F.lit(1.0)) if null_as_one else F.col(p)
     x = df.withColumn("_p", value)
-    keys = [*family] or [F.lit(0)]
-    live = F.col("_p").isNotNull()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_p").asc_nulls_last()))
-    m = F.count("_p").over(Window.partitionBy(*keys))
-    raw = x.withColumns({"_r": rank, "_m": m}).withColumn("_q", F.when(live, F.col("_p") * F.col("_m") / F.col("_r")))
-    up = F.min("_q").over(Window.partitionBy(*keys).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return raw.withColumn(name, F.when(live, F.least(up, F.lit(1.0)))).drop("_p", "_r", "_m", "_q")
+    counts = x.where(F.col("_p").isNotNull()).groupBy(*family, "_p").agg(F.count("*").alias("_n"))
+    ranked = running_totals(counts, "_p", ["_n"], family, keep_part=True)
+    size = counts.groupBy(*family).agg(F.sum("_n").alias("_m"))
+    size = size.select(*(F.col(c).alias(f"_key_{c}") for c in family), "_m")
+    ranked = ranked.join(size, functools.reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in family])).drop(*(f"_key_{c}" for c in family)) if family else ranked.join(F.broadcast(size))
+    ranked = ranked.withColumn("_q", F.col("_p") * F.col("_m") / (F.col("below__n") + F.col("_n")))
+    later = Window.partitionBy(*family).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranked.groupBy(*family, "_part").agg(F.min("_q").alias("_low")).select(*(F.col(c).alias(f"_in_{c}") for c in (*family, "_part")), F.min("_low").over(later).alias("_later"))
+    within = Window.partitionBy(*family, "_part").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    least = ranked.withColumn("_w", F.min("_q").over(within)).join(ranges, functools.reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in (*family, "_part")]))
+    adjusted = least.select(*(F.col(c).alias(f"_key_{c}") for c in (*family, "_p")), F.least("_w", "_later", F.lit(1.0)).alias("_adj"))
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in (*family, "_p")]
+    both = x.join(adjusted, functools.reduce(lambda u, v: u & v, same), "left")
+    return both.select(*(c for c in df.columns if c != name), F.col("_adj").alias(name))
 
 
 def pairwise_tests(df: DataFrame, col: str, group: str, groups: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -166,131 +180,196 @@ def treatment_codes(df: DataFrame, col: str, levels: Sequence[str]) -> tuple[Dat
     return df.withColumns({n: (F.col(col) == v).cast("double") for n, v in zip(names, levels[1:], strict=True)}), names
 
 
-def moments(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = ()) -> dict:
-    """n, X'X, X'y, y'y and the sum of y of a design with an intercept, in one pass."""
-    cols = _design(xs, interactions)
-    rows = df.dropna(subset=[y, *dict.fromkeys([*xs, *itertools.chain(*interactions)])])
-    target = F.col(y).cast("double")
+def _sums(cols: Sequence[tuple[str, Column]], target: Column) -> list[Column]:
+    """n, sums of y and y squared, X'X and X'y as aggregates."""
     sums = [F.sum(a * b).alias(f"x{i}_{j}") for i, (_, a) in enumerate(cols) for j, (_, b) in enumerate(cols) if i <= j]
-    got = rows.agg(F.count("*").alias("n"), F.sum(target).alias("sy"), F.sum(target * target).alias("yy"), *sums, *(F.sum(a * target).alias(f"y{i}") for i, (_, a) in enumerate(cols))).first()
-    k = len(cols)
-    xx = np.array([[got[f"x{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    return {"names": [c for c, _ in cols], "n": got["n"], "xx": xx, "xy": np.array([got[f"y{i}"] or 0.0 for i in range(k)]), "yy": got["yy"] or 0.0, "sy": got["sy"] or 0.0}
+    return [F.count("*").alias("n"), F.sum(target).alias("sy"), F.sum(target * target).alias("yy"), *sums, *(F.sum(a * target).alias(f"y{i}") for i, (_, a) in enumerate(cols))]
 
 
-def ols(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = (), least: int = 20) -> dict | None:
-    """Least squares with an intercept: coefficients with se, t, p; r2, adj_r2, llf, aic; None under ``least`` rows."""
-    m = moments(df, y, xs, interactions)
-    n, k = m["n"], len(m["names"])
-    if n < max(least, k + 1) or np.linalg.matrix_rank(m["xx"]) < k:
+def _fit(names: Sequence[str], got: dict, least: int) -> dict | None:
+    """The least squares fit from the sums; None under ``least`` rows or for a design without full rank."""
+    n, k = int(got["n"]), len(names)
+    xx = np.array([[got[f"x{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
+    xy, yy, sy = np.array([got[f"y{i}"] or 0.0 for i in range(k)], dtype=float), got["yy"] or 0.0, got["sy"] or 0.0
+    if n < max(least, k + 1) or np.linalg.matrix_rank(xx) < k:
         return None
-    inv = np.linalg.inv(m["xx"])
-    beta = inv @ m["xy"]
-    rss = max(float(m["yy"] - beta @ m["xy"]), 0.0)
-    tss_ = m["yy"] - m["sy"] ** 2 / n
+    inv = np.linalg.inv(xx)
+    beta = inv @ xy
+    rss = max(float(yy - beta @ xy), 0.0)
+    tss_ = yy - sy**2 / n
     se = np.sqrt(np.diag(inv) * rss / (n - k))
-    llf = -n / 2 * (math.log(2 * math.pi * rss / n) + 1)
+    llf = -n / 2 * (math.log(2 * math.pi * rss / n) + 1) if rss > 0 else math.inf
     r2 = 1 - rss / tss_ if tss_ > 0 else math.nan
-    rows = [{"term": c, "coef": b, "se": s, "t": b / s, "p_value": pvalues.t_two_sided(b / s, n - k)} for c, b, s in zip(m["names"], beta.tolist(), se.tolist(), strict=True)]
+    rows = [{"term": c, "coef": b, "se": s, "t": b / s if s else math.inf, "p_value": pvalues.t_two_sided(b / s, n - k) if s else 0.0} for c, b, s in zip(names, beta.tolist(), se.tolist(), strict=True)]
     return {"terms": rows, "n": n, "k": k, "rss": rss, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (n - k), "llf": llf, "aic": 2 * k - 2 * llf}
 
 
-def compare_nested(df: DataFrame, y: str, base: Sequence[str], added: Sequence[str]) -> dict | None:
-    """Gain of the model with ``added`` over the one without, on the same rows."""
+def _per_group(sums: DataFrame, by: Sequence[str], fields: str, fit: Callable[[dict], list[dict]]) -> DataFrame:
+    """``fit`` of each row of sums (one per group) as rows with the group's columns."""
+    schema = StructType([sums.schema[c] for c in by] + StructType.fromDDL(fields).fields)
+
+    def solve(frames):
+        for pdf in frames:
+            rows = [{c: r[c] for c in by} | x for r in pdf.to_dict("records") for x in fit(r)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return sums.mapInPandas(solve, schema)
+
+
+def linear_models(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = (), by: Sequence[str] = (), least: int = 20) -> DataFrame:
+    """One least squares fit per group from one aggregate: a row per group and term.
+
+    term, coef, se, t, p_value and the model's n, k, r2, adj_r2, llf, aic; no rows for groups of
+    under ``least`` complete rows or without full rank.
+    """
+    cols = _design(xs, interactions)
+    names = [c for c, _ in cols]
+    rows = df.dropna(subset=[y, *dict.fromkeys([*xs, *itertools.chain(*interactions)])])
+    sums = rows.groupBy(*by).agg(*_sums(cols, F.col(y).cast("double")))
+
+    def fit(got: dict) -> list[dict]:
+        one = _fit(names, got, least)
+        return [t | {k: one[k] for k in ("n", "k", "r2", "adj_r2", "llf", "aic")} for t in one["terms"]] if one else []
+
+    return _per_group(sums, by, "term string, coef double, se double, t double, p_value double, n long, k long, r2 double, adj_r2 double, llf double, aic double", fit)
+
+
+def nested_gain(df: DataFrame, y: str, base: Sequence[str], added: Sequence[str], by: Sequence[str] = (), least: int = 20) -> DataFrame:
+    """Per group, what ``added`` brings to the linear model of ``base`` on the same rows, both from one aggregate.
+
+    n, adj_r2_full, adj_r2_base, delta_adj_r2, delta_aic (base less full), lr and its p_value.
+    """
+    cols = _design([*base, *added], ())
+    names, k = [c for c, _ in cols], 1 + len(base)
     rows = df.dropna(subset=[y, *base, *added])
-    small, large = ols(rows, y, base), ols(rows, y, [*base, *added])
-    if not small or not large:
-        return None
-    lr = 2 * (large["llf"] - small["llf"])
-    return {"n": large["n"], "delta_adj_r2": large["adj_r2"] - small["adj_r2"], "delta_aic": large["aic"] - small["aic"], "lr": lr, "p_value": pvalues.chi2_sf(lr, len(added))}
 
+    def fit(got: dict) -> list[dict]:
+        large, small = _fit(names, got, least), _fit(names[:k], got, least)
+        if not large or not small:
+            return []
+        lr = 2 * (large["llf"] - small["llf"])
+        return [{"n": large["n"], "adj_r2_full": large["adj_r2"], "adj_r2_base": small["adj_r2"], "delta_adj_r2": large["adj_r2"] - small["adj_r2"], "delta_aic": small["aic"] - large["aic"], "lr": lr, "p_value": pvalues.chi2_sf(lr, len(added))}]
 
-def partial_slope(df: DataFrame, y: str, x: str, zs: Sequence[str]) -> float | None:
-    """Slope of y on x after both are freed of ``zs``: the full model's coefficient."""
-    fit = ols(df, y, [x, *zs])
-    return fit["terms"][1]["coef"] if fit else None
+    return _per_group(rows.groupBy(*by).agg(*_sums(cols, F.col(y).cast("double"))), by, "n long, adj_r2_full double, adj_r2_base double, delta_adj_r2 double, delta_aic double, lr double, p_value double", fit)
 
 
-def logit(df: DataFrame, y: str, xs: Sequence[str], least: int = 20, least_positive: int = 5, rounds: int = 25) -> dict | None:
-    """Logistic regression by Newton steps, one distributed pass each: odds ratios with intervals, aic, McFadden's r2."""
+def logistic_models(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), least: int = 20, least_positive: int = 5, rounds: int = 25) -> DataFrame:
+    """One logistic regression per group by Newton steps; all groups take each step in one pass over a written design.
+
+    term, coef, se, odds_ratio, ci_low, ci_high, p_value and the model's n, n_positive, llf, aic,
+    mcfadden_r2. No rows for groups with too few rows, positives or negatives, or a singular design.
+    """
     cols = _design(xs, ())
-    rows = df.dropna(subset=[y, *xs]).select(F.col(y).cast("double").alias("_y"), *(c.alias(f"_{i}") for i, (_, c) in enumerate(cols)))
-    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0.0))).first()
-    k = len(cols)
-    if n < least or min(pos, n - pos) < least_positive:
-        return None
-    beta, llf, inv = np.zeros(k), -math.inf, None
-    for _ in range(rounds):
-        eta = sum((F.col(f"_{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-eta))
-        got = rows.agg(
-            F.sum(F.col("_y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))).alias("llf"),
-            *(F.sum(F.col(f"_{i}") * (F.col("_y") - p)).alias(f"g{i}") for i in range(k)),
-            *(F.sum(F.col(f"_{i}") * F.col(f"_{j}") * p * (1 - p)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)),
-        ).first()
+    names, k = [c for c, _ in cols], len(cols)
+    keys = [*by] or ["_all"]
+    rows = df.dropna(subset=[y, *xs]).select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(y).cast("double").alias("_y"), *(c.alias(f"_x{i}") for i, (_, c) in enumerate(cols)))
+    rows = staged(rows, "design")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_y").alias("pos")).where(f"n >= {least} and least(pos, n - pos) >= {least_positive}")
+    now = staged(counts.select("*", *(F.lit(0.0).alias(f"b{i}") for i in range(k)), F.lit(None).cast("double").alias("llf"), F.lit(False).alias("done"), *(F.lit(0.0).alias(f"se{i}") for i in range(k))), "fit")
+    state = ["n", "pos", *(f"b{i}" for i in range(k)), "llf", "done", *(f"se{i}" for i in range(k))]
+    fields = ", ".join(f"{c} {t}" for c, t in now.select(*state).dtypes)
+    eta = sum((F.col(f"_x{i}") * F.col(f"b{i}") for i in range(k)), F.lit(0.0))
+    p = 1 / (1 + F.exp(-eta))
+
+    def step(got: dict) -> list[dict]:
         hess = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         if np.linalg.matrix_rank(hess) < k:
-            return None
+            return []
         inv = np.linalg.inv(hess)
-        done, llf = abs(got["llf"] - llf) < 1e-9, got["llf"]
-        if done:
+        done = bool(got["done"]) or (got["llf"] is not None and abs(got["new"] - got["llf"]) < 1e-9)
+        move = np.zeros(k) if done else inv @ np.array([got[f"g{i}"] for i in range(k)])
+        se = np.sqrt(np.diag(inv))
+        return [{"n": got["n"], "pos": got["pos"], "llf": got["new"], "done": done} | {f"b{i}": got[f"b{i}"] + move[i] for i in range(k)} | {f"se{i}": se[i] for i in range(k)}]
+
+    for _ in range(rounds):
+        if now.where("not done").isEmpty():
             break
-        beta = beta + inv @ np.array([got[f"g{i}"] for i in range(k)])
-    se = np.sqrt(np.diag(inv))
-    null = pos * math.log(pos / n) + (n - pos) * math.log(1 - pos / n)
-    terms = [{"term": c, "coef": b, "se": s, "odds_ratio": math.exp(b), "ci_low": math.exp(b - 1.96 * s), "ci_high": math.exp(b + 1.96 * s), "p_value": 2 * pvalues.normal_sf(abs(b / s))} for (c, _), b, s in zip(cols, beta.tolist(), se.tolist(), strict=True)]
-    return {"terms": terms, "n": n, "llf": llf, "aic": 2 * k - 2 * llf, "mcfadden_r2": 1 - llf / null}
+        sums = rows.join(now, keys).groupBy(*now.drop(*(f"se{i}" for i in range(k))).columns).agg(
+            F.sum(F.col("_y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))).alias("new"),
+            *(F.sum(F.col(f"_x{i}") * (F.col("_y") - p)).alias(f"g{i}") for i in range(k)),
+            *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}") * p * (1 - p)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)),
+        )
+        now = staged(_per_group(sums, keys, fields, step), "fit")
+
+    def told(got: dict) -> list[dict]:
+        n, pos, llf = got["n"], got["pos"], got["llf"]
+        null = pos * math.log(pos / n) + (n - pos) * math.log(1 - pos / n)
+        out = []
+        for i, name in enumerate(names):
+            b, se = got[f"b{i}"], got[f"se{i}"]
+            out.append({"term": name, "coef": b, "se": se, "odds_ratio": math.exp(min(b, 700)), "ci_low": math.exp(min(b - 1.96 * se, 700)), "ci_high": math.exp(min(b + 1.96 * se, 700)), "p_value": 2 * pvalues.normal_sf(abs(b / se)), "n": n, "n_positive": int(pos), "llf": llf, "aic": 2 * k - 2 * llf, "mcfadden_r2": 1 - llf / null})
+        return out
+
+    return _per_group(now, by, "term string, coef double, se double, odds_ratio double, ci_low double, ci_high double, p_value double, n long, n_positive long, llf double, aic double, mcfadden_r2 double", told)
+
+
+def ols(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = (), least: int = 20) -> dict | None:
+    """Least squares with an intercept: coefficients with se, t, p; r2, adj_r2, llf, aic; None under ``least`` rows."""
+    cols = _design(xs, interactions)
+    rows = df.dropna(subset=[y, *dict.fromkeys([*xs, *itertools.chain(*interactions)])])
+    return _fit([c for c, _ in cols], rows.agg(*_sums(cols, F.col(y).cast("double"))).first().asDict(), least)
+
+
+def partial_slope(df: DataFrame, y: str, x: str, zs: Sequence[str]) -> float | None:
+    """Slope of y on x after both are freed of ``zs``: the full model's coefficient."""
+    fit = ols(df, y, [x, *zs])
+    return fit["terms"][1]["coef"] if fit else None
+
+
+def _uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from the md5 of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def _replicate_rho(cells: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Weighted rank correlation ``r`` of the cells (x, y, m) of each key; a replicate is one key, so one task sorts no more than its rows."""
+    for c in (x, y):
+        order = Window.partitionBy(*keys).orderBy(c)
+        upto = F.sum("m").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        own = F.sum("m").over(Window.partitionBy(*keys, c))
+        cells = cells.withColumn(f"r_{c}", upto - (own - 1) / 2)
+    return cells.groupBy(*keys).agg(_corr(F.col(f"r_{x}"), F.col(f"r_{y}"), F.col("m").cast("double")).alias("r"))
 
 
-def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, times: int = 1000, seed: int = 42) -> DataFrame:
-    """rho, ci_low, ci_high: percentiles of rho over Poisson(1) bootstraps, one replicate per group.
+def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, by: Sequence[str] = (), times: int = 1000, seed: int = 42) -> DataFrame:
+    """Per group n, rho, ci_low, ci_high: percentiles of rho over Poisson(1) bootstraps.
 
-    Weights come from a hash of row key and replicate, so a run can be repeated anywhere.
+    A row's weight in a replicate comes from the md5 of its key, the replicate and the seed, so a run can be repeated
+    anywhere. Rows with weight 0 (a third) leave at once; a group's replicates are separate keys of the shuffle.
     """
-    rows = df.dropna(subset=[x, y]).select(key, x, y)
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    rows = df.dropna(subset=[x, y]).select(*by, key, x, y)
     steps, total, term = [], 0.0, math.exp(-1)
     for k in range(8):
         total += term
         steps.append(total)
         term /= k + 1
+    u = _uniform(F.col(key), F.col("replicate"), F.lit(seed))
     weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", weight).where("w > 0")
-    cells = many.groupBy("replicate", x, y).agg(F.sum("w").alias("m"))
-    for c in (x, y):
-        order = Window.partitionBy("replicate").orderBy(c)
-        ranks = cells.groupBy("replicate", c).agg(F.sum("m").alias("n")).withColumn("_b", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        cells = cells.join(ranks.select("replicate", c, (F.col("_b") + (F.col("n") + 1) / 2).alias(f"r_{c}")), ["replicate", c])
-    per = cells.groupBy("replicate").agg(_corr(F.col(f"r_{x}"), F.col(f"r_{y}"), F.col("m").cast("double")).alias("r"))
-    ci = per.agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return spearman(rows, x, y).select("n", "rho").join(ci).select("n", "rho", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("m", weight).where("m > 0")
+    per = _replicate_rho(many.groupBy(*by, "replicate", x, y).agg(F.sum("m").alias("m")), [*by, "replicate"], x, y)
+    ci = per.groupBy(*by).agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    whole = spearman(rows, x, y, by).select(*by, "n", "rho")
+    both = whole.join(ci, list(by), "left") if by else whole.join(F.broadcast(ci))
+    return both.select(*by, "n", "rho", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-def permutation_test(df: DataFrame, x: str, y: str, group: str, a: str, b: str, key: str, times: int = 10_000, seed: int = 42, most_rows: int = 2_000_000) -> DataFrame:
-    """observed |rho_a - rho_b| and the share of label shuffles that reach it.
+def permutation_test(df: DataFrame, x: str, y: str, group: str, a: str, b: str, key: str, by: Sequence[str] = (), times: int = 10_000, seed: int = 42) -> DataFrame:
+    """Per group of ``by``: n_a, n_b, rho_a, rho_b, observed = |rho_a - rho_b| and the share of label shuffles that reach it.
 
-    The two columns' ranks go to each task once; their number is checked against ``most_rows``.
+    A shuffle gives the label ``a`` to the rows whose keys have the smallest md5 with the replicate's number.
     """
-    rows = df.where(F.col(group).isin(a, b)).dropna(subset=[x, y]).select(key, x, y, (F.col(group) == a).alias("g"))
-    n = rows.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows are more than {most_rows}; sample them first")
-    pdf = rows.orderBy(key).toPandas()
-    xs, ys, g = pdf[x].to_numpy(float), pdf[y].to_numpy(float), pdf["g"].to_numpy(bool)
-
-    def rho(u: np.ndarray, v: np.ndarray) -> float:
-        return float(np.corrcoef(pd.Series(u).rank(), pd.Series(v).rank())[0, 1])
-
-    def gap(mask: np.ndarray) -> float:
-        return abs(rho(xs[mask], ys[mask]) - rho(xs[~mask], ys[~mask]))
-
-    observed = gap(g)
-
-    def shuffled(batches):
-        for batch in batches:
-            hits = [gap(np.random.Generator(np.random.PCG64([seed, int(i)])).permutation(g)) >= observed for i in batch["id"]]
-            yield pd.DataFrame({"hit": hits})
-
-    spark = df.sparkSession
-    got = spark.range(times).mapInPandas(shuffled, "hit boolean").agg(F.avg(F.col("hit").cast("int")).alias("p_value"))
-    return got.withColumns({"observed": F.lit(observed), "n": F.lit(n)}).select("n", "observed", "p_value")
+    rows = df.where(F.col(group).isin(a, b)).dropna(subset=[x, y]).select(*by, key, x, y, (F.col(group) == a).alias("g"))
+    rows = staged(rows, "permuted")
+    sizes = rows.groupBy(*by).agg(F.count_if("g").alias("n_a"), F.count_if(~F.col("g")).alias("n_b")).where("n_a >= 3 and n_b >= 3")
+    keys = [*by, "replicate"]
+    spread = (rows.join(sizes, list(by)) if by else rows.join(F.broadcast(sizes))).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times))))
+    order = F.when(F.col("replicate") == 0, F.when(F.col("g"), "0").otherwise("1")).otherwise(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed)))))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", key))
+    dealt = spread.withColumn("_o", order).withColumn("side", place <= F.col("n_a")).withColumn("m", F.lit(1)).select(*keys, "n_a", "n_b", "side", x, y, "m")
+    rho = _replicate_rho(dealt, [*keys, "n_a", "n_b", "side"], x, y)
+    two = rho.groupBy(*keys, "n_a", "n_b").agg(F.max(F.when(F.col("side"), F.col("r"))).alias("rho_a"), F.max(F.when(~F.col("side"), F.col("r"))).alias("rho_b"))
+    two = two.withColumn("gap", F.coalesce(F.abs(F.col("rho_a") - F.col("rho_b")), F.lit(0.0)))
+    real = F.col("replicate") == 0
+    whole = two.groupBy(*by, "n_a", "n_b").agg(*(F.max(F.when(real, F.col(c))).alias(c) for c in ("rho_a", "rho_b")), F.max(F.when(real, F.col("gap"))).alias("observed"), F.collect_list(F.when(~real, F.col("gap"))).alias("_gaps"))
+    hits = F.size(F.filter("_gaps", lambda g: g >= F.col("observed") - 1e-12))
+    return whole.withColumn("p_value", hits / F.lit(times)).drop("_gaps")

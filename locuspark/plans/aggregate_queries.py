@@ -1,7 +1,6 @@
 """Queries for group summaries, tests and models over derived tables.
 
-The twins give the sufficient statistics and adjusted values; tail probabilities, which SQL
-lacks, are covered by unit tests.
+The twins get tail probabilities by quadrature, see ``sql_tools``.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from ..operators import intervals as I
 from ..operators import matrix as M
 from ..operators import stats as T
 from ..operators import summaries as A
+from . import sql_tools as D
 from .fixtures import cte, frame, sequences, table, tiles_sql
 from .operator_queries import DIRS, LABELS, OVER, directions, labels, r6
 from .registry import query
@@ -194,45 +194,45 @@ def contrast_summary(spark, sf):
 # tests
 
 
-@query("""WITH x AS (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')), r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM x),
+@query(f"""WITH x AS (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')), r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM x),
 s AS (SELECT count(*) FILTER (g = 'A') AS n_a, count(*) FILTER (g = 'R') AS n_b, sum(rk) FILTER (g = 'A') AS ra FROM r)
-SELECT n_a, n_b, CAST(ra - n_a * (n_a + 1) / 2.0 AS DOUBLE) AS u, CAST((SELECT sum(c * c * c - c) FROM (SELECT count(*) AS c FROM x GROUP BY v)) AS DOUBLE) AS ties, round(1 - 2 * (ra - n_a * (n_a + 1) / 2.0) / (n_a * n_b), 6) AS rank_biserial FROM s""")
+SELECT *, {D.p6(D.u_p('u', 'n_a', 'n_b', 'ties'))} AS p_value FROM (SELECT n_a, n_b, CAST(ra - n_a * (n_a + 1) / 2.0 AS DOUBLE) AS u, CAST((SELECT sum(c * c * c - c) FROM (SELECT count(*) AS c FROM x GROUP BY v)) AS DOUBLE) AS ties, round(1 - 2 * (ra - n_a * (n_a + 1) / 2.0) / (n_a * n_b), 6) AS rank_biserial FROM s)""")
 def two_sample_ranks(spark, sf):
-    return T.mann_whitney(frame(spark, sf, "two"), "value", "grp", "A", "R").select("n_a", "n_b", "u", "ties", r6("rank_biserial"))
+    return T.mann_whitney(frame(spark, sf, "two"), "value", "grp", "A", "R").select("n_a", "n_b", "u", "ties", r6("rank_biserial"), r6("p_value"))
 
 
-@query("""WITH r AS (SELECT l_linenumber AS stratum, l_returnflag AS g, l_quantity AS v, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2.0 AS rk FROM lineitem),
+@query(f"""WITH r AS (SELECT l_linenumber AS stratum, l_returnflag AS g, l_quantity AS v, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2.0 AS rk FROM lineitem),
 k AS (SELECT stratum, g, count(*) AS m, sum(rk) AS s FROM r GROUP BY ALL), t AS (SELECT stratum, sum(c * c * c - c) AS ties FROM (SELECT l_linenumber AS stratum, count(*)::DOUBLE AS c FROM lineitem GROUP BY l_linenumber, l_quantity) GROUP BY 1),
 h AS (SELECT stratum, sum(m)::DOUBLE AS n, count(*) AS groups, sum(s * s / m) AS ss FROM k GROUP BY 1)
-SELECT stratum, CAST(n AS BIGINT) AS n, groups, round((12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 5) AS h FROM h JOIN t USING (stratum)""")
+SELECT stratum, n, groups, round(h, 5) AS h, {D.p6(D.chi2_sf('h', '(groups - 1)'))} AS p_value FROM (SELECT stratum, CAST(n AS BIGINT) AS n, groups, (12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM h JOIN t USING (stratum))""")
 def k_sample_ranks(spark, sf):
-    return T.kruskal(frame(spark, sf, "two"), "value", "grp", by=["stratum"]).select("stratum", "n", "groups", F.round("h", 5).alias("h"))
+    return T.kruskal(frame(spark, sf, "two"), "value", "grp", by=["stratum"]).select("stratum", "n", "groups", F.round("h", 5).alias("h"), r6("p_value"))
 
 
-@query("""WITH c AS (SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS o FROM lineitem GROUP BY ALL), n AS (SELECT sum(o) AS n FROM c),
+@query(f"""WITH c AS (SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS o FROM lineitem GROUP BY ALL), n AS (SELECT sum(o) AS n FROM c),
 g AS (SELECT a.l_returnflag, b.l_linestatus, a.r, b.c, coalesce(o, 0) AS o FROM (SELECT l_returnflag, sum(o) AS r FROM c GROUP BY 1) a CROSS JOIN (SELECT l_linestatus, sum(o) AS c FROM c GROUP BY 1) b LEFT JOIN c USING (l_returnflag, l_linestatus))
-SELECT CAST(n AS BIGINT) AS n, (SELECT (count(DISTINCT l_returnflag) - 1) * (count(DISTINCT l_linestatus) - 1) FROM c) AS df, round(sum((o - r * c / n) * (o - r * c / n) / (r * c / n)), 4) AS chi2 FROM g, n GROUP BY n""")
+SELECT n, df, round(chi2, 4) AS chi2, {D.p6(D.chi2_sf('chi2', 'df'))} AS p_value FROM (SELECT CAST(n AS BIGINT) AS n, (SELECT (count(DISTINCT l_returnflag) - 1) * (count(DISTINCT l_linestatus) - 1) FROM c) AS df, sum((o - r * c / n) * (o - r * c / n) / (r * c / n)) AS chi2 FROM g, n GROUP BY n)""")
 def chi_square(spark, sf):
-    return T.chi2_contingency(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").select("n", "df", F.round("chi2", 4).alias("chi2"))
+    return T.chi2_contingency(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").select("n", "df", F.round("chi2", 4).alias("chi2"), r6("p_value"))
 
 
-@query("""WITH r AS (SELECT l_returnflag AS grp, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS x,
+@query(f"""WITH r AS (SELECT l_returnflag AS grp, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS x,
  rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
-SELECT grp, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY 1""")
+SELECT grp, n, round(rho, 6) AS rho, {D.p6(D.correlation_p('rho', 'n'))} AS p_value FROM (SELECT grp, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1)""")
 def rank_correlation(spark, sf):
-    return T.spearman(frame(spark, sf, "two"), "value", "price", by=["grp"]).select("grp", "n", r6("rho"))
+    return T.spearman(frame(spark, sf, "two"), "value", "price", by=["grp"]).select("grp", "n", r6("rho"), r6("p_value"))
 
 
-@query("SELECT l_returnflag AS grp, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+@query(f"SELECT grp, n, round(r, 6) AS r, {D.p6(D.correlation_p('r', 'n'))} AS p_value FROM (SELECT l_returnflag AS grp, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1)")
 def linear_correlation(spark, sf):
-    return T.pearson(frame(spark, sf, "two"), "value", "price", by=["grp"]).select("grp", "n", r6("r"))
+    return T.pearson(frame(spark, sf, "two"), "value", "price", by=["grp"]).select("grp", "n", r6("r"), r6("p_value"))
 
 
-@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y,
+@query(f"""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y,
  rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS z FROM lineitem), c AS (SELECT count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM r)
-SELECT n, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS rho FROM c""")
+SELECT n, round(rho, 6) AS rho, {D.p6(D.correlation_p('rho', 'n'))} AS p_value FROM (SELECT n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS rho FROM c)""")
 def partial_rank_correlation(spark, sf):
-    return T.partial_spearman(frame(spark, sf, "two"), "value", "price", "discount").select("n", r6("rho"))
+    return T.partial_spearman(frame(spark, sf, "two"), "value", "price", "discount").select("n", r6("rho"), r6("p_value"))
 
 
 BH = """SELECT {keep}, round(CASE WHEN p IS NOT NULL THEN least(1, min(p * m / r) OVER (PARTITION BY {family} ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) END, 6) AS p_adj FROM (
@@ -250,12 +250,12 @@ def adjust_by_family(spark, sf):
 
 
 @query(f"""{cte('de', 'sets')}, bg AS (SELECT gene, padj_12 < 0.05 AS q FROM de WHERE padj_12 IS NOT NULL), n AS (SELECT count(*) AS n, count(*) FILTER (q) AS nq FROM bg)
-SELECT set_name, set_size, a, nq - a AS b, set_size - a AS c, n - nq - set_size + a AS d, round(a * (n - nq - set_size + a) / nullif((nq - a) * (set_size - a), 0), 6) AS odds_ratio
-FROM (SELECT set_name, count(*) AS set_size, count(*) FILTER (q) AS a FROM sets JOIN bg USING (gene) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 500), n""")
+SELECT *, {D.p6(D.fisher_p('a', 'b', 'c', 'd', 'greater'))} AS p_value FROM (SELECT set_name, set_size, a, nq - a AS b, set_size - a AS c, n - nq - set_size + a AS d, round(a * (n - nq - set_size + a) / nullif((nq - a) * (set_size - a), 0), 6) AS odds_ratio
+FROM (SELECT set_name, count(*) AS set_size, count(*) FILTER (q) AS a FROM sets JOIN bg USING (gene) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 500), n)""")
 def over_representation(spark, sf):
     bg = frame(spark, sf, "de").where("padj_12 is not null")
     out = T.over_representation(bg.where("padj_12 < 0.05"), bg, frame(spark, sf, "sets"))
-    return out.select("set_name", "set_size", "a", "b", "c", "d", r6("odds_ratio"))
+    return out.select("set_name", "set_size", "a", "b", "c", "d", r6("odds_ratio"), r6("p_value"))
 
 
 @query("""SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coef, count(*) AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem
@@ -265,32 +265,6 @@ def linear_model(spark, sf):
     return spark.createDataFrame([(t["term"], round(t["coef"], 4), fit["n"], round(fit["r2"], 6)) for t in fit["terms"]], "term string, coef double, n long, r2 double")
 
 
-@query()
-def nested_models(spark, sf):
-    """Gain from the discount and its interaction-free companion over the quantity alone."""
-    got = T.compare_nested(frame(spark, sf, "two"), "price", ["value"], ["discount"])
-    return spark.createDataFrame([tuple(float(v) for v in got.values())], ", ".join(f"{k} double" for k in got))
-
-
-@query()
-def logistic_model(spark, sf):
-    rows = frame(spark, sf, "two").withColumn("returned", (F.col("grp") == "R").cast("double"))
-    fit = T.logit(rows, "returned", ["value", "discount"])
-    return spark.createDataFrame([(t["term"], t["coef"], t["odds_ratio"], t["p_value"], fit["n"]) for t in fit["terms"]], "term string, coef double, odds_ratio double, p_value double, n long")
-
-
-@query()
-def bootstrap_correlation(spark, sf):
-    rows = gene_groups(spark, sf).join(frame(spark, sf, "meas"), "gene").join(frame(spark, sf, "de"), "gene")
-    return T.bootstrap_spearman(rows, "measure", "lfc_12", "gene", times=100)
-
-
-@query()
-def permuted_difference(spark, sf):
-    rows = gene_groups(spark, sf).join(frame(spark, sf, "meas"), "gene").join(frame(spark, sf, "de"), "gene")
-    return T.permutation_test(rows, "measure", "lfc_12", "grp", "control", "none", "gene", times=200)
-
-
 @query(f"{cte('mtx')} SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, round(sqrt(sum((a.value - b.value) * (a.value - b.value))), 4) AS distance FROM mtx a JOIN mtx b USING (gene) WHERE a.sample_id < b.sample_id GROUP BY ALL")
 def sample_distances(spark, sf):
     return M.sample_distance(frame(spark, sf, "mtx"), "gene", "sample_id", "value").withColumn("distance", F.round("distance", 4))

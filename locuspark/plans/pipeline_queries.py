@@ -176,7 +176,8 @@ def q15_accessible_groups(spark, sf):
 r AS (SELECT grp, sample_id, {rank_sql('x', 'grp, sample_id')} AS rx, {rank_sql('value', 'grp, sample_id')} AS ry FROM groups JOIN w USING (gene) JOIN mtx USING (gene))
 SELECT grp, sample_id, count(*) AS n, round(corr(rx, ry), 5) AS rho FROM r GROUP BY ALL HAVING count(*) >= 10""")
 def q16_signal_expression(spark, sf):
-    out = P.signal_expression_corr(gene_groups(spark, sf), frame(spark, sf, "win"), frame(spark, sf, "track"), frame(spark, sf, "mtx"))
+    rows, _ = P.signal_expression(gene_groups(spark, sf), frame(spark, sf, "win"), frame(spark, sf, "track"), frame(spark, sf, "mtx"), 1)
+    out = P.signal_expression_corr(rows)
     return out.where("n >= 10").select("grp", "sample_id", "n", F.round("rho", 5).alias("rho"))
 
 
@@ -250,27 +251,6 @@ def q24_burden_master(spark, sf):
     return burden_table(spark, sf).select("product", "gene", "grp", F.round("damage_mean", 5).alias("damage_mean"), r6("strength"), "repressed_60", "trajectory")
 
 
-@query(f"""{BM}, bl AS ({' UNION ALL '.join(f"SELECT product, {t} AS time, round(damage_mean, 9) AS dm, lfc_{t} AS lfc FROM bm" for t in S.TIMES)})
-SELECT product, time, count(*) AS n, round(corr(x, y), 5) AS rho FROM (SELECT product, time, {rank_sql('dm', 'product, time')} AS x, {rank_sql('lfc', 'product, time')} AS y FROM bl) GROUP BY ALL""")
-def q26_burden_models(spark, sf):
-    bm = burden_table(spark, sf).withColumn("damage_mean", F.round("damage_mean", 9))
-    return P.burden_models(bm)[0].select("product", "time", "n", F.round("rho", 5).alias("rho"))
-
-
-@query(f"""{BM}, e AS (SELECT product, list_distinct(quantile_cont(round(damage_mean, 9), [0, 1 / 3, 2 / 3, 1])) AS q FROM bm GROUP BY 1),
-b AS (SELECT bm.product AS product, concat('T', CAST(1 + len(list_filter(list_sort(q)[2:len(q) - 1], lambda k: k < round(damage_mean, 9))) AS VARCHAR)) AS tertile, lfc_60 FROM bm JOIN e USING (product))
-SELECT product, 60 AS time, tertile, count(lfc_60) AS n, round(avg(lfc_60), 5) AS mean FROM b GROUP BY ALL""")
-def q25_burden_tertiles(spark, sf):
-    bm = burden_table(spark, sf).withColumn("damage_mean", F.round("damage_mean", 9))
-    return P.burden_tertiles(bm)[0].where("time = 60").select("product", "time", "tertile", "n", F.round("mean", 5).alias("mean"))
-
-
-@query(f"{BM}, b AS (SELECT product, trajectory, round(damage_mean, 9) AS dm FROM bm WHERE (product, trajectory) IN (SELECT product, trajectory FROM bm GROUP BY ALL HAVING count(*) >= 3)) {h_sql('b', 'dm', 'trajectory', 'product')}")
-def q27_burden_by_trajectory(spark, sf):
-    bm = burden_table(spark, sf).withColumn("damage_mean", F.round("damage_mean", 9))
-    return P.burden_by_trajectory(bm)[0].select("product", "n", "groups", F.round("h", 5).alias("h"))
-
-
 @query(f"""{BM}, l AS ({' UNION ALL '.join(f"SELECT product, '{m}' AS metric, round({m}, 9) AS v, lfc_60 FROM bm" for m in ('damage_max', 'damage_mean', 'damage_sum', 'real_rpkm_mean'))})
 SELECT product, metric, count(*) AS n, round(corr(x, y), 5) AS rho FROM (SELECT product, metric, {rank_sql('v', 'product, metric')} AS x, {rank_sql('lfc_60', 'product, metric')} AS y FROM l) GROUP BY ALL""")
 def q28_specificity(spark, sf):
@@ -279,12 +259,6 @@ def q28_specificity(spark, sf):
     return P.metric_sweep(bm.withColumns({m: F.round(m, 9) for m in metrics}), metrics).select("product", "metric", "n", F.round("rho", 5).alias("rho"))
 
 
-@query()
-def q28_interaction(spark, sf):
-    fit = P.interaction_model(burden_table(spark, sf), F.col("grp") == "hit", value="damage_max") or {"terms": [], "n": 0}
-    return spark.createDataFrame([(t["term"], float(t["coef"]), float(t["p_value"]), fit["n"]) for t in fit["terms"]], "term string, coef double, p_value double, n long")
-
-
 @query(f"{BASELINE} SELECT grp, count(*) AS n_annotated, count(b.gene) AS n_retained FROM groups LEFT JOIN (SELECT gene FROM base WHERE expression_class IN ('Q3', 'Q4')) b USING (gene) GROUP BY 1")
 def q29_retention(spark, sf):
     from ..operators.summaries import retention

@@ -14,6 +14,7 @@ from ..operators import intervals as I
 from ..operators import matrix as M
 from ..operators import stats as T
 from ..operators import summaries as A
+from ..sources.staging import staged
 
 GROUPS = ("hit", "control", "none")
 
@@ -159,13 +160,30 @@ def accessible_groups(windows: DataFrame, loci: DataFrame, open_regions: DataFra
     return flagged.select("timepoint", "gene", S.assign_group(F.col("n_overlaps") > 0, F.col("has_control"), GROUPS).alias("grp")), report
 
 
-def signal_expression_corr(groups: DataFrame, windows: DataFrame, track: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Rank correlation of window signal and expression by group and sample; ``matrix`` is long."""
+def signal_expression(groups: DataFrame, windows: DataFrame, track: DataFrame, matrix: DataFrame, first: object) -> tuple[DataFrame, DataFrame]:
+    """gene, grp, sample_id, log_signal, expression of the active genes, and the silent genes (no signal and no expression in sample ``first``)."""
     signal = I.signal_mean(windows, track, ["gene"]).select("gene", S.log2p1("signal").alias("log_signal"))
     rows = groups.select("gene", "grp").join(signal, "gene").join(matrix.withColumn("expression", S.log2p1("value")), "gene")
+    rows = rows.select("gene", "grp", "sample_id", "log_signal", "expression")
+    silent = rows.where((F.col("sample_id") == first) & (F.col("log_signal") == 0) & (F.col("expression") == 0)).select("gene", "grp")
+    return rows.join(silent.select("gene"), "gene", "left_anti"), silent
+
+
+def signal_expression_corr(rows: DataFrame) -> DataFrame:
+    """Rank correlation of window signal and expression by group and sample, of groups with ten genes."""
     return T.bh_adjust(T.spearman(rows, "log_signal", "expression", by=["grp", "sample_id"], least=10), null_as_one=False)
 
 
+def signal_expression_intervals(rows: DataFrame, times: int = 1000) -> DataFrame:
+    """Bootstrap intervals of the same correlations."""
+    return T.bootstrap_spearman(rows, "log_signal", "expression", "gene", by=["grp", "sample_id"], times=times)
+
+
+def signal_expression_contrast(rows: DataFrame, a: str, b: str, times: int = 10_000) -> DataFrame:
+    """Permutation tests of the correlations' difference between two groups, by sample."""
+    return T.permutation_test(rows, "log_signal", "expression", "grp", a, b, "gene", by=["sample_id"], times=times)
+
+
 def uv_master(groups: DataFrame, wide: DataFrame, tpm: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per gene with changes, directions, course, first and last hit; and the losses of the join."""
     rows, losses = A.inner_chain(groups.select("gene", "grp"), {"changes": wide, "tpm": tpm}, "gene")
@@ -213,6 +231,18 @@ def onset_tests(master: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     return T.bh_adjust(T.fisher(hits.join(totals).select("first_hit", "a", (F.col("na") - F.col("a")).alias("b"), "c", (F.col("nc") - F.col("c")).alias("d"))))
 
 
+def sustained_baseline(master: DataFrame, groups: Sequence[str] = GROUPS) -> tuple[DataFrame, DataFrame]:
+    """Baseline expression of the genes of sustained repression by group, and the one-sided test of the first group against the last."""
+    rows = master.where("trajectory = 'repressed_sustained'")
+    return A.group_summary(rows, "grp", "log2_tpm", groups), T.mann_whitney(rows, "log2_tpm", "grp", groups[0], groups[-1], alternative="greater")
+
+
+def onset_course(master: DataFrame) -> DataFrame:
+    """Median change of significant genes by time and group."""
+    long = _unpivot(master.where("lrt_padj < 0.05"), ["gene", "grp"], ["lfc"])
+    return long.groupBy("time", "grp").agg(F.count("lfc").alias("n"), F.median("lfc").alias("median"))
+
+
 def combined_strength(signals: dict[str, DataFrame], key: str = "gene", how: str = "max") -> DataFrame:
     """Rank-normalised signal of each assay, and their largest or mean value (missing as 0 for the mean)."""
     out = None
@@ -232,12 +262,12 @@ def strength_predictor(master: DataFrame, strength: DataFrame, n_bins: int = 3)
     return T.spearman(long, "strength", "abs_lfc", by=["time"]), A.direction_counts(long.join(tertiles, "gene"), ["time", "tertile"], "dir", "lfc")
 
 
-def matched_magnitude(master: DataFrame, bins: int = 10, groups: Sequence[str] = GROUPS) -> tuple[DataFrame, dict | None]:
+def matched_magnitude(master: DataFrame, bins: int = 10, groups: Sequence[str] = GROUPS) -> tuple[DataFrame, DataFrame]:
     """Tests of the largest change within expression bins, and what the group adds to expression in a linear model."""
     binned = B.qcut(master, "log2_tpm", bins, "bin")
     tests = T.bh_adjust(T.mann_whitney(binned, "abs_lfc_max", "grp", groups[0], groups[-1], by=["bin"]))
     coded = master.withColumn("in_first", (F.col("grp") == groups[0]).cast("double"))
-    return tests, T.compare_nested(coded, "abs_lfc_max", ["log2_tpm"], ["in_first"])
+    return tests, T.nested_gain(coded, "abs_lfc_max", ["log2_tpm"], ["in_first"])
 
 
 def burden(windows: DataFrame, loci: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,12 +277,16 @@ def burden(windows: DataFrame, loci: DataFrame, reads: DataFrame) -> tuple[DataF
     overlap join; the sample is a key.
     """
     parts = I.intersect(windows.select("gene", "chrom", "start", "end"), loci.select("chrom", "start", "end"))
-    places = parts.select(F.col("gene_a").alias("gene"), "chrom", "start", "end").distinct()
+    return burden_of_places(parts.select(F.col("gene_a").alias("gene"), "chrom", "start", "end").distinct(), reads)
+
+
+def burden_of_places(places: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``burden``, for intervals that are given with their genes."""
     places = places.withColumn("locus", S.locus_id("chrom", "start", "end", "gene"))
     totals = reads.groupBy("sample_id", "product").agg(F.count_if(F.col("kind") == "real").alias("total_real"), F.count_if(F.col("kind") == "sim").alias("total_sim"))
     pairs = I.overlap_pairs(places.select("locus", "chrom", "start", "end"), reads.select("sample_id", "product", "kind", "chrom", "start", "end"))
     counts = pairs.groupBy(F.col("locus_a").alias("locus"), F.col("sample_id_b").alias("sample_id"), F.col("product_b").alias("product")).agg(F.count_if(F.col("kind_b") == "real").alias("real"), F.count_if(F.col("kind_b") == "sim").alias("sim"))
-    grid = places.select("locus", "gene", (F.col("end") - F.col("start")).alias("length")).join(totals)
+    grid = places.select("locus", "gene", (F.col("end") - F.col("start")).alias("length")).join(totals)  # the result has a row for each locus and sample
     full = grid.join(counts, ["locus", "sample_id", "product"], "left").fillna(0, ["real", "sim"])
     rated = full.withColumns({"real_rpkm": S.rpkm("real", "length", "total_real"), "sim_rpkm": S.rpkm("sim", "length", "total_sim")}).withColumn("damage", S.log2_ratio("real_rpkm", "sim_rpkm"))
     locus = rated.groupBy("product", "gene", "locus").agg(F.count("*").alias("n_samples"), F.avg("real_rpkm").alias("real_rpkm_mean"), F.max("real_rpkm").alias("real_rpkm_max"), F.avg("sim_rpkm").alias("sim_rpkm_mean"), F.avg("damage").alias("damage_mean"), F.max("damage").alias("damage_max"))
@@ -266,26 +300,101 @@ def burden_master(gene_burden: DataFrame, master: DataFrame, strength: DataFrame
     return rows.withColumns({f"repressed_{t}": S.flag(F.col(f"dir_{t}") == "repressed") for t in S.TIMES} | {"sustained": S.flag(F.col("trajectory") == "repressed_sustained")})
 
 
-def burden_tertiles(bm: DataFrame, value: str = "damage_mean") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """By product and time: change by burden tertile, its overall test, and high against low, adjusted."""
-    binned = B.qcut(bm, value, 3, "tertile", by=["product"]).withColumn("tertile", F.concat(F.lit("T"), F.col("tertile").cast("string")))
-    long = _unpivot(binned, ["product", "gene", "tertile"], ["lfc"])
-    summary = long.groupBy("product", "time", "tertile").agg(F.count("lfc").alias("n"), F.avg("lfc").alias("mean"), F.median("lfc").alias("median"))
-    return summary, T.kruskal(long, "lfc", "tertile", by=["product", "time"]), T.bh_adjust(T.mann_whitney(long, "lfc", "tertile", "T3", "T1", by=["product", "time"], alternative="greater"))
-
+def burden_tertiles(bm: DataFrame, value: str = "damage_mean") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """By product and time: changes by burden tertile; tests of signed and absolute change; chi-square and exact tests of responses.
 
-def burden_models(bm: DataFrame, value: str = "damage_mean") -> tuple[DataFrame, DataFrame]:
-    """By product and time: rank correlation of burden with change, plain and given expression."""
-    long = _unpivot(bm, ["product", "gene", value, "log2_tpm"], ["lfc"])
+    The tests are long tables (product, time, test, comparison, statistic, p_value), one-sided and adjusted by product.
+    """
+    binned = B.qcut(bm, value, 3, "tertile", by=["product"]).withColumn("tertile", F.concat(F.lit("T"), F.col("tertile").cast("string")))
+    long = _unpivot(binned, ["product", "gene", "tertile", "sustained"], ["lfc", "dir"]).withColumn("abs_lfc", F.abs("lfc"))
     by = ["product", "time"]
-    return T.bh_adjust(T.spearman(long, value, "lfc", by=by), null_as_one=False), T.partial_spearman(long, value, "lfc", "log2_tpm", by=by)
-
-
-def burden_by_trajectory(bm: DataFrame, value: str = "damage_mean") -> tuple[DataFrame, DataFrame]:
-    """By product: burden over courses, and sustained repression against no response, split at the median expression."""
-    over = T.kruskal(bm, value, "trajectory", by=["product"], least=3)
+    share = lambda c: F.avg(c.cast("double"))
+    summary = long.groupBy(*by, "tertile").agg(
+        F.count("lfc").alias("n"), F.avg("lfc").alias("mean"), F.median("lfc").alias("median"), F.median("abs_lfc").alias("median_abs"),
+        share(F.col("dir") == "repressed").alias("repressed"), share(F.col("dir") == "induced").alias("induced"), share(F.col("lfc") > 1).alias("over_1"), share(F.col("lfc") > 2).alias("over_2"),
+    )
+    told = lambda df, test, comparison, statistic: df.select(*by, F.lit(test).alias("test"), F.lit(comparison).alias("comparison"), F.col(statistic).alias("statistic"), "p_value")
+    parts = [told(T.kruskal(long, "lfc", "tertile", by=by, least=3), "kruskal", "all", "h")]
+    for low in ("T1", "T2"):
+        for col, name in (("lfc", "signed"), ("abs_lfc", "absolute")):
+            parts.append(told(T.mann_whitney(long, col, "tertile", "T3", low, by=by, alternative="greater"), f"ranks_{name}", f"T3_{low}", "u"))
+    chi = told(T.chi2_contingency(long.withColumn("dir", F.coalesce("dir", F.lit("not_sig"))), "tertile", "dir", by=by), "chi2", "all", "chi2")
+    high = F.coalesce(F.col("tertile") == "T3", F.lit(False))
+    outcome = F.explode(F.array(*(F.struct(F.lit(n).alias("outcome"), F.coalesce(c, F.lit(False)).alias("yes")) for n, c in (("repressed", F.col("dir") == "repressed"), ("sustained", F.col("sustained"))))))
+    cells = long.select(*by, high.alias("high"), outcome.alias("x")).groupBy(*by, "x.outcome").agg(*(F.count_if(h & y).alias(c) for c, h, y in (("a", F.col("high"), F.col("x.yes")), ("b", F.col("high"), ~F.col("x.yes")), ("c", ~F.col("high"), F.col("x.yes")), ("d", ~F.col("high"), ~F.col("x.yes")))))
+    return summary, T.bh_adjust(_union(parts), family=["product"]), chi, T.bh_adjust(T.fisher(cells, alternative="greater"), family=["product"])
+
+
+def standardised(bm: DataFrame, value: str) -> tuple[DataFrame, list[str]]:
+    """``bm`` with burden, expression and strength as z-scores of their product."""
+    out = bm.where(F.col(value).isNotNull())
+    for name, col in (("z_burden", value), ("z_tpm", "log2_tpm"), ("z_strength", "strength")):
+        out = B.zscore(out, col, name, by=["product"])
+    return out, ["z_burden", "z_tpm", "z_strength"]
+
+
+def burden_models(bm: DataFrame, value: str = "damage_mean") -> dict[str, DataFrame]:
+    """By product: correlations, partial correlation and covariate models of burden and response.
+
+    correlations (burden with each change, the absolute last one, strength and expression, adjusted by
+    product), partial (given expression, by time), linear and comparison (with and without burden) by time,
+    logistic for repression at each time and for the sustained course.
+    """
+    last = S.TIMES[-1]
+    pairs = [(f"lfc_{t}", F.col(f"lfc_{t}")) for t in S.TIMES] + [(f"abs_lfc_{last}", F.abs(f"lfc_{last}")), ("strength", F.col("strength")), ("log2_tpm", F.col("log2_tpm"))]
+    targets = bm.select("product", F.col(value).alias("burden"), F.explode(F.array(*(F.struct(F.lit(n).alias("target"), c.cast("double").alias("other")) for n, c in pairs))).alias("_x")).select("product", "burden", "_x.*")
+    long = _unpivot(bm, ["product", "gene", value, "log2_tpm"], ["lfc"])
+    coded, xs = standardised(bm, value)
+    coded = staged(coded, "coded")
+    times = _unpivot(coded, ["product", "gene", *xs], ["lfc"])
+    outcomes = [(f"repressed_{t}", F.col(f"repressed_{t}")) for t in S.TIMES] + [("sustained", F.col("sustained"))]
+    hits = coded.select("product", *xs, F.explode(F.array(*(F.struct(F.lit(n).alias("outcome"), c.cast("double").alias("yes")) for n, c in outcomes))).alias("_x")).select("product", *xs, "_x.*")
+    return {
+        "correlations": T.bh_adjust(T.spearman(targets, "burden", "other", by=["product", "target"], least=5), family=["product"], null_as_one=False),
+        "partial": T.partial_spearman(long, value, "lfc", "log2_tpm", by=["product", "time"]),
+        "linear": T.linear_models(times, "lfc", xs, by=["product", "time"]),
+        "comparison": T.nested_gain(times, "lfc", xs[1:], xs[:1], by=["product", "time"]),
+        "logistic": T.logistic_models(hits, "yes", xs, by=["product", "outcome"]),
+    }
+
+
+def burden_by_trajectory(bm: DataFrame, value: str = "damage_mean", against: str = "not_responsive") -> dict[str, DataFrame]:
+    """By product: burden over courses; each course against no response; sustained repression in halves of expression; its logistic model."""
     halves = B.qcut(bm, "log2_tpm", 2, "half", by=["product"])
-    return over, T.bh_adjust(T.mann_whitney(halves, value, "trajectory", "repressed_sustained", "not_responsive", by=["product", "half"]))
+    pairs = [T.mann_whitney(bm, value, "trajectory", t, against, by=["product"], alternative="two-sided").withColumn("course", F.lit(t)) for t in TRAJECTORIES if t != against]
+    enough = _union(pairs).where("n_a >= 3 and n_b >= 3")
+    coded, xs = standardised(bm.where(F.col("trajectory").isin("repressed_sustained", against)), value)
+    return {
+        "overall": T.kruskal(bm, value, "trajectory", by=["product"], least=3),
+        "pairs": T.bh_adjust(enough, family=["product"]),
+        "halves": T.mann_whitney(halves, value, "trajectory", "repressed_sustained", against, by=["product", "half"], alternative="greater"),
+        "logistic": T.logistic_models(coded.withColumn("yes", F.col("sustained").cast("double")), "yes", xs, by=["product"]),
+    }
+
+
+def specificity(bm: DataFrame, windows: DataFrame, master: DataFrame, reads: DataFrame, background: DataFrame, value: str = "damage_max", groups: Sequence[str] = GROUPS) -> dict[str, DataFrame]:
+    """Is the burden special to the first group? By product.
+
+    matched: median burden of the first and the last group within each side's own expression deciles.
+    The last group's windows count as loci. interaction: change at each time on burden, group, their product
+    and expression. background: burden of intervals outside genes against the first group's.
+    """
+    other = burden_of_places(windows.join(master.where(F.col("grp") == groups[-1]).select("gene"), "gene", "left_semi").select("gene", "chrom", "start", "end"), reads)[1]
+    lfc = [f"lfc_{t}" for t in S.TIMES]
+    control = other.join(master, "gene").select("product", "gene", F.col(value).alias("burden"), "log2_tpm", *lfc, F.lit(0.0).alias("in_first"))
+    target = bm.where((F.col("grp") == groups[0]) & F.col(value).isNotNull()).select("product", "gene", F.col(value).alias("burden"), "log2_tpm", *lfc, F.lit(1.0).alias("in_first"))
+    both = staged(target.unionByName(control.where("burden is not null")), "specific")
+    deciles = B.qcut(both, "log2_tpm", 10, "decile", by=["product", "in_first"]).groupBy("product", "decile")
+    matched = deciles.agg(*(f.alias(n) for k, side in (("first", 1.0), ("last", 0.0)) for n, f in ((f"n_{k}", F.count_if(F.col("in_first") == side)), (f"median_{k}", F.median(F.when(F.col("in_first") == side, F.col("burden")))))))
+    rows = _unpivot(B.zscore(both, "burden", "z_burden", by=["product"]), ["product", "gene", "z_burden", "in_first", "log2_tpm"], ["lfc"])
+    outside = burden_of_places(background.withColumn("gene", F.concat_ws(":", "chrom", F.col("start").cast("string"), F.col("end").cast("string"))), reads)[1]
+    sides = target.select("product", "burden", F.lit("first").alias("side")).union(outside.select("product", F.col(value), F.lit("background")).where(F.col(value).isNotNull()))
+    return {
+        "matched": matched.where("n_first >= 3 and n_last >= 3"),
+        "interaction": T.linear_models(rows, "lfc", ["z_burden", "in_first", "log2_tpm"], [("z_burden", "in_first")], by=["product", "time"], least=30),
+        "background": T.mann_whitney(sides, "burden", "side", "first", "background", by=["product"]),
+        "background_summary": outside.groupBy("product").agg(F.count("*").alias("n_loci"), F.count(value).alias("n_quantified"), F.median(value).alias("median"), F.avg(value).alias("mean")),
+    }
 
 
 def metric_sweep(bm: DataFrame, metrics: Sequence[str] = ("damage_max", "damage_mean", "damage_sum", "real_rpkm_mean"), outcome: str = "lfc_60") -> DataFrame:
@@ -300,10 +409,10 @@ def matched_difference(a: DataFrame, b: DataFrame, stratify: str, value: str, q:
     return parts[0].join(parts[1], "stratum").withColumn("difference", F.col("mean_a") - F.col("mean_b"))
 
 
-def interaction_model(bm: DataFrame, group_flag: Column, outcome: str = "lfc_60", value: str = "damage_mean") -> dict | None:
-    """Linear model of the outcome on burden, a group, their product and expression."""
-    coded = bm.withColumn("in_group", group_flag.cast("double"))
-    return T.ols(coded, outcome, [value, "in_group", "log2_tpm"], [(value, "in_group")])
+def metaprofile_by_group(groups: DataFrame, genes: DataFrame, track: DataFrame, flank: int = 2000, step: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The start points of each group's genes (gene, chrom, tss, strand given), and the mean signal around them by distance bin."""
+    points = genes.join(groups.select("gene", "grp"), "gene").select("gene", "grp", "chrom", F.col("tss").alias("pos"), "strand")
+    return points, I.metaprofile(points, track, flank, step, "grp", "gene")
 
 
 def gene_matrices(quant: DataFrame, tx2gene: DataFrame, least: float = 10, samples: int = 3) -> DataFrame:

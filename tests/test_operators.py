@@ -143,9 +143,35 @@ def test_models_equal_numpy(spark):
     want = np.linalg.lstsq(np.c_[np.ones(200), x, z], y, rcond=None)[0]
     assert [t["coef"] for t in fit["terms"]] == pytest.approx(want.tolist())
     assert T.partial_slope(df, "y", "x", ["z"]) == pytest.approx(want[1])
-    assert T.compare_nested(df, "y", ["x"], ["z"])["p_value"] < 1e-20
-    odds = T.logit(df, "hit", ["x"])
-    assert odds["terms"][1]["coef"] > 0 and odds["terms"][1]["p_value"] < 1e-6 and 0 < odds["mcfadden_r2"] < 1
+    gain = T.nested_gain(df, "y", ["x"], ["z"]).first()
+    assert gain["p_value"] < 1e-20 and gain["delta_aic"] > 0
+    odds = {r["term"]: r for r in T.logistic_models(df, "hit", ["x"]).collect()}
+    assert odds["x"]["coef"] > 0 and odds["x"]["p_value"] < 1e-6 and 0 < odds["x"]["mcfadden_r2"] < 1
+    p = 1 / (1 + np.exp(-(odds["intercept"]["coef"] + odds["x"]["coef"] * x)))
+    hit = np.array([r["hit"] for r in df.collect()])
+    assert abs((hit - p).sum()) < 1e-6
+    assert T.linear_models(df.limit(10), "y", ["x"]).count() == 0 == T.logistic_models(df.where("hit = 1"), "hit", ["x"]).count()
+
+
+def test_adjusted_p_of_many_values(spark):
+    rng = random.Random(2)
+    p = [round(rng.random() ** 3, 3) for _ in range(700)]
+    df = spark.createDataFrame([(k, v, "ab"[k % 2] if k % 7 else None) for k, v in enumerate(p)], "id long, p_value double, f string")
+
+    def plain(rows):
+        out, low = {}, 1.0
+        for rank, (k, v) in reversed(list(enumerate(sorted(rows, key=lambda x: x[1]), 1))):
+            low = min(low, v * len(rows) / rank)
+            out[k] = low
+        return out
+
+    got = {r["id"]: r["p_adj"] for r in T.bh_adjust(df).collect()}
+    assert got == pytest.approx(plain(list(enumerate(p))))
+    got = {r["id"]: r["p_adj"] for r in T.bh_adjust(df, family=["f"]).collect()}
+    want = {}
+    for f in ("a", "b", None):
+        want |= plain([(k, v) for k, v in enumerate(p) if ("ab"[k % 2] if k % 7 else None) == f])
+    assert got == pytest.approx(want)
 
 
 def test_resampling(spark):

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from locuspark.plans import aggregate_queries, operator_queries, pipeline_queries  # noqa: F401
+from locuspark.plans import aggregate_queries, model_queries, operator_queries, pipeline_queries  # noqa: F401
 from locuspark.plans.registry import QUERIES, SQL
 
 from .oracle import check
