@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -47,21 +48,43 @@ def reverse_complement(seq: Column | str) -> Column:
     return F.reverse(F.translate(_c(seq), "ACGTacgt", "TGCAtgca"))
 
 
-def classify_motif(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = MOTIFS) -> Column:
-    """struct(structure, span_start, span_end): the first class with a match, its first pattern, leftmost match; else other."""
-    s, hit = _c(seq), None
+def shortest(pattern: str) -> str:
+    """A pattern that is found in the same texts with less backtracking: repeats of a group go no further than they must.
+
+    More repeats than the least can be cut off before or behind the rest of the match, as a group of these
+    patterns begins with the run that may stand after it.
+    """
+    return re.sub(r"\)\{(\d+),\}", r"){\1}", pattern)
+
+
+def _first_match(s: Column, classes: Sequence[tuple[str, Sequence[str]]], value: Callable[[str, str], Column], other: Column) -> Column:
+    hit = None
     for name, patterns in classes:
         for p in patterns:
-            found = F.struct(F.lit(name).alias("structure"), F.lit(p).alias("pattern"))
-            hit = F.when(s.rlike(p), found) if hit is None else hit.when(s.rlike(p), found)
-    none = F.struct(F.lit("other").alias("structure"), F.lit(None).cast("string").alias("pattern"))
+            found = s.rlike(shortest(p))
+            hit = F.when(found, value(name, p)) if hit is None else hit.when(found, value(name, p))
+    return hit.otherwise(other)
 
-    def span(h: Column) -> Column:
-        start = F.regexp_instr(s, h["pattern"]) - 1
-        end = start + F.length(F.call_function("regexp_extract", s, h["pattern"], F.lit(0)))
-        return F.struct(h["structure"].alias("structure"), start.alias("span_start"), end.alias("span_end"))
 
-    return _once(hit.otherwise(none), span)
+def motif_class(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = MOTIFS) -> Column:
+    """The first class with a match, else other; no span is looked for."""
+    return _first_match(_c(seq), classes, lambda name, p: F.lit(name), F.lit("other"))
+
+
+def classify_motif(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = MOTIFS) -> Column:
+    """struct(structure, span_start, span_end): the first class with a match, its first pattern, leftmost match; else other."""
+    s, flat = _c(seq), [(name, p) for name, patterns in classes for p in patterns]
+    number = _first_match(s, classes, lambda name, p: F.lit(flat.index((name, p))), F.lit(-1))
+
+    def span(k: Column) -> Column:
+        out = None
+        for i, (name, p) in enumerate(flat):
+            start = F.regexp_instr(s, F.lit(p)) - 1
+            found = F.struct(F.lit(name).alias("structure"), start.alias("span_start"), (start + F.length(F.regexp_extract(s, p, 0))).alias("span_end"))
+            out = F.when(k == i, found) if out is None else out.when(k == i, found)
+        return out.otherwise(F.struct(F.lit("other").alias("structure"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end")))
+
+    return _once(number, span)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -15,10 +15,24 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def quantiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
+    """One row per group with the linearly interpolated quantiles of ``ps`` as an array, read off the running totals of the values' counts."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_totals(counts, "_v", ["_n"], by)
+    size = counts.groupBy(*(F.col(c).alias(f"_key_{c}") for c in by)).agg(F.sum("_n").alias("_size"))
+    same = functools.reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]) if by else None
+    both = placed.join(size, same) if by else placed.join(F.broadcast(size))
+    upto = F.col("below__n") + F.col("_n")
+    spots = [(F.lit(p) * (F.col("_size") - 1)) for p in ps]
+    ends = [F.min(F.when(upto > at, F.col("_v"))).alias(f"_{end}{k}") for k, h in enumerate(spots) for end, at in (("l", F.floor(h)), ("h", F.ceil(h)))]
+    got = both.groupBy(*by, "_size").agg(*ends)
+    between = [F.col(f"_l{k}") + (h - F.floor(h)) * (F.col(f"_h{k}") - F.col(f"_l{k}")) for k, h in enumerate(spots)]
+    return got.select(*by, F.array(*between).alias(name))
+
+
 def quantile_edges(df: DataFrame, col: str, q: int, by: Sequence[str] = ()) -> DataFrame:
     """One row per group: the q + 1 linearly interpolated quantiles, equal ones once, as ``edges``."""
-    at = [k / q for k in range(q + 1)]
-    return df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(col), F.array(*map(F.lit, at)))).alias("edges"))
+    return quantiles(df, col, [k / q for k in range(q + 1)], by).select(*by, F.array_distinct("quantiles").alias("edges"))
 
 
 def qcut(df: DataFrame, col: str, q: int, name: str = "bin", by: Sequence[str] = (), zero: Column | None = None) -> DataFrame:

@@ -7,11 +7,14 @@ longer intervals usually are; longer ones cost more rows, not wrong results.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
+
 BIN = 1 << 14
 
 
@@ -64,7 +67,8 @@ def overlap_count(a: DataFrame, b: DataFrame, key: Sequence[str], name: str = "n
 
 
 def _hit_keys(a: DataFrame, b: DataFrame, key: Sequence[str], width: int) -> DataFrame:
-    pairs = overlap_pairs(a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("chrom", "start", "end"), width)
+    """Keys of the rows of ``a`` that overlap ``b``, whose rows are merged first: a row then meets few islands, however deep they pile up."""
+    pairs = overlap_pairs(a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), merge(b.select("chrom", "start", "end")).select("chrom", "start", "end"), width)
     return pairs.select(*(F.col(f"{k}_a").alias(k) for k in key)).distinct()
 
 
@@ -165,3 +169,22 @@ def metaprofile(points: DataFrame, track: DataFrame, flank: int, step: int, by:
 
 def sort_bed(df: DataFrame) -> DataFrame:
     return df.orderBy("chrom", "start", "end")
+
+
+def extract_seq(intervals: DataFrame, chunks: DataFrame, key: Sequence[str], width: int = BIN) -> DataFrame:
+    """``intervals`` with ``seq``, put together from sequence chunks (chrom, start, seq) that they overlap.
+
+    Minus-strand intervals (column ``strand``, if there is one) are read backwards and complemented. An interval
+    that the chunks do not cover whole has a null sequence.
+    """
+    pieces = chunks.select("chrom", "start", (F.col("start") + F.length("seq")).alias("end"), "seq")
+    pairs = overlap_pairs(intervals.select(*dict.fromkeys([*key, "chrom", "start", "end"])), pieces, width)
+    low = F.greatest("start_a", "start_b")
+    part = F.substr("seq_b", (low - F.col("start_b") + 1).cast("int"), F.col("overlap_bp").cast("int"))
+    joined = pairs.groupBy(*(F.col(f"{k}_a").alias(f"_key_{k}") for k in key)).agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("piece")))).alias("_p"))
+    both = intervals.join(joined, functools.reduce(lambda u, v: u & v, [F.col(k) == F.col(f"_key_{k}") for k in key]), "left")
+    seq = F.array_join(F.transform("_p", lambda x: x["piece"]), "")
+    if "strand" in intervals.columns:
+        seq = F.when(F.col("strand") == "-", reverse_complement(seq)).otherwise(seq)
+    whole = F.length(seq) == F.col("end") - F.col("start")
+    return both.select(*(c for c in intervals.columns if c != "seq"), F.when(whole, seq).alias("seq"))

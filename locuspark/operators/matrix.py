@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .binning import quantiles
+
 
 def sample_stats(long: DataFrame, key: str, value: str, samples: Sequence[object] | None = None, sample: str = "sample_id") -> DataFrame:
     """Mean, sample sd and whether all values are 0, over the chosen samples."""
@@ -49,7 +51,8 @@ def size_factors(long: DataFrame, key: str, sample: str, value: str) -> DataFram
     """Median over keys of the ratio of each sample to the key's geometric mean; keys with a 0 or a gap are left out."""
     n = long.select(sample).distinct().count()
     means = long.groupBy(key).agg(F.avg(F.ln(F.when(F.col(value) > 0, F.col(value)))).alias("_log"), F.count_if(F.col(value) > 0).alias("_n")).where(F.col("_n") == n).select(key, "_log")
-    return long.join(means, key).groupBy(sample).agg(F.exp(F.percentile(F.ln(value) - F.col("_log"), F.lit(0.5))).alias("size_factor"))
+    ratios = long.join(means, key).select(sample, (F.ln(value) - F.col("_log")).alias("_ratio"))
+    return quantiles(ratios, "_ratio", [0.5], [sample]).select(sample, F.exp(F.col("quantiles")[0]).alias("size_factor"))
 
 
 def normalize_counts(long: DataFrame, key: str, sample: str, value: str) -> DataFrame:

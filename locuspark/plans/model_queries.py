@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions import sequence as Q
-from ..operators import binning as B
 from ..operators import intervals as I
 from ..operators import stats as T
-from ..sources.staging import staged
+from ..sources import readers as R
+from ..sources.staging import shared_path, staged
 from . import pipelines as P
 from . import sql_tools as D
 from .aggregate_queries import gene_groups
-from .fixtures import cte, frame, sequences, sql, table
+from .fixtures import G_POOR, cte, frame, sequences, sql
 from .operator_queries import OVER, r6
 from .pipeline_queries import BASELINE, BM, LONG, MASTER, STRENGTH, baseline, burden_table, h_sql, rank_sql, saved_master, strength, u_sql
 from .registry import query
@@ -413,3 +412,34 @@ def q30_points(spark, sf):
     genes = frame(spark, sf, "gene").select("gene", "chrom", "tss", "strand")
     points = P.metaprofile_by_group(gene_groups(spark, sf), genes, frame(spark, sf, "track"))[0]
     return points.groupBy("grp", "strand").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+# sequences of intervals, sample files
+
+
+@query("""WITH s AS (SELECT concat('d', CAST(doc_id AS VARCHAR)) AS chrom, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz .,', '{alphabet}'), '[^ACGT]', '', 'g') AS seq FROM documents),
+i AS (SELECT chrom, seq, k, k * 90 + 13 AS start, k * 90 + 163 + k % 40 AS "end", CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT chrom, seq, unnest(range(0, length(seq) // 90 + 1)) AS k FROM s)),
+p AS (SELECT *, CASE WHEN "end" <= length(seq) THEN substr(seq, CAST(start + 1 AS BIGINT), CAST("end" - start AS BIGINT)) END AS x FROM i)
+SELECT chrom, k, strand, CASE WHEN strand = '-' THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS seq FROM p""".replace("{alphabet}", G_POOR))
+def interval_sequences(spark, sf):
+    """Intervals over the borders of 256-base chunks, on both strands; those that run over the end have no sequence."""
+    whole = sequences(spark, sf)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("seq") / 256).cast("int") - 1))
+    chunks = whole.select("chrom", "seq", F.explode(starts).alias("c")).select("chrom", (F.col("c") * 256).cast("long").alias("start"), F.substr("seq", F.col("c") * 256 + 1, F.lit(256)).alias("seq")).where("seq <> ''")
+    k = whole.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("seq") / 90))).alias("k"))
+    intervals = k.select("chrom", "k", (F.col("k") * 90 + 13).alias("start"), (F.col("k") * 90 + 163 + F.col("k") % 40).alias("end"), F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return I.extract_seq(intervals, chunks, ["chrom", "k"], width=512).select("chrom", "k", "strand", "seq")
+
+
+@query(f"{cte('read')} SELECT concat('s', CAST(sample_id AS VARCHAR)) AS name, kind, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, count(*) AS n, CAST(sum(start) AS BIGINT) AS total FROM read WHERE sample_id <> 3 AND NOT (kind = 'sim' AND sample_id = 1) GROUP BY ALL")
+def sample_files(spark, sf):
+    """Reads written as the four files of each sample of a manifest and read back; one sample is of another method, one has no simulated files."""
+    folder = shared_path(spark, "samples")
+    samples = spark.createDataFrame([(f"s{k}", "XR" if k == 3 else "DS") for k in range(4)], "name string, method string")
+    reads = frame(spark, sf, "read").withColumn("name", F.concat(F.lit("s"), F.col("sample_id").cast("string"))).where("not (kind = 'sim' and sample_id = 1)")
+    named = reads.withColumn("file", F.concat("kind", F.when(F.col("event_id") % 2 == 0, "_plus.bed").otherwise("_minus.bed")))
+    named.select("name", "file", F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string")).alias("line")).write.partitionBy("name", "file").text(f"{folder}/raw")
+    for r in named.select("name", "file").distinct().collect():  # a few files
+        spark.read.text(f"{folder}/raw/name={r['name']}/file={r['file']}").write.text(f"{folder}/{r['name']}/{r['file']}")
+    found = R.read_samples(spark, R.manifest(samples, "DS", folder))
+    return found.groupBy("name", "kind", "strand").agg(F.count("*").alias("n"), F.sum("start").alias("total"))

@@ -150,7 +150,7 @@ def min_rows_gate(spark, sf):
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey % 3 = 1")
 def sample_manifest(spark, sf):
     rows = table(spark, sf, "supplier").withColumn("method", F.when(F.col("s_nationkey") % 3 == 1, "DS").otherwise("XR"))
-    return R.manifest(rows, "DS").select("s_suppkey", "s_name")
+    return R.manifest(rows, "DS", name="s_name").select("s_suppkey", "s_name")
 
 
 @query("SELECT concat(min(CASE WHEN n_nationkey % 5 = 2 THEN n_name END), '_vs_', min(CASE WHEN n_nationkey % 5 = 3 THEN n_name END)) AS contrast FROM nation")
@@ -194,7 +194,7 @@ def _motif_sql(column: str) -> str:
 @query(f"SELECT structure, count(*) AS n FROM (SELECT {_motif_sql('seq')} FROM ({tiles_sql(G_RICH)})) GROUP BY 1")
 def motif_classes(spark, sf):
     tiles = I.tile(sequences(spark, sf, G_RICH), 150)
-    return tiles.select(Q.classify_motif("seq")["structure"].alias("structure")).groupBy("structure").agg(F.count("*").alias("n"))
+    return tiles.select(Q.motif_class("seq").alias("structure")).groupBy("structure").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT chrom, CAST(start AS BIGINT) AS start, structure, CAST(start + strpos(seq, hit) - 1 AS BIGINT) AS structure_start, CAST(start + strpos(seq, hit) - 1 + length(hit) AS BIGINT) AS structure_end

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import number_or_null, strip_version
+from ..functions.scalars import number_or_null
 
 FASTA_CHUNK = 1 << 15
 
@@ -100,9 +101,28 @@ def read_quant(spark: SparkSession, path: str, sample_pattern: str, times: Seque
     return named.where((F.col("sample_id") != "") & F.col("timepoint").isin(list(times)))
 
 
-def manifest(samples: DataFrame, method: str) -> DataFrame:
-    """Samples of one method from a table of configurations."""
-    return samples.where(F.col("method") == method)
+#: Names of a sample's four files: of reads and of simulated reads, by strand.
+TRACKS = ("real_plus", "real_minus", "sim_plus", "sim_minus")
+
+
+def manifest(samples: DataFrame, method: str, folder: str = "", name: str = "name") -> DataFrame:
+    """Samples of one method from a table of configurations, with the paths of their four BED files below ``folder``."""
+    paths = {f"{t}_bed": F.concat(F.lit(f"{folder.rstrip('/')}/" if folder else ""), F.col(name).cast("string"), F.lit(f"/{t}.bed")) for t in TRACKS}
+    return samples.where(F.col("method") == method).withColumns(paths)
+
+
+def read_samples(spark: SparkSession, samples: DataFrame, name: str = "name") -> DataFrame:
+    """name, kind (real, sim), strand and the intervals of all files of a manifest that exist; samples are few."""
+    parts = []
+    for row in samples.select(F.col(name).cast("string").alias("name"), *(f"{t}_bed" for t in TRACKS)).collect():
+        for t in TRACKS:
+            for p in existing(spark, [row[f"{t}_bed"]]):
+                kind, strand = t.split("_")
+                bed = read_bed(spark, p).select("chrom", "start", "end")
+                parts.append(bed.select(F.lit(row["name"]).alias("name"), F.lit(kind).alias("kind"), F.lit("+" if strand == "plus" else "-").alias("strand"), "chrom", "start", "end"))
+    if not parts:
+        return spark.createDataFrame([], "name string, kind string, strand string, chrom string, start long, end long")
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
@@ -118,12 +138,21 @@ def read_gene_set_manifest(rows: DataFrame) -> DataFrame:
     return rows.select(F.col(name).alias("set_name"), F.explode(F.split(genes, ",")).alias("gene")).select("set_name", F.trim("gene").alias("gene")).where("gene <> ''")
 
 
+def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of the paths that Spark can list."""
+    found = []
+    for p in paths:
+        try:
+            spark.read.format("binaryFile").load(p).schema  # noqa: B018  lists the path only
+            found.append(p)
+        except AnalysisException:
+            continue
+    return found
+
+
 def union_files(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
     """read_bed over those of the files that exist."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = [p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))]
-    return read_bed(spark, there, **options)
+    return read_bed(spark, existing(spark, paths), **options)
 
 
 def assert_min_rows(df: DataFrame, n: int, label: str = "table") -> DataFrame:
@@ -148,13 +177,3 @@ def write_bed(df: DataFrame, path: str, score: str | None = "score") -> None:
     """BED without a header; scores get six decimals."""
     out = df.withColumn(score, F.format_string("%.6f", F.col(score))) if score and score in df.columns else df
     out.write.csv(path, sep="\t", header=False, nullValue=".", emptyValue="")
-
-
-def annotate_transcripts(df: DataFrame) -> DataFrame:
-    """tx2gene columns with stripped ids."""
-    return df.select("transcript_id", strip_version("transcript_id", "last").alias("transcript_id_stripped"), "gene_id", strip_version("gene_id", "last").alias("gene_id_stripped"))
-
-
-def sample_name(pattern: str, name: str) -> tuple[str, ...] | None:
-    m = re.match(pattern, name)
-    return m.groups() if m else None

@@ -196,3 +196,33 @@ def test_strict_bed_fails_on_bad_lines(spark, tmp_path):
     assert R.read_bed(spark, str(path), strand_at=5).count() == 2
     with pytest.raises(Exception, match="malformed"):
         R.read_bed(spark, str(path), strand_at=5, strict=True).collect()
+
+
+def test_shortest_patterns_find_the_same_texts():
+    import re
+
+    rng = random.Random(11)
+    for _ in range(1500):
+        text = "".join(rng.choice("GGGGACT" if rng.random() < 0.7 else "ACGT") for _ in range(rng.randrange(10, 70)))
+        for _, patterns in Q.MOTIFS:
+            for p in patterns:
+                assert bool(re.search(p, text)) == bool(re.search(Q.shortest(p), text))
+
+
+def test_sequences_of_intervals(spark):
+    chunks = spark.createDataFrame([("c", 0, "ACGTA"), ("c", 5, "CCGGT"), ("c", 10, "TA")], "chrom string, start long, seq string")
+    rows = spark.createDataFrame([(1, "c", 3, 11, "+"), (2, "c", 3, 11, "-"), (3, "c", 8, 20, "+"), (4, "x", 0, 2, "+")], "k long, chrom string, start long, end long, strand string")
+    got = {r["k"]: r["seq"] for r in I.extract_seq(rows, chunks, ["k"], width=4).collect()}
+    assert got == {1: "TACCGGTT", 2: "AACCGGTA", 3: None, 4: None}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 400])
+def test_quantiles_equal_numpy(spark, n):
+    rng = random.Random(n)
+    rows = [(float(rng.randrange(60)) / 7 if k % 11 else None, "ab"[k % 2]) for k in range(n + 1)]
+    df = spark.createDataFrame(rows, "v double, g string")
+    ps = [0, 0.25, 1 / 3, 0.5, 0.9, 1]
+    live = [v for v, _ in rows if v is not None]
+    assert B.quantiles(df, "v", ps).first()["quantiles"] == pytest.approx(np.quantile(live, ps).tolist())
+    for r in B.quantiles(df, "v", ps, ["g"]).collect():
+        assert r["quantiles"] == pytest.approx(np.quantile([v for v, g in rows if g == r["g"] and v is not None], ps).tolist())
