@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -390,6 +391,20 @@ def test_raked_marginals_meet_targets(spark):
     assert kept == {r["doc_id"] for r in out if r["sampled"]}
 
 
+def test_given_targets_and_caps(spark):
+    rng = random.Random(14)
+    rows = [(k, " ".join(words(rng.randrange(1, 60), rng)), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "a", "b", "c"])) for k in range(400)]
+    targets = spark.createDataFrame([("source", "a", 2.0), ("source", "b", 6.0), ("lang", "en", 0.5), ("lang", "de", 0.5), ("lang", "xx", 9.0)], "dimension string, value string, share double")
+    docs = mixing.labelled(table(spark, rows), topic_of=F.when(F.length("text") > 200, "long"))
+    low, high = ({(r["dimension"], r["value"]): r for r in mixing.marginals(mixing.calibrated(docs, keep, targets=targets)).collect()} for keep in (0.02, 0.6))
+    assert [low["source", v]["target"] for v in "abc"] == pytest.approx([0.25, 0.75, 0]) and {v for d, v in low if d == "topic"} == {"long", "(none)"}
+    assert low["lang", "en"]["target"] == pytest.approx(0.5)
+    assert all(r["raked"] == pytest.approx(r["target"], abs=1e-4) == pytest.approx(r["expected"], abs=1e-4) for r in low.values())
+    assert high["source", "b"]["expected"] < 0.7  # all of it is in, and it is not enough
+    sample = mixing.sampled(table(spark, rows), 0.02, targets=targets).collect()
+    assert not any(r["sampled"] for r in sample if r["source"] == "c")
+
+
 def test_mixing_of_odd_rows(spark):
     out = mixing.sampled(table(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows()) and all(r["tokens"] == 0 and not r["sampled"] for r in out if r["doc_id"] == 1)
