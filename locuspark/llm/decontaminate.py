@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, SHINGLE_WORDS, bag, bitmap, mix, shingles, slices, staged, text_bytes, weighted_jaccard, words
+from .common import BITMAP_BITS, SHINGLE_WORDS, attach, bag, bitmap, mix, shingles, slices, staged, text_bytes, weighted_jaccard, words
 
 SIMILARITY = 0.8
 RADIUS = 15
@@ -147,15 +147,19 @@ def verify(batches: Batches) -> Batches:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, item_id, similarity, start_word, n_words of the best window of each leaked item."""
-    items = staged(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(read_items, "item_id long, item string, size long, item_print long, tokens array<long>"), "items")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(read_items, "item_id long, item string, size long, item_print long, tokens array<long>")
+    items = staged(items.withColumn("item_key", F.monotonically_increasing_id()), "items")
     known = bitmap(items.select(F.explode("tokens").alias("token")), "token")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    found = rows.mapInArrow(window_finder(known, sizes, similarity), "doc_id long, text_hash long, start long, size long, print long, window string")
-    left = found.select("*", F.explode(_blocks("print")).alias("block"))
-    right = items.select("item_id", "item", "size", "item_print", F.explode(_near_blocks("item_print")).alias("block"))
-    near = left.join(right, ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = near.select("doc_id", "text_hash", "item_id", "start", "size", "window", "item").distinct()
+    found = staged(rows.mapInArrow(window_finder(known, sizes, similarity), "doc_id long, text_hash long, start long, size long, print long, window string"), "windows")
+    # a passage of many documents meets the items once; the items' blocks are many rows, so they are never broadcast
+    left = found.select("size", "print").distinct().select("*", F.explode(_blocks("print")).alias("block"))
+    right = items.select("item_key", "size", "item_print", F.explode(_near_blocks("item_print")).alias("block"))
+    near = left.join(right.hint("merge"), ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    close = staged(near.select("size", "print", "item_key").distinct(), "close")
+    both = attach(found, close, ["size", "print"], ["doc_id", "start"]).join(items.select("item_key", "item_id", "item"), "item_key")
+    pairs = both.select("doc_id", "text_hash", "item_id", "start", "size", "window", "item").distinct()
     best = pairs.mapInArrow(verify, "doc_id long, text_hash long, item_id long, start long, size long, similarity double").where(F.col("similarity") >= similarity)
     top = best.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size")).alias("x"))
     return top.select("doc_id", "text_hash", "item_id", F.col("x.similarity").alias("similarity"), (-F.col("x.s")).alias("start_word"), F.col("x.size").alias("n_words"))
