@@ -270,13 +270,6 @@ def sample_distances(spark, sf):
     return M.sample_distance(frame(spark, sf, "mtx"), "gene", "sample_id", "value").withColumn("distance", F.round("distance", 4))
 
 
-@query()
-def sample_components(spark, sf):
-    full = frame(spark, sf, "mtx")
-    whole = full.groupBy("gene").agg(F.count("*").alias("n")).where("n = 7").select("gene")
-    return M.sample_pca(full.join(whole, "gene", "left_semi"), "gene", "sample_id", "value", 50)
-
-
 @query(f"""{cte('iv')} SELECT a.event_id AS event_id_a, b.event_id AS event_id_b FROM iv a JOIN iv b ON {OVER} WHERE a.event_type = 'signup' AND b.event_type = 'purchase'""")
 def stream_annotation(spark, sf):
     """A stream of intervals against a static table, run to its end."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import intervals as I
+from ..operators import matrix as M
 from ..operators import stats as T
 from ..sources import readers as R
 from ..sources.staging import shared_path, staged
@@ -129,6 +130,18 @@ def permuted_difference(spark, sf):
     return out.select("n_a", "n_b", r6("rho_a"), r6("rho_b"), r6("observed"), "p_value")
 
 
+@query(f"""{cte('mtx')}, full_genes AS (SELECT gene FROM mtx GROUP BY 1 HAVING count(*) = 7), best AS (SELECT gene, avg(value) AS m FROM mtx JOIN full_genes USING (gene) GROUP BY gene ORDER BY var_samp(value) DESC, gene LIMIT 50),
+x AS (SELECT gene, sample_id, value - m AS v FROM mtx JOIN best USING (gene)), gram AS MATERIALIZED (SELECT a.sample_id AS i, b.sample_id AS j, sum(a.v * b.v) AS w FROM x a JOIN x b USING (gene) GROUP BY ALL), {D.leading('one', 'gram')},
+rest AS MATERIALIZED (SELECT g.i AS i, g.j AS j, w - a.l * a.v * b.v AS w FROM gram g JOIN one a ON a.i = g.i JOIN one b ON b.i = g.j), {D.leading('two', 'rest')}
+SELECT one.i AS sample_id, round(abs(one.v) * sqrt(one.l), 2) AS pc1, round(abs(two.v) * sqrt(two.l), 2) AS pc2 FROM one JOIN two USING (i)""")
+def sample_components(spark, sf):
+    """The components' signs are arbitrary, so they are left out."""
+    full = frame(spark, sf, "mtx")
+    whole = full.groupBy("gene").agg(F.count("*").alias("n")).where("n = 7").select("gene")
+    out = M.sample_pca(full.join(whole, "gene", "left_semi"), "gene", "sample_id", "value", 50)
+    return out.select("sample_id", *(F.round(F.abs(c), 2).alias(c) for c in ("pc1", "pc2")))
+
+
 # further results of the composite analyses
 
 

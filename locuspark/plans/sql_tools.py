@@ -117,3 +117,15 @@ def terms(name: str, names: Sequence[str], columns: str) -> str:
 def p6(p: str) -> str:
     """A p-value at six decimals."""
     return f"round(greatest({p}, 0.0), 6)"
+
+
+def leading(name: str, gram: str, squarings: int = 14) -> str:
+    """CTEs ending in ``name``: i, v, l of the leading eigenvector and value of the symmetric table ``gram`` (i, j, w), by repeated squaring."""
+    out = [f"{name}_0 AS MATERIALIZED (SELECT i, j, w / (SELECT sqrt(sum(w * w)) FROM {gram}) AS w FROM {gram})"]
+    for k in range(squarings):
+        out.append(f"{name}_q{k} AS MATERIALIZED (SELECT a.i AS i, b.j AS j, sum(a.w * b.w) AS w FROM {name}_{k} a JOIN {name}_{k} b ON a.j = b.i GROUP BY ALL)")
+        out.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT i, j, w / (SELECT sqrt(sum(w * w)) FROM {name}_q{k}) AS w FROM {name}_q{k})")
+    last = f"{name}_{squarings}"
+    out.append(f"{name}_v AS MATERIALIZED (SELECT i, w / (SELECT sqrt(sum(w * w)) FROM {last} WHERE j = (SELECT arg_max(i, w) FROM {last} WHERE i = j)) AS v FROM {last} WHERE j = (SELECT arg_max(i, w) FROM {last} WHERE i = j))")
+    out.append(f"{name} AS MATERIALIZED (SELECT i, v, (SELECT sum(a.v * w * b.v) FROM {gram} g JOIN {name}_v a ON a.i = g.i JOIN {name}_v b ON b.i = g.j) AS l FROM {name}_v)")
+    return ",\n".join(out)
