@@ -221,10 +221,10 @@ def q16_intervals(spark, sf):
 p AS (SELECT sample_id, replicate, x, y, row_number() OVER (PARTITION BY sample_id, replicate ORDER BY CASE WHEN replicate > 0 THEN md5(concat(gene, '|', CAST(replicate AS VARCHAR), '|42')) WHEN grp = 'hit' THEN '0' ELSE '1' END, gene) <= n_a AS side FROM r JOIN n USING (sample_id), (SELECT unnest(range(0, 201)) AS replicate)),
 k AS (SELECT sample_id, replicate, side, corr(rx, ry) AS rho FROM (SELECT sample_id, replicate, side, {rank_sql('x', 'sample_id, replicate, side')} AS rx, {rank_sql('y', 'sample_id, replicate, side')} AS ry FROM p) GROUP BY ALL),
 g AS (SELECT sample_id, replicate, max(rho) FILTER (side) AS rho_a, max(rho) FILTER (NOT side) AS rho_b FROM k GROUP BY ALL), o AS (SELECT sample_id, abs(rho_a - rho_b) AS gap FROM g WHERE replicate = 0)
-SELECT o.sample_id AS sample_id, n_a, n_b, round(gap, 5) AS observed, (SELECT count(*) FROM g WHERE g.sample_id = o.sample_id AND replicate > 0 AND abs(g.rho_a - g.rho_b) >= gap - 1e-12) / 200.0::DOUBLE AS p_value FROM o JOIN n USING (sample_id) WHERE least(n_a, n_b) >= 3""")
+SELECT o.sample_id AS sample_id, n_a, n_b, round(gap, 5) AS observed, (SELECT count(*) FROM g WHERE g.sample_id = o.sample_id AND replicate > 0 AND abs(g.rho_a - g.rho_b) >= gap - 1e-12) / 200.0::DOUBLE AS p_value FROM o JOIN n USING (sample_id) WHERE least(n_a, n_b) >= 10""")
 def q16_permutations(spark, sf):
     out = P.signal_expression_contrast(signal_rows(spark, sf)[0], "hit", "none", times=200)
-    return out.select("sample_id", "n_a", "n_b", F.round("observed", 5).alias("observed"), "p_value")
+    return out.where("least(n_a, n_b) >= 10").select("sample_id", "n_a", "n_b", F.round("observed", 5).alias("observed"), "p_value")
 
 
 @query(f"{MASTER}, {LONG}, t AS (SELECT *, 'control' AS against FROM long WHERE grp <> 'none' UNION ALL SELECT *, 'none' FROM long WHERE grp <> 'control'), v AS (SELECT *, concat(CAST(time AS VARCHAR), against) AS k, CASE WHEN grp = 'hit' THEN 'x' ELSE 'y' END AS side FROM t) SELECT * FROM ({u_sql('v', 'abs_lfc', 'x', 'y', 'k', 'side')})")
@@ -308,10 +308,10 @@ KEYS = "JOIN (SELECT DISTINCT pt, product, time FROM zl) USING (pt)"
 
 
 @query(f"""{RBM}, l AS ({' UNION ALL '.join(f"SELECT product, '{n}' AS target, damage_mean AS v, {c} AS w FROM rb" for n, c in [*((f'lfc_{t}', f'lfc_{t}') for t in S.TIMES), (f'abs_lfc_{LAST}', f'abs(lfc_{LAST})'), ('strength', 'strength'), ('log2_tpm', 'log2_tpm')])}),
-r AS (SELECT product, target, {rank_sql('v', 'product, target')} AS x, {rank_sql('w', 'product, target')} AS y FROM l WHERE w IS NOT NULL), s AS (SELECT product, target, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY ALL)
+r AS (SELECT product, target, {rank_sql('v', 'product, target')} AS x, {rank_sql('w', 'product, target')} AS y FROM l WHERE w IS NOT NULL), s AS (SELECT product, target, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY ALL HAVING count(*) >= 5)
 SELECT product, target, n, round(rho, 5) AS rho, {D.p6(D.correlation_p('rho', 'n'))} AS p_value FROM s""")
 def q26_burden_models(spark, sf):
-    return P.burden_models(rounded_burden(spark, sf))["correlations"].select("product", "target", "n", F.round("rho", 5).alias("rho"), p6())
+    return P.burden_models(rounded_burden(spark, sf))["correlations"].where("n >= 5").select("product", "target", "n", F.round("rho", 5).alias("rho"), p6())
 
 
 @query(f"""{RBM}, l AS ({' UNION ALL '.join(f"SELECT product, {t} AS time, damage_mean AS a, lfc_{t} AS b, log2_tpm AS c FROM rb" for t in S.TIMES)}), r AS (SELECT product, time, {rank_sql('a', 'product, time')} AS x, {rank_sql('b', 'product, time')} AS y, {rank_sql('c', 'product, time')} AS z FROM l),
@@ -395,7 +395,7 @@ INTER = ["z_burden", "in_first", "log2_tpm", "z_burden * in_first"]
 
 
 @query(f"""{SPEC}, sz AS (SELECT *, (burden - avg(burden) OVER (PARTITION BY product)) / stddev_samp(burden) OVER (PARTITION BY product) AS z_burden FROM sides),
-zl AS ({' UNION ALL '.join(f"SELECT product, {t} AS time, concat(CAST(product AS VARCHAR), '/{t}') AS pt, lfc_{t} AS y, z_burden, in_first, log2_tpm FROM sz" for t in S.TIMES)}),
+zl AS ({' UNION ALL '.join(f"SELECT product, {t} AS time, concat(CAST(product AS VARCHAR), '/{t}') AS pt, lfc_{t} AS y, z_burden, in_first, log2_tpm FROM sz WHERE product IN (SELECT product FROM sides GROUP BY 1 HAVING least(count(*) FILTER (in_first = 1), count(*) FILTER (in_first = 0)) >= 10)" for t in S.TIMES)}),
 {D.ols('m', 'zl', INTER, 'pt', 30)} SELECT product, time, term, n, coef, se, p_value FROM ({D.terms('m', [*INTER[:3], 'z_burden:in_first'], 'pt, term, n, round(coef, 4) AS coef, round(se, 4) AS se, ' + D.p6(D.t_two_sided('(coef / se)', '(n - k)')) + ' AS p_value')}) {KEYS}""")
 def q28_interaction(spark, sf):
     return special(spark, sf)["interaction"].select("product", "time", "term", "n", r4("coef"), r4("se"), p6())

@@ -377,7 +377,7 @@ def specificity(bm: DataFrame, windows: DataFrame, master: DataFrame, reads: Dat
 
     matched: median burden of the first and the last group within each side's own expression deciles.
     The last group's windows count as loci. interaction: change at each time on burden, group, their product
-    and expression. background: burden of intervals outside genes against the first group's.
+    and expression, where both sides have ten genes. background: burden of intervals outside genes against the first group's.
     """
     other = burden_of_places(windows.join(master.where(F.col("grp") == groups[-1]).select("gene"), "gene", "left_semi").select("gene", "chrom", "start", "end"), reads)[1]
     lfc = [f"lfc_{t}" for t in S.TIMES]
@@ -386,7 +386,8 @@ def specificity(bm: DataFrame, windows: DataFrame, master: DataFrame, reads: Dat
     both = staged(target.unionByName(control.where("burden is not null")), "specific")
     deciles = B.qcut(both, "log2_tpm", 10, "decile", by=["product", "in_first"]).groupBy("product", "decile")
     matched = deciles.agg(*(f.alias(n) for k, side in (("first", 1.0), ("last", 0.0)) for n, f in ((f"n_{k}", F.count_if(F.col("in_first") == side)), (f"median_{k}", F.median(F.when(F.col("in_first") == side, F.col("burden")))))))
-    rows = _unpivot(B.zscore(both, "burden", "z_burden", by=["product"]), ["product", "gene", "z_burden", "in_first", "log2_tpm"], ["lfc"])
+    enough = both.groupBy("product").agg(F.count_if(F.col("in_first") == 1).alias("n1"), F.count_if(F.col("in_first") == 0).alias("n0")).where("least(n1, n0) >= 10")
+    rows = _unpivot(B.zscore(both, "burden", "z_burden", by=["product"]).join(enough, "product", "left_semi"), ["product", "gene", "z_burden", "in_first", "log2_tpm"], ["lfc"])
     outside = burden_of_places(background.withColumn("gene", F.concat_ws(":", "chrom", F.col("start").cast("string"), F.col("end").cast("string"))), reads)[1]
     sides = target.select("product", "burden", F.lit("first").alias("side")).union(outside.select("product", F.col(value), F.lit("background")).where(F.col(value).isNotNull()))
     return {
