@@ -158,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     right = items.select("item_key", "size", "item_print", F.explode(_near_blocks("item_print")).alias("block"))
     near = left.join(right.hint("merge"), ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     close = staged(near.select("size", "print", "item_key").distinct(), "close")
-    both = attach(found, close, ["size", "print"], ["doc_id", "start"]).join(items.select("item_key", "item_id", "item"), "item_key")
+    both = attach(found, close, ["size", "print"], ["doc_id", "start"], salts=4).join(items.select("item_key", "item_id", "item"), "item_key")
     pairs = both.select("doc_id", "text_hash", "item_id", "start", "size", "window", "item").distinct()
     best = pairs.mapInArrow(verify, "doc_id long, text_hash long, item_id long, start long, size long, similarity double").where(F.col("similarity") >= similarity)
     top = best.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size")).alias("x"))
