@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, licenses, mixing, near_dedup, pii, quality, tokens, warc
+from . import decontaminate, fim, html, langid, licenses, mixing, near_dedup, pii, quality, tokens, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,9 +163,62 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(_table(spark, sf_dir, "pages"))
+
+
+def _glob_regex(glob: str) -> str:
+    """The pattern of a whole string for a glob, of which no character but those of names, ``/`` and ``.`` is plain."""
+    kinds = {"run": "[^/?]*", "all": "(.|\\n)*", "one": "[^/?]"}
+    return "".join(kinds.get(kind) or f"[{char}]" for kind, char in url_filter.positions(glob))
+
+
+def _op12_sql() -> str:
+    texts = [f"({k}, '{verdict}', {f"'{rule}'" if rule else 'NULL'}, '{glob}', '{_glob_regex(glob)}')" for k, (verdict, rule, glob) in enumerate(url_filter.ranked(url_filter.RULES, url_filter.GLOBS))]
+    return f"""
+WITH globs AS (SELECT * FROM (VALUES {", ".join(texts)}) AS v(place, verdict, rule, pattern, regex)),
+parts AS (
+  SELECT row_number() OVER () AS uid, page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', ['host', 'path', 'query']), {{'host': '', 'path': '', 'query': ''}}) AS u
+  FROM pages),
+urls AS (SELECT uid, page_id, translate(u.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, u.path AS path, u.query AS query FROM parts),
+hits AS (SELECT uid, arg_min(globs, place) AS best FROM urls JOIN globs ON regexp_full_match('.' || host || path || query, regex) GROUP BY uid)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict, best.pattern AS pattern
+FROM urls LEFT JOIN hits USING (uid)
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(_table(spark, sf_dir, "documents"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def _op13_sql() -> str:
+    groups = ", ".join(f"CAST(('0x' || substr(h, {8 * k + 1}, 8)) AS BIGINT) AS h{k + 1}" for k in range(4))
+    marks = " OR ".join(f"contains(text, '{x}')" for x in (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, {groups} FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR {marks} OR h3 % 100 >= {fim.FIM_PERCENT} THEN 'plain' WHEN h4 % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form
+  FROM g),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{fim.PREFIX}' || prefix || '{fim.SUFFIX}' || suffix || '{fim.MIDDLE}' || middle
+                        ELSE '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_quality_rules, op4_warc, op5_language, op6_mixing, op7_decontaminate, op8_main_text, op9_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_quality_rules, op4_warc, op5_language, op6_mixing, op7_decontaminate, op8_main_text, op9_personal_data, op10_token_counts, op11_whitening, op12_url_filter, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op4_warc": OP4_SQL, "op3_quality_rules": OP3_SQL, "op6_mixing": _op6_sql()}
+    return {"op1_license_scan": _op1_sql(), "op4_warc": OP4_SQL, "op3_quality_rules": OP3_SQL, "op6_mixing": _op6_sql(), "op12_url_filter": _op12_sql(), "op13_fill_in_middle": _op13_sql()}
