@@ -222,12 +222,12 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / total if total else 0.0
 
 
-def bitmap(tokens: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**BITMAP_BITS bits with the top bits of each hash set; at most 2**(BITMAP_BITS - 6) rows come to the driver."""
-    at = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS + 6)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITMAP_BITS}) % 64 as int))")
+def bitmap(tokens: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of 2**bits bits with the top bits of each hash set; at most 2**(bits - 6) rows come to the driver."""
+    at = F.shiftrightunsigned(F.col(column), 64 - bits + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) % 64 as int))")
     rows = tokens.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    cells = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for at, bits in rows.toLocalIterator():
-        cells[at] = bits
+    cells = np.zeros(1 << (bits - 6), np.int64)
+    for at, word in rows.toLocalIterator():
+        cells[at] = word
     return np.unpackbits(cells.astype("<i8").view(np.uint8), bitorder="little").astype(bool)

@@ -312,6 +312,29 @@ def test_leaks_against_all_windows(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_windows_of_other_items_sizes_do_not_count(spark, monkeypatch):
+    """A passage of a long item makes no windows of the sizes of shorter items, whose shingles it does not hold."""
+    rng = random.Random(8)
+    items = [" ".join(words(n, rng)) for n in range(10, 70)]
+    docs = [(k, f"{' '.join(words(30, rng))} {items[k % 60]} {' '.join(words(30, rng))}") for k in range(120)]
+    texts = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text_hash", "text"])
+    read = next(decontaminate.read_items(iter([pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(items)], names=["item_id", "text"])])))
+    for bits in (22, 14):  # also when many shingles meet by chance
+        known = []
+        for column in ("tokens", "sized_tokens"):
+            at = np.zeros(1 << bits, bool)
+            at[read.column(column).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+            known.append(at)
+        spans = [r for b in decontaminate.span_finder(*known, sorted(set(range(10, 70))), 0.8)(iter([texts])) for r in b.to_pylist()]
+        for k, (d, t) in enumerate(docs):
+            size = 10 + k % 60
+            mine = [w | {"at": r["base"] + w["start"]} for r in spans if r["doc_id"] == d for w in r["windows"]]
+            assert any(w["size"] == size and w["at"] == 30 for w in mine)
+            if bits == 22:
+                assert {w["size"] for w in mine} == {size} and len(mine) <= 2 + size // 4
+        assert all(WORD.findall(r["span"]) == WORD.findall(docs[r["doc_id"]][1])[r["base"] : r["base"] + max(w["start"] + w["size"] for w in r["windows"])] for r in spans)
+
+
 def test_leaks_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, "w0 w1 w2 w3 w4 w5 w6 w7"), (None, None), (2, "")], "item_id long, text string")
     got = decontaminate.leaks(table(spark, odd_rows()), bench).collect()
