@@ -1,7 +1,8 @@
 """Bins, ranks and samples over whole columns.
 
 Nothing here puts a whole column into one task: running totals are taken within value
-ranges, whose own totals (a few rows) give the offsets.
+ranges of at most about ``RANGE_ROWS`` distinct values, whose own totals (a row for each
+range) give the offsets.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..sources.staging import staged
+
+#: Distinct values of a group that one task sorts.
+RANGE_ROWS = 1 << 20
 
 
 def quantiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
     """One row per group with the linearly interpolated quantiles of ``ps`` as an array, read off the running totals of the values' counts."""
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = running_totals(counts, "_v", ["_n"], by)
-    size = counts.groupBy(*(F.col(c).alias(f"_key_{c}") for c in by)).agg(F.sum("_n").alias("_size"))
-    same = functools.reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]) if by else None
-    both = placed.join(size, same) if by else placed.join(F.broadcast(size))
+    placed, several = ranged(counts, "_v", by)
+    size = placed.groupBy(*(F.col(c).alias(f"_key_{c}") for c in by)).agg(F.sum("_n").alias("_size"))
+    below = add_below(placed, several, "_v", ["_n"], by)
+    both = below.join(size, _same(by, "_key_")) if by else below.join(F.broadcast(size))
     upto = F.col("below__n") + F.col("_n")
     spots = [(F.lit(p) * (F.col("_size") - 1)) for p in ps]
     ends = [F.min(F.when(upto > at, F.col("_v"))).alias(f"_{end}{k}") for k, h in enumerate(spots) for end, at in (("l", F.floor(h)), ("h", F.ceil(h)))]
@@ -51,24 +55,46 @@ def qcut(df: DataFrame, col: str, q: int, name: str = "bin", by: Sequence[str] =
     return joined.withColumn(name, bin_).drop("edges")
 
 
+def ranged(df: DataFrame, order: str, by: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+    """``df`` (a row per value and group) written once, with ``_part``: the number of the range of values that a row is in.
+
+    Also whether any group is in several ranges. Ranges are cut by Spark's own sampling of (group, value), so
+    they hold about equal numbers of rows, whatever the groups' sizes; a later range of a group has larger values.
+    """
+    held = staged(df, "values")
+    largest = held.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if by else held.count()
+    if (largest or 0) <= RANGE_ROWS:
+        return held.withColumn("_part", F.lit(0)), False
+    parts = -(-held.count() // RANGE_ROWS) * 2
+    return staged(held.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()), "ranges"), True
+
+
+def _same(cols: Sequence[str], prefix: str) -> Column:
+    return functools.reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in cols])
+
+
+def add_below(placed: DataFrame, several: bool, order: str, cols: Sequence[str], by: Sequence[str] = (), last: str | None = None) -> DataFrame:
+    """Rows of ``ranged`` with ``below_<c>``: the sum of c over smaller values of the group; and ``last``: the next smaller value."""
+    within = Window.partitionBy(*by, "_part").orderBy(order)
+    local = placed.select("*", *(F.coalesce(F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"below_{c}") for c in cols), *([F.lag(order).over(within).alias(last)] if last else []))
+    if not several:
+        return local
+    keys = [*by, "_part"]
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys).agg(*(F.sum(c).alias(f"_all_{c}") for c in cols), F.max(order).alias("_most"))
+    offsets = totals.select(*(F.col(c).alias(f"_key_{c}") for c in keys), *(F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols), F.max("_most").over(before).alias("_before"))
+    out = local.join(offsets, _same(keys, "_key_"))
+    new = {f"below_{c}": F.col(f"below_{c}") + F.col(f"_off_{c}") for c in cols} | ({last: F.coalesce(last, "_before")} if last else {})
+    return out.withColumns(new).select(*local.columns)
+
+
 def running_totals(df: DataFrame, order: str, cols: Sequence[str], by: Sequence[str] = (), keep_part: bool = False) -> DataFrame:
     """``df`` (one row per value and group) with ``below_<c>``: the sum of c over smaller values of the group.
 
-    Values fall into ranges of about equal numbers of rows, all groups together; totals are taken within ranges
-    and added up over ranges. With ``keep_part`` the number of the range stays as ``_part``.
+    With ``keep_part`` the number of the value's range stays as ``_part``.
     """
-    span = df.agg(F.approx_percentile(F.col(order).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
-    edges = sorted(set(span))
-    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
-    cut = df.withColumn("_part", part)
-    within = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_all_{c}") for c in cols))
-    offsets = offsets.select(*(F.col(c).alias(f"_key_{c}") for c in (*by, "_part")), *(F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols))
-    local = cut.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{c}") for c in cols))
-    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in (*by, "_part")]
-    out = local.join(offsets, functools.reduce(lambda u, v: u & v, same))
-    return out.select(*df.columns, *(["_part"] if keep_part else []), *((F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"below_{c}") for c in cols))
+    out = add_below(*ranged(df, order, by), order, cols, by)
+    return out if keep_part else out.drop("_part")
 
 
 def value_ranks(df: DataFrame, col: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -120,7 +146,7 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def number_rows(df: DataFrame, order: str, name: str = "number", ranges: int = RANGES) -> DataFrame:
+def number_rows(df: DataFrame, order: str, name: str = "number") -> DataFrame:
     """1, 2, 3, ... by a unique order column, without one task for all rows."""
     counts = df.withColumn("_one", F.lit(1))
     return running_totals(counts, order, ["_one"]).withColumn(name, F.col("below__one") + 1).drop("_one", "below__one")

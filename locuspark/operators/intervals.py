@@ -1,8 +1,15 @@
 """Interval operators. Intervals are half-open: chrom, start, end; two overlap if they share a base.
 
-An overlap join turns into an equi-join: both sides are repeated once per bin that they
-touch, and a pair is kept only in the bin of its overlap's start. Bins are as wide as the
-longer intervals usually are; longer ones cost more rows, not wrong results.
+An overlap join turns into an equi-join on cells. Bins come in levels, each ``FACTOR`` times as
+wide as the one before; an interval is at home at the first level whose bins are no shorter
+than itself, so in at most two of them, and is a guest in the bins that it touches at those
+wider levels at which the other side has homes; guests meet homes only. A pair meets at the wider of its two
+levels, in the bin of its overlap's start. Cells with many rows of a side are dealt out: that
+side's rows by hash, the other's repeated, so a pile-up or the rows under a contig-long
+interval are spread over tasks.
+
+Counts, sums and means over overlapping rows need no pairs: they are differences of running
+totals at an interval's two ends.
 """
 
 from __future__ import annotations
@@ -14,8 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from .binning import add_below, ranged, running_totals
 
 BIN = 1 << 14
+FACTOR = 16
+LEVELS = 12
+#: Rows of one side of a cell that are kept together.
+CELL_ROWS = 1 << 16
 
 
 def center(df: DataFrame) -> DataFrame:
@@ -45,25 +57,101 @@ def tile(df: DataFrame, size: int, seq: str = "seq") -> DataFrame:
     return cut.select("chrom", (F.col("_at") + F.col("k") * size).alias("start"), (F.col("_at") + (F.col("k") + 1) * size).alias("end"), F.substr(seq, F.col("k") * size + 1, F.lit(size)).alias("seq"))
 
 
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1) - 1) / width))
-    return df.withColumn("_bin", F.explode(bins))
+def _touched(width: Column) -> Column:
+    """Numbers of the bins of this width that an interval touches."""
+    return F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1) - 1) / width))
+
+
+def _level(width: int) -> Column:
+    """The first level whose bins are no shorter than the interval."""
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    return sum((F.when(length > width * FACTOR**k, 1).otherwise(0) for k in range(LEVELS)), F.lit(0))
+
+
+def _listed(level: int, width: int, role: int) -> Column:
+    return F.transform(_touched(F.lit(width)), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), F.lit(role).alias("role")))
+
+
+def _cells(df: DataFrame, width: int, others: list[int], side: int) -> DataFrame:
+    """Rows repeated for each cell ``_at`` (level, bin, role) that they are listed in.
+
+    Role 0 is for pairs of one level, role 1 + side for this side's wider rows against narrower ones of the other,
+    role 2 - side the other way round; so two rows that are both narrower than a cell never meet in it.
+    """
+    listed = []
+    for k in range(LEVELS + 1):
+        home = ([0] if k in others else []) + ([1 + side] if others and min(others) < k else [])
+        guest = [2 - side] if k in others else []
+        for roles, is_here in ((home, F.col("_level") == k), (guest, F.col("_level") < k)):
+            cells = [_listed(k, width * FACTOR**k, role) for role in roles]
+            if cells:
+                listed.append(F.when(is_here, F.concat(*cells)))
+    if not listed:
+        listed = [F.lit(None).cast("array<struct<level: int, bin: bigint, role: int>>")]
+    return df.withColumn("_level", _level(width)).withColumn("_at", F.explode(F.flatten(F.filter(F.array(*listed), lambda x: x.isNotNull())))).drop("_level")
+
+
+def _dealt(sides: Sequence[DataFrame]) -> list[DataFrame]:
+    """Both sides with the parts ``_i`` and ``_j`` of a cell: a side's rows have one part of their own and are repeated for each of the other's."""
+    counts = [x.groupBy("chrom", "_at").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_ROWS) for x in sides]
+    parts = [c.select("chrom", "_at", F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias(p)) for c, p in zip(counts, ("_pi", "_pj"), strict=True)]
+    hot = parts[0].join(parts[1], ["chrom", "_at"], "full")
+    if hot.isEmpty():
+        return [x.withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for x in sides]
+    out = []
+    for x, own, other in zip(sides, ("_i", "_j"), ("_j", "_i"), strict=True):
+        known = x.join(hot, ["chrom", "_at"], "left").withColumns({p: F.coalesce(p, F.lit(1)) for p in ("_pi", "_pj")})
+        mine = F.pmod(F.xxhash64(*(c for c in x.columns if c != "_at"), F.col("_at")["bin"]), F.col(f"_p{own[-1]}")).cast("int")
+        out.append(known.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"_p{other[-1]}") - 1))).select(*x.columns, "_i", "_j"))
+    return out
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN, suffixes: Sequence[str] = ("_a", "_b")) -> DataFrame:
-    """One row per overlapping pair: all columns of both sides with suffixes, and overlap_bp."""
-    x, y = (_binned(df, width).toDF(*(f"{c}{s}" for c in [*df.columns, "_bin"])) for df, s in zip((a, b), suffixes, strict=True))
+    """One row per overlapping pair: all columns of both sides with suffixes, and overlap_bp. Of a stream no levels are known, so its rows are listed at all."""
+    given = [df.where(F.col("chrom").isNotNull() & (F.col("start") < F.col("end"))) for df in (a, b)]
+    stream = a.isStreaming or b.isStreaming
+    levels = [list(range(LEVELS + 1)) if stream else sorted(r[0] for r in df.select(_level(width)).distinct().collect()) for df in given]
+    sides = [_cells(df, width, other, k) for k, (df, other) in enumerate(zip(given, levels[::-1], strict=True))]
+    dealt = [x.withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for x in sides] if stream else _dealt(sides)
+    x, y = (df.toDF(*(f"{c}{s}" for c in df.columns)) for df, s in zip(dealt, suffixes, strict=True))
     p, q = suffixes
     low, high = F.greatest(f"start{p}", f"start{q}"), F.least(f"end{p}", f"end{q}")
-    same = (F.col(f"chrom{p}") == F.col(f"chrom{q}")) & (F.col(f"_bin{p}") == F.col(f"_bin{q}")) & (low < high) & (F.floor(low / width) == F.col(f"_bin{p}"))
-    return x.join(y, same).withColumn("overlap_bp", high - low).drop(f"_bin{p}", f"_bin{q}")
+    same = functools.reduce(lambda u, v: u & v, [F.col(f"{c}{p}") == F.col(f"{c}{q}") for c in ("chrom", "_at", "_i", "_j")])
+    at = F.col(f"_at{p}")
+    bin_width = F.lit(width) * F.pow(F.lit(float(FACTOR)), at["level"])
+    met = (low < high) & (F.floor(low / bin_width) == at["bin"])
+    return x.join(y, same & met).withColumn("overlap_bp", high - low).drop(*(f"{c}{s}" for c in ("_at", "_i", "_j") for s in suffixes))
+
 
+def overlap_totals(a: DataFrame, b: DataFrame, key: Sequence[str], sums: dict[str, Column], by: Sequence[str] = ("chrom",)) -> DataFrame:
+    """All rows of ``a`` with sums over the rows of ``b`` that they overlap (0 if none); ``key`` tells rows of ``a`` apart.
 
-def overlap_count(a: DataFrame, b: DataFrame, key: Sequence[str], name: str = "n_overlaps", width: int = BIN) -> DataFrame:
+    Rows overlap only if they agree in ``by``. Of all rows of b, those that start before an interval's end less those
+    that end by its start overlap it: two running totals, over the rows' and the intervals' ends, and no pairs. Sums
+    should be of whole numbers or decimals, which differences keep exact.
+    """
+    names = list(sums)
+    live = b.where(F.col("start") < F.col("end")).select(*by, "start", "end", *(v.alias(c) for c, v in sums.items()))
+    ends = [F.struct(F.col(e).alias("_at"), *((F.col(c) if e == side else F.lit(0) * F.col(c)).alias(f"_{side}_{c}") for side in ("start", "end") for c in names)) for e in ("start", "end")]
+    asked = a.where(F.col("start") < F.col("end")).select(*by, *key_only(key, by), F.inline(F.array(F.struct(F.col("end").alias("_at"), F.lit(True).alias("_upper")), F.struct(F.col("start").alias("_at"), F.lit(False).alias("_upper")))))
+    marks = live.select(*by, F.inline(F.array(*ends))).unionByName(asked.select(*by, "_at"), allowMissingColumns=True)
+    cols = [f"_{side}_{c}" for side in ("start", "end") for c in names]
+    points = marks.groupBy(*by, "_at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols))
+    placed = running_totals(points, "_at", cols, by)
+    told = placed.select(*by, "_at", *(F.col(f"below__start_{c}").alias(f"_below_{c}") for c in names), *((F.col(f"below__end_{c}") + F.col(f"_end_{c}")).alias(f"_upto_{c}") for c in names))
+    found = asked.join(told, [*by, "_at"])
+    got = found.groupBy(*(F.col(k).alias(f"_key_{k}") for k in key)).agg(*(F.sum(F.when(F.col("_upper"), F.col(f"_below_{c}")).otherwise(-F.col(f"_upto_{c}"))).alias(f"_sum_{c}") for c in names))
+    same = functools.reduce(lambda u, v: u & v, [F.col(k) == F.col(f"_key_{k}") for k in key])
+    return a.join(got, same, "left").select(*(c for c in a.columns if c not in sums), *(F.coalesce(f"_sum_{c}", F.lit(0)).alias(c) for c in names))
+
+
+def key_only(key: Sequence[str], by: Sequence[str]) -> list[str]:
+    return [k for k in key if k not in by]
+
+
+def overlap_count(a: DataFrame, b: DataFrame, key: Sequence[str], name: str = "n_overlaps", by: Sequence[str] = ("chrom",)) -> DataFrame:
     """All rows of ``a`` with how many rows of ``b`` they overlap; ``key`` tells rows of ``a`` apart."""
-    pairs = overlap_pairs(a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("chrom", "start", "end"), width)
-    counts = pairs.groupBy(*(F.col(f"{k}_a").alias(k) for k in key)).agg(F.count("*").alias(name))
-    return a.join(counts, list(key), "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return overlap_totals(a, b, key, {name: F.lit(1).cast("long")}, by)
 
 
 def _hit_keys(a: DataFrame, b: DataFrame, key: Sequence[str], width: int) -> DataFrame:
@@ -140,31 +228,51 @@ def remap(df: DataFrame, blocks: DataFrame, key: Sequence[str], width: int = BIN
     return mapped, df.join(one.select(*(F.col(f"{k}_a").alias(k) for k in key)), list(key), "left_anti")
 
 
-def signal_mean(windows: DataFrame, track: DataFrame, key: Sequence[str], width: int = BIN) -> DataFrame:
+def track_totals(track: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (chrom, _at and more) with ``_total``: the track's values summed over the bases before ``_at``, and ``_covered``: those of them under a row of value other than 0.
+
+    Between two neighbouring ends the sum of the rows that lie over a base is the same, so both are running totals over ends.
+    """
+    live = track.where((F.col("start") < F.col("end")) & (F.col("value") != 0)).select("chrom", "start", "end", F.col("value").cast("double").alias("v"))
+    ends = F.array(F.struct(F.col("start").alias("_at"), F.col("v").alias("dv"), F.lit(1).alias("dn")), F.struct(F.col("end").alias("_at"), (-F.col("v")).alias("dv"), F.lit(-1).alias("dn")))
+    marks = live.select("chrom", F.inline(ends)).unionByName(asked.select("chrom", "_at"), allowMissingColumns=True)
+    points = marks.groupBy("chrom", "_at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("dv", "dn")))
+    placed, several = ranged(points, "_at", ["chrom"])
+    over = add_below(placed, several, "_at", ["dv", "dn"], ["chrom"], last="_last")
+    gap = F.when(F.col("below_dn") > 0, F.col("_at") - F.col("_last")).otherwise(0)
+    steps = over.select("chrom", "_part", "_at", (gap * F.col("below_dv")).alias("area"), gap.alias("bases"))
+    totals = add_below(steps, several, "_at", ["area", "bases"], ["chrom"])
+    told = totals.select("chrom", "_at", (F.col("below_area") + F.col("area")).alias("_total"), (F.col("below_bases") + F.col("bases")).alias("_covered"))
+    return asked.join(told, ["chrom", "_at"])
+
+
+def signal_mean(windows: DataFrame, track: DataFrame, key: Sequence[str]) -> DataFrame:
     """Every window with the mean of a track (chrom, start, end, value) over its bases; uncovered bases count as 0."""
-    pairs = overlap_pairs(windows.select(*dict.fromkeys([*key, "chrom", "start", "end"])), track.select("chrom", "start", "end", "value"), width)
-    sums = pairs.groupBy(*(F.col(f"{k}_a").alias(k) for k in key)).agg(F.sum(F.col("value_b") * F.col("overlap_bp")).alias("_sum"))
-    out = windows.join(sums, list(key), "left")
-    return out.withColumn("signal", F.coalesce(F.col("_sum") / (F.col("end") - F.col("start")), F.lit(0.0))).drop("_sum")
+    live = windows.where(F.col("start") < F.col("end"))
+    asked = live.select("chrom", *key_only(key, ["chrom"]), F.inline(F.array(*(F.struct(F.col(e).alias("_at"), F.lit(w).alias("_sign")) for e, w in (("end", 1), ("start", -1))))))
+    found = track_totals(track, asked)
+    sums = found.groupBy(*(F.col(k).alias(f"_key_{k}") for k in key)).agg(*(F.sum(F.col("_sign") * F.col(c)).alias(c) for c in ("_total", "_covered")))
+    out = windows.join(sums, functools.reduce(lambda u, v: u & v, [F.col(k) == F.col(f"_key_{k}") for k in key]), "left")
+    return out.select(*(c for c in windows.columns if c != "signal"), F.when(F.col("_covered") > 0, F.col("_total") / (F.col("end") - F.col("start"))).otherwise(0.0).alias("signal"))
 
 
-def metaprofile(points: DataFrame, track: DataFrame, flank: int, step: int, by: str, key: str, width: int = BIN) -> DataFrame:
+def metaprofile(points: DataFrame, track: DataFrame, flank: int, step: int, by: str, key: str) -> DataFrame:
     """Mean signal by group and bin around points (chrom, pos, strand): group, bin, n, signal.
 
-    Points without any signal are left out; bins of minus-strand points run backwards.
+    Points without any signal are left out; bins of minus-strand points run backwards. A bin's signal is the
+    difference of the track's running totals at its two edges.
     """
     n_bins = 2 * flank // step
-    window = points.select("chrom", (F.col("pos") - flank).alias("start"), (F.col("pos") + flank).alias("end"), key, by, "strand")
-    pairs = overlap_pairs(window, track.select("chrom", "start", "end", "value"), width)
-    low, high = F.greatest("start_a", "start_b") - F.col("start_a"), F.least("end_a", "end_b") - F.col("start_a")
-    cut = pairs.select(key + "_a", by + "_a", "strand_a", "value_b", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / step), F.floor((high - 1) / step))).alias("k"))
-    part = F.least("high", (F.col("k") + 1) * step) - F.greatest("low", F.col("k") * step)
-    at = F.when(F.col("strand_a") == "-", n_bins - 1 - F.col("k")).otherwise(F.col("k"))
-    cells = cut.groupBy(F.col(key + "_a").alias(key), F.col(by + "_a").alias(by), at.alias("bin")).agg((F.sum(F.col("value_b") * part) / step).alias("v")).where("v <> 0")
+    asked = points.select("chrom", key, by, "strand", F.col("pos").alias("_pos"), F.explode(F.sequence(F.lit(0), F.lit(n_bins))).alias("_edge")).withColumn("_at", F.col("_pos") - flank + F.col("_edge") * step)
+    found = track_totals(track, asked)
+    sides = F.array(F.struct((F.col("_edge") - 1).alias("_bin"), F.lit(1).alias("_sign")), F.struct(F.col("_edge").alias("_bin"), F.lit(-1).alias("_sign")))
+    bins = found.select(key, by, "strand", "_total", "_covered", F.inline(sides)).where(f"_bin between 0 and {n_bins - 1}")
+    at = F.when(F.col("strand") == "-", n_bins - 1 - F.col("_bin")).otherwise(F.col("_bin")).cast("long")
+    cells = bins.groupBy(key, by, at.alias("bin")).agg((F.sum(F.col("_sign") * F.col("_total")) / step).alias("_v"), F.sum(F.col("_sign") * F.col("_covered")).alias("_c")).where("_c > 0")
     members = cells.groupBy(by).agg(F.count_distinct(key).alias("n"))
-    sums = cells.groupBy(by, "bin").agg(F.sum("v").alias("s"))
+    sums = cells.groupBy(by, "bin").agg(F.sum("_v").alias("_s"))
     grid = members.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
-    return grid.join(sums, [by, "bin"], "left").select(by, "bin", "n", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("signal"))
+    return grid.join(sums, [by, "bin"], "left").select(by, "bin", "n", (F.coalesce("_s", F.lit(0.0)) / F.col("n")).alias("signal"))
 
 
 def sort_bed(df: DataFrame) -> DataFrame:

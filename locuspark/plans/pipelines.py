@@ -146,7 +146,8 @@ def sensitivity(groups: DataFrame, lrt: DataFrame, thresholds: Sequence[float] =
 def accessible_groups(windows: DataFrame, loci: DataFrame, open_regions: DataFrame, control: DataFrame, times: Sequence[int], key: str = "event_id") -> tuple[DataFrame, DataFrame]:
     """Groups at each time with only the loci whose centre is in an open region of that time, and how many loci stay.
 
-    ``open_regions`` has a timepoint. All times are one plan: the time goes into the contig's name.
+    ``open_regions`` has a timepoint. All times are one plan: the time goes into the contig's name, or is one of the
+    columns that overlapping rows share.
     """
     spread = F.explode(F.array(*map(F.lit, times)))
     at = lambda df: df.withColumn("chrom", F.concat("chrom", F.lit("@"), F.col("timepoint").cast("string")))
@@ -155,7 +156,7 @@ def accessible_groups(windows: DataFrame, loci: DataFrame, open_regions: DataFra
     kept = I.overlap_semi(centred, at(open_regions), [key, "timepoint"]).select(key, "timepoint")
     held = every.join(kept.withColumn("_kept", F.lit(True)), [key, "timepoint"], "left")
     report = A.filter_summary(held, S.flag(F.col("_kept")), ["timepoint"])
-    near = I.overlap_count(at(windows.withColumn("timepoint", spread)), held.where("_kept"), ["gene", "timepoint"])
+    near = I.overlap_count(at(windows.withColumn("timepoint", spread)), held.where("_kept"), ["gene", "timepoint"], by=["chrom", "timepoint"])
     flagged = A.flag_in(near, control, "gene", "has_control")
     return flagged.select("timepoint", "gene", S.assign_group(F.col("n_overlaps") > 0, F.col("has_control"), GROUPS).alias("grp")), report
 
@@ -273,8 +274,8 @@ def matched_magnitude(master: DataFrame, bins: int = 10, groups: Sequence[str] =
 def burden(windows: DataFrame, loci: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Locus and gene burden: reads within promoter loci, real over simulated, by product and time (here one per sample).
 
-    ``reads`` has sample_id, product, kind (real, sim), chrom, start, end. All samples are one
-    overlap join; the sample is a key.
+    ``reads`` has sample_id, product, kind (real, sim), chrom, start, end. Reads of all samples are
+    counted over the loci at once, without a join of reads.
     """
     parts = I.intersect(windows.select("gene", "chrom", "start", "end"), loci.select("chrom", "start", "end"))
     return burden_of_places(parts.select(F.col("gene_a").alias("gene"), "chrom", "start", "end").distinct(), reads)
@@ -284,10 +285,9 @@ def burden_of_places(places: DataFrame, reads: DataFrame) -> tuple[DataFrame, Da
     """As ``burden``, for intervals that are given with their genes."""
     places = places.withColumn("locus", S.locus_id("chrom", "start", "end", "gene"))
     totals = reads.groupBy("sample_id", "product").agg(F.count_if(F.col("kind") == "real").alias("total_real"), F.count_if(F.col("kind") == "sim").alias("total_sim"))
-    pairs = I.overlap_pairs(places.select("locus", "chrom", "start", "end"), reads.select("sample_id", "product", "kind", "chrom", "start", "end"))
-    counts = pairs.groupBy(F.col("locus_a").alias("locus"), F.col("sample_id_b").alias("sample_id"), F.col("product_b").alias("product")).agg(F.count_if(F.col("kind_b") == "real").alias("real"), F.count_if(F.col("kind_b") == "sim").alias("sim"))
-    grid = places.select("locus", "gene", (F.col("end") - F.col("start")).alias("length")).join(totals)  # the result has a row for each locus and sample
-    full = grid.join(counts, ["locus", "sample_id", "product"], "left").fillna(0, ["real", "sim"])
+    grid = places.select("locus", "gene", "chrom", "start", "end", (F.col("end") - F.col("start")).alias("length")).join(totals)  # the result has a row for each locus and sample
+    kinds = {k: (F.col("kind") == k).cast("long") for k in ("real", "sim")}
+    full = I.overlap_totals(grid, reads, ["locus", "sample_id", "product"], kinds, by=["chrom", "sample_id", "product"])
     rated = full.withColumns({"real_rpkm": S.rpkm("real", "length", "total_real"), "sim_rpkm": S.rpkm("sim", "length", "total_sim")}).withColumn("damage", S.log2_ratio("real_rpkm", "sim_rpkm"))
     locus = rated.groupBy("product", "gene", "locus").agg(F.count("*").alias("n_samples"), F.avg("real_rpkm").alias("real_rpkm_mean"), F.max("real_rpkm").alias("real_rpkm_max"), F.avg("sim_rpkm").alias("sim_rpkm_mean"), F.avg("damage").alias("damage_mean"), F.max("damage").alias("damage_max"))
     gene = locus.groupBy("product", "gene").agg(F.count_distinct("locus").alias("n_loci"), F.max("damage_max").alias("damage_max"), F.avg("damage_mean").alias("damage_mean"), F.sum("damage_mean").alias("damage_sum"), F.max("real_rpkm_max").alias("real_rpkm_max"), F.avg("real_rpkm_mean").alias("real_rpkm_mean"))

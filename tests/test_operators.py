@@ -39,6 +39,89 @@ def test_overlap_join_equals_theta_join(spark, width):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_overlaps_of_all_lengths_and_hot_cells(spark, monkeypatch):
+    """Levels from one base to a contig, and cells whose rows are dealt out on one or both sides."""
+    monkeypatch.setattr(I, "FACTOR", 4)
+    rng = random.Random(6)
+    sides = []
+    for n in (70, 90):
+        rows = [(k, f"c{rng.randrange(2)}", at := rng.randrange(4000), at + rng.choice([1, 3, 20, 300, 4000, 0, -2])) for k in range(n)]
+        sides.append([*rows, (n, None, 0, 9), (n + 1, "c0", 0, 20_000), (n + 2, "c0", None, 5), *((n + 3 + k, "c1", 100, 104) for k in range(40))])
+    a, b = sides
+    want = {(x[0], y[0]): min(x[3], y[3]) - max(x[2], y[2]) for x in a for y in b if x[1] and x[1] == y[1] and x[2] is not None and y[2] is not None and max(x[2], y[2]) < min(x[3], y[3])}
+    for rows in (1 << 16, 7):
+        monkeypatch.setattr(I, "CELL_ROWS", rows)
+        got = I.overlap_pairs(ivs(spark, a), ivs(spark, b), 4).select("id_a", "id_b", "overlap_bp").collect()
+        assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want)
+    shared = I.intersect(ivs(spark, a), ivs(spark, b), 4)
+    assert shared.agg(F.sum(F.col("end") - F.col("start"))).first()[0] == sum(want.values())
+    assert I.overlap_pairs(ivs(spark, a), ivs(spark, []), 4).count() == 0
+
+
+def test_a_contig_long_interval_is_listed_a_few_times_and_pile_ups_are_dealt_out(spark, monkeypatch):
+    long = ivs(spark, [(0, "c", 0, 250_000_000)])
+    reads = spark.range(3000).selectExpr("id", "'c' as chrom", "1000000 + id % 7 as start", "1000100 + id % 7 as end")
+    assert I._cells(long, I.BIN, [0], 0).count() <= 2 and I._cells(reads, I.BIN, [4], 1).count() <= 2 * 3000
+    monkeypatch.setattr(I, "CELL_ROWS", 100)
+    a, b = I._dealt([I._cells(long, I.BIN, [0], 0), I._cells(reads, I.BIN, [4], 1)])
+    tasks = b.groupBy("_at", "_i", "_j").count().agg(F.count("*"), F.max("count")).first()
+    assert tasks[0] >= 30 and tasks[1] < 200 and a.select("_j").distinct().count() >= 30
+    assert I.overlap_pairs(long, reads).count() == 3000
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 5])
+def test_counts_and_means_without_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(B, "RANGE_ROWS", rows)
+    a, b = random_intervals(11, 60), random_intervals(12, 90)
+    a += [(60, None, 0, 5), (61, "c9", 3, 8), (62, "c0", 5, 2)]
+    b += [(90, None, 0, 5), *((91 + k, "c1", 100, 140) for k in range(50))]
+    values = [random.Random(k).choice([0.0, 1.5, -2.0, 7.25, 1e6]) for k in range(len(b))]
+    track = spark.createDataFrame([(*r, v) for r, v in zip(b, values, strict=True)], "id long, chrom string, start long, end long, value double")
+    shared = lambda x, y: max(0, min(x[3], y[3]) - max(x[2], y[2])) if x[1] == y[1] and x[1] else 0
+    got = {r["id"]: r["n_overlaps"] for r in I.overlap_count(ivs(spark, a), track, ["id"]).collect()}
+    assert got == {x[0]: sum(shared(x, y) > 0 for y in b) for x in a}
+    by_sign = I.overlap_totals(ivs(spark, a), track, ["id"], {"up": (F.col("value") > 0).cast("long"), "down": (F.col("value") < 0).cast("long")})
+    assert {r["id"]: (r["up"], r["down"]) for r in by_sign.collect()} == {x[0]: tuple(sum(shared(x, y) > 0 and v * s > 0 for y, v in zip(b, values, strict=True)) for s in (1, -1)) for x in a}
+    means = {r["id"]: r["signal"] for r in I.signal_mean(ivs(spark, a), track, ["id"]).collect()}
+    for x in a:
+        assert means[x[0]] == pytest.approx(sum(v * shared(x, y) for y, v in zip(b, values, strict=True)) / max(1, x[3] - x[2]), abs=1e-6)
+    points = spark.createDataFrame([(k, "c0", 37 * k % 500, "-" if k % 3 else "+", k % 2) for k in range(40)], "k long, chrom string, pos long, strand string, g long")
+    profile = {(r["g"], r["bin"]): (r["n"], r["signal"]) for r in I.metaprofile(points, track, 40, 8, "g", "k").collect()}
+    sums, members = {}, {0: set(), 1: set()}
+    for p in points.collect():
+        for k in range(10):
+            x = (0, "c0", p["pos"] - 40 + 8 * k, p["pos"] - 32 + 8 * k)
+            if any(shared(x, y) and v for y, v in zip(b, values, strict=True)):
+                members[p["g"]].add(p["k"])
+            at = p["g"], 9 - k if p["strand"] == "-" else k
+            sums[at] = sums.get(at, 0) + sum(v * shared(x, y) for y, v in zip(b, values, strict=True)) / 8
+    assert set(profile) == set(sums)
+    for at, (n, v) in profile.items():
+        assert n == len(members[at[0]]) and v == pytest.approx(sums[at] / n, abs=1e-5)
+
+
+def test_counting_plans_join_no_intervals(spark):
+    a, b = ivs(spark, random_intervals(1, 20)), ivs(spark, random_intervals(2, 20)).withColumn("value", F.lit(1.0))
+    for df in (I.overlap_count(a, b, ["id"]), I.signal_mean(a, b, ["id"]), I.metaprofile(a.selectExpr("id", "chrom", "start as pos", "'+' as strand", "1 as g"), b, 20, 5, "g", "id")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert " least(" not in plan and "CartesianProduct" not in plan and "Cross" not in plan
+    deep = spark.range(10_000).selectExpr("id", "'c' as chrom", "id % 300 as start", "1000 + id % 77 as end")
+    assert {r["n_overlaps"] for r in I.overlap_count(deep, deep, ["id"]).collect()} == {10_000}
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 7])
+def test_running_totals_over_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(B, "RANGE_ROWS", rows)
+    rng = random.Random(3)
+    values = {(rng.choice(["a", None, "b"]), rng.randrange(-50, 50)): rng.randrange(9) for _ in range(150)}
+    df = spark.createDataFrame([(g, v, n) for (g, v), n in values.items()], "g string, v long, n long")
+    got = {(r["g"], r["v"]): r["below_n"] for r in B.running_totals(df, "v", ["n"], ["g"]).collect()}
+    assert got == {(g, v): sum(m for (h, w), m in values.items() if h == g and w < v) for g, v in values}
+    assert B.running_totals(df.where("false"), "v", ["n"]).count() == 0
+    big = spark.range(60).withColumn("id", F.col("id") + 10**15)
+    assert [r["number"] for r in B.number_rows(big, "id").orderBy("id").collect()] == list(range(1, 61))
+
+
 def test_semi_and_anti_make_the_input(spark):
     a, b = ivs(spark, random_intervals(3, 80)), ivs(spark, random_intervals(4, 8))
     hit, miss = I.overlap_semi(a, b, ["id"]).count(), I.overlap_anti(a, b, ["id"]).count()
