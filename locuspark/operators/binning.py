@@ -146,7 +146,8 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def number_rows(df: DataFrame, order: str, name: str = "number") -> DataFrame:
-    """1, 2, 3, ... by a unique order column, without one task for all rows."""
-    counts = df.withColumn("_one", F.lit(1))
-    return running_totals(counts, order, ["_one"]).withColumn(name, F.col("below__one") + 1).drop("_one", "below__one")
+def number_rows(df: DataFrame, order: str | Sequence[str], name: str = "number") -> DataFrame:
+    """1, 2, 3, ... by one or several columns that are unique together, without one task for all rows."""
+    cols = [order] if isinstance(order, str) else list(order)
+    placed = df.withColumns({"_one": F.lit(1), "_order": F.struct(*cols)})
+    return running_totals(placed, "_order", ["_one"]).withColumn(name, F.col("below__one") + 1).drop("_one", "_order", "below__one")

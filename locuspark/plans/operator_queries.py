@@ -75,7 +75,8 @@ def canonical_tss(spark, sf):
 @query(f"SELECT chrom, CAST(start AS BIGINT) AS start, round(length(translate(seq, 'AT', '')) / 150.0, 6) AS gc FROM ({tiles_sql()}) WHERE length(translate(seq, 'AT', '')) / 150.0 > 0.28")
 def fasta_gc_tiles(spark, sf):
     path = shared_path(spark, "fasta")
-    sequences(spark, sf).select(F.concat(F.lit(">"), "chrom", F.lit(" whole\n"), "seq")).write.text(path)
+    wrapped = F.regexp_replace("seq", "(.{1,70})", "$1\n")
+    sequences(spark, sf).select(F.concat(F.lit(">"), "chrom", F.lit(" whole\n"), wrapped)).write.text(path)
     tiles = I.tile(R.read_fasta_chunks(spark, path, chunk=150 * 64), 150)
     return tiles.where(Q.only_acgt("seq")).select("chrom", "start", F.round(Q.gc_fraction("seq"), 6).alias("gc")).where("gc > 0.28")
 
@@ -88,10 +89,15 @@ def src_gmt(spark, sf):
     return R.read_gmt(spark, path)
 
 
-@query(f"{cte('sets')} SELECT * FROM sets WHERE set_name LIKE '%1'")
+@query(f"{cte('sets')} SELECT * FROM sets WHERE set_name LIKE '%1' UNION ALL SELECT * FROM sets WHERE set_name LIKE '%2'")
 def src_gene_set_manifest(spark, sf):
-    rows = frame(spark, sf, "sets").where("set_name like '%1'").groupBy("set_name").agg(F.concat_ws(", ", F.collect_list("gene")).alias("genes"))
-    return R.read_gene_set_manifest(rows.withColumnRenamed("set_name", "name"))
+    """Some sets listed in the manifest, others in files that it names."""
+    listed = frame(spark, sf, "sets").where("set_name like '%1'").groupBy("set_name").agg(F.concat_ws(", ", F.collect_list("gene")).alias("genes"))
+    path = shared_path(spark, "sets")
+    filed = frame(spark, sf, "sets").where("set_name like '%2'").withColumn("n", F.regexp_replace("set_name", "[^0-9]", ""))
+    filed.select(F.concat("gene", F.lit(",x")), "n").write.partitionBy("n").text(path)
+    files = filed.select("set_name", "n").distinct().select("set_name", F.concat(F.lit("n="), "n").alias("genes_file"))
+    return R.read_gene_set_manifest(listed.withColumnRenamed("set_name", "name").unionByName(files.withColumnRenamed("set_name", "name"), allowMissingColumns=True), path)
 
 
 @query("""SELECT CAST(l_partkey AS VARCHAR) AS gene_id, concat('SU_', CAST(l_linenumber AS VARCHAR), '00') AS sample_id, round(sum(l_quantity), 6) AS tpm, round(sum(l_extendedprice), 4) AS num_reads,
@@ -217,16 +223,20 @@ def motif_both_strands(spark, sf):
 
 @query(f"""{cte('peak')} SELECT event_id, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), start, event_id) AS number, concat('peak_', CAST(row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), start, event_id) AS VARCHAR)) AS name FROM peak""")
 def names_by_order(spark, sf):
-    place = S.karyotype_order("chrom").cast("long") * 10**13 + F.col("start") * 10**7 + F.col("event_id")
-    rows = B.number_rows(frame(spark, sf, "peak").select("event_id", place.alias("place")), "place")
+    rows = B.number_rows(frame(spark, sf, "peak").select("event_id", "start", S.karyotype_order("chrom").alias("place")), ["place", "start", "event_id"])
     return rows.select("event_id", "number", F.concat(F.lit("peak_"), F.col("number").cast("string")).alias("name"))
 
 
-@query(f"""{cte('peak')} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat('set_', CAST(event_id AS VARCHAR)) ELSE assay END AS name FROM peak""")
+@query(f"""{cte('peak')}, rows AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM peak)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat('set_', CAST(i AS VARCHAR)) ELSE assay END AS name FROM rows WHERE event_id % 7 <> 0""")
 def fill_empty_names(spark, sf):
-    rows = frame(spark, sf, "peak").withColumn("name", F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, ".").otherwise("")).otherwise(F.col("assay")))
-    empty = F.coalesce(F.col("name"), F.lit("")).isin("", ".", "nan", "None")
-    return rows.select("event_id", F.when(empty, F.concat(F.lit("set_"), F.col("event_id").cast("string"))).otherwise(F.col("name")).alias("name"))
+    peaks = frame(spark, sf, "peak").orderBy("event_id")
+    name = F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, ".").otherwise("None")).otherwise(F.col("assay"))
+    end = F.when(F.col("event_id") % 7 == 0, F.col("start")).otherwise(F.col("end"))  # rows that the reader counts and drops
+    path = shared_path(spark, "unnamed")
+    R.write_bed(peaks.select("chrom", "start", end.alias("end"), name.alias("name"), F.col("event_id").cast("string").alias("place")), path)
+    rows = R.fill_names(R.read_bed(spark, path, signal_at=4, index="row_index"), "set")
+    return rows.select(F.col("signal").cast("long").alias("event_id"), "name")
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_brand, '1') THEN '+' ELSE '-' END AS strand FROM part")

@@ -6,31 +6,56 @@ import functools
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number_or_null
+from .staging import staged
 
 FASTA_CHUNK = 1 << 15
 
 
-def _fields(spark: SparkSession, path: str | Sequence[str], comment: str = "#") -> DataFrame:
-    """Tab-separated fields of each line that is not empty or a comment."""
+def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines with their place in the source: file, where their byte range begins, and a number that grows within the range."""
     lines = spark.read.text(path if isinstance(path, str) else list(path))
-    return lines.where((F.trim("value") != "") & ~F.col("value").startswith(comment)).select(F.split("value", "\t").alias("f"), F.col("_metadata.file_path").alias("file"))
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def _fields(spark: SparkSession, path: str | Sequence[str], comment: str = "#") -> DataFrame:
+    """Tab-separated fields of each line that is not empty or a comment, with its place."""
+    lines = _lines(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith(comment))
+    return lines.select(F.split("value", "\t").alias("f"), "file", "block", "row")
+
+
+def row_index(rows: DataFrame, name: str = "row_index") -> DataFrame:
+    """Rows with a place (file, block, row) numbered from 0 in the order of their source: files by path, ranges, rows.
+
+    Only each byte range's number of rows is put in order; rows themselves are counted within their range.
+    """
+    held = staged(rows, "placed")
+    ranges = held.groupBy("file", "block").agg(F.count("*").alias("_n"))
+    files = ranges.groupBy("file").agg(F.sum("_n").alias("_all"))
+    before = files.select("file", F.coalesce(F.sum("_all").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_file"))
+    earlier = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranges.withColumn("_block", F.coalesce(earlier, F.lit(0))).join(before, "file").select("file", "block", (F.col("_file") + F.col("_block")).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
+    return held.withColumn("_place", place).join(offsets, ["file", "block"]).withColumn(name, (F.col("_offset") + F.col("_place")).cast("long")).select(*rows.columns, name)
 
 
 def _at(k: int | None, kind: str = "string") -> Column:
     return F.lit(None).cast(kind) if k is None else F.get("f", F.lit(k)).cast(kind)
 
 
-def read_bed(spark: SparkSession, path: str | Sequence[str], name_at: int | None = 3, signal_at: int | None = None, strand_at: int | None = None, contigs: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
+def read_bed(spark: SparkSession, path: str | Sequence[str], name_at: int | None = 3, signal_at: int | None = None, strand_at: int | None = None, contigs: Sequence[str] | None = None, strict: bool = False, index: str | None = None) -> DataFrame:
     """chrom, start, end, name, signal, strand of BED or narrowPeak files.
 
     Empty intervals and contigs outside the list are dropped. ``strict`` fails on a line of
-    under three fields, or, with a strand column, on a strand other than + or -.
+    under three fields, or, with a strand column, on a strand other than + or -. ``index`` names a
+    column for the number of the row in its source, from 0, counted before rows are dropped.
     """
-    rows = _fields(spark, path).select(F.size("f").alias("n"), _at(0).alias("chrom"), _at(1, "long").alias("start"), _at(2, "long").alias("end"), _at(name_at).alias("name"), number_or_null(_at(signal_at)).alias("signal"), _at(strand_at).alias("strand"))
+    fields = _fields(spark, path)
+    numbered = [index] if index else []
+    rows = (row_index(fields, index) if index else fields).select(*numbered, F.size("f").alias("n"), _at(0).alias("chrom"), _at(1, "long").alias("start"), _at(2, "long").alias("end"), _at(name_at).alias("name"), number_or_null(_at(signal_at)).alias("signal"), _at(strand_at).alias("strand"))
     if strict:
         bad = F.col("n") < 3 if strand_at is None else (F.col("n") < 3) | ~F.coalesce(F.col("strand").isin("+", "-"), F.lit(False))
         rows = rows.where(F.when(bad, F.raise_error(F.lit("malformed interval line")).cast("boolean")).otherwise(True))
@@ -38,6 +63,12 @@ def read_bed(spark: SparkSession, path: str | Sequence[str], name_at: int | None
     return rows.where(F.col("chrom").isin(list(contigs))) if contigs else rows
 
 
+def fill_names(df: DataFrame, dataset: str, index: str = "row_index", name: str = "name") -> DataFrame:
+    """Names that are empty or say nothing become the data set's name with the row's number in its source."""
+    empty = F.coalesce(F.trim(name), F.lit("")).isin("", ".", "nan", "None")
+    return df.withColumn(name, F.when(empty, F.concat(F.lit(f"{dataset}_"), F.col(index).cast("string"))).otherwise(F.col(name)))
+
+
 def read_bedgraph(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return _fields(spark, path).select(_at(0).alias("chrom"), _at(1, "long").alias("start"), _at(2, "long").alias("end"), number_or_null(_at(3)).alias("value"))
 
@@ -70,16 +101,34 @@ def read_gtf(spark: SparkSession, path: str, features: Sequence[str] = ("transcr
 def read_fasta_chunks(spark: SparkSession, path: str, chunk: int = FASTA_CHUNK, contigs: Sequence[str] | None = None) -> DataFrame:
     """chrom, start, seq: each contig, upper case, in rows of ``chunk`` bases.
 
-    One record is one row while it is cut, so this suits contigs up to some 100 MB.
+    Spark reads byte ranges of a file; bases are counted within ranges, and what an unfinished contig
+    had before a range comes from the ranges' own totals (a row for each range). So a contig over many
+    ranges is read by many tasks, and none holds more than a line and the chunks it puts together. Bases before the
+    first header have no contig and are left out.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.substring_index("value", "\n", 1)
-    body = F.upper(F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s+", ""))
-    named = records.select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("chrom"), body.alias("body")).where("length(body) > 0")
+    text = F.upper(F.regexp_replace("value", r"\s+", ""))
+    header = F.col("value").startswith(">")
+    lines = _lines(spark, path).select("file", "block", "row", F.when(header, F.struct(F.col("row").alias("record"), F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("chrom"))).alias("head"), F.when(~header, text).alias("seq"))
+    lines = staged(lines.withColumn("bases", F.coalesce(F.length("seq"), F.lit(0)).cast("long")).where("head is not null or bases > 0"), "fasta")
+    within = Window.partitionBy("file", "block").orderBy("row")
+    counted = lines.withColumn("upto", F.coalesce(F.sum("bases").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    known = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = counted.withColumns({"own": F.last("head", ignorenulls=True).over(known), "at_head": F.last(F.when(F.col("head").isNotNull(), F.col("upto")), ignorenulls=True).over(known)})
+    last = lines.where("head is not null").groupBy("file", "block").agg(F.max("head").alias("head"))
+    tails = lines.join(last.select("file", "block", F.col("head.record").alias("_record")), ["file", "block"], "left").groupBy("file", "block").agg(F.sum(F.when(F.col("row") > F.coalesce("_record", F.lit(-1)), F.col("bases")).otherwise(0)).alias("tail"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = tails.join(last, ["file", "block"], "left").withColumn("total", F.coalesce(F.sum("tail").over(earlier), F.lit(0)))
+    carried = ranges.select("file", "block", F.last("head", ignorenulls=True).over(earlier).alias("carried"), (F.col("total") - F.coalesce(F.last(F.when(F.col("head").isNotNull(), F.col("total")), ignorenulls=True).over(earlier), F.lit(0))).alias("before"))
+    placed = own.where("bases > 0").join(carried, ["file", "block"])
+    at = F.when(F.col("own").isNull(), F.col("before") + F.col("upto")).otherwise(F.col("upto") - F.col("at_head"))
+    named = placed.select(F.coalesce("own", "carried").alias("head"), at.alias("at"), "bases", "seq").where("head is not null").select("head.chrom", F.col("head.record").alias("record"), "at", "bases", "seq")
     if contigs:
         named = named.where(F.col("chrom").isin(list(contigs)))
-    starts = F.sequence(F.lit(0), ((F.length("body") - 1) / chunk).cast("int"))
-    return named.select("chrom", "body", F.explode(starts).alias("k")).select("chrom", (F.col("k") * chunk).cast("long").alias("start"), F.substr("body", F.col("k") * chunk + 1, F.lit(chunk)).alias("seq"))
+    parts = named.select("*", F.explode(F.sequence(F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.col("bases") - 1) / chunk))).alias("k"))
+    low = F.greatest(F.col("at"), F.col("k") * chunk)
+    piece = F.substr("seq", (low - F.col("at") + 1).cast("int"), (F.least(F.col("at") + F.col("bases"), (F.col("k") + 1) * chunk) - low).cast("int"))
+    whole = parts.select("chrom", "record", "k", F.struct(low.alias("at"), piece.alias("piece")).alias("p")).groupBy("chrom", "record", "k").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return whole.select("chrom", (F.col("k") * chunk).cast("long").alias("start"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq"))
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], numbers: Sequence[str] = ()) -> DataFrame:
@@ -131,11 +180,36 @@ def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(_at(0).alias("set_name"), F.explode(F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0)))).alias("gene")).select("set_name", F.trim("gene").alias("gene")).where("gene <> ''")
 
 
-def read_gene_set_manifest(rows: DataFrame) -> DataFrame:
-    """set_name, gene from rows that list genes separated by commas; the name may stand in set_name, name or id."""
-    name = next(c for c in ("set_name", "name", "id") if c in rows.columns)
-    genes = next(c for c in ("genes", "gene_list", "members") if c in rows.columns)
-    return rows.select(F.col(name).alias("set_name"), F.explode(F.split(genes, ",")).alias("gene")).select("set_name", F.trim("gene").alias("gene")).where("gene <> ''")
+#: Names under which a manifest may give a set's name, its file of genes, and its genes.
+SET_NAMES, SET_FILES, SET_GENES = ("set_name", "name", "geneset", "id"), ("genes_file", "file", "filename", "path"), ("genes", "gene_list", "gene_ids", "members")
+
+
+def read_gene_set_manifest(rows: DataFrame, folder: str = "") -> DataFrame:
+    """set_name, gene from rows that name a file of genes (first field of each line), or else list genes separated by commas.
+
+    A file is looked for below ``folder`` unless its path is absolute; a set whose file does not exist is empty. Files are read together.
+    """
+    at = {kind: next((c for c in names if c in rows.columns), None) for kind, names in (("name", SET_NAMES), ("file", SET_FILES), ("genes", SET_GENES))}
+    empty = rows.sparkSession.createDataFrame([], "set_name string, gene string")
+    if at["name"] is None:
+        return empty
+    path, genes = (F.col(at[k]).cast("string") if at[k] else F.lit(None).cast("string") for k in ("file", "genes"))
+    sets = rows.select(F.col(at["name"]).cast("string").alias("set_name"), path.alias("path"), genes.alias("genes"))
+    listed = sets.where("path is null").select("set_name", F.explode(F.split("genes", ",")).alias("gene"))
+    return listed.unionByName(_genes_of_files(sets.where("path is not null"), folder)).select("set_name", F.trim("gene").alias("gene")).where("gene <> ''").distinct()
+
+
+def _genes_of_files(sets: DataFrame, folder: str) -> DataFrame:
+    """set_name, gene of the sets' files; their paths come to the driver, which lists them."""
+    spark, found = sets.sparkSession, []
+    for name, path in sets.select("set_name", "path").collect():
+        full = path if path.startswith("/") or "://" in path or not folder else f"{folder.rstrip('/')}/{path}"
+        for p in existing(spark, [full]):
+            found += [(name, f) for f in spark.read.text(p).inputFiles()]
+    if not found:
+        return spark.createDataFrame([], "set_name string, gene string")
+    lines = spark.read.text(sorted({f for _, f in found})).select(F.input_file_name().alias("file"), F.split("value", ",")[0].alias("gene"))
+    return lines.join(spark.createDataFrame(found, "set_name string, file string"), "file").select("set_name", "gene")
 
 
 def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:

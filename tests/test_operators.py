@@ -135,6 +135,52 @@ def test_merge_joins_touching_intervals_and_is_idempotent(spark):
     assert {tuple(r)[:3] for r in I.merge(once).collect()} == {tuple(r)[:3] for r in once.collect()}
 
 
+def test_fasta_over_many_byte_ranges(spark, tmp_path):
+    rng = random.Random(1)
+    contigs = [(n, "".join(rng.choice("acgtN") for _ in range(size))) for n, size in (("chr1 first", 5000), ("chr2", 0), ("chr3", 1), ("chr1 again", 777), ("", 30), ("chrM", 1234))]
+    text = "ACGT\n" + "".join(f">{n}\n" + "".join(seq[k : k + 60] + rng.choice(["\n", "\n", "\n\n", " \r\n"]) for k in range(0, len(seq), 60)) for n, seq in contigs)
+    (tmp_path / "x.fa").write_text(text)
+    want = sorted((n.split(" ")[0], k, seq[k : k + 100].upper()) for n, seq in contigs for k in range(0, len(seq), 100))
+    for size in ("134217728", "300", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = sorted(map(tuple, R.read_fasta_chunks(spark, str(tmp_path / "x.fa"), 100).collect()))
+            parts = spark.read.text(str(tmp_path / "x.fa")).rdd.getNumPartitions()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == want and parts > len(text) // int(size) // 2
+    assert {r["chrom"] for r in R.read_fasta_chunks(spark, str(tmp_path / "x.fa"), 64, ["chrM", "chr9"]).collect()} == {"chrM"}
+
+
+def test_rows_keep_the_order_of_their_source(spark, tmp_path):
+    rows = [f"c\t{k}\t{k + (k % 5 > 0)}\t{'.' if k % 2 else f'n{k}'}" for k in range(400)]
+    (tmp_path / "a.bed").write_text("# comment\n" + "\n\n".join(rows[:300]) + "\n")
+    (tmp_path / "b.bed").write_text("\n".join(rows[300:]))
+    for size in ("134217728", "200"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = R.fill_names(R.read_bed(spark, str(tmp_path), index="row_index"), "d").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {(r["start"], r["row_index"], r["name"]) for r in got} == {(k, k, f"d_{k}" if k % 2 else f"n{k}") for k in range(400) if k % 5}
+
+
+def test_numbers_by_several_columns_of_real_size(spark):
+    rows = [(2, 5, 1), (1, 150_000_000, 3), (1, 250_000_000, 20_000_000), (1, 250_000_000, 2), (3, 1, 1)]
+    df = spark.createDataFrame(rows, "place int, start long, id long")
+    assert [tuple(r)[:3] for r in B.number_rows(df, ["place", "start", "id"]).orderBy("number").collect()] == sorted(rows)
+
+
+def test_gene_sets_of_files(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("g1,x\n g2\n\ng1\n")
+    rows = spark.createDataFrame([("a", "one.txt", "z"), ("b", None, "g3, g4,"), ("c", "none.txt", None), ("d", str(tmp_path / "one.txt"), None)], "geneset string, filename string, gene_ids string")
+    got = {tuple(r) for r in R.read_gene_set_manifest(rows, str(tmp_path)).collect()}
+    assert got == {("a", "g1"), ("a", "g2"), ("b", "g3"), ("b", "g4"), ("d", "g1"), ("d", "g2")}
+    assert R.read_gene_set_manifest(rows.select("filename")).count() == 0
+
+
 def test_tiles_restart_and_drop_the_rest(spark):
     got = I.tile(spark.createDataFrame([("c", 0, "ABCDEFG"), ("d", 3, "AB")], "chrom string, start long, seq string"), 3).collect()
     assert [(r["start"], r["end"], r["seq"]) for r in got] == [(0, 3, "ABC"), (3, 6, "DEF")]
