@@ -253,11 +253,16 @@ def nested_gain(df: DataFrame, y: str, base: Sequence[str], added: Sequence[str]
     return _per_group(rows.groupBy(*by).agg(*_sums(cols, F.col(y).cast("double"))), by, "n long, adj_r2_full double, adj_r2_base double, delta_adj_r2 double, delta_aic double, lr double, p_value double", fit)
 
 
-def logistic_models(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), least: int = 20, least_positive: int = 5, rounds: int = 25) -> DataFrame:
-    """One logistic regression per group by Newton steps; all groups take each step in one pass over a written design.
+def logistic_models(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), least: int = 20, least_positive: int = 5, rounds: int = 120) -> DataFrame:
+    """One logistic regression per group; all groups take each step in one or two passes over a written design.
 
     term, coef, se, odds_ratio, ci_low, ci_high, p_value and the model's n, n_positive, llf, aic,
-    mcfadden_r2. No rows for groups with too few rows, positives or negatives, or a singular design.
+    mcfadden_r2 and method. ``mle``: maximum likelihood by Newton steps, halved where the likelihood falls. Where a
+    direction splits the outcomes (no row on the wrong side, some on the right one) the likelihood has no
+    maximum. Newton's steps then run along such a direction, and once all rows confirm it, the group is
+    fitted by Firth's penalised likelihood instead, which always has one (method ``firth``; llf, aic and
+    mcfadden_r2 are of the plain likelihood there). No rows for groups with too few rows, positives or negatives, or a
+    design without full rank; nulls and method ``unsettled`` for one that needs more than ``rounds`` steps.
     """
     cols = _design(xs, ())
     names, k = [c for c, _ in cols], len(cols)
@@ -265,42 +270,84 @@ def logistic_models(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]
     rows = df.dropna(subset=[y, *xs]).select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(y).cast("double").alias("_y"), *(c.alias(f"_x{i}") for i, (_, c) in enumerate(cols)))
     rows = staged(rows, "design")
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_y").alias("pos")).where(f"n >= {least} and least(pos, n - pos) >= {least_positive}")
-    now = staged(counts.select("*", *(F.lit(0.0).alias(f"b{i}") for i in range(k)), F.lit(None).cast("double").alias("llf"), F.lit(False).alias("done"), *(F.lit(0.0).alias(f"se{i}") for i in range(k))), "fit")
-    state = ["n", "pos", *(f"b{i}" for i in range(k)), "llf", "done", *(f"se{i}" for i in range(k))]
-    fields = ", ".join(f"{c} {t}" for c, t in now.select(*state).dtypes)
-    eta = sum((F.col(f"_x{i}") * F.col(f"b{i}") for i in range(k)), F.lit(0.0))
-    p = 1 / (1 + F.exp(-eta))
-
-    def step(got: dict) -> list[dict]:
-        hess = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        if np.linalg.matrix_rank(hess) < k:
-            return []
-        inv = np.linalg.inv(hess)
-        done = bool(got["done"]) or (got["llf"] is not None and abs(got["new"] - got["llf"]) < 1e-9)
-        move = np.zeros(k) if done else inv @ np.array([got[f"g{i}"] for i in range(k)])
-        se = np.sqrt(np.diag(inv))
-        return [{"n": got["n"], "pos": got["pos"], "llf": got["new"], "done": done} | {f"b{i}": got[f"b{i}"] + move[i] for i in range(k)} | {f"se{i}": se[i] for i in range(k)}]
-
+    vectors = [f"{v}{i}" for v in ("b", "best", "move", "se") for i in range(k)]
+    inverse = [f"inv{i}_{j}" for i in range(k) for j in range(i, k)]
+    fields = "n long, pos double, method string, done boolean, ready boolean, value double, llf double, " + ", ".join(f"{c} double" for c in (*vectors, *inverse))
+    now = staged(counts.select(*keys, "n", "pos", F.lit("mle").alias("method"), F.lit(False).alias("done"), F.lit(False).alias("ready"), *(F.lit(None).cast("double").alias(c) for c in ("value", "llf")), *(F.lit(0.0).alias(c) for c in (*vectors, *inverse))), "fit")
+    dot = lambda v: sum((F.col(f"_x{i}") * F.col(f"{v}{i}") for i in range(k)), F.lit(0.0))
+    hat = sum((F.col(f"inv{min(i, j)}_{max(i, j)}") * F.col(f"_x{i}") * F.col(f"_x{j}") for i in range(k) for j in range(k)), F.lit(0.0))
     for _ in range(rounds):
-        if now.where("not done").isEmpty():
+        live = now.where("not done")
+        if live.isEmpty():
             break
-        sums = rows.join(now, keys).groupBy(*now.drop(*(f"se{i}" for i in range(k))).columns).agg(
-            F.sum(F.col("_y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))).alias("new"),
-            *(F.sum(F.col(f"_x{i}") * (F.col("_y") - p)).alias(f"g{i}") for i in range(k)),
-            *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}") * p * (1 - p)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)),
+        at = rows.join(live.select(*keys, *(f"{v}{i}" for v in ("b", "move") for i in range(k)), *inverse), keys)
+        at = at.select(*keys, "_y", *(f"_x{i}" for i in range(k)), dot("b").alias("_eta"), ((2 * F.col("_y") - 1) * dot("move")).alias("_side"), hat.alias("_hat"))
+        at = at.withColumn("_p", 1 / (1 + F.exp(-F.col("_eta")))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
+        at = at.withColumn("_r", F.col("_y") - F.col("_p") + F.col("_w") * F.col("_hat") * (0.5 - F.col("_p")))
+        sums = at.groupBy(*keys).agg(
+            F.sum(F.col("_y") * F.col("_eta") - F.greatest("_eta", F.lit(0.0)) - F.log1p(F.exp(-F.abs("_eta")))).alias("new"),
+            F.max("_side").alias("right"),
+            F.max(-F.col("_side")).alias("wrong"),
+            *(F.sum(F.col(f"_x{i}") * F.col("_r")).alias(f"g{i}") for i in range(k)),
+            *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}") * F.col("_w")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)),
         )
-        now = staged(_per_group(sums, keys, fields, step), "fit")
+        now = staged(now.where("done").unionByName(_per_group(live.join(sums, keys), keys, fields, functools.partial(_logistic_step, k=k))), "fit")
 
     def told(got: dict) -> list[dict]:
         n, pos, llf = got["n"], got["pos"], got["llf"]
         null = pos * math.log(pos / n) + (n - pos) * math.log(1 - pos / n)
         out = []
         for i, name in enumerate(names):
-            b, se = got[f"b{i}"], got[f"se{i}"]
-            out.append({"term": name, "coef": b, "se": se, "odds_ratio": math.exp(min(b, 700)), "ci_low": math.exp(min(b - 1.96 * se, 700)), "ci_high": math.exp(min(b + 1.96 * se, 700)), "p_value": 2 * pvalues.normal_sf(abs(b / se)), "n": n, "n_positive": int(pos), "llf": llf, "aic": 2 * k - 2 * llf, "mcfadden_r2": 1 - llf / null})
+            b, se = got[f"best{i}"], got[f"se{i}"]
+            row = {"term": name, "coef": b, "se": se, "odds_ratio": math.exp(min(b, 700)), "ci_low": math.exp(min(b - 1.96 * se, 700)), "ci_high": math.exp(min(b + 1.96 * se, 700)), "p_value": 2 * pvalues.normal_sf(abs(b / se)) if se else 0.0, "llf": llf, "aic": 2 * k - 2 * llf, "mcfadden_r2": 1 - llf / null}
+            row = row if got["done"] else dict.fromkeys(row) | {"term": name}
+            out.append(row | {"n": n, "n_positive": int(pos), "method": got["method"] if got["done"] else "unsettled"})
         return out
 
-    return _per_group(now, by, "term string, coef double, se double, odds_ratio double, ci_low double, ci_high double, p_value double, n long, n_positive long, llf double, aic double, mcfadden_r2 double", told)
+    return _per_group(now, by, "term string, coef double, se double, odds_ratio double, ci_low double, ci_high double, p_value double, n long, n_positive long, llf double, aic double, mcfadden_r2 double, method string", told)
+
+
+def _logistic_step(got: dict, k: int) -> list[dict]:
+    """What the sums at a group's trial point say: back half-way, a step, settled, on to Firth's likelihood, or no model.
+
+    The penalised score needs the inverse information at the trial point, so such a group takes a round for that
+    (``ready``) and another for its score.
+    """
+    b, best, last = (np.array([got[f"{v}{i}"] for i in range(k)]) for v in ("b", "best", "move"))
+    g = np.array([got[f"g{i}"] for i in range(k)])
+    info = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    full = np.isfinite(info).all() and np.linalg.matrix_rank(info) == k
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def placed(b: np.ndarray, best: np.ndarray, move: np.ndarray, **new) -> list[dict]:
+        return [got | {f"{v}{i}": float(x[i]) for v, x in (("b", b), ("best", best), ("move", move)) for i in range(k)} | new]
+
+    if not full and not b.any():
+        return []
+    split = got["right"] > 0.1 and got["wrong"] <= 1e-3 * got["right"]
+    if got["method"] == "mle" and (split or not full):
+        zero = np.zeros(k)
+        return placed(zero, zero, zero, method="firth", value=None)
+    if got["ready"]:
+        inv = np.array([[got[f"inv{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        move = inv @ g
+        # these steps shrink at a steady rate, so the rest of the way is taken at once; a step too far is halved later
+        length = float(last @ info @ last)
+        step = move / (1 - min(max(float(move @ info @ last) / length, 0.0), 0.8)) if length > 0 else move
+        step = step * (5 / max(float(np.abs(step).max()), 5.0))
+        done = bool(g @ move < 1e-13)
+        return placed(b + step, b + step if done else b, move, done=done, ready=False)
+    firth = got["method"] == "firth"
+    value, before = got["new"] + (0.5 * float(np.linalg.slogdet(info)[1]) if firth else 0.0), got["value"]
+    if not full or not pd.isna(before) and value < before - 1e-9 * max(1.0, abs(before)):
+        return placed((b + best) / 2, best, last if firth else (b - best) / 2)
+    inv = np.linalg.inv(info)
+    told = {"value": value, "llf": got["new"]} | {f"se{i}": math.sqrt(inv[i, i]) for i in range(k)}
+    if firth:
+        return placed(b, b, last, ready=True, **told, **{f"inv{i}_{j}": float(inv[i, j]) for i, j in pairs})
+    move = inv @ g
+    done = bool(g @ move < 1e-13)
+    return placed(b + move, b + move if done else b, move, done=done, **told)
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = (), least: int = 20) -> dict | None:

@@ -62,14 +62,14 @@ def nested_models(spark, sf):
     return _gain(T.nested_gain(frame(spark, sf, "two"), "price", ["value"], ["discount"], by=["stratum"]), "stratum")
 
 
-LOGIT = "term, n, CAST(pos AS BIGINT) AS n_positive, round(coef, 4) AS coef, round(se, 4) AS se, round(exp(coef), 4) AS odds_ratio, " + D.p6(f"2 * {D.normal_sf('abs(coef / se)')}") + " AS p_value"
+LOGIT = "method, term, n, CAST(pos AS BIGINT) AS n_positive, round(coef, 4) AS coef, round(se, 4) AS se, round(exp(coef), 4) AS odds_ratio, " + D.p6(f"2 * {D.normal_sf('abs(coef / se)')}") + " AS p_value"
 
 
 def _logit(df, *by):
-    return df.select(*by, "term", "n", "n_positive", r4("coef"), r4("se"), r4("odds_ratio"), p6())
+    return df.select(*by, "term", "n", "n_positive", r4("coef"), r4("se"), r4("odds_ratio"), p6(), "method")
 
 
-@query(f"WITH {TWO}, f AS (SELECT stratum, CAST(grp = 'R' AS INT)::DOUBLE AS y, value, discount FROM two), {D.logit('m', 'f', ['value', 'discount'], 'stratum')} {D.terms('m', ['value', 'discount'], 'stratum, ' + LOGIT)}")
+@query(f"WITH {TWO}, f AS (SELECT stratum, CAST(grp = 'R' AS INT)::DOUBLE AS y, value, discount FROM two), {D.logistic('m', 'f', ['value', 'discount'], 'stratum')} {D.terms('m', ['value', 'discount'], 'stratum, ' + LOGIT)}")
 def logistic_model(spark, sf):
     rows = frame(spark, sf, "two").withColumn("returned", (F.col("grp") == "R").cast("double"))
     return _logit(T.logistic_models(rows, "returned", ["value", "discount"], by=["stratum"]), "stratum")
@@ -330,13 +330,13 @@ def q26_comparison(spark, sf):
     return _gain(P.burden_models(rounded_burden(spark, sf))["comparison"], "product", "time")
 
 
-HITS = f"{RBM}, z AS ({zscores('rb', 'n_loci')}), zh AS (" + " UNION ALL ".join(f"SELECT product, '{n}' AS outcome, concat(CAST(product AS VARCHAR), '/{n}') AS po, CAST({c} AS INT)::DOUBLE AS y, {', '.join(XS)} FROM z" for n, c in [*((f"repressed_{t}", f"coalesce(dir_{t} = 'repressed', false)") for t in S.TIMES), ("sustained", "trajectory = 'repressed_sustained'")]) + ")"
+HITS = f"{RBM}, z AS ({zscores('rb')}), zh AS (" + " UNION ALL ".join(f"SELECT product, '{n}' AS outcome, concat(CAST(product AS VARCHAR), '/{n}') AS po, CAST({c} AS INT)::DOUBLE AS y, {', '.join(XS)} FROM z" for n, c in [*((f"repressed_{t}", f"coalesce(dir_{t} = 'repressed', false)") for t in S.TIMES), ("sustained", "trajectory = 'repressed_sustained'")]) + ")"
 
 
-@query(f"{HITS}, {D.logit('m', 'zh', XS, 'po')} SELECT product, outcome, term, n, n_positive, coef, se, odds_ratio, p_value FROM ({D.terms('m', XS, 'po, ' + LOGIT)}) JOIN (SELECT DISTINCT po, product, outcome FROM zh) USING (po)")
+@query(f"{HITS}, {D.logistic('m', 'zh', XS, 'po')} SELECT product, outcome, method, term, n, n_positive, coef, se, odds_ratio, p_value FROM ({D.terms('m', XS, 'po, ' + LOGIT)}) JOIN (SELECT DISTINCT po, product, outcome FROM zh) USING (po)")
 def q26_logistic(spark, sf):
-    """Here with the number of loci as burden, which no outcome separates."""
-    return _logit(P.burden_models(rounded_burden(spark, sf), "n_loci")["logistic"], "product", "outcome")
+    """Outcomes that the burden splits have Firth's estimates."""
+    return _logit(P.burden_models(rounded_burden(spark, sf))["logistic"], "product", "outcome")
 
 
 @query(f"{RBM}, b AS (SELECT product, trajectory, damage_mean AS dm FROM rb WHERE (product, trajectory) IN (SELECT product, trajectory FROM rb GROUP BY ALL HAVING count(*) >= 3)) {h_sql('b', 'dm', 'trajectory', 'product')}")
@@ -356,12 +356,12 @@ def q27_halves(spark, sf):
     return P.burden_by_trajectory(rounded_burden(spark, sf))["halves"].select("product", "half", "n_a", "n_b", "u")
 
 
-PREDICT = f"{RBM}, two_courses AS (SELECT * FROM rb WHERE trajectory IN ('repressed_sustained', 'not_responsive')), z AS ({zscores('two_courses', 'n_loci')}), zp AS (SELECT product, CAST(trajectory = 'repressed_sustained' AS INT)::DOUBLE AS y, {', '.join(XS)} FROM z)"
+PREDICT = f"{RBM}, two_courses AS (SELECT * FROM rb WHERE trajectory IN ('repressed_sustained', 'not_responsive')), z AS ({zscores('two_courses')}), zp AS (SELECT product, CAST(trajectory = 'repressed_sustained' AS INT)::DOUBLE AS y, {', '.join(XS)} FROM z)"
 
 
-@query(f"{PREDICT}, {D.logit('m', 'zp', XS, 'product')} {D.terms('m', XS, 'product, ' + LOGIT)}")
+@query(f"{PREDICT}, {D.logistic('m', 'zp', XS, 'product')} {D.terms('m', XS, 'product, ' + LOGIT)}")
 def q27_predictors(spark, sf):
-    return _logit(P.burden_by_trajectory(rounded_burden(spark, sf), "n_loci")["logistic"], "product")
+    return _logit(P.burden_by_trajectory(rounded_burden(spark, sf))["logistic"], "product")
 
 
 # specificity

@@ -107,6 +107,47 @@ def logit(name: str, rows: str, xs: Sequence[str], by: str, least: int = 20, pos
     return ",\n".join(out)
 
 
+def firth(name: str, rows: str, xs: Sequence[str], by: str, least: int = 20, positive: int = 5, steps: int = 30) -> str:
+    """As ``logit``, by the score of the penalised likelihood: rows count as y + h / 2 of 1 + h trials, h being their leverage."""
+    cols = ["1.0", *xs]
+    k = len(cols)
+    h = _h(k)
+    b, v, d = _solved(h, [f"g{i}" for i in range(k)])
+
+    def cofactor(i: int, j: int) -> str:
+        minor = [[h[r][c] for c in range(k) if c != j] for r in range(k) if r != i]
+        return f"{'-' if (i + j) % 2 else ''}({det(minor) if k > 1 else '1.0'})"
+
+    inverse = ", ".join(f"{cofactor(i, j)} / ({d}) AS v{i}{j}" for i in range(k) for j in range(i, k))
+    lever = " + ".join(f"{cols[i]} * {cols[j]} * v{min(i, j)}{max(i, j)}" for i in range(k) for j in range(k))
+    eta = " + ".join(f"b{i} * {c}" for i, c in enumerate(cols))
+    live = " AND ".join(f"{c} IS NOT NULL" for c in ("y", *xs))
+    hess = ", ".join(f"sum({cols[i]} * {cols[j]} * pr * (1 - pr)) AS h{i}{j}" for i in range(k) for j in range(i, k))
+    grad = ", ".join(f"sum({c} * (y - pr + pr * (1 - pr) * ({lever}) * (0.5 - pr))) AS g{i}" for i, c in enumerate(cols))
+    out = [f"{name}_0 AS MATERIALIZED (SELECT {by}, count(*) AS n, sum(y) AS pos, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(k))} FROM {rows} WHERE {live} GROUP BY {by} HAVING count(*) >= {least} AND least(sum(y), count(*) - sum(y)) >= {positive})"]
+    for s in range(1, steps + 1):
+        at = f"(SELECT *, 1 / (1 + exp(-({eta}))) AS pr FROM {rows} JOIN {name}_{s - 1} USING ({by}) WHERE {live})"
+        out.append(f"{name}_h{s} AS MATERIALIZED (SELECT {by}, {hess} FROM {at} GROUP BY {by})")
+        out.append(f"{name}_v{s} AS MATERIALIZED (SELECT *, {inverse} FROM {name}_h{s})")
+        out.append(f"{name}_g{s} AS MATERIALIZED (SELECT {by}, {grad} FROM {at} JOIN {name}_v{s} USING ({by}) GROUP BY {by})")
+        out.append(f"{name}_{s} AS MATERIALIZED (SELECT {by}, n, pos, {', '.join(f'b{i} + ({x}) / ({d}) AS b{i}' for i, x in enumerate(b))}, {', '.join(f'sqrt(v{i}{i}) AS se{i}' for i in range(k))} FROM {name}_{s - 1} JOIN {name}_v{s} USING ({by}) JOIN {name}_g{s} USING ({by}))")
+    out.append(f"{name} AS (SELECT * FROM {name}_{steps})")
+    return ",\n".join(out)
+
+
+def logistic(name: str, rows: str, xs: Sequence[str], by: str, steps: int = 14) -> str:
+    """CTEs ending in ``name``: by, n, pos, b<i>, se<i>, method; Firth's model where the last step of ``logit`` splits the outcomes."""
+    cols = ["1.0", *xs]
+    way = " + ".join(f"(late.b{i} - early.b{i}) * {c}" for i, c in enumerate(cols))
+    live = " AND ".join(f"{c} IS NOT NULL" for c in ("y", *xs))
+    kept = f"{by}, n, pos, {', '.join(f'b{i}, se{i}' for i in range(len(cols)))}"
+    return f"""{logit(f'{name}_m', rows, xs, by, steps=steps)},
+{firth(f'{name}_f', rows, xs, by)},
+{name}_w AS (SELECT {by}, max((2 * y - 1) * ({way})) AS good, max(-(2 * y - 1) * ({way})) AS bad FROM {rows} JOIN {name}_m_{steps} late USING ({by}) JOIN {name}_m_{steps - 1} early USING ({by}) WHERE {live} GROUP BY {by}),
+{name} AS (SELECT {kept}, 'mle' AS method FROM {name}_m JOIN {name}_w USING ({by}) WHERE NOT (good > 0.1 AND bad <= 0.001 * good)
+  UNION ALL SELECT {kept}, 'firth' FROM {name}_f JOIN {name}_w USING ({by}) WHERE good > 0.1 AND bad <= 0.001 * good)"""
+
+
 def terms(name: str, names: Sequence[str], columns: str) -> str:
     """A row per group and term; ``columns`` may use term, coef, se and the model's own columns."""
     every = ", ".join(f"b{j}, se{j}" for j in range(len(names) + 1))

@@ -282,6 +282,53 @@ def test_models_equal_numpy(spark):
     assert T.linear_models(df.limit(10), "y", ["x"]).count() == 0 == T.logistic_models(df.where("hit = 1"), "hit", ["x"]).count()
 
 
+def firth_by_hand(x, y):
+    """Penalised estimates by many small steps along the modified score."""
+    b = np.zeros(x.shape[1])
+    for _ in range(3000):
+        p = 1 / (1 + np.exp(-x @ b))
+        inv = np.linalg.inv(x.T * (p * (1 - p)) @ x)
+        h = p * (1 - p) * np.einsum("ij,jk,ik->i", x, inv, x)
+        b = b + 0.3 * inv @ (x.T @ (y - p + h * (0.5 - p)))
+    return b, np.sqrt(np.diag(inv))
+
+
+def test_logistic_models_under_separation(spark):
+    """Split outcomes, outcomes split but for ties, a group that is not split, a collinear one, and one row off a split."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    parts, want = [], {}
+    for name in ("split", "tied", "mixed", "collinear", "nearly"):
+        x, z = np.sort(rng.normal(size=60)), rng.normal(size=60)
+        y = (np.arange(60) >= 30).astype(float)
+        if name == "tied":
+            x = np.where(np.arange(60) < 45, 0.0, 5.0)
+            y = np.where(np.arange(60) < 45, np.arange(60) % 2, 1.0)
+        if name == "mixed":
+            y = (x + rng.normal(size=60) > 0).astype(float)
+        if name == "collinear":
+            z = 2 * x + 1
+        if name == "nearly":
+            y[[10, 50]] = y[[50, 10]]
+        parts.append(pd.DataFrame({"g": name, "x": x, "z": z, "y": y}))
+        if name in ("split", "tied"):
+            want[name] = firth_by_hand(np.c_[np.ones(60), x, z], y)
+    df = spark.createDataFrame(pd.concat(parts))
+    got = {}
+    for r in T.logistic_models(df, "y", ["x", "z"], by=["g"]).collect():
+        got.setdefault(r["g"], {})[r["term"]] = r
+    assert {g: m["x"]["method"] for g, m in got.items()} == {"split": "firth", "tied": "firth", "mixed": "mle", "nearly": "mle"}
+    for g, (b, se) in want.items():
+        assert [got[g][t]["coef"] for t in ("intercept", "x", "z")] == pytest.approx(b.tolist(), rel=1e-5)
+        assert [got[g][t]["se"] for t in ("intercept", "x", "z")] == pytest.approx(se.tolist(), rel=1e-5)
+    for g in ("mixed", "nearly"):
+        part = next(p for p in parts if p["g"].iloc[0] == g)
+        x = np.c_[np.ones(60), part["x"], part["z"]]
+        p = 1 / (1 + np.exp(-x @ np.array([got[g][t]["coef"] for t in ("intercept", "x", "z")])))
+        assert np.abs(x.T @ (part["y"] - p)).max() < 1e-5
+    few = T.logistic_models(df, "y", ["x"], by=["g"], rounds=2).where("g = 'split'").collect()
+    assert {(r["method"], r["coef"]) for r in few} == {("unsettled", None)}
+
+
 def test_adjusted_p_of_many_values(spark):
     rng = random.Random(2)
     p = [round(rng.random() ** 3, 3) for _ in range(700)]
