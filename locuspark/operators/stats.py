@@ -363,39 +363,131 @@ def partial_slope(df: DataFrame, y: str, x: str, zs: Sequence[str]) -> float | N
     return fit["terms"][1]["coef"] if fit else None
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from the md5 of the parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / 2.0**32
+#: Rows of a group up to which a block of replicates is one task's arrays; beyond, a replicate is a key of its own.
+BLOCK_ROWS = 1 << 21
+#: Replicates of a block, and cells (rows x replicates) of one array.
+BLOCK, BLOCK_CELLS = 500, 1 << 20
+_LOW = (1 << 32) - 1
 
 
-def _replicate_rho(cells: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def _key_hash(key: str, seed: int) -> Column:
+    """32 bits of the md5 of the key and the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+
+
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """A 32-bit mixing step."""
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(0x85EBCA6B)) & np.uint64(_LOW)
+    x = x ^ (x >> np.uint64(13))
+    x = (x * np.uint64(0xC2B2AE35)) & np.uint64(_LOW)
+    return x ^ (x >> np.uint64(16))
+
+
+def _draws(h: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """A 32-bit number for each row's key hash (rows) and replicate (columns)."""
+    return _scatter(h.astype(np.uint64)[:, None] ^ _scatter(replicates.astype(np.uint64))[None, :])
+
+
+def _scattered(x: Column) -> Column:
+    """The same step on a column; each part is the variable of a lambda, so that it is worked out once."""
+    held = F.array(x)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
+        held = F.transform(held, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift)))
+        if factor:  # in two halves, which stay below 2^63
+            held = F.transform(held, lambda v: (F.shiftleft((v * (factor >> 16)).bitwiseAND(0xFFFF), 16) + v * (factor & 0xFFFF)).bitwiseAND(_LOW))
+    return held[0]
+
+
+def _with_draw(df: DataFrame) -> DataFrame:
+    """The same number as ``draw``, from the columns ``h`` and ``replicate``."""
+    return df.withColumn("draw", _scattered(F.col("h").bitwiseXOR(_scattered(F.col("replicate").cast("long")))))
+
+
+#: A draw over the k-th of these makes at least k + 1 copies: the distribution function of a Poisson variable of mean 1.
+COPIES = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def _ties(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the values, where each distinct one begins in it, and each row's distinct value."""
+    order = np.argsort(v, kind="stable")
+    new = np.r_[True, np.diff(v[order]) != 0]
+    group = np.empty(len(v), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), group
+
+
+def _weighted_rho(m: np.ndarray, *ties: tuple) -> np.ndarray:
+    """Rank correlation of the rows with each column of ``m`` as numbers of copies; NaN where a side does not vary."""
+    ranks = []
+    for order, starts, group in ties:
+        own = np.add.reduceat(m[order], starts, axis=0)
+        ranks.append((np.cumsum(own, axis=0) - (own - 1) / 2)[group])
+    a, b = ranks
+    n, sums = m.sum(axis=0), lambda *xs: np.einsum(",".join(["ir"] * len(xs)) + "->r", *xs)
+    sa, sb = sums(m, a), sums(m, b)
+    spread = (n * sums(m, a, a) - sa * sa) * (n * sums(m, b, b) - sb * sb)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(spread > 0, (n * sums(m, a, b) - sa * sb) / np.sqrt(np.maximum(spread, 0)), np.nan)
+
+
+def _in_blocks(rows: DataFrame, by: Sequence[str], times: int, fields: str, one: Callable[[pd.DataFrame, np.ndarray], dict]) -> DataFrame:
+    """``one`` of a group's rows for each block of replicates 1..times: the rows go to as many tasks as there are blocks, not replicates."""
+    schema = StructType([rows.schema[c] for c in by] + StructType.fromDDL(f"replicate int, {fields}").fields)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key").reset_index(drop=True)
+        low, out = int(pdf["block"].iloc[0]) * BLOCK + 1, []
+        width = max(1, BLOCK_CELLS // len(pdf))
+        for k in range(low, min(low + BLOCK, times + 1), width):
+            r = np.arange(k, min(k + width, low + BLOCK, times + 1))
+            out.append(pd.DataFrame({"replicate": r} | one(pdf, r)))
+        got = pd.concat(out)
+        for c in by:
+            got[c] = pdf[c].iloc[0]
+        return got[schema.names]
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((times - 1) // BLOCK)))
+    return rows.withColumn("block", blocks).groupBy(*by, "block").applyInPandas(block, schema)
+
+
+def _fits(rows: DataFrame, by: Sequence[str]) -> bool:
+    return (rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= BLOCK_ROWS
+
+
+def _replicate_rho(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weighted rank correlation ``r`` of the cells (x, y, m) of each key; a replicate is one key, so one task sorts no more than its rows."""
-    for c in (x, y):
+    for c in ("x", "y"):
         order = Window.partitionBy(*keys).orderBy(c)
         upto = F.sum("m").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         own = F.sum("m").over(Window.partitionBy(*keys, c))
         cells = cells.withColumn(f"r_{c}", upto - (own - 1) / 2)
-    return cells.groupBy(*keys).agg(_corr(F.col(f"r_{x}"), F.col(f"r_{y}"), F.col("m").cast("double")).alias("r"))
+    return cells.groupBy(*keys).agg(_corr(F.col("r_x"), F.col("r_y"), F.col("m").cast("double")).alias("r"))
 
 
 def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, by: Sequence[str] = (), times: int = 1000, seed: int = 42) -> DataFrame:
     """Per group n, rho, ci_low, ci_high: percentiles of rho over Poisson(1) bootstraps.
 
-    A row's weight in a replicate comes from the md5 of its key, the replicate and the seed, so a run can be repeated
-    anywhere. Rows with weight 0 (a third) leave at once; a group's replicates are separate keys of the shuffle.
+    A row's weight in a replicate comes from hashes of its key and the seed and of the replicate, so a run can be repeated
+    anywhere. Replicates are worked in blocks, each as an array of weights over the group's rows; where a group has more
+    than ``BLOCK_ROWS``, rows with weight are spread over replicates instead.
     """
-    rows = df.dropna(subset=[x, y]).select(*by, key, x, y)
-    steps, total, term = [], 0.0, math.exp(-1)
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    u = _uniform(F.col(key), F.col("replicate"), F.lit(seed))
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("m", weight).where("m > 0")
-    per = _replicate_rho(many.groupBy(*by, "replicate", x, y).agg(F.sum("m").alias("m")), [*by, "replicate"], x, y)
+    rows = df.dropna(subset=[x, y]).select(*by, F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), _key_hash(key, seed).alias("h"))
+    rows = staged(rows, "resampled")
+    if _fits(rows, by):
+
+        def one(pdf: pd.DataFrame, replicates: np.ndarray) -> dict:
+            u = _draws(pdf["h"].to_numpy(), replicates) / 2.0**32
+            copies = np.searchsorted(COPIES, u.ravel(), "left").reshape(u.shape).astype(np.float64)
+            return {"r": _weighted_rho(copies, _ties(pdf["x"].to_numpy()), _ties(pdf["y"].to_numpy()))}
+
+        per = _in_blocks(rows, by, times, "r double", one).withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
+    else:
+        many = _with_draw(rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))))
+        m = sum(((F.col("draw") / 2.0**32 > s).cast("int") for s in COPIES), F.lit(0))
+        per = _replicate_rho(many.withColumn("m", m).where("m > 0").groupBy(*by, "replicate", "x", "y").agg(F.sum("m").alias("m")), [*by, "replicate"])
     ci = per.groupBy(*by).agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    whole = spearman(rows, x, y, by).select(*by, "n", "rho")
+    whole = spearman(rows, "x", "y", by).select(*by, "n", "rho")
     both = whole.join(ci, list(by), "left") if by else whole.join(F.broadcast(ci))
     return both.select(*by, "n", "rho", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
@@ -403,20 +495,38 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, by: Sequence[str
 def permutation_test(df: DataFrame, x: str, y: str, group: str, a: str, b: str, key: str, by: Sequence[str] = (), times: int = 10_000, seed: int = 42) -> DataFrame:
     """Per group of ``by``: n_a, n_b, rho_a, rho_b, observed = |rho_a - rho_b| and the share of label shuffles that reach it.
 
-    A shuffle gives the label ``a`` to the rows whose keys have the smallest md5 with the replicate's number.
+    A shuffle gives the label ``a`` to the rows with the smallest hashes of key and replicate. Blocks of replicates as in ``bootstrap_spearman``.
     """
-    rows = df.where(F.col(group).isin(a, b)).dropna(subset=[x, y]).select(*by, key, x, y, (F.col(group) == a).alias("g"))
+    rows = df.where(F.col(group).isin(a, b)).dropna(subset=[x, y]).select(*by, F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), _key_hash(key, seed).alias("h"), (F.col(group) == a).alias("g"))
     rows = staged(rows, "permuted")
     sizes = rows.groupBy(*by).agg(F.count_if("g").alias("n_a"), F.count_if(~F.col("g")).alias("n_b")).where("n_a >= 3 and n_b >= 3")
-    keys = [*by, "replicate"]
-    spread = (rows.join(sizes, list(by)) if by else rows.join(F.broadcast(sizes))).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times))))
-    order = F.when(F.col("replicate") == 0, F.when(F.col("g"), "0").otherwise("1")).otherwise(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed)))))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", key))
-    dealt = spread.withColumn("_o", order).withColumn("side", place <= F.col("n_a")).withColumn("m", F.lit(1)).select(*keys, "n_a", "n_b", "side", x, y, "m")
-    rho = _replicate_rho(dealt, [*keys, "n_a", "n_b", "side"], x, y)
-    two = rho.groupBy(*keys, "n_a", "n_b").agg(F.max(F.when(F.col("side"), F.col("r"))).alias("rho_a"), F.max(F.when(~F.col("side"), F.col("r"))).alias("rho_b"))
-    two = two.withColumn("gap", F.coalesce(F.abs(F.col("rho_a") - F.col("rho_b")), F.lit(0.0)))
-    real = F.col("replicate") == 0
-    whole = two.groupBy(*by, "n_a", "n_b").agg(*(F.max(F.when(real, F.col(c))).alias(c) for c in ("rho_a", "rho_b")), F.max(F.when(real, F.col("gap"))).alias("observed"), F.collect_list(F.when(~real, F.col("gap"))).alias("_gaps"))
+    rows = rows.join(sizes, list(by)) if by else rows.join(F.broadcast(sizes))
+    real = _sides(rows.withColumns({"replicate": F.lit(0), "side": F.col("g")}), by)
+    if _fits(rows, by):
+
+        def one(pdf: pd.DataFrame, replicates: np.ndarray) -> dict:
+            place = np.arange(len(pdf), dtype=np.uint64)[:, None]
+            order = np.argpartition((_draws(pdf["h"].to_numpy(), replicates) << np.uint64(22)) | place, int(pdf["n_a"].iloc[0]) - 1, axis=0)
+            side = np.zeros((len(pdf), len(replicates)))
+            np.put_along_axis(side, order[: int(pdf["n_a"].iloc[0])], 1.0, axis=0)
+            ties = _ties(pdf["x"].to_numpy()), _ties(pdf["y"].to_numpy())
+            return {"rho_a": _weighted_rho(side, *ties), "rho_b": _weighted_rho(1 - side, *ties)}
+
+        shuffled = _in_blocks(rows, by, times, "rho_a double, rho_b double", one)
+        shuffled = shuffled.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("rho_a", "rho_b")})
+    else:
+        many = _with_draw(rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))))
+        place = F.row_number().over(Window.partitionBy(*by, "replicate").orderBy("draw", "key"))
+        shuffled = _sides(many.withColumn("side", place <= F.col("n_a")), by)
+    gap = F.coalesce(F.abs(F.col("rho_a") - F.col("rho_b")), F.lit(0.0))
+    gaps = shuffled.groupBy(*by).agg(F.collect_list(gap).alias("_gaps"))
+    real = real.withColumn("observed", gap)
+    whole = sizes.join(real, list(by)).join(gaps, list(by)) if by else sizes.join(real).join(gaps)
     hits = F.size(F.filter("_gaps", lambda g: g >= F.col("observed") - 1e-12))
-    return whole.withColumn("p_value", hits / F.lit(times)).drop("_gaps")
+    return whole.select(*by, "n_a", "n_b", "rho_a", "rho_b", "observed", (hits / F.lit(times)).alias("p_value"))
+
+
+def _sides(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rank correlation of both sides of each replicate."""
+    rho = _replicate_rho(rows.withColumn("m", F.lit(1)), [*by, "replicate", "side"])
+    return rho.groupBy(*by, "replicate").agg(F.max(F.when(F.col("side"), F.col("r"))).alias("rho_a"), F.max(F.when(~F.col("side"), F.col("r"))).alias("rho_b"))

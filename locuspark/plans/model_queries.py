@@ -99,15 +99,14 @@ def all_pairs(spark, sf):
 # resampling
 
 
-UNIFORM = "CAST(('0x' || substr(md5(concat(gene, '|', CAST(replicate AS VARCHAR), '|42')), 1, 8)) AS BIGINT) / 4294967296.0"
-POISSON = " + ".join(f"CAST({UNIFORM} > {x!r} AS INT)" for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253))
+POISSON = " + ".join(f"CAST(draw / 4294967296.0 > {x!r} AS INT)" for x in T.COPIES)
 
 
 def _weighted_rank(col: str, by: str) -> str:
     return f"(sum(m) OVER (PARTITION BY {by} ORDER BY {col}) - (sum(m) OVER (PARTITION BY {by}, {col}) - 1) / 2.0)"
 
 
-@query(f"""{cte('meas', 'de')}, r AS (SELECT gene, measure AS x, lfc_12 AS y FROM meas JOIN de USING (gene)), b AS (SELECT *, {POISSON} AS m FROM r, (SELECT unnest(range(1, 1001)) AS replicate)),
+@query(f"""{cte('meas', 'de')}, r AS (SELECT gene, measure AS x, lfc_12 AS y FROM meas JOIN de USING (gene)), b AS (SELECT *, {POISSON} AS m FROM {D.draws('r', 1, 1000)}),
 k AS (SELECT replicate, m, {_weighted_rank('x', 'replicate')} AS rx, {_weighted_rank('y', 'replicate')} AS ry FROM b WHERE m > 0),
 s AS (SELECT replicate, sum(m) AS n, sum(m * rx) AS sx, sum(m * ry) AS sy, sum(m * rx * ry) AS xy, sum(m * rx * rx) AS xx, sum(m * ry * ry) AS yy FROM k GROUP BY 1),
 c AS (SELECT (n * xy - sx * sy) / sqrt((n * xx - sx * sx) * (n * yy - sy * sy)) AS r FROM s)
@@ -117,16 +116,13 @@ def bootstrap_correlation(spark, sf):
     return T.bootstrap_spearman(rows, "measure", "lfc_12", "gene").select("n", r6("rho"), r6("ci_low"), r6("ci_high"))
 
 
-TIMES = 2000
-
-
 @query(f"""{MASTER}, r AS (SELECT gene, grp, log2_tpm AS x, lfc_12 AS y FROM master WHERE grp IN ('control', 'none')), n AS (SELECT count(*) FILTER (grp = 'control') AS n_a FROM r),
-p AS (SELECT replicate, x, y, row_number() OVER (PARTITION BY replicate ORDER BY CASE WHEN replicate > 0 THEN md5(concat(gene, '|', CAST(replicate AS VARCHAR), '|42')) WHEN grp = 'control' THEN '0' ELSE '1' END, gene) <= n_a AS side FROM r, n, (SELECT unnest(range(0, {TIMES + 1})) AS replicate)),
+p AS (SELECT replicate, x, y, row_number() OVER (PARTITION BY replicate ORDER BY CASE WHEN replicate > 0 THEN draw WHEN grp = 'control' THEN 0 ELSE 1 END, gene) <= n_a AS side FROM {D.draws('r', 0, 10_000)}, n),
 k AS (SELECT replicate, side, corr({'rx'}, {'ry'}) AS rho FROM (SELECT replicate, side, {rank_sql('x', 'replicate, side')} AS rx, {rank_sql('y', 'replicate, side')} AS ry FROM p) GROUP BY ALL),
 g AS (SELECT replicate, max(rho) FILTER (side) AS rho_a, max(rho) FILTER (NOT side) AS rho_b FROM k GROUP BY 1), o AS (SELECT * FROM g WHERE replicate = 0)
-SELECT (SELECT n_a FROM n) AS n_a, (SELECT count(*) FROM r) - (SELECT n_a FROM n) AS n_b, round(o.rho_a, 6) AS rho_a, round(o.rho_b, 6) AS rho_b, round(abs(o.rho_a - o.rho_b), 6) AS observed, (SELECT count(*) FROM g WHERE replicate > 0 AND abs(g.rho_a - g.rho_b) >= abs(o.rho_a - o.rho_b) - 1e-12) / {TIMES}::DOUBLE AS p_value FROM o""")
+SELECT (SELECT n_a FROM n) AS n_a, (SELECT count(*) FROM r) - (SELECT n_a FROM n) AS n_b, round(o.rho_a, 6) AS rho_a, round(o.rho_b, 6) AS rho_b, round(abs(o.rho_a - o.rho_b), 6) AS observed, (SELECT count(*) FROM g WHERE replicate > 0 AND abs(g.rho_a - g.rho_b) >= abs(o.rho_a - o.rho_b) - 1e-12) / 10000::DOUBLE AS p_value FROM o""")
 def permuted_difference(spark, sf):
-    out = T.permutation_test(saved_master(spark, sf), "log2_tpm", "lfc_12", "grp", "control", "none", "gene", times=TIMES)
+    out = T.permutation_test(saved_master(spark, sf), "log2_tpm", "lfc_12", "grp", "control", "none", "gene")
     return out.select("n_a", "n_b", r6("rho_a"), r6("rho_b"), r6("observed"), "p_value")
 
 
@@ -207,23 +203,23 @@ def q16_silent_split(spark, sf):
     return counts.join(silent.groupBy("grp").agg(F.count("*").alias("n_silent")), "grp", "full_outer").select("grp", F.coalesce("n_silent", F.lit(0)).alias("n_silent"), F.coalesce("n_active", F.lit(0)).alias("n_active"))
 
 
-@query(f"""{MASTER}, {MTX}, r AS (SELECT * FROM se WHERE gene NOT IN (SELECT gene FROM silent)), b AS (SELECT *, {POISSON} AS m FROM r, (SELECT unnest(range(1, 201)) AS replicate)),
+@query(f"""{MASTER}, {MTX}, r AS (SELECT * FROM se WHERE gene NOT IN (SELECT gene FROM silent)), b AS (SELECT *, {POISSON} AS m FROM {D.draws('r', 1, 1000)}),
 k AS (SELECT grp, sample_id, replicate, m, {_weighted_rank('x', 'grp, sample_id, replicate')} AS rx, {_weighted_rank('y', 'grp, sample_id, replicate')} AS ry FROM b WHERE m > 0),
 s AS (SELECT grp, sample_id, replicate, sum(m) AS n, sum(m * rx) AS sx, sum(m * ry) AS sy, sum(m * rx * ry) AS xy, sum(m * rx * rx) AS xx, sum(m * ry * ry) AS yy FROM k GROUP BY ALL),
 c AS (SELECT grp, sample_id, (n * xy - sx * sy) / nullif(sqrt(greatest((n * xx - sx * sx) * (n * yy - sy * sy), 0)), 0) AS r FROM s)
 SELECT grp, sample_id, (SELECT count(*) FROM r WHERE r.grp = c.grp AND r.sample_id = c.sample_id) AS n, round(quantile_cont(r, 0.025), 5) AS ci_low, round(quantile_cont(r, 0.975), 5) AS ci_high FROM c GROUP BY grp, sample_id HAVING n >= 20""")
 def q16_intervals(spark, sf):
-    out = P.signal_expression_intervals(signal_rows(spark, sf)[0], times=200)
+    out = P.signal_expression_intervals(signal_rows(spark, sf)[0])
     return out.where("n >= 20").select("grp", "sample_id", "n", F.round("ci_low", 5).alias("ci_low"), F.round("ci_high", 5).alias("ci_high"))
 
 
 @query(f"""{MASTER}, {MTX}, r AS (SELECT gene, sample_id, grp, x, y FROM se WHERE grp IN ('hit', 'none') AND gene NOT IN (SELECT gene FROM silent)), n AS (SELECT sample_id, count(*) FILTER (grp = 'hit') AS n_a, count(*) FILTER (grp = 'none') AS n_b FROM r GROUP BY 1),
-p AS (SELECT sample_id, replicate, x, y, row_number() OVER (PARTITION BY sample_id, replicate ORDER BY CASE WHEN replicate > 0 THEN md5(concat(gene, '|', CAST(replicate AS VARCHAR), '|42')) WHEN grp = 'hit' THEN '0' ELSE '1' END, gene) <= n_a AS side FROM r JOIN n USING (sample_id), (SELECT unnest(range(0, 201)) AS replicate)),
+p AS (SELECT sample_id, replicate, x, y, row_number() OVER (PARTITION BY sample_id, replicate ORDER BY CASE WHEN replicate > 0 THEN draw WHEN grp = 'hit' THEN 0 ELSE 1 END, gene) <= n_a AS side FROM {D.draws('r', 0, 10_000)} JOIN n USING (sample_id)),
 k AS (SELECT sample_id, replicate, side, corr(rx, ry) AS rho FROM (SELECT sample_id, replicate, side, {rank_sql('x', 'sample_id, replicate, side')} AS rx, {rank_sql('y', 'sample_id, replicate, side')} AS ry FROM p) GROUP BY ALL),
 g AS (SELECT sample_id, replicate, max(rho) FILTER (side) AS rho_a, max(rho) FILTER (NOT side) AS rho_b FROM k GROUP BY ALL), o AS (SELECT sample_id, abs(rho_a - rho_b) AS gap FROM g WHERE replicate = 0)
-SELECT o.sample_id AS sample_id, n_a, n_b, round(gap, 5) AS observed, (SELECT count(*) FROM g WHERE g.sample_id = o.sample_id AND replicate > 0 AND abs(g.rho_a - g.rho_b) >= gap - 1e-12) / 200.0::DOUBLE AS p_value FROM o JOIN n USING (sample_id) WHERE least(n_a, n_b) >= 10""")
+SELECT o.sample_id AS sample_id, n_a, n_b, round(gap, 5) AS observed, (SELECT count(*) FROM g WHERE g.sample_id = o.sample_id AND replicate > 0 AND abs(g.rho_a - g.rho_b) >= gap - 1e-12) / 10000::DOUBLE AS p_value FROM o JOIN n USING (sample_id) WHERE least(n_a, n_b) >= 10""")
 def q16_permutations(spark, sf):
-    out = P.signal_expression_contrast(signal_rows(spark, sf)[0], "hit", "none", times=200)
+    out = P.signal_expression_contrast(signal_rows(spark, sf)[0], "hit", "none")
     return out.where("least(n_a, n_b) >= 10").select("sample_id", "n_a", "n_b", F.round("observed", 5).alias("observed"), "p_value")
 
 

@@ -54,6 +54,23 @@ def fisher_p(a: str, b: str, c: str, d: str, alternative: str = "two-sided") ->
     return f"least(1, list_sum(list_transform({every}, lambda x: exp(x))))"
 
 
+def _scattered(rows: str, name: str, start: str) -> str:
+    """``rows`` with a column ``name``: the 32-bit mix of ``start``, step by step."""
+    at = f"SELECT *, CAST({start} AS UBIGINT) AS {name} FROM {rows}"
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
+        at = f"SELECT * REPLACE (xor({name}, {name} >> {shift}) AS {name}) FROM ({at})"
+        if factor:
+            at = f"SELECT * REPLACE (({name} * {factor}::UBIGINT) % 4294967296::UBIGINT AS {name}) FROM ({at})"
+    return f"({at})"
+
+
+def draws(rows: str, low: int, high: int, key: str = "gene", seed: int = 42) -> str:
+    """``rows`` for each replicate low..high with ``draw``, a 32-bit number made of hashes of key and replicate."""
+    replicates = _scattered(f"(SELECT unnest(range({low}, {high + 1})) AS replicate)", "mixed", "replicate")
+    keyed = f"(SELECT *, CAST(('0x' || substr(md5(concat({key}, '|{seed}')), 1, 8)) AS UBIGINT) AS h FROM {rows})"
+    return f"(SELECT * EXCLUDE (h, mixed) FROM {_scattered(f'(SELECT * FROM {keyed}, {replicates})', 'draw', 'xor(h, mixed)')})"
+
+
 def det(m: Sequence[Sequence[str]]) -> str:
     if len(m) == 1:
         return m[0][0]

@@ -1,5 +1,6 @@
 """Boundaries, properties and textbook values."""
 
+import hashlib
 import math
 import random
 
@@ -329,6 +330,40 @@ def test_logistic_models_under_separation(spark):
     assert {(r["method"], r["coef"]) for r in few} == {("unsettled", None)}
 
 
+def test_blocks_of_replicates_equal_single_replicates(spark, monkeypatch):
+    """Arrays and spread rows give the same; both against plain Python."""
+    rng = random.Random(5)
+    rows = [(f"k{k}", "ab"[k % 3 > 0], k % 2, float(rng.randrange(6)), float(rng.randrange(9)) if k % 17 else None) for k in range(120)]
+    df = spark.createDataFrame(rows, "key string, g string, s long, x double, y double")
+    monkeypatch.setattr(T, "BLOCK", 8)
+    monkeypatch.setattr(T, "BLOCK_CELLS", 200)
+    out = []
+    for most in (1 << 21, 0):
+        monkeypatch.setattr(T, "BLOCK_ROWS", most)
+        ci = T.bootstrap_spearman(df, "x", "y", "key", by=["s"], times=30).orderBy("s").collect()
+        test = T.permutation_test(df, "x", "y", "g", "a", "b", "key", by=["s"], times=30).orderBy("s").collect()
+        whole = T.permutation_test(df, "x", "y", "g", "a", "b", "key", times=30).collect()
+        out.append([tuple(round(v, 9) for v in r) for r in (*ci, *test, *whole)])
+    assert out[0] == out[1] and len(out[0]) == 5
+    mine = pd.DataFrame(rows, columns=["key", "g", "s", "x", "y"]).dropna().query("s == 0")
+    h = np.array([int(hashlib.md5(f"{k}|42".encode()).hexdigest()[:8], 16) for k in mine["key"]])
+    u = T._draws(h, np.arange(1, 31)) / 2.0**32
+    copies = sum((u > c).astype(int) for c in T.COPIES)
+    rho = [pd.DataFrame(np.repeat(mine[["x", "y"]].to_numpy(), copies[:, r], axis=0)).corr("spearman").iloc[0, 1] for r in range(30)]
+    assert out[0][0][3:] == pytest.approx(tuple(np.percentile(rho, [2.5, 97.5])))
+    side = mine.sort_values("key")
+    h = np.array([int(hashlib.md5(f"{k}|42".encode()).hexdigest()[:8], 16) for k in side["key"]])
+    n_a, hits = (side["g"] == "a").sum(), 0
+    corr = lambda part: part[["x", "y"]].corr("spearman").iloc[0, 1]
+    observed = abs(corr(side[side["g"] == "a"]) - corr(side[side["g"] == "b"]))
+    for r in range(30):
+        chosen = np.argsort(T._draws(h, np.array([r + 1]))[:, 0], kind="stable")
+        hits += abs(corr(side.iloc[chosen[:n_a]]) - corr(side.iloc[chosen[n_a:]])) >= observed - 1e-12
+    assert out[0][2][-2:] == pytest.approx((observed, hits / 30))
+    draws = T._draws(np.arange(2000), np.arange(500)) / 2.0**32
+    assert abs(draws.mean() - 0.5) < 0.002 and abs(np.corrcoef(draws[:, 0], draws[:, 1])[0, 1]) < 0.07 and abs(np.corrcoef(draws[0], draws[1])[0, 1]) < 0.15
+
+
 def test_adjusted_p_of_many_values(spark):
     rng = random.Random(2)
     p = [round(rng.random() ** 3, 3) for _ in range(700)]
