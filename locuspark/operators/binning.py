@@ -62,10 +62,11 @@ def ranged(df: DataFrame, order: str, by: Sequence[str] = ()) -> tuple[DataFrame
     they hold about equal numbers of rows, whatever the groups' sizes; a later range of a group has larger values.
     """
     held = staged(df, "values")
-    largest = held.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if by else held.count()
-    if (largest or 0) <= RANGE_ROWS:
+    rows = held.count()
+    largest = held.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if by and rows > RANGE_ROWS else rows
+    if largest <= RANGE_ROWS:
         return held.withColumn("_part", F.lit(0)), False
-    parts = -(-held.count() // RANGE_ROWS) * 2
+    parts = -(-rows // RANGE_ROWS) * 2
     return staged(held.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()), "ranges"), True
 
 

@@ -1,8 +1,8 @@
 """Interval operators. Intervals are half-open: chrom, start, end; two overlap if they share a base.
 
 An overlap join turns into an equi-join on cells. Bins come in levels, each ``FACTOR`` times as
-wide as the one before; an interval is at home at the first level whose bins are no shorter
-than itself, so in at most two of them, and is a guest in the bins that it touches at those
+wide as the one before; an interval is at home at the first level where it is no longer than
+``SPAN`` bins, so in at most five of them, and is a guest in the bins that it touches at those
 wider levels at which the other side has homes; guests meet homes only. A pair meets at the wider of its two
 levels, in the bin of its overlap's start. Cells with many rows of a side are dealt out: that
 side's rows by hash, the other's repeated, so a pile-up or the rows under a contig-long
@@ -21,13 +21,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from ..sources.staging import staged
 from .binning import add_below, ranged, running_totals
 
 BIN = 1 << 14
-FACTOR = 16
-LEVELS = 12
+FACTOR = 4
+LEVELS = 16
+#: Bin widths that an interval may have at its home level.
+SPAN = 4
 #: Rows of one side of a cell that are kept together.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 18
 
 
 def center(df: DataFrame) -> DataFrame:
@@ -63,86 +66,105 @@ def _touched(width: Column) -> Column:
 
 
 def _level(width: int) -> Column:
-    """The first level whose bins are no shorter than the interval."""
+    """The first level where the interval is no longer than ``SPAN`` bins."""
     length = F.greatest(F.col("end") - F.col("start"), F.lit(1))
-    return sum((F.when(length > width * FACTOR**k, 1).otherwise(0) for k in range(LEVELS)), F.lit(0))
+    return sum((F.when(length > SPAN * width * FACTOR**k, 1).otherwise(0) for k in range(LEVELS)), F.lit(0))
 
 
-def _listed(level: int, width: int, role: int) -> Column:
-    return F.transform(_touched(F.lit(width)), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), F.lit(role).alias("role")))
-
-
-def _cells(df: DataFrame, width: int, others: list[int], side: int) -> DataFrame:
-    """Rows repeated for each cell ``_at`` (level, bin, role) that they are listed in.
+def _cells(df: DataFrame, width: int, own: Sequence[int], others: Sequence[int], side: int) -> DataFrame:
+    """Rows repeated for each cell (``_lvl``, ``_bin``, ``_role``) that they are listed in; ``own`` and ``others`` are the levels of both sides.
 
     Role 0 is for pairs of one level, role 1 + side for this side's wider rows against narrower ones of the other,
     role 2 - side the other way round; so two rows that are both narrower than a cell never meet in it.
     """
     listed = []
-    for k in range(LEVELS + 1):
-        home = ([0] if k in others else []) + ([1 + side] if others and min(others) < k else [])
-        guest = [2 - side] if k in others else []
-        for roles, is_here in ((home, F.col("_level") == k), (guest, F.col("_level") < k)):
-            cells = [_listed(k, width * FACTOR**k, role) for role in roles]
-            if cells:
-                listed.append(F.when(is_here, F.concat(*cells)))
+    for k in sorted({*own, *others}):
+        roles = [0] * (k in own and k in others) + [1 + side] * (k in own and any(o < k for o in others))
+        listed += [(k, F.col("_level") == k, role) for role in roles]
+        if k in others and any(o < k for o in own):
+            listed.append((k, F.col("_level") < k, 2 - side))
     if not listed:
-        listed = [F.lit(None).cast("array<struct<level: int, bin: bigint, role: int>>")]
-    return df.withColumn("_level", _level(width)).withColumn("_at", F.explode(F.flatten(F.filter(F.array(*listed), lambda x: x.isNotNull())))).drop("_level")
+        return df.where("false").select("*", *(F.lit(0).alias(c) for c in ("_lvl", "_bin", "_role")))
+    if len(listed) == 1 and len(own) == 1:
+        k, _, role = listed[0]
+        return df.select("*", F.lit(k).alias("_lvl"), F.explode(_touched(F.lit(width * FACTOR**k))).alias("_bin"), F.lit(role).alias("_role"))
+    places = F.array(*(F.when(here, F.struct(F.lit(k).alias("_lvl"), _touched(F.lit(width * FACTOR**k)).alias("_bins"), F.lit(role).alias("_role"))) for k, here, role in listed))
+    at = df.withColumn("_level", _level(width)).select(*df.columns, F.explode(places).alias("_at")).where("_at is not null")
+    return at.select(*df.columns, "_at._lvl", F.explode("_at._bins").alias("_bin"), "_at._role")
+
+
+CELL = ("_lvl", "_bin", "_role")
 
 
 def _dealt(sides: Sequence[DataFrame]) -> list[DataFrame]:
     """Both sides with the parts ``_i`` and ``_j`` of a cell: a side's rows have one part of their own and are repeated for each of the other's."""
-    counts = [x.groupBy("chrom", "_at").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_ROWS) for x in sides]
-    parts = [c.select("chrom", "_at", F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias(p)) for c, p in zip(counts, ("_pi", "_pj"), strict=True)]
-    hot = parts[0].join(parts[1], ["chrom", "_at"], "full")
+    keys = ["chrom", *CELL]
+    counts = [x.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_ROWS) for x in sides]
+    parts = [c.select(*keys, F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias(p)) for c, p in zip(counts, ("_pi", "_pj"), strict=True)]
+    hot = staged(parts[0].join(parts[1], keys, "full"), "hot")
     if hot.isEmpty():
         return [x.withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for x in sides]
     out = []
     for x, own, other in zip(sides, ("_i", "_j"), ("_j", "_i"), strict=True):
-        known = x.join(hot, ["chrom", "_at"], "left").withColumns({p: F.coalesce(p, F.lit(1)) for p in ("_pi", "_pj")})
-        mine = F.pmod(F.xxhash64(*(c for c in x.columns if c != "_at"), F.col("_at")["bin"]), F.col(f"_p{own[-1]}")).cast("int")
+        known = x.join(hot, keys, "left").withColumns({p: F.coalesce(p, F.lit(1)) for p in ("_pi", "_pj")})
+        mine = F.pmod(F.xxhash64(*x.columns), F.col(f"_p{own[-1]}")).cast("int")
         out.append(known.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"_p{other[-1]}") - 1))).select(*x.columns, "_i", "_j"))
     return out
 
 
+def _levels(sides: Sequence[DataFrame], width: int) -> list[dict[int, int]]:
+    """Rows of each side at each level, from one pass."""
+    held = sides[0].select(_level(width).alias("k"), F.lit(0).alias("side")).unionByName(sides[1].select(_level(width).alias("k"), F.lit(1).alias("side")))
+    found = held.groupBy("side", "k").count().collect()
+    return [{r["k"]: r["count"] for r in found if r["side"] == s} for s in (0, 1)]
+
+
 def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN, suffixes: Sequence[str] = ("_a", "_b")) -> DataFrame:
-    """One row per overlapping pair: all columns of both sides with suffixes, and overlap_bp. Of a stream no levels are known, so its rows are listed at all."""
+    """One row per overlapping pair: all columns of both sides with suffixes, and overlap_bp.
+
+    Of a stream no counts are known, so its rows are listed at all levels and cells stay whole.
+    """
     given = [df.where(F.col("chrom").isNotNull() & (F.col("start") < F.col("end"))) for df in (a, b)]
     stream = a.isStreaming or b.isStreaming
-    levels = [list(range(LEVELS + 1)) if stream else sorted(r[0] for r in df.select(_level(width)).distinct().collect()) for df in given]
-    sides = [_cells(df, width, other, k) for k, (df, other) in enumerate(zip(given, levels[::-1], strict=True))]
-    dealt = [x.withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for x in sides] if stream else _dealt(sides)
+    found = [dict.fromkeys(range(LEVELS + 1), 0)] * 2 if stream else _levels(given, width)
+    sides = [_cells(df, width, [*found[k]], [*found[1 - k]], k) for k, df in enumerate(given)]
+    few = stream or all(sum(x.values()) <= CELL_ROWS for x in found)
+    dealt = [x.withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for x in sides] if few else _dealt(sides)
     x, y = (df.toDF(*(f"{c}{s}" for c in df.columns)) for df, s in zip(dealt, suffixes, strict=True))
     p, q = suffixes
     low, high = F.greatest(f"start{p}", f"start{q}"), F.least(f"end{p}", f"end{q}")
-    same = functools.reduce(lambda u, v: u & v, [F.col(f"{c}{p}") == F.col(f"{c}{q}") for c in ("chrom", "_at", "_i", "_j")])
-    at = F.col(f"_at{p}")
-    bin_width = F.lit(width) * F.pow(F.lit(float(FACTOR)), at["level"])
-    met = (low < high) & (F.floor(low / bin_width) == at["bin"])
-    return x.join(y, same & met).withColumn("overlap_bp", high - low).drop(*(f"{c}{s}" for c in ("_at", "_i", "_j") for s in suffixes))
+    same = functools.reduce(lambda u, v: u & v, [F.col(f"{c}{p}") == F.col(f"{c}{q}") for c in ("chrom", *CELL, "_i", "_j")])
+    bin_width = F.lit(width) * F.pow(F.lit(float(FACTOR)), F.col(f"_lvl{p}"))
+    met = (low < high) & (F.floor(low / bin_width) == F.col(f"_bin{p}"))
+    return x.join(y, same & met).withColumn("overlap_bp", high - low).drop(*(f"{c}{s}" for c in (*CELL, "_i", "_j") for s in suffixes))
 
 
-def overlap_totals(a: DataFrame, b: DataFrame, key: Sequence[str], sums: dict[str, Column], by: Sequence[str] = ("chrom",)) -> DataFrame:
-    """All rows of ``a`` with sums over the rows of ``b`` that they overlap (0 if none); ``key`` tells rows of ``a`` apart.
+def overlap_sums(a: DataFrame, b: DataFrame, sums: dict[str, Column], by: Sequence[str] = ("chrom",)) -> DataFrame:
+    """Each distinct row of ``a`` with sums over the rows of ``b`` that it overlaps, 0 if none.
 
     Rows overlap only if they agree in ``by``. Of all rows of b, those that start before an interval's end less those
     that end by its start overlap it: two running totals, over the rows' and the intervals' ends, and no pairs. Sums
     should be of whole numbers or decimals, which differences keep exact.
     """
-    names = list(sums)
-    live = b.where(F.col("start") < F.col("end")).select(*by, "start", "end", *(v.alias(c) for c, v in sums.items()))
-    ends = [F.struct(F.col(e).alias("_at"), *((F.col(c) if e == side else F.lit(0) * F.col(c)).alias(f"_{side}_{c}") for side in ("start", "end") for c in names)) for e in ("start", "end")]
-    asked = a.where(F.col("start") < F.col("end")).select(*by, *key_only(key, by), F.inline(F.array(F.struct(F.col("end").alias("_at"), F.lit(True).alias("_upper")), F.struct(F.col("start").alias("_at"), F.lit(False).alias("_upper")))))
+    names, full = list(sums), F.col("start") < F.col("end")
+    live = b.where(full).select(*by, "start", "end", *(v.alias(f"_sum_{c}") for c, v in sums.items()))
+    ends = [F.struct(F.col(e).alias("_at"), *((F.col(f"_sum_{c}") if e == side else F.lit(0) * F.col(f"_sum_{c}")).alias(f"_{side}_{c}") for side in ("start", "end") for c in names)) for e in ("start", "end")]
+    asked = a.select("*", F.inline(F.array(F.struct(F.col("end").alias("_at"), F.lit(True).alias("_upper")), F.struct(F.col("start").alias("_at"), F.lit(False).alias("_upper")))))
     marks = live.select(*by, F.inline(F.array(*ends))).unionByName(asked.select(*by, "_at"), allowMissingColumns=True)
     cols = [f"_{side}_{c}" for side in ("start", "end") for c in names]
     points = marks.groupBy(*by, "_at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols))
     placed = running_totals(points, "_at", cols, by)
     told = placed.select(*by, "_at", *(F.col(f"below__start_{c}").alias(f"_below_{c}") for c in names), *((F.col(f"below__end_{c}") + F.col(f"_end_{c}")).alias(f"_upto_{c}") for c in names))
-    found = asked.join(told, [*by, "_at"])
-    got = found.groupBy(*(F.col(k).alias(f"_key_{k}") for k in key)).agg(*(F.sum(F.when(F.col("_upper"), F.col(f"_below_{c}")).otherwise(-F.col(f"_upto_{c}"))).alias(f"_sum_{c}") for c in names))
+    found = asked.join(told, [*by, "_at"], "left")
+    part = lambda c: F.when(full & F.col("_upper"), F.col(f"_below_{c}")).when(full, -F.col(f"_upto_{c}"))
+    return found.groupBy(*a.columns).agg(*(F.coalesce(F.sum(part(c)), F.lit(0)).alias(c) for c in names))
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, key: Sequence[str], sums: dict[str, Column], by: Sequence[str] = ("chrom",)) -> DataFrame:
+    """All rows of ``a`` with the sums of ``overlap_sums``; ``key`` tells rows of ``a`` apart, so the other columns need not be shuffled with the ends."""
+    got = overlap_sums(a.select(*dict.fromkeys([*key, *by, "start", "end"])), b, sums, by)
     same = functools.reduce(lambda u, v: u & v, [F.col(k) == F.col(f"_key_{k}") for k in key])
-    return a.join(got, same, "left").select(*(c for c in a.columns if c not in sums), *(F.coalesce(f"_sum_{c}", F.lit(0)).alias(c) for c in names))
+    return a.drop(*sums).join(got.select(*(F.col(k).alias(f"_key_{k}") for k in key), *(F.col(c).alias(f"_got_{c}") for c in sums)), same, "left").select(*(c for c in a.columns if c not in sums), *(F.coalesce(f"_got_{c}", F.lit(0)).alias(c) for c in sums))
 
 
 def key_only(key: Sequence[str], by: Sequence[str]) -> list[str]:
@@ -156,7 +178,8 @@ def overlap_count(a: DataFrame, b: DataFrame, key: Sequence[str], name: str = "n
 
 def _hit_keys(a: DataFrame, b: DataFrame, key: Sequence[str], width: int) -> DataFrame:
     """Keys of the rows of ``a`` that overlap ``b``, whose rows are merged first: a row then meets few islands, however deep they pile up."""
-    pairs = overlap_pairs(a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), merge(b.select("chrom", "start", "end")).select("chrom", "start", "end"), width)
+    islands = staged(merge(b.select("chrom", "start", "end")).select("chrom", "start", "end"), "islands")
+    pairs = overlap_pairs(a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), islands, width)
     return pairs.select(*(F.col(f"{k}_a").alias(k) for k in key)).distinct()
 
 

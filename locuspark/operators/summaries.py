@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PADJ_MAX, flag
+from ..sources.staging import staged
 from .binning import quantiles
 
 
@@ -18,6 +19,7 @@ def named(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
 
 def group_summary(df: DataFrame, group: str, col: str, groups: Sequence[str], above: float = 1.0) -> DataFrame:
     """n, mean, median, quartiles and n above a threshold of each listed group, empty ones too."""
+    df = staged(df.select(group, col), "measured")  # read for the counts and for the quantiles
     stats = df.groupBy(group).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.count_if(F.col(col) > above).alias("n_above"))
     out = named(df, group, groups).join(stats, group, "left").join(quantiles(df, col, [0.25, 0.5, 0.75], [group], "_q"), group, "left")
     return out.select(group, F.coalesce("n", F.lit(0)).alias("n"), "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), F.coalesce("n_above", F.lit(0)).alias("n_above"))

@@ -278,7 +278,7 @@ def burden(windows: DataFrame, loci: DataFrame, reads: DataFrame) -> tuple[DataF
     counted over the loci at once, without a join of reads.
     """
     parts = I.intersect(windows.select("gene", "chrom", "start", "end"), loci.select("chrom", "start", "end"))
-    return burden_of_places(parts.select(F.col("gene_a").alias("gene"), "chrom", "start", "end").distinct(), reads)
+    return burden_of_places(staged(parts.select(F.col("gene_a").alias("gene"), "chrom", "start", "end").distinct(), "places"), reads)
 
 
 def burden_of_places(places: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -287,11 +287,11 @@ def burden_of_places(places: DataFrame, reads: DataFrame) -> tuple[DataFrame, Da
     totals = reads.groupBy("sample_id", "product").agg(F.count_if(F.col("kind") == "real").alias("total_real"), F.count_if(F.col("kind") == "sim").alias("total_sim"))
     grid = places.select("locus", "gene", "chrom", "start", "end", (F.col("end") - F.col("start")).alias("length")).join(totals)  # the result has a row for each locus and sample
     kinds = {k: (F.col("kind") == k).cast("long") for k in ("real", "sim")}
-    full = I.overlap_totals(grid, reads, ["locus", "sample_id", "product"], kinds, by=["chrom", "sample_id", "product"])
+    full = I.overlap_sums(grid, reads, kinds, by=["chrom", "sample_id", "product"])
     rated = full.withColumns({"real_rpkm": S.rpkm("real", "length", "total_real"), "sim_rpkm": S.rpkm("sim", "length", "total_sim")}).withColumn("damage", S.log2_ratio("real_rpkm", "sim_rpkm"))
     locus = rated.groupBy("product", "gene", "locus").agg(F.count("*").alias("n_samples"), F.avg("real_rpkm").alias("real_rpkm_mean"), F.max("real_rpkm").alias("real_rpkm_max"), F.avg("sim_rpkm").alias("sim_rpkm_mean"), F.avg("damage").alias("damage_mean"), F.max("damage").alias("damage_max"))
     gene = locus.groupBy("product", "gene").agg(F.count_distinct("locus").alias("n_loci"), F.max("damage_max").alias("damage_max"), F.avg("damage_mean").alias("damage_mean"), F.sum("damage_mean").alias("damage_sum"), F.max("real_rpkm_max").alias("real_rpkm_max"), F.avg("real_rpkm_mean").alias("real_rpkm_mean"))
-    return locus, B.zscore(gene, "damage_mean", "damage_z", by=["product"])
+    return locus, B.zscore(staged(gene, "burden"), "damage_mean", "damage_z", by=["product"])
 
 
 def burden_master(gene_burden: DataFrame, master: DataFrame, strength: DataFrame) -> DataFrame:

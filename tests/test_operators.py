@@ -62,10 +62,13 @@ def test_overlaps_of_all_lengths_and_hot_cells(spark, monkeypatch):
 def test_a_contig_long_interval_is_listed_a_few_times_and_pile_ups_are_dealt_out(spark, monkeypatch):
     long = ivs(spark, [(0, "c", 0, 250_000_000)])
     reads = spark.range(3000).selectExpr("id", "'c' as chrom", "1000000 + id % 7 as start", "1000100 + id % 7 as end")
-    assert I._cells(long, I.BIN, [0], 0).count() <= 2 and I._cells(reads, I.BIN, [4], 1).count() <= 2 * 3000
+    levels = [[*x] for x in I._levels([long, reads], I.BIN)]
+    assert len(levels[0]) == 1 and levels[0][0] > 3 and levels[1] == [0]
+    sides = [I._cells(long, I.BIN, *levels, 0), I._cells(reads, I.BIN, *levels[::-1], 1)]
+    assert sides[0].count() <= I.SPAN + 1 and sides[1].count() <= 2 * 3000
     monkeypatch.setattr(I, "CELL_ROWS", 100)
-    a, b = I._dealt([I._cells(long, I.BIN, [0], 0), I._cells(reads, I.BIN, [4], 1)])
-    tasks = b.groupBy("_at", "_i", "_j").count().agg(F.count("*"), F.max("count")).first()
+    a, b = I._dealt(sides)
+    tasks = b.groupBy(*I.CELL, "_i", "_j").count().agg(F.count("*"), F.max("count")).first()
     assert tasks[0] >= 30 and tasks[1] < 200 and a.select("_j").distinct().count() >= 30
     assert I.overlap_pairs(long, reads).count() == 3000
 
