@@ -57,13 +57,28 @@ def shortest(pattern: str) -> str:
     return re.sub(r"\)\{(\d+),\}", r"){\1}", pattern)
 
 
+def least_runs(pattern: str, size: int) -> int:
+    """Separate runs of ``size`` Gs that every match of the pattern holds."""
+    copied = re.sub(r"\(([^()]*)\)\{(\d+),?\d*\}", lambda m: m[1] * int(m[2]), pattern)
+    return sum(int(n) >= size for n in re.findall(r"\[gG\]\{(\d+),\}", copied))
+
+
 def _first_match(s: Column, classes: Sequence[tuple[str, Sequence[str]]], value: Callable[[str, str], Column], other: Column) -> Column:
-    hit = None
-    for name, patterns in classes:
-        for p in patterns:
+    """Value of the first pattern that is found. Runs of Gs are counted first: most texts have too few for any, or for the longer-run patterns."""
+    flat = [(name, p) for name, patterns in classes for p in patterns]
+
+    def chain(some: list[tuple[str, str]]) -> Column:
+        hit = None
+        for name, p in some:
             found = s.rlike(shortest(p))
             hit = F.when(found, value(name, p)) if hit is None else hit.when(found, value(name, p))
-    return hit.otherwise(other)
+        return other if hit is None else hit.otherwise(other)
+
+    runs = lambda size: F.regexp_count(s, F.lit(f"[gG]{{{size}}}"))
+    pairs, triples = min(least_runs(p, 2) for _, p in flat), max(least_runs(p, 3) for _, p in flat)
+    rest = [(n, p) for n, p in flat if least_runs(p, 3) < triples]
+    out = F.when(runs(3) >= triples, chain(flat)).otherwise(chain(rest)) if triples else chain(flat)
+    return F.when(runs(2) >= pairs, out).otherwise(F.when(s.isNotNull(), other)) if pairs else out
 
 
 def motif_class(seq: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = MOTIFS) -> Column:

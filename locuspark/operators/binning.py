@@ -89,6 +89,18 @@ def add_below(placed: DataFrame, several: bool, order: str, cols: Sequence[str],
     return out.withColumns(new).select(*local.columns)
 
 
+def add_reach(placed: DataFrame, several: bool, order: str, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``ranged`` with ``_reach``: the largest ``col`` over smaller values of the group, null for the first."""
+    earlier = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_reach", F.max(col).over(earlier))
+    if not several:
+        return local
+    keys = [*by, "_part"]
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy(*keys).agg(F.max(col).alias("_most")).select(*(F.col(c).alias(f"_key_{c}") for c in keys), F.max("_most").over(before).alias("_carried"))
+    return local.join(carried, _same(keys, "_key_")).withColumn("_reach", F.greatest("_reach", "_carried")).select(*local.columns)
+
+
 def running_totals(df: DataFrame, order: str, cols: Sequence[str], by: Sequence[str] = (), keep_part: bool = False) -> DataFrame:
     """``df`` (one row per value and group) with ``below_<c>``: the sum of c over smaller values of the group.
 
@@ -132,10 +144,23 @@ def sample_order(key: Column, seed: int = 42) -> Column:
 
 
 def sample_k(df: DataFrame, k: int, key: str, seed: int = 42, by: Sequence[str] = (), strict: bool = True) -> DataFrame:
-    """``k`` rows by hash order (of each group, if ``by``); an error if there are fewer and ``strict``."""
+    """``k`` rows by hash order (of each group, if ``by``); an error if there are fewer and ``strict``.
+
+    Of a group, only rows whose hash lies below a share that surely holds ``k`` of them are put in order, with a second
+    look at all rows of a group where it does not.
+    """
     ordered = df.withColumn("_order", sample_order(F.col(key), seed))
     if by:
-        ranked = ordered.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_order", key)))
+        same = functools.reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by])
+        sizes = df.groupBy(*(F.col(c).alias(f"_key_{c}") for c in by)).agg(F.count("*").alias("_size"))
+        place = F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / 2.0**32
+        low = ordered.join(sizes, same).where(place <= (k + 8 * k**0.5 + 32) / F.col("_size")).drop(*(f"_key_{c}" for c in by))
+        short = low.groupBy(*(F.col(c).alias(f"_key_{c}") for c in by), "_size").agg(F.count("*").alias("_got")).where(F.col("_got") < F.least(F.lit(k), F.col("_size")))
+        none = sizes.join(low.select(*(F.col(c).alias(f"_low_{c}") for c in by)).distinct(), functools.reduce(lambda u, v: u & v, [F.col(f"_key_{c}").eqNullSafe(F.col(f"_low_{c}")) for c in by]), "left_anti")
+        again = staged(short.drop("_size", "_got").unionByName(none.drop("_size")), "short")
+        if not again.isEmpty():
+            low = low.join(again, same, "left_anti").unionByName(ordered.join(again, same, "left_semi"), allowMissingColumns=True)
+        ranked = low.drop("_size").withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_order", key)))
         return ranked.where(F.col("_n") <= k).drop("_order", "_n")
     if strict and df.limit(k).count() < k:
         raise ValueError(f"fewer than {k} rows to sample from")
@@ -143,7 +168,7 @@ def sample_k(df: DataFrame, k: int, key: str, seed: int = 42, by: Sequence[str]
 
 
 def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key. Spark keeps one row per key and task before the shuffle (a window group limit), so a frequent key is not sorted in one task."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..sources.staging import staged
-from .binning import add_below, ranged, running_totals
+from .binning import add_below, add_reach, ranged, running_totals
 
 BIN = 1 << 14
 FACTOR = 4
@@ -224,20 +224,19 @@ def max_signal(a: DataFrame, b: DataFrame, key: Sequence[str], value: str, width
 def merge(df: DataFrame, by: Sequence[str] = ("chrom",), width: int = 1 << 20) -> DataFrame:
     """Islands of intervals that overlap or touch: the ``by`` columns, start, end, n_merged.
 
-    Intervals are first merged within blocks of ``width`` bases, in parallel; what is left is
-    merged once more per contig.
+    Intervals are first merged within blocks of ``width`` bases. What is left has one row per start, which goes into ranges of starts;
+    the furthest end of earlier ranges and the number of islands in them are carried on, so no task needs a contig.
     """
-
-    def once(x: DataFrame, keys: list[Column | str], n: Column) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy("start", "end")
-        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        island = F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        named = x.withColumn("_island", island)
-        return named.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), n.alias("n_merged")).drop("_island")
-
+    by = list(by)
     blocks = df.select(*by, "start", "end").withColumn("_block", F.floor(F.col("start") / width))
-    local = once(blocks, [*by, "_block"], F.count("*")).drop("_block")
-    return once(local, list(by), F.sum("n_merged"))
+    order = Window.partitionBy(*by, "_block").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    local = blocks.withColumn("_island", island).groupBy(*by, "_block", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged"))
+    placed, several = ranged(local.select(*by, "start", "end", "n_merged"), "start", by)
+    reached = add_reach(placed, several, "start", "end", by).withColumn("_new", F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1))
+    numbered = add_below(reached, several, "start", ["_new"], by).withColumn("_island", F.col("below__new") + F.col("_new"))
+    return numbered.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_merged").alias("n_merged")).drop("_island")
 
 
 def remap(df: DataFrame, blocks: DataFrame, key: Sequence[str], width: int = BIN) -> tuple[DataFrame, DataFrame]:

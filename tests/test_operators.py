@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -217,6 +218,48 @@ def test_ranks_equal_pandas(spark):
     assert got == {k: None if math.isnan(r) else r for k, r in enumerate(pd.Series(values).rank())}
 
 
+@pytest.mark.parametrize("rows", [1 << 20, 6])
+def test_islands_over_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(B, "RANGE_ROWS", rows)
+    rng = random.Random(8)
+    given = [(k, rng.choice(["a", "b"]), at := rng.randrange(3000), at + rng.choice([1, 5, 20, 400 if k % 20 == 0 else 2])) for k in range(160)]
+    want = set()
+    for c in "ab":
+        low = high = n = None
+        for _, _, s, e in sorted(r for r in given if r[1] == c for r in [(0, 0, *r[2:])]):
+            if high is not None and s <= high:
+                high, n = max(high, e), n + 1
+                continue
+            if high is not None:
+                want.add((c, low, high, n))
+            low, high, n = s, e, 1
+        want.add((c, low, high, n))
+    assert {tuple(r) for r in I.merge(ivs(spark, given), width=16).collect()} == want
+
+
+def test_samples_of_groups_and_first_rows(spark):
+    rows = spark.range(5000).selectExpr("id", "case when id % 10 > 2 then 'big' when id < 40 then null when id % 10 = 2 then 'b' else 'c' end as g")
+    keys = [(r["g"], r["id"]) for r in rows.collect()]
+    order = lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest()
+    for k in (1, 3, 700, 4000):
+        got = {tuple(r) for r in B.sample_k(rows, k, "id", by=["g"]).select("g", "id").collect()}
+        assert got == {(g, i) for g in {g for g, _ in keys} for i in sorted((i for h, i in keys if h == g), key=order)[:k]}
+    first = B.first_by(rows, ["g"], [F.desc("id")])
+    assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString() and {tuple(r) for r in first.select("g", "id").collect()} == {(g, max(i for h, i in keys if h == g)) for g in {g for g, _ in keys}}
+
+
+def test_counting_runs_first_changes_no_motif_call(spark):
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("GGGGGATC" if k % 2 else "GgaTC") for _ in range(rng.choice([8, 30, 90]))) for k in range(400)] + ["", None, "GGGAGGGAGGGAGGG", "GGAGGAGGAGG", "GGAGGAGG"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(seqs)], "k long, seq string").select("k", Q.motif_class("seq").alias("m"), Q.classify_motif("seq")["structure"].alias("c"))
+    for r in df.collect():
+        v = seqs[r["k"]]
+        want = None if v is None else next((n for n, ps in Q.MOTIFS for p in ps if re.search(p, v)), "other")
+        assert r["m"] == want and r["c"] == (want or "other")
+    assert {Q.least_runs(p, 2) for _, patterns in Q.MOTIFS for p in patterns} == {4}
+    assert [name for name, patterns in Q.MOTIFS if min(Q.least_runs(p, 3) for p in patterns) == 4] == ["loop1_3", "loop4_5", "loop6_7", "longLoop"]
+
+
 def test_sample_needs_enough_rows(spark):
     with pytest.raises(ValueError):
         B.sample_k(spark.range(5), 6, "id")
