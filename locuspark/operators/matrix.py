@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,15 +73,23 @@ def sample_distance(long: DataFrame, key: str, sample: str, value: str) -> DataF
 
 
 def sample_pca(long: DataFrame, key: str, sample: str, value: str, n_keys: int = 500, k: int = 2) -> DataFrame:
-    """First components of the samples over the keys of the largest variance."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    """First components of the samples over the keys of the largest variance, of either sign.
 
+    From the sums of products of each two samples: only that table, of the square of the number of samples, comes to the
+    driver, and no task holds a sample's keys. A key that a sample lacks counts as that key's mean.
+    """
     picked = top_variance(long, key, value, n_keys)
-    centred = picked.join(picked.groupBy(key).agg(F.avg(value).alias("_m")), key)
-    rows = centred.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(key, (F.col(value) - F.col("_m")).alias("v")))).alias("x"))
-    vectors = rows.select(sample, array_to_vector(F.transform("x", lambda x: x["v"])).alias("features"))
-    out = PCA(k=k, inputCol="features", outputCol="pc").fit(vectors).transform(vectors)
-    from pyspark.ml.functions import vector_to_array
-
-    return out.select(sample, *(vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(k)))
+    centred = picked.join(picked.groupBy(key).agg(F.avg(value).alias("_m")), key).select(key, F.col(sample).alias("s"), (F.col(value) - F.col("_m")).alias("v"))
+    a, b = (centred.select(key, F.col("s").alias(f"s{i}"), F.col("v").alias(f"v{i}")) for i in "ab")
+    gram = a.join(b, key).groupBy("sa", "sb").agg(F.sum(F.col("va") * F.col("vb")).alias("w")).collect()
+    names = sorted({r["sa"] for r in gram})
+    at = {n: i for i, n in enumerate(names)}
+    g = np.zeros((len(names), len(names)))
+    for r in gram:
+        g[at[r["sa"]], at[r["sb"]]] = r["w"]
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    scores = np.zeros((len(names), k))
+    found = min(k, len(names))
+    scores[:, :found] = (vectors * np.sqrt(np.maximum(values, 0)))[:, ::-1][:, :found]
+    kind = long.schema[sample].dataType.simpleString()
+    return long.sparkSession.createDataFrame([(n, *map(float, s)) for n, s in zip(names, scores, strict=True)], f"{sample} {kind}, " + ", ".join(f"pc{i + 1} double" for i in range(k)))

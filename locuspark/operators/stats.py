@@ -180,24 +180,71 @@ def treatment_codes(df: DataFrame, col: str, levels: Sequence[str]) -> tuple[Dat
     return df.withColumns({n: (F.col(col) == v).cast("double") for n, v in zip(names, levels[1:], strict=True)}), names
 
 
-def _sums(cols: Sequence[tuple[str, Column]], target: Column) -> list[Column]:
-    """n, sums of y and y squared, X'X and X'y as aggregates."""
-    sums = [F.sum(a * b).alias(f"x{i}_{j}") for i, (_, a) in enumerate(cols) for j, (_, b) in enumerate(cols) if i <= j]
-    return [F.count("*").alias("n"), F.sum(target).alias("sy"), F.sum(target * target).alias("yy"), *sums, *(F.sum(a * target).alias(f"y{i}") for i, (_, a) in enumerate(cols))]
-
-
-def _fit(names: Sequence[str], got: dict, least: int) -> dict | None:
-    """The least squares fit from the sums; None under ``least`` rows or for a design without full rank."""
-    n, k = int(got["n"]), len(names)
-    xx = np.array([[got[f"x{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
-    xy, yy, sy = np.array([got[f"y{i}"] or 0.0 for i in range(k)], dtype=float), got["yy"] or 0.0, got["sy"] or 0.0
-    if n < max(least, k + 1) or np.linalg.matrix_rank(xx) < k:
+#: Groups whose triangles a task holds at a time, and parts in which a group's triangles are folded before the last.
+HELD_GROUPS, FOLDS = 4096, 32
+
+
+def _triangles(rows: DataFrame, by: Sequence[str], cols: Sequence[tuple[str, Column]], target: Column) -> DataFrame:
+    """A few rows per group, ``_n`` and ``_c<i>``: what is left of the rows (design columns and target) after orthogonal reduction.
+
+    A batch of a group's rows is reduced to its triangle (the R of a QR factorisation), which stands for them: rows of
+    triangles are reduced again like rows of data. Squares are never formed, so columns far from 0 keep their digits.
+    """
+    names = [f"_c{i}" for i in range(len(cols) + 1)]
+    given = rows.select(*by, F.lit(1).cast("long").alias("_n"), *(c.cast("double").alias(n) for n, c in zip(names, [c for _, c in cols] + [target], strict=True)))
+    keys = [*by] or ["_all"]
+    given = given if by else given.withColumn("_all", F.lit(0))
+    schema = StructType([given.schema[c] for c in (*keys, "_n", *names)])
+
+    def fold(frames):
+        held: dict = {}
+        for pdf in frames:
+            for g, part in pdf.groupby(keys, dropna=False, sort=False):
+                n, r = held.get(g, (0, np.zeros((0, len(names)))))
+                held[g] = n + int(part["_n"].sum()), np.linalg.qr(np.vstack([r, part[names].to_numpy(dtype=float)]), mode="r")
+            if len(held) > HELD_GROUPS:
+                yield told(held)
+                held = {}
+        if held:
+            yield told(held)
+
+    def told(held: dict) -> pd.DataFrame:
+        out = [pd.DataFrame(r, columns=names).assign(_n=[n] + [0] * (len(r) - 1), **dict(zip(keys, g, strict=True))) for g, (n, r) in held.items()]
+        return pd.concat(out)[schema.names]
+
+    once = given.select(*schema.names).mapInPandas(fold, schema).withColumn("_part", F.spark_partition_id() % FOLDS)
+    return once.repartition(*keys, "_part").drop("_part").mapInPandas(fold, schema)
+
+
+def _triangle(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
+    names = [c for c in pdf.columns if c.startswith("_c") and c[2:].isdigit()]
+    r = np.linalg.qr(pdf[names].to_numpy(dtype=float), mode="r")
+    return int(pdf["_n"].sum()), np.vstack([r, np.zeros((len(names) - len(r), len(names)))])
+
+
+def _per_triangle(triangles: DataFrame, by: Sequence[str], fields: str, fit: Callable[[int, np.ndarray], list[dict]]) -> DataFrame:
+    """``fit`` of each group's number of rows and triangle, as rows with the group's columns."""
+    schema = StructType([triangles.schema[c] for c in by] + StructType.fromDDL(fields).fields)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | x for x in fit(*_triangle(pdf))], columns=schema.names)
+
+    return triangles.groupBy(*(by or ["_all"])).applyInPandas(solve, schema)
+
+
+def _fit(names: Sequence[str], n: int, r: np.ndarray, least: int) -> dict | None:
+    """The least squares fit of the target (last column) on the first columns of a triangle; None under ``least`` rows or for a design without full rank."""
+    k = len(names)
+    if n < max(least, k + 1):
+        return None
+    top, y = r[:k, :k], r[:, -1]
+    if (np.abs(np.diag(top)) <= 1e-12 * np.linalg.norm(top, axis=0)).any():
         return None
-    inv = np.linalg.inv(xx)
-    beta = inv @ xy
-    rss = max(float(yy - beta @ xy), 0.0)
-    tss_ = yy - sy**2 / n
-    se = np.sqrt(np.diag(inv) * rss / (n - k))
+    inv = np.linalg.inv(top)
+    beta = inv @ y[:k]
+    rss = float((y[k:] ** 2).sum())
+    tss_ = float((y[1:] ** 2).sum())  # the first column is the intercept
+    se = np.sqrt((inv**2).sum(axis=1) * rss / (n - k))
     llf = -n / 2 * (math.log(2 * math.pi * rss / n) + 1) if rss > 0 else math.inf
     r2 = 1 - rss / tss_ if tss_ > 0 else math.nan
     rows = [{"term": c, "coef": b, "se": s, "t": b / s if s else math.inf, "p_value": pvalues.t_two_sided(b / s, n - k) if s else 0.0} for c, b, s in zip(names, beta.tolist(), se.tolist(), strict=True)]
@@ -217,7 +264,7 @@ def _per_group(sums: DataFrame, by: Sequence[str], fields: str, fit: Callable[[d
 
 
 def linear_models(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = (), by: Sequence[str] = (), least: int = 20) -> DataFrame:
-    """One least squares fit per group from one aggregate: a row per group and term.
+    """One least squares fit per group from one pass: a row per group and term.
 
     term, coef, se, t, p_value and the model's n, k, r2, adj_r2, llf, aic; no rows for groups of
     under ``least`` complete rows or without full rank.
@@ -225,17 +272,16 @@ def linear_models(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequen
     cols = _design(xs, interactions)
     names = [c for c, _ in cols]
     rows = df.dropna(subset=[y, *dict.fromkeys([*xs, *itertools.chain(*interactions)])])
-    sums = rows.groupBy(*by).agg(*_sums(cols, F.col(y).cast("double")))
 
-    def fit(got: dict) -> list[dict]:
-        one = _fit(names, got, least)
+    def fit(n: int, r: np.ndarray) -> list[dict]:
+        one = _fit(names, n, r, least)
         return [t | {k: one[k] for k in ("n", "k", "r2", "adj_r2", "llf", "aic")} for t in one["terms"]] if one else []
 
-    return _per_group(sums, by, "term string, coef double, se double, t double, p_value double, n long, k long, r2 double, adj_r2 double, llf double, aic double", fit)
+    return _per_triangle(_triangles(rows, by, cols, F.col(y)), by, "term string, coef double, se double, t double, p_value double, n long, k long, r2 double, adj_r2 double, llf double, aic double", fit)
 
 
 def nested_gain(df: DataFrame, y: str, base: Sequence[str], added: Sequence[str], by: Sequence[str] = (), least: int = 20) -> DataFrame:
-    """Per group, what ``added`` brings to the linear model of ``base`` on the same rows, both from one aggregate.
+    """Per group, what ``added`` brings to the linear model of ``base`` on the same rows, both from one pass.
 
     n, adj_r2_full, adj_r2_base, delta_adj_r2, delta_aic (base less full), lr and its p_value.
     """
@@ -243,14 +289,14 @@ def nested_gain(df: DataFrame, y: str, base: Sequence[str], added: Sequence[str]
     names, k = [c for c, _ in cols], 1 + len(base)
     rows = df.dropna(subset=[y, *base, *added])
 
-    def fit(got: dict) -> list[dict]:
-        large, small = _fit(names, got, least), _fit(names[:k], got, least)
+    def fit(n: int, r: np.ndarray) -> list[dict]:
+        large, small = _fit(names, n, r, least), _fit(names[:k], n, r, least)
         if not large or not small:
             return []
         lr = 2 * (large["llf"] - small["llf"])
         return [{"n": large["n"], "adj_r2_full": large["adj_r2"], "adj_r2_base": small["adj_r2"], "delta_adj_r2": large["adj_r2"] - small["adj_r2"], "delta_aic": small["aic"] - large["aic"], "lr": lr, "p_value": pvalues.chi2_sf(lr, len(added))}]
 
-    return _per_group(rows.groupBy(*by).agg(*_sums(cols, F.col(y).cast("double"))), by, "n long, adj_r2_full double, adj_r2_base double, delta_adj_r2 double, delta_aic double, lr double, p_value double", fit)
+    return _per_triangle(_triangles(rows, by, cols, F.col(y)), by, "n long, adj_r2_full double, adj_r2_base double, delta_adj_r2 double, delta_aic double, lr double, p_value double", fit)
 
 
 def logistic_models(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), least: int = 20, least_positive: int = 5, rounds: int = 120) -> DataFrame:
@@ -354,7 +400,8 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[s
     """Least squares with an intercept: coefficients with se, t, p; r2, adj_r2, llf, aic; None under ``least`` rows."""
     cols = _design(xs, interactions)
     rows = df.dropna(subset=[y, *dict.fromkeys([*xs, *itertools.chain(*interactions)])])
-    return _fit([c for c, _ in cols], rows.agg(*_sums(cols, F.col(y).cast("double"))).first().asDict(), least)
+    few = _triangles(rows, (), cols, F.col(y)).toPandas()  # a triangle for each of at most FOLDS parts
+    return _fit([c for c, _ in cols], *_triangle(few), least)
 
 
 def partial_slope(df: DataFrame, y: str, x: str, zs: Sequence[str]) -> float | None:

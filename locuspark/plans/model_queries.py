@@ -332,7 +332,7 @@ HITS = f"{RBM}, z AS ({zscores('rb')}), zh AS (" + " UNION ALL ".join(f"SELECT p
 @query(f"{HITS}, {D.logistic('m', 'zh', XS, 'po')} SELECT product, outcome, method, term, n, n_positive, coef, se, odds_ratio, p_value FROM ({D.terms('m', XS, 'po, ' + LOGIT)}) JOIN (SELECT DISTINCT po, product, outcome FROM zh) USING (po)")
 def q26_logistic(spark, sf):
     """Outcomes that the burden splits have Firth's estimates."""
-    return _logit(P.burden_models(rounded_burden(spark, sf))["logistic"], "product", "outcome")
+    return _logit(P.burden_logistic(rounded_burden(spark, sf)), "product", "outcome")
 
 
 @query(f"{RBM}, b AS (SELECT product, trajectory, damage_mean AS dm FROM rb WHERE (product, trajectory) IN (SELECT product, trajectory FROM rb GROUP BY ALL HAVING count(*) >= 3)) {h_sql('b', 'dm', 'trajectory', 'product')}")
@@ -357,7 +357,7 @@ PREDICT = f"{RBM}, two_courses AS (SELECT * FROM rb WHERE trajectory IN ('repres
 
 @query(f"{PREDICT}, {D.logistic('m', 'zp', XS, 'product')} {D.terms('m', XS, 'product, ' + LOGIT)}")
 def q27_predictors(spark, sf):
-    return _logit(P.burden_by_trajectory(rounded_burden(spark, sf))["logistic"], "product")
+    return _logit(P.trajectory_logistic(rounded_burden(spark, sf)), "product")
 
 
 # specificity

@@ -337,8 +337,7 @@ def burden_models(bm: DataFrame, value: str = "damage_mean") -> dict[str, DataFr
     """By product: correlations, partial correlation and covariate models of burden and response.
 
     correlations (burden with each change, the absolute last one, strength and expression, adjusted by
-    product), partial (given expression, by time), linear and comparison (with and without burden) by time,
-    logistic for repression at each time and for the sustained course.
+    product), partial (given expression, by time), linear and comparison (with and without burden) by time.
     """
     last = S.TIMES[-1]
     pairs = [(f"lfc_{t}", F.col(f"lfc_{t}")) for t in S.TIMES] + [(f"abs_lfc_{last}", F.abs(f"lfc_{last}")), ("strength", F.col("strength")), ("log2_tpm", F.col("log2_tpm"))]
@@ -347,31 +346,40 @@ def burden_models(bm: DataFrame, value: str = "damage_mean") -> dict[str, DataFr
     coded, xs = standardised(bm, value)
     coded = staged(coded, "coded")
     times = _unpivot(coded, ["product", "gene", *xs], ["lfc"])
-    outcomes = [(f"repressed_{t}", F.col(f"repressed_{t}")) for t in S.TIMES] + [("sustained", F.col("sustained"))]
-    hits = coded.select("product", *xs, F.explode(F.array(*(F.struct(F.lit(n).alias("outcome"), c.cast("double").alias("yes")) for n, c in outcomes))).alias("_x")).select("product", *xs, "_x.*")
     return {
         "correlations": T.bh_adjust(T.spearman(targets, "burden", "other", by=["product", "target"], least=5), family=["product"], null_as_one=False),
         "partial": T.partial_spearman(long, value, "lfc", "log2_tpm", by=["product", "time"]),
         "linear": T.linear_models(times, "lfc", xs, by=["product", "time"]),
         "comparison": T.nested_gain(times, "lfc", xs[1:], xs[:1], by=["product", "time"]),
-        "logistic": T.logistic_models(hits, "yes", xs, by=["product", "outcome"]),
     }
 
 
+def burden_logistic(bm: DataFrame, value: str = "damage_mean") -> DataFrame:
+    """By product, logistic models of repression at each time and of the sustained course."""
+    coded, xs = standardised(bm, value)
+    outcomes = [(f"repressed_{t}", F.col(f"repressed_{t}")) for t in S.TIMES] + [("sustained", F.col("sustained"))]
+    hits = coded.select("product", *xs, F.explode(F.array(*(F.struct(F.lit(n).alias("outcome"), c.cast("double").alias("yes")) for n, c in outcomes))).alias("_x")).select("product", *xs, "_x.*")
+    return T.logistic_models(hits, "yes", xs, by=["product", "outcome"])
+
+
 def burden_by_trajectory(bm: DataFrame, value: str = "damage_mean", against: str = "not_responsive") -> dict[str, DataFrame]:
-    """By product: burden over courses; each course against no response; sustained repression in halves of expression; its logistic model."""
+    """By product: burden over courses; each course against no response; sustained repression in halves of expression."""
     halves = B.qcut(bm, "log2_tpm", 2, "half", by=["product"])
     pairs = [T.mann_whitney(bm, value, "trajectory", t, against, by=["product"], alternative="two-sided").withColumn("course", F.lit(t)) for t in TRAJECTORIES if t != against]
     enough = _union(pairs).where("n_a >= 3 and n_b >= 3")
-    coded, xs = standardised(bm.where(F.col("trajectory").isin("repressed_sustained", against)), value)
     return {
         "overall": T.kruskal(bm, value, "trajectory", by=["product"], least=3),
         "pairs": T.bh_adjust(enough, family=["product"]),
         "halves": T.mann_whitney(halves, value, "trajectory", "repressed_sustained", against, by=["product", "half"], alternative="greater"),
-        "logistic": T.logistic_models(coded.withColumn("yes", F.col("sustained").cast("double")), "yes", xs, by=["product"]),
     }
 
 
+def trajectory_logistic(bm: DataFrame, value: str = "damage_mean", against: str = "not_responsive") -> DataFrame:
+    """By product, a logistic model of sustained repression against no response."""
+    coded, xs = standardised(bm.where(F.col("trajectory").isin("repressed_sustained", against)), value)
+    return T.logistic_models(coded.withColumn("yes", F.col("sustained").cast("double")), "yes", xs, by=["product"])
+
+
 def specificity(bm: DataFrame, windows: DataFrame, master: DataFrame, reads: DataFrame, background: DataFrame, value: str = "damage_max", groups: Sequence[str] = GROUPS) -> dict[str, DataFrame]:
     """Is the burden special to the first group? By product.
 

@@ -15,6 +15,7 @@ from locuspark.functions import scalars as S
 from locuspark.functions import sequence as Q
 from locuspark.operators import binning as B
 from locuspark.operators import intervals as I
+from locuspark.operators import matrix as M
 from locuspark.operators import stats as T
 from locuspark.operators import summaries as A
 from locuspark.sources import readers as R
@@ -329,6 +330,43 @@ def test_models_equal_numpy(spark):
     assert T.linear_models(df.limit(10), "y", ["x"]).count() == 0 == T.logistic_models(df.where("hit = 1"), "hit", ["x"]).count()
 
 
+def test_least_squares_far_from_zero_and_over_many_parts(spark, monkeypatch):
+    """A shifted column gives the same slope; parts, folds and groups that are let go early change nothing; against numpy."""
+    monkeypatch.setattr(T, "HELD_GROUPS", 1)
+    rng = np.random.Generator(np.random.PCG64(9))
+    x, z = rng.normal(size=500), rng.normal(size=500)
+    y = 3 + 2 * x - z + 0.1 * rng.normal(size=500)
+    pdf = pd.DataFrame({"g": ["a", "b", None, "c"] * 125, "x": x, "far": x + 1e8, "z": z, "y": y, "twice": 2 * x - 1})
+    df = spark.createDataFrame(pdf).repartition(7)
+    for by in ((), ("g",)):
+        near, far = ({(r["g"] if by else 0, r["term"].replace("far", "x")): r for r in T.linear_models(df, "y", [c, "z"], by=by).collect()} for c in ("x", "far"))
+        assert set(near) == set(far) and len(near) == 3 * (4 if by else 1)
+        for (g, term), r in near.items():
+            part = pdf[pdf["g"].isna() if g is None else pdf["g"] == g] if by else pdf
+            m = np.c_[np.ones(len(part)), part["x"], part["z"]]
+            beta, rss = np.linalg.lstsq(m, part["y"], rcond=None)[:2]
+            i = ["intercept", "x", "z"].index(term)
+            assert r["n"] == len(part) and r["coef"] == pytest.approx(beta[i]) and r["se"] == pytest.approx(np.sqrt(np.linalg.inv(m.T @ m)[i, i] * rss[0] / (len(part) - 3)))
+            assert r["r2"] == pytest.approx(1 - rss[0] / ((part["y"] - part["y"].mean()) ** 2).sum())
+            if term != "intercept":
+                other = far[g, term]
+                assert other["coef"] == pytest.approx(r["coef"], rel=1e-6) and other["se"] == pytest.approx(r["se"], rel=1e-6)
+    assert T.linear_models(df, "y", ["x", "twice"]).count() == 0 and T.ols(df, "y", ["x", "twice"]) is None
+    gains = [T.nested_gain(df, "y", ["z"], [c]).first() for c in ("x", "far")]
+    assert gains[0]["lr"] == pytest.approx(gains[1]["lr"], rel=1e-5) and gains[0]["adj_r2_base"] == pytest.approx(gains[1]["adj_r2_base"])
+
+
+def test_components_of_samples(spark):
+    rng = np.random.Generator(np.random.PCG64(2))
+    m = rng.normal(size=(6, 40)) * rng.uniform(0.2, 4, size=40)
+    long = spark.createDataFrame([(f"g{j}", f"s{i}", float(m[i, j])) for i in range(6) for j in range(40)], "gene string, s string, v double")
+    got = {r["s"]: r for r in M.sample_pca(long, "gene", "s", "v", n_keys=25, k=3).collect()}
+    best = m[:, np.argsort(-m.var(axis=0))[:25]]
+    u, d, _ = np.linalg.svd(best - best.mean(axis=0), full_matrices=False)
+    for i in range(6):
+        assert [abs(got[f"s{i}"][f"pc{c + 1}"]) for c in range(3)] == pytest.approx(np.abs(u * d)[i, :3].tolist())
+
+
 def firth_by_hand(x, y):
     """Penalised estimates by many small steps along the modified score."""
     b = np.zeros(x.shape[1])
