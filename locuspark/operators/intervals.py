@@ -214,11 +214,48 @@ def intersect(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     return pairs.withColumns({"chrom": F.col("chrom_a"), "start": F.greatest("start_a", "start_b"), "end": F.least("end_a", "end_b")})
 
 
-def max_signal(a: DataFrame, b: DataFrame, key: Sequence[str], value: str, width: int = BIN) -> DataFrame:
-    """For each key of ``a`` that overlaps ``b``: sum, mean, max and count of ``value``, and bases shared."""
-    pairs = overlap_pairs(a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("chrom", "start", "end", value), width)
-    v = F.col(f"{value}_b")
-    return pairs.groupBy(*(F.col(f"{k}_a").alias(k) for k in key)).agg(F.sum(v).alias("signal_sum"), F.avg(v).alias("signal_mean"), F.max(v).alias("signal_max"), F.count("*").alias("n_peaks"), F.sum("overlap_bp").alias("overlap_bp"))
+def _dyadic(start: Column, end: Column) -> Column:
+    """The blocks (level, block of 2^level bases) that make up [start, end): at most two of a level."""
+    top = F.when(end > start, F.floor(F.log2((end - start).cast("double"))).cast("int") + 1).otherwise(0)
+
+    def at_level(k: Column) -> Column:
+        width = F.pow(F.lit(2.0), k).cast("long")
+        low, high = F.ceil(start / width), F.floor(end / width)
+        cell = lambda b: F.struct(k.alias("_lvl"), b.cast("long").alias("_block"))
+        return F.array(F.when((low < high) & (low % 2 != 0), cell(low)), F.when((low < high) & (high % 2 != 0), cell(high - 1)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), at_level)), lambda x: x.isNotNull())
+
+
+def _holding(at: Column, levels: int) -> Column:
+    """The block of each level 0..levels that holds a base."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("_lvl"), F.floor(at / F.pow(F.lit(2.0), k).cast("long")).alias("_block")))
+
+
+def max_signal(a: DataFrame, b: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """For each key of ``a`` that overlaps ``b``: sum, mean, max and count of ``value``, and bases shared.
+
+    No pairs are made. A row of b overlaps an interval if it starts in it, or before it and reaches over its first base. For the first,
+    rows of b are summed up by blocks of 2^k bases that hold their starts, and an interval is a few such blocks; for
+    the second, rows of b are such blocks themselves, and an interval's first base is in one of each level.
+    """
+    live = [df.where(F.col("chrom").isNotNull() & (F.col("start") < F.col("end"))) for df in (a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("chrom", "start", "end", F.col(value).alias("_v")))]
+    x, y = live
+    sizes = [df.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1 for df in live]
+    levels = [int(n).bit_length() for n in sizes]
+    starts = y.select("chrom", "_v", F.lit(0).alias("_kind"), F.inline(_holding(F.col("start"), levels[0])))
+    reach = y.select("chrom", "_v", F.lit(1).alias("_kind"), F.inline(_dyadic(F.col("start") + 1, F.col("end"))))
+    cell = ["chrom", "_kind", "_lvl", "_block"]
+    known = starts.unionByName(reach).groupBy(*cell).agg(F.sum("_v").alias("_sum"), F.max("_v").alias("_max"), F.count("_v").alias("_n"), F.count("*").alias("_rows"))
+    names = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)]
+    inside = x.select(*names, "chrom", F.lit(0).alias("_kind"), F.inline(_dyadic(F.col("start"), F.col("end"))))
+    over = x.select(*names, "chrom", F.lit(1).alias("_kind"), F.inline(_holding(F.col("start"), levels[1])))
+    found = inside.unionByName(over).join(known, cell).groupBy(*(f"_key_{i}" for i in range(len(key)))).agg(*(f(c).alias(c) for f, c in ((F.sum, "_sum"), (F.max, "_max"), (F.sum, "_n"), (F.sum, "_rows"))))
+    ends = F.inline(F.array(*(F.struct(F.col(e).alias("_at"), F.lit(w).alias("_sign")) for e, w in (("end", 1), ("start", -1)))))
+    shared = track_totals(y.select("chrom", "start", "end", F.lit(1.0).alias("value")), x.select(*names, "chrom", ends))
+    bases = shared.groupBy(*(f"_key_{i}" for i in range(len(key)))).agg(F.sum(F.col("_sign") * F.col("_total")).cast("long").alias("overlap_bp"))
+    both = found.join(bases, [f"_key_{i}" for i in range(len(key))])
+    return both.select(*(F.col(f"_key_{i}").alias(k) for i, k in enumerate(key)), F.col("_sum").alias("signal_sum"), (F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))).alias("signal_mean"), F.col("_max").alias("signal_max"), F.col("_rows").alias("n_peaks"), "overlap_bp")
 
 
 def merge(df: DataFrame, by: Sequence[str] = ("chrom",), width: int = 1 << 20) -> DataFrame:

@@ -106,6 +106,25 @@ def test_counts_and_means_without_pairs(spark, monkeypatch, rows):
         assert n == len(members[at[0]]) and v == pytest.approx(sums[at] / n, abs=1e-5)
 
 
+def test_maximum_over_overlaps_without_pairs(spark):
+    a, b = random_intervals(21, 60), random_intervals(22, 90)
+    a += [(60, None, 0, 5), (61, "c9", 3, 8), (62, "c0", 5, 2), (63, "c1", 0, 10**9), (64, "c0", 7, 8)]
+    b += [(90, None, 0, 5), (91, "c0", 0, 10**9), (92, "c1", 0, 1), *((93 + k, "c1", 100, 140) for k in range(50))]
+    values = [None if k % 11 == 0 else float(k * 37 % 23 - 9) for k in range(len(b))]
+    track = spark.createDataFrame([(*r, v) for r, v in zip(b, values, strict=True)], "id long, chrom string, start long, end long, value double")
+    want = {}
+    for x in a:
+        hits = [(v, min(x[3], y[3]) - max(x[2], y[2])) for y, v in zip(b, values, strict=True) if x[1] and x[1] == y[1] and max(x[2], y[2]) < min(x[3], y[3])]
+        known = [v for v, _ in hits if v is not None]
+        if hits:
+            want[x[0]] = (sum(known) if known else None, sum(known) / len(known) if known else None, max(known, default=None), len(hits), sum(n for _, n in hits))
+    got = {r["id"]: tuple(r)[1:] for r in I.max_signal(ivs(spark, a), track, ["id"], "value").collect()}
+    assert got == {k: pytest.approx(v) if None not in v else v for k, v in want.items()}
+    assert I.max_signal(ivs(spark, a), track.where("false"), ["id"], "value").count() == 0
+    plan = I.max_signal(ivs(spark, a), track, ["id"], "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert " least(" not in plan
+
+
 def test_counting_plans_join_no_intervals(spark):
     a, b = ivs(spark, random_intervals(1, 20)), ivs(spark, random_intervals(2, 20)).withColumn("value", F.lit(1.0))
     for df in (I.overlap_count(a, b, ["id"]), I.signal_mean(a, b, ["id"]), I.metaprofile(a.selectExpr("id", "chrom", "start as pos", "'+' as strand", "1 as g"), b, 20, 5, "g", "id")):
