@@ -23,9 +23,12 @@ def quantiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] =
     """One row per group with the linearly interpolated quantiles of ``ps`` as an array, read off the running totals of the values' counts."""
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
     placed, several = ranged(counts, "_v", by)
-    size = placed.groupBy(*(F.col(c).alias(f"_key_{c}") for c in by)).agg(F.sum("_n").alias("_size"))
-    below = add_below(placed, several, "_v", ["_n"], by)
-    both = below.join(size, _same(by, "_key_")) if by else below.join(F.broadcast(size))
+    both = add_below(placed, several, "_v", ["_n"], by)
+    if several:
+        size = placed.groupBy(*(F.col(c).alias(f"_key_{c}") for c in by)).agg(F.sum("_n").alias("_size"))
+        both = both.join(size, _same(by, "_key_")) if by else both.join(F.broadcast(size))
+    else:  # the group is in one window as it is
+        both = both.withColumn("_size", F.sum("_n").over(Window.partitionBy(*by, "_part")))
     upto = F.col("below__n") + F.col("_n")
     spots = [(F.lit(p) * (F.col("_size") - 1)) for p in ps]
     ends = [F.min(F.when(upto > at, F.col("_v"))).alias(f"_{end}{k}") for k, h in enumerate(spots) for end, at in (("l", F.floor(h)), ("h", F.ceil(h)))]

@@ -250,12 +250,12 @@ def adjust_by_family(spark, sf):
 
 
 @query(f"""{cte('de', 'sets')}, bg AS (SELECT gene, padj_12 < 0.05 AS q FROM de WHERE padj_12 IS NOT NULL), n AS (SELECT count(*) AS n, count(*) FILTER (q) AS nq FROM bg)
-SELECT *, {D.p6(D.fisher_p('a', 'b', 'c', 'd', 'greater'))} AS p_value FROM (SELECT set_name, set_size, a, nq - a AS b, set_size - a AS c, n - nq - set_size + a AS d, round(a * (n - nq - set_size + a) / nullif((nq - a) * (set_size - a), 0), 6) AS odds_ratio
-FROM (SELECT set_name, count(*) AS set_size, count(*) FILTER (q) AS a FROM sets JOIN bg USING (gene) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 500), n)""")
+{D.adjusted(f"""SELECT *, {D.fisher_p('a', 'b', 'c', 'd', 'greater')} AS p_value FROM (SELECT set_name, set_size, a, nq - a AS b, set_size - a AS c, n - nq - set_size + a AS d, round(a * (n - nq - set_size + a) / nullif((nq - a) * (set_size - a), 0), 6) AS odds_ratio
+FROM (SELECT set_name, count(*) AS set_size, count(*) FILTER (q) AS a FROM sets JOIN bg USING (gene) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 500), n)""")}""")
 def over_representation(spark, sf):
     bg = frame(spark, sf, "de").where("padj_12 is not null")
     out = T.over_representation(bg.where("padj_12 < 0.05"), bg, frame(spark, sf, "sets"))
-    return out.select("set_name", "set_size", "a", "b", "c", "d", r6("odds_ratio"), r6("p_value"))
+    return out.select("set_name", "set_size", "a", "b", "c", "d", r6("odds_ratio"), r6("p_value"), r6("p_adj"))
 
 
 @query("""SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coef, count(*) AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem

@@ -15,7 +15,7 @@ from . import sql_tools as D
 from .aggregate_queries import gene_groups
 from .fixtures import G_POOR, cte, frame, sequences, sql
 from .operator_queries import OVER, r6
-from .pipeline_queries import BASELINE, BM, LONG, MASTER, STRENGTH, baseline, burden_table, h_sql, rank_sql, saved_master, strength, u_sql
+from .pipeline_queries import BASELINE, BM, LONG, MASTER, STRENGTH, baseline, burden_table, h_sql, pairs_sql, rank_sql, saved_master, strength, u_sql
 from .registry import query
 
 LAST = S.TIMES[-1]
@@ -91,9 +91,9 @@ def _pairs_sql(rows: str, col: str, group: str, levels: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(f"WITH {TWO}, t AS ({_pairs_sql('two', 'value', 'grp', ['A', 'N', 'R'])}) SELECT group_a, group_b, n_a, n_b, u, {D.p6(D.u_p('u', 'n_a', 'n_b', 'ties'))} AS p_value FROM t")
+@query(f"WITH {TWO}, t AS ({_pairs_sql('two', 'value', 'grp', ['A', 'N', 'R'])}) {D.adjusted(f"SELECT group_a, group_b, n_a, n_b, u, {D.u_p('u', 'n_a', 'n_b', 'ties')} AS p_value FROM t")}")
 def all_pairs(spark, sf):
-    return T.pairwise_tests(frame(spark, sf, "two"), "value", "grp", ["A", "N", "R"]).select("group_a", "group_b", "n_a", "n_b", "u", p6())
+    return T.pairwise_tests(frame(spark, sf, "two"), "value", "grp", ["A", "N", "R"]).select("group_a", "group_b", "n_a", "n_b", "u", p6(), r6("p_adj"))
 
 
 # resampling
@@ -223,9 +223,9 @@ def q16_permutations(spark, sf):
     return out.where("least(n_a, n_b) >= 10").select("sample_id", "n_a", "n_b", F.round("observed", 5).alias("observed"), "p_value")
 
 
-@query(f"{MASTER}, {LONG}, t AS (SELECT *, 'control' AS against FROM long WHERE grp <> 'none' UNION ALL SELECT *, 'none' FROM long WHERE grp <> 'control'), v AS (SELECT *, concat(CAST(time AS VARCHAR), against) AS k, CASE WHEN grp = 'hit' THEN 'x' ELSE 'y' END AS side FROM t) SELECT * FROM ({u_sql('v', 'abs_lfc', 'x', 'y', 'k', 'side')})")
+@query(f"{MASTER}, {LONG}, t AS (SELECT *, 'control' AS against FROM long WHERE grp <> 'none' UNION ALL SELECT *, 'none' FROM long WHERE grp <> 'control'), v AS (SELECT *, concat(CAST(time AS VARCHAR), against) AS k, CASE WHEN grp = 'hit' THEN 'x' ELSE 'y' END AS side FROM t) SELECT * FROM ({pairs_sql('v', 'abs_lfc', 'x', 'y', 'k', 'side')})")
 def q18_pairs(spark, sf):
-    return P.magnitude(saved_master(spark, sf))[1].select(F.concat(F.col("time").cast("string"), "against").alias("k"), "n_a", "n_b", "u")
+    return P.magnitude(saved_master(spark, sf))[1].select(F.concat(F.col("time").cast("string"), "against").alias("k"), "n_a", "n_b", "u", r6("p_value"), r6("p_adj"))
 
 
 @query(f"{MASTER}, {LONG} SELECT time, grp, count(abs_lfc) AS n, round(avg(abs_lfc), 6) AS mean, round(median(abs_lfc), 6) AS median FROM long GROUP BY ALL")
@@ -305,9 +305,9 @@ KEYS = "JOIN (SELECT DISTINCT pt, product, time FROM zl) USING (pt)"
 
 @query(f"""{RBM}, l AS ({' UNION ALL '.join(f"SELECT product, '{n}' AS target, damage_mean AS v, {c} AS w FROM rb" for n, c in [*((f'lfc_{t}', f'lfc_{t}') for t in S.TIMES), (f'abs_lfc_{LAST}', f'abs(lfc_{LAST})'), ('strength', 'strength'), ('log2_tpm', 'log2_tpm')])}),
 r AS (SELECT product, target, {rank_sql('v', 'product, target')} AS x, {rank_sql('w', 'product, target')} AS y FROM l WHERE w IS NOT NULL), s AS (SELECT product, target, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY ALL HAVING count(*) >= 5)
-SELECT product, target, n, round(rho, 5) AS rho, {D.p6(D.correlation_p('rho', 'n'))} AS p_value FROM s""")
+{D.adjusted(f"SELECT product, target, n, round(rho, 5) AS rho, {D.correlation_p('rho', 'n')} AS p_value FROM s", 'product')}""")
 def q26_burden_models(spark, sf):
-    return P.burden_models(rounded_burden(spark, sf))["correlations"].where("n >= 5").select("product", "target", "n", F.round("rho", 5).alias("rho"), p6())
+    return P.burden_models(rounded_burden(spark, sf))["correlations"].where("n >= 5").select("product", "target", "n", F.round("rho", 5).alias("rho"), p6(), r6("p_adj"))
 
 
 @query(f"""{RBM}, l AS ({' UNION ALL '.join(f"SELECT product, {t} AS time, damage_mean AS a, lfc_{t} AS b, log2_tpm AS c FROM rb" for t in S.TIMES)}), r AS (SELECT product, time, {rank_sql('a', 'product, time')} AS x, {rank_sql('b', 'product, time')} AS y, {rank_sql('c', 'product, time')} AS z FROM l),

@@ -11,6 +11,7 @@ from . import pipelines as P
 from .aggregate_queries import GROUP_SQL, gene_groups
 from .fixtures import G_POOR, G_RICH, cte, frame, sequences, sql, table, tiles_sql
 from .operator_queries import DIR_CTE, LABEL_CTE, OVER, _motif_sql, assays, r6
+from . import sql_tools as D
 from .registry import query
 
 MASTER = f"""{GROUP_SQL}, {DIR_CTE}, {LABEL_CTE}, master AS (SELECT labels.*, grp, measure AS tpm, log2(measure + 1) AS log2_tpm, greatest(abs(lfc_12), abs(lfc_30), abs(lfc_60)) AS abs_lfc_max
@@ -28,6 +29,13 @@ def u_sql(rows: str, col: str, a: str, b: str, by: str, group: str = "grp") -> s
 FROM (SELECT {by}, {group} AS g, {rank_sql(col, by)} AS rk FROM {rows} WHERE {group} IN ('{a}', '{b}') AND {col} IS NOT NULL) GROUP BY {by}"""
 
 
+def pairs_sql(rows: str, col: str, a: str, b: str, by: str, group: str = "grp", alternative: str = "greater") -> str:
+    """by, n_a, n_b, u, p_value, p_adj of the two-sample tests of all ``by`` as one family, by the normal approximation."""
+    ranked = f"SELECT {by}, {group} AS g, {rank_sql(col, by)} AS rk, count(*) OVER (PARTITION BY {by}, {col})::DOUBLE AS c FROM {rows} WHERE {group} IN ('{a}', '{b}') AND {col} IS NOT NULL"
+    tests = f"SELECT {by}, count(*) FILTER (g = '{a}') AS n_a, count(*) FILTER (g = '{b}') AS n_b, CAST(sum(rk) FILTER (g = '{a}') - count(*) FILTER (g = '{a}') * (count(*) FILTER (g = '{a}') + 1) / 2.0 AS DOUBLE) AS u, sum(c * c - 1) AS ties FROM ({ranked}) GROUP BY {by}"
+    return D.adjusted(f"SELECT {by}, n_a, n_b, u, {D.u_p('u', 'n_a', 'n_b', 'ties', alternative)} AS p_value FROM ({tests})")
+
+
 def h_sql(rows: str, col: str, group: str, by: str) -> str:
     return f"""SELECT {by}, CAST(n AS BIGINT) AS n, k AS groups, round((12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 5) AS h FROM (
 SELECT {by}, sum(m)::DOUBLE AS n, count(*) AS k, sum(s * s / m) AS ss FROM (SELECT {by}, {group} AS g, count(*) AS m, sum(rk) AS s FROM (SELECT *, {rank_sql(col, by)} AS rk FROM {rows} WHERE {col} IS NOT NULL) GROUP BY ALL) GROUP BY {by})
@@ -73,9 +81,9 @@ def q02_baseline_by_group(spark, sf):
     return baseline(spark, sf).select("gene", "grp", r6("mean"), r6("mean_log2"), "expression_class")
 
 
-@query(f"{BASELINE}, t AS (SELECT *, 'control' AS against FROM base WHERE grp <> 'none' UNION ALL SELECT *, 'none' FROM base WHERE grp <> 'control'), v AS (SELECT *, CASE WHEN grp = 'hit' THEN 'x' ELSE 'y' END AS side FROM t) {u_sql('v', 'mean_log2', 'x', 'y', 'against', 'side')}")
+@query(f"{BASELINE}, t AS (SELECT *, 'control' AS against FROM base WHERE grp <> 'none' UNION ALL SELECT *, 'none' FROM base WHERE grp <> 'control'), v AS (SELECT *, CASE WHEN grp = 'hit' THEN 'x' ELSE 'y' END AS side FROM t) {pairs_sql('v', 'mean_log2', 'x', 'y', 'against', 'side')}")
 def q03_expression_tests(spark, sf):
-    return P.expression_tests(staged(baseline(spark, sf), "baseline"))[1].select("against", "n_a", "n_b", "u")
+    return P.expression_tests(staged(baseline(spark, sf), "baseline"))[1].select("against", "n_a", "n_b", "u", r6("p_value"), r6("p_adj"))
 
 
 @query(f"""SELECT chrom, CAST(start AS BIGINT) AS start, structure, CAST(start + strpos(seq, hit) - 1 AS BIGINT) AS structure_start, CAST((2 * (start + strpos(seq, hit) - 1) + length(hit)) // 2 AS BIGINT) AS structure_center FROM (SELECT *, {_motif_sql('seq')} FROM ({tiles_sql(G_RICH)})) WHERE structure <> 'other'""")

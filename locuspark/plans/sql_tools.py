@@ -172,6 +172,12 @@ def terms(name: str, names: Sequence[str], columns: str) -> str:
     return f"SELECT {columns} FROM ({' UNION ALL '.join(parts)})"
 
 
+def adjusted(rows: str, family: str = "1") -> str:
+    """``rows`` with p_value at six decimals and p_adj, Benjamini-Hochberg within ``family``; null p count as 1."""
+    return f"""SELECT * EXCLUDE (_p, _r, _m) REPLACE (round(greatest(p_value, 0.0), 6) AS p_value), round(least(1, min(_p * _m / _r) OVER (PARTITION BY {family} ORDER BY _p DESC RANGE UNBOUNDED PRECEDING)), 6) AS p_adj FROM (
+SELECT *, coalesce(greatest(p_value, 0.0), 1) AS _p, count(*) OVER (PARTITION BY {family} ORDER BY coalesce(greatest(p_value, 0.0), 1) RANGE UNBOUNDED PRECEDING) AS _r, count(*) OVER (PARTITION BY {family}) AS _m FROM ({rows}))"""
+
+
 def p6(p: str) -> str:
     """A p-value at six decimals."""
     return f"round(greatest({p}, 0.0), 6)"
