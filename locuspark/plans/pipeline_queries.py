@@ -131,6 +131,25 @@ def q09_decile_trend(spark, sf):
     return P.decile_trend(rows, "measure", ["hit"])[0].select("decile", "n", r6("fraction_hit"))
 
 
+@query(f"""{GROUP_SQL}, e AS (SELECT list_distinct(quantile_cont(measure, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS q FROM groups JOIN meas USING (gene)),
+t AS (SELECT 1 + len(list_filter(q, lambda k: k < measure)) AS decile, avg(CAST(grp = 'hit' AS INT)) AS fraction FROM groups JOIN meas USING (gene), e GROUP BY 1),
+c AS (SELECT count(*) AS n, corr(x, y) AS rho FROM (SELECT {rank_sql('decile')} AS x, {rank_sql('fraction')} AS y FROM t)) SELECT 'hit' AS flag, n, round(rho, 6) AS rho, {D.p6(D.correlation_p('rho', 'n'))} AS p_value FROM c""")
+def q09_trend(spark, sf):
+    """Rank correlation of the share of hits with the decile."""
+    rows = gene_groups(spark, sf).join(frame(spark, sf, "meas"), "gene").withColumn("hit", F.col("grp") == "hit")
+    return P.decile_trend(rows, "measure", ["hit"])[1].select("flag", "n", r6("rho"), r6("p_value"))
+
+
+@query(f"""{GROUP_SQL}, r AS (SELECT grp, lfc_60 AS lfc, padj_60 AS padj FROM groups JOIN de USING (gene) WHERE lrt_padj < 0.05)
+SELECT grp, count(lfc) AS n, round(avg(lfc), 6) AS mean_lfc, round(median(lfc), 6) AS median_lfc, count(*) FILTER (padj < 0.05 AND lfc > 0) AS n_repressed, count(*) FILTER (padj < 0.05 AND lfc < 0) AS n_induced,
+round(count(*) FILTER (padj < 0.05 AND lfc > 0) / count(lfc), 6) AS fraction_repressed, round(count(*) FILTER (padj < 0.05 AND lfc < 0) / count(lfc), 6) AS fraction_induced FROM r GROUP BY 1""")
+def q10_changes(spark, sf):
+    """Changes of the significant genes by group."""
+    de = frame(spark, sf, "de")
+    out = P.response_by_group(gene_groups(spark, sf), de.select("gene", "lrt_padj"), de.select("gene", F.col("lfc_60").alias("lfc"), F.col("padj_60").alias("padj")))[2]
+    return out.select("grp", "n", r6("mean_lfc"), r6("median_lfc"), "n_repressed", "n_induced", r6("fraction_repressed"), r6("fraction_induced"))
+
+
 @query(f"""{GROUP_SQL} SELECT grp, count(*) AS n, count(lrt_padj) AS n_tested, count(*) FILTER (lrt_padj < 0.05) AS n_sig, round(count(*) FILTER (lrt_padj < 0.05) / nullif(count(lrt_padj), 0), 6) AS fraction FROM groups JOIN de USING (gene) GROUP BY 1""")
 def q10_response_by_group(spark, sf):
     de = frame(spark, sf, "de")
@@ -200,14 +219,28 @@ def q18_magnitude(spark, sf):
 
 
 @query(f"""{MASTER}, {LONG}, c AS (SELECT time, grp, count(*) FILTER (dir = 'repressed') AS r, count(*) FILTER (dir = 'induced') AS i FROM long GROUP BY ALL)
-SELECT x.time AS time, y.grp AS against, x.r AS a, x.i AS b, y.r AS c, y.i AS d, round(x.r * y.i / nullif(x.i * y.r, 0), 6) AS odds_ratio FROM c x JOIN c y USING (time) WHERE x.grp = 'hit' AND y.grp <> 'hit'""")
+{D.adjusted(f"SELECT *, {D.fisher_p('a', 'b', 'c', 'd')} AS p_value FROM (SELECT x.time AS time, y.grp AS against, x.r AS a, x.i AS b, y.r AS c, y.i AS d, round(x.r * y.i / nullif(x.i * y.r, 0), 6) AS odds_ratio FROM c x JOIN c y USING (time) WHERE x.grp = 'hit' AND y.grp <> 'hit')")}""")
 def q19_direction(spark, sf):
-    return P.direction_asymmetry(saved_master(spark, sf))[1].select("time", "against", "a", "b", "c", "d", r6("odds_ratio"))
+    return P.direction_asymmetry(saved_master(spark, sf))[1].select("time", "against", "a", "b", "c", "d", r6("odds_ratio"), r6("p_value"), r6("p_adj"))
 
 
-@query(f"""{MASTER} SELECT trajectory, count(*) FILTER (grp = 'hit') AS a, (SELECT count(*) FROM master WHERE grp = 'hit') - count(*) FILTER (grp = 'hit') AS b, count(*) FILTER (grp <> 'hit') AS c, (SELECT count(*) FROM master WHERE grp <> 'hit') - count(*) FILTER (grp <> 'hit') AS d FROM master GROUP BY 1""")
+@query(f"""{MASTER}, {LONG} SELECT time, grp, count(*) FILTER (dir = 'repressed') AS n_repressed, count(*) FILTER (dir = 'induced') AS n_induced, count(*) AS n, round(avg(lfc), 6) AS mean_lfc, round(count(*) FILTER (dir = 'repressed') / nullif(count(*) FILTER (dir = 'induced'), 0), 6) AS ratio FROM long GROUP BY ALL""")
+def q19_counts(spark, sf):
+    """Repressed and induced genes by time and group."""
+    return P.direction_asymmetry(saved_master(spark, sf))[0].select("time", "grp", "n_repressed", "n_induced", "n", r6("mean_lfc"), r6("ratio"))
+
+
+@query(f"""{MASTER}, grid AS (SELECT * FROM (SELECT unnest({list(P.TRAJECTORIES)}) AS trajectory), (SELECT unnest(['hit', 'none', 'control']) AS grp)),
+n AS (SELECT trajectory, grp, count(gene) AS n FROM grid LEFT JOIN master USING (trajectory, grp) GROUP BY ALL) SELECT trajectory, grp, n, round(n / nullif(sum(n) OVER (PARTITION BY grp), 0), 6) AS fraction FROM n""")
+def q20_table(spark, sf):
+    """Courses by group, zeros kept, with their share of the group."""
+    return P.trajectory_tests(saved_master(spark, sf))[0].select("trajectory", "grp", "n", r6("fraction"))
+
+
+@query(f"""{MASTER}, cells AS (SELECT trajectory, count(*) FILTER (grp = 'hit') AS a, (SELECT count(*) FROM master WHERE grp = 'hit') - count(*) FILTER (grp = 'hit') AS b, count(*) FILTER (grp <> 'hit') AS c, (SELECT count(*) FROM master WHERE grp <> 'hit') - count(*) FILTER (grp <> 'hit') AS d FROM master GROUP BY 1)
+{D.adjusted(f"SELECT *, {D.fisher_p('a', 'b', 'c', 'd')} AS p_value FROM cells")}""")
 def q20_trajectory(spark, sf):
-    return P.trajectory_tests(saved_master(spark, sf))[1].select("trajectory", "a", "b", "c", "d")
+    return P.trajectory_tests(saved_master(spark, sf))[1].select("trajectory", "a", "b", "c", "d", r6("p_value"), r6("p_adj"))
 
 
 @query(f"""{MASTER} SELECT first_hit, count(*) FILTER (grp = 'hit') AS a, (SELECT count(*) FROM master WHERE grp = 'hit' AND first_hit <> 'NA') - count(*) FILTER (grp = 'hit') AS b, count(*) FILTER (grp <> 'hit') AS c FROM master WHERE first_hit <> 'NA' GROUP BY 1""")
@@ -246,6 +279,13 @@ def q23_burden(spark, sf):
     return gene_burden(spark, sf).select("product", "gene", "n_loci", *(F.round(c, 5).alias(c) for c in ("damage_max", "damage_mean", "damage_sum")), F.round("damage_z", 4).alias("damage_z"))
 
 
+@query(f"""{cte('win', 'peak', 'read')}, {BURDEN} SELECT product, gene, concat(chrom, ':', start, '-', "end", ':', gene) AS locus, count(*) AS n_samples, round(avg(rr), 5) AS real_rpkm_mean, round(max(rr), 5) AS real_rpkm_max, round(avg(sr), 5) AS sim_rpkm_mean, round(avg(d), 5) AS damage_mean, round(max(d), 5) AS damage_max FROM dmg GROUP BY product, gene, chrom, start, "end\"""")
+def q23_loci(spark, sf):
+    """Each locus over its samples, as the gene table is made of."""
+    loci = P.burden(frame(spark, sf, "win"), frame(spark, sf, "peak"), frame(spark, sf, "read"))[0]
+    return loci.select("product", "gene", "locus", "n_samples", *(F.round(c, 5).alias(c) for c in ("real_rpkm_mean", "real_rpkm_max", "sim_rpkm_mean", "damage_mean", "damage_max")))
+
+
 BM = f"""{MASTER}{STRENGTH}, read AS ({sql('read')}), {BURDEN}, st AS (SELECT gene, (coalesce(s_click.strength, 0) + coalesce(s_view.strength, 0)) / 2 AS strength FROM s_click FULL JOIN s_view USING (gene)),
 bm AS (SELECT gb.*, m.* EXCLUDE (gene), coalesce(st.strength, 0) AS strength FROM gb JOIN master m USING (gene) LEFT JOIN st USING (gene))"""
 
