@@ -57,6 +57,10 @@ TEMPLATES = [
 ]
 
 
+#: Characters of templates up to which their tables are sent to all tasks; larger ones are joined by shuffles.
+BROADCAST_CHARS = 1 << 22
+
+
 def normal(text: Column) -> Column:
     """Lower-case words of letters and digits with single spaces."""
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
@@ -96,6 +100,8 @@ def units(docs: DataFrame, dice: float, templates: Sequence[tuple[str, str]] = T
     looked for only in units that are long enough.
     """
     grams = rare_grams(dice, templates)
+    if not grams:
+        return docs.where("false").select(F.col("doc_id").cast("long"), F.split("text", " ").alias("w"))
     marks = F.array(*map(F.lit, sorted({max(g, key=lambda w: (len(w), w)) for g in grams})))
     text = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     plain = docs.select(F.col("doc_id").cast("long"), F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\n]+", " ").alias("plain"))
@@ -121,5 +127,7 @@ def scan(docs: DataFrame, dice: float = DICE, templates: Sequence[tuple[str, str
     sized = bodies.select("license", F.explode(sizes).alias("n"))
     grams = units(docs, dice, templates).select("doc_id", bigrams(F.col("w")).alias("grams")).withColumn("n", F.size("grams"))
     shared = F.size(F.array_intersect("grams", "t_grams"))
-    pairs = grams.join(F.broadcast(sized), "n").join(F.broadcast(bodies), "license").select("doc_id", "license", (2 * shared / (F.col("n") + F.col("t_n"))).alias("dice"))
+    few = sum(len(body) for _, body in templates) <= BROADCAST_CHARS
+    sized, bodies = (F.broadcast(x) if few else x for x in (sized, bodies))
+    pairs = grams.join(sized, "n").join(bodies, "license").select("doc_id", "license", (2 * shared / (F.col("n") + F.col("t_n"))).alias("dice"))
     return pairs.where(F.col("dice") >= dice).groupBy("doc_id", "license").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))

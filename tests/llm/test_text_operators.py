@@ -715,7 +715,7 @@ def test_licenses_of_odd_rows(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
-def test_license_bodies_and_own_templates(spark):
+def test_license_bodies_and_own_templates(spark, monkeypatch):
     bodies = dict(licenses.TEMPLATES)
     wrap = lambda t: "\n".join(" * " + " ".join(t.split()[k : k + 12]) for k in range(0, len(t.split()), 12))
     rows = [(k, f"def f(): pass\n\n{wrap(bodies[n])}\n\nmore code here") for k, n in enumerate(["bsd-3-clause-text", "apache-2.0-notice", "zlib", "gpl-3.0-notice"])]
@@ -729,6 +729,9 @@ def test_license_bodies_and_own_templates(spark):
     own = [("house", "You may read this text at home but not elsewhere."), *[(n, bodies[n]) for n in ("bsd-2-clause-text", "bsd-3-clause-text", "mit")]]
     rows = [(1, "you may read this text at home, but not elsewhere"), (2, bodies["bsd-3-clause-text"]), (3, "Released under the MIT License."), (4, bodies["zlib"])]
     got = {(r["doc_id"], r["license"], r["best_dice"]) for r in licenses.scan(table(spark, rows), templates=own).collect()}
+    monkeypatch.setattr(licenses, "BROADCAST_CHARS", 10)
+    assert got == {(r["doc_id"], r["license"], r["best_dice"]) for r in licenses.scan(table(spark, rows), templates=own).collect()}
+    assert licenses.scan(table(spark, rows), templates=[]).count() == 0 == licenses.scan(table(spark, rows), templates=[("one", "word"), ("none", "")]).count()
     assert got == {(d, n, round(dice(t, b), 6)) for d, t in rows for n, b in own if dice(t, b) >= 0.8}
 
 
