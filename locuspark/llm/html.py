@@ -59,6 +59,7 @@ SMOOTH = 2
 #: Part of the mean that a path must reach by itself where its neighbours lift it.
 OWN = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FOLLOWERS = frozenset("ul ol dl table blockquote pre figure".split())
 
 
 @dataclass(eq=False)
@@ -70,7 +71,10 @@ class Node:
     path: int
     aside: bool = False
     named: Node | None = None
+    readers: bool = False
     wraps: bool = False
+    out: bool = False
+    depth: int = 0
     in_article: bool = False
     heading: Node | None = None
     first: int = 0
@@ -90,22 +94,22 @@ class Block:
 
     @property
     def aside(self) -> bool:
-        named = self.node.named
-        return self.node.aside or (named is not None and not named.wraps)
+        return self.node.aside or (self.node.named is not None and self.node.named.out)
 
 
-def _kinds(tag: str, attrs: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element is an aside by tag, role or style, and whether by name."""
+def _kinds(tag: str, attrs: str, parent: Node) -> tuple[bool, bool, bool]:
+    """Whether an element is an aside by tag, role or style, whether by name, and whether the name is of readers' comments."""
     sure = tag in ASIDE_TAGS or (tag == "header" and not parent.in_article)
-    named = False
+    named = readers = False
     for name, *values in _ATTR.findall(attrs) if attrs and tag not in ("html", "body", "main") else ():
         name, value = name.lower(), "".join(values)
         if name in ("class", "id") and tag not in HEADINGS:
             value = _IN_ARTICLE.sub("", value) if parent.in_article else value
-            named |= bool((_READERS if tag == "article" else ASIDE_NAMES).search(value))
+            readers |= bool(_READERS.search(value))
+            named |= readers if tag == "article" else bool(ASIDE_NAMES.search(value))
         sure |= name == "role" and value.lower() in ASIDE_ROLES and tag != "article"
         sure |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(re.search(r"display\s*:\s*none", value, re.I)))
-    return sure, named
+    return sure, named, readers
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -167,10 +171,11 @@ def read_blocks(page: str) -> list[Block]:
                 if up.tag == "p":
                     node = close(up)
             path = paths.setdefault((node.path, tag), len(paths) + 1)
-            sure, named = _kinds(tag, m[3] or m[6] or "", node)
-            new = Node(tag, node, path, node.aside or sure, node.named, False, node.in_article or tag in ARTICLE_TAGS, node.heading)
+            sure, named, readers = _kinds(tag, m[3] or m[6] or "", node)
+            new = Node(tag, node, path, node.aside or sure, node.named, in_article=node.in_article or tag in ARTICLE_TAGS, heading=node.heading)
+            new.depth = node.depth + 1
             if named:
-                new.named = new
+                new.named, new.readers = new, readers
             if tag in ARTICLE_TAGS and not named:
                 up = new.named
                 while up is not None and not up.wraps:
@@ -190,6 +195,7 @@ def read_blocks(page: str) -> list[Block]:
         b.text = " ".join(entities.unescape("".join(b.parts)).split())
         if b.text:
             out.append(b)
+    judge_names(out)
     return out
 
 
@@ -213,6 +219,42 @@ def path_scores(blocks: list[Block], width: int = SMOOTH) -> np.ndarray:
     return np.sqrt(length * (1.0 + punct))
 
 
+def judge_names(blocks: list[Block]) -> None:
+    """Which named elements are out, with all in them: those whose name is not overruled by what they hold, and what lies in such."""
+    size, seen, total = Counter(), set(), 0
+    for b in blocks:
+        named = b.node.named
+        if not b.node.aside:
+            plain = len(b.text) - min(len(b.text), b.linked)
+            total += plain
+            size[named] += plain
+        while named is not None and named not in seen:
+            seen.add(named)
+            named = named.parent.named
+    inner_first = sorted(seen, key=lambda n: -n.depth)
+    for n in inner_first:
+        size[n.parent.named] += size[n]
+    marked = any(b.node.in_article and not b.node.aside for b in blocks)  # short articles stand beside long other parts
+    for n in reversed(inner_first):
+        n.wraps |= 2 * size[n] > total and not n.readers and not marked
+        n.out = not n.wraps or (n.parent.named is not None and n.parent.named.out)
+
+
+def followers(fit: list[Block], last: Block) -> list[Block]:
+    """Lists, tables and the like right behind ``last``, under the parent of its element."""
+    out, parent = [], last.node.parent
+    for b in fit:
+        if b.number <= last.number:
+            continue
+        up = b.node
+        while up is not None and up.parent is not parent:
+            up = up.parent
+        if up is None or up.tag not in FOLLOWERS or 2 * b.linked > len(b.text):
+            break
+        out.append(b)
+    return out
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks of the article: see the module's text."""
     fit = [b for b in blocks if not b.aside]
@@ -228,6 +270,8 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     if sum(article.holds(b.number) for b in fit) == 1 and article.tag not in ("", "html", "body", *ARTICLE_TAGS) and article.parent.tag not in ("", "html", "body"):
         article = article.parent
     if article.tag in ("", "html", "body"):
+        more = followers(fit, content[-1])
+        high = more[-1].number if more else high
         inside = [low <= b.number <= high for b in fit]
     else:
         inside = [article.holds(b.number) for b in fit]

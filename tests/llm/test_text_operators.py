@@ -567,7 +567,25 @@ def test_path_scores_by_hand():
         assert html.path_scores(blocks) == pytest.approx([math.sqrt(a * (1 + b)) for a, b in zip(*ratio, strict=True)])
 
 
-@pytest.mark.parametrize("page", ["<div>t" * 100_000, "<i>" * 50_000 + "<div></div></b>" * 50_000, "<p><b>x<a '>" * 50_000])
+PROSE = "A longer paragraph of plain prose, with commas, clauses, and a full stop at its end, as articles have."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<body><div class="no-sidebar content"><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div></body>', f"T {PROSE} {PROSE}"),
+        (f'<body><div id="main-header-wrap" class="page search-page"><h1>T</h1><p>{PROSE}</p></div><div class="sidebar"><p>{PROSE[:40]}</p></div></body>', f"T {PROSE}"),
+        (f'<body><div class="related-wrap"><div class="ad-free"><p>{PROSE}</p><p>{PROSE}</p></div><div class="ads"><p>Buy now.</p></div></div></body>', f"{PROSE} {PROSE}"),
+        (f'<body><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><ul><li>one</li><li>two</li></ul><div>Imprint</div></body>', f"T {PROSE} {PROSE} one two"),
+        (f'<body><h1>T</h1><p>{PROSE}</p><table><tr><td>1</td><td>2</td></tr></table><ul><li><a href=x>More of this</a></li></ul></body>', f"T {PROSE} 1 2"),
+        (f'<body><article><p>{PROSE}</p></article><div class="comments"><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div></body>', PROSE),
+    ],
+)
+def test_names_give_way_to_most_of_the_text(page, text):
+    assert html.extract(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>t" * 100_000, "<div class=ad>t" * 100_000, "<i>" * 50_000 + "<div></div></b>" * 50_000, "<p><b>x<a '>" * 50_000])
 def test_deep_pages_take_seconds(page):
     import time
 
