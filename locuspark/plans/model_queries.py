@@ -15,7 +15,7 @@ from . import sql_tools as D
 from .aggregate_queries import gene_groups
 from .fixtures import G_POOR, cte, frame, sequences, sql
 from .operator_queries import OVER, r6
-from .pipeline_queries import BASELINE, BM, LONG, MASTER, STRENGTH, baseline, burden_table, h_sql, pairs_sql, rank_sql, saved_master, strength, u_sql
+from .pipeline_queries import BASELINE, BM, LONG, MASTER, STRENGTH, baseline, burden_table, h_sql, pairs_sql, rank_sql, saved_master, strength, told_pairs, u_sql
 from .registry import query
 
 LAST = S.TIMES[-1]
@@ -225,7 +225,7 @@ def q16_permutations(spark, sf):
 
 @query(f"{MASTER}, {LONG}, t AS (SELECT *, 'control' AS against FROM long WHERE grp <> 'none' UNION ALL SELECT *, 'none' FROM long WHERE grp <> 'control'), v AS (SELECT *, concat(CAST(time AS VARCHAR), against) AS k, CASE WHEN grp = 'hit' THEN 'x' ELSE 'y' END AS side FROM t) SELECT * FROM ({pairs_sql('v', 'abs_lfc', 'x', 'y', 'k', 'side')})")
 def q18_pairs(spark, sf):
-    return P.magnitude(saved_master(spark, sf))[1].select(F.concat(F.col("time").cast("string"), "against").alias("k"), "n_a", "n_b", "u", r6("p_value"), r6("p_adj"))
+    return told_pairs(P.magnitude(saved_master(spark, sf))[1], F.concat(F.col("time").cast("string"), "against").alias("k"))
 
 
 @query(f"{MASTER}, {LONG} SELECT time, grp, count(abs_lfc) AS n, round(avg(abs_lfc), 6) AS mean, round(median(abs_lfc), 6) AS median FROM long GROUP BY ALL")

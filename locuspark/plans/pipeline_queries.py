@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import intervals as I
 from ..sources.staging import staged
 from . import pipelines as P
+from . import sql_tools as D
 from .aggregate_queries import GROUP_SQL, gene_groups
 from .fixtures import G_POOR, G_RICH, cte, frame, sequences, sql, table, tiles_sql
 from .operator_queries import DIR_CTE, LABEL_CTE, OVER, _motif_sql, assays, r6
-from . import sql_tools as D
 from .registry import query
 
 MASTER = f"""{GROUP_SQL}, {DIR_CTE}, {LABEL_CTE}, master AS (SELECT labels.*, grp, measure AS tpm, log2(measure + 1) AS log2_tpm, greatest(abs(lfc_12), abs(lfc_30), abs(lfc_60)) AS abs_lfc_max
@@ -30,10 +31,18 @@ FROM (SELECT {by}, {group} AS g, {rank_sql(col, by)} AS rk FROM {rows} WHERE {gr
 
 
 def pairs_sql(rows: str, col: str, a: str, b: str, by: str, group: str = "grp", alternative: str = "greater") -> str:
-    """by, n_a, n_b, u, p_value, p_adj of the two-sample tests of all ``by`` as one family, by the normal approximation."""
+    """by, n_a, n_b, u, p_value, p_adj of the two-sample tests of all ``by`` as one family, as ``told_pairs`` shows them."""
     ranked = f"SELECT {by}, {group} AS g, {rank_sql(col, by)} AS rk, count(*) OVER (PARTITION BY {by}, {col})::DOUBLE AS c FROM {rows} WHERE {group} IN ('{a}', '{b}') AND {col} IS NOT NULL"
     tests = f"SELECT {by}, count(*) FILTER (g = '{a}') AS n_a, count(*) FILTER (g = '{b}') AS n_b, CAST(sum(rk) FILTER (g = '{a}') - count(*) FILTER (g = '{a}') * (count(*) FILTER (g = '{a}') + 1) / 2.0 AS DOUBLE) AS u, sum(c * c - 1) AS ties FROM ({ranked}) GROUP BY {by}"
-    return D.adjusted(f"SELECT {by}, n_a, n_b, u, {D.u_p('u', 'n_a', 'n_b', 'ties', alternative)} AS p_value FROM ({tests})")
+    every = D.adjusted(f"SELECT {by}, n_a, n_b, u, least(n_a, n_b) <= 8 AND ties = 0 AS _exact, {D.u_p('u', 'n_a', 'n_b', 'ties', alternative)} AS p_value FROM ({tests})")
+    return f"SELECT {by}, n_a, n_b, u, CASE WHEN NOT _exact THEN p_value END AS p_value, CASE WHEN NOT bool_or(_exact) OVER () THEN p_adj END AS p_adj FROM ({every})"
+
+
+def told_pairs(tests: DataFrame, *by: Column | str) -> DataFrame:
+    """Tests with p where the normal approximation gives it, and adjusted p where it gives all: SQL has no exact distribution of U."""
+    exact = (F.least("n_a", "n_b") <= 8) & (F.col("ties") == 0)
+    all_known = ~F.max(exact).over(Window.partitionBy())
+    return tests.select(*by, "n_a", "n_b", "u", F.when(~exact, F.round("p_value", 6)).alias("p_value"), F.when(all_known, F.round("p_adj", 6)).alias("p_adj"))
 
 
 def h_sql(rows: str, col: str, group: str, by: str) -> str:
@@ -83,7 +92,7 @@ def q02_baseline_by_group(spark, sf):
 
 @query(f"{BASELINE}, t AS (SELECT *, 'control' AS against FROM base WHERE grp <> 'none' UNION ALL SELECT *, 'none' FROM base WHERE grp <> 'control'), v AS (SELECT *, CASE WHEN grp = 'hit' THEN 'x' ELSE 'y' END AS side FROM t) {pairs_sql('v', 'mean_log2', 'x', 'y', 'against', 'side')}")
 def q03_expression_tests(spark, sf):
-    return P.expression_tests(staged(baseline(spark, sf), "baseline"))[1].select("against", "n_a", "n_b", "u", r6("p_value"), r6("p_adj"))
+    return told_pairs(P.expression_tests(staged(baseline(spark, sf), "baseline"))[1], "against")
 
 
 @query(f"""SELECT chrom, CAST(start AS BIGINT) AS start, structure, CAST(start + strpos(seq, hit) - 1 AS BIGINT) AS structure_start, CAST((2 * (start + strpos(seq, hit) - 1) + length(hit)) // 2 AS BIGINT) AS structure_center FROM (SELECT *, {_motif_sql('seq')} FROM ({tiles_sql(G_RICH)})) WHERE structure <> 'other'""")
