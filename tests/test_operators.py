@@ -540,3 +540,40 @@ def test_quantiles_equal_numpy(spark, n):
     assert B.quantiles(df, "v", ps).first()["quantiles"] == pytest.approx(np.quantile(live, ps).tolist())
     for r in B.quantiles(df, "v", ps, ["g"]).collect():
         assert r["quantiles"] == pytest.approx(np.quantile([v for v, g in rows if g == r["g"] and v is not None], ps).tolist())
+
+
+def test_burden_makes_no_table_of_loci_and_samples(spark, monkeypatch):
+    from locuspark.plans import pipelines as P
+
+    rng = random.Random(5)
+    windows = [(f"g{k % 30}", f"c{k % 2}", s, s + rng.choice([300, 1001])) for k in range(40) for s in [rng.randrange(9000)]] + [("g99", "c0", 0, 10**6)]
+    loci = [(f"c{k % 2}", s, s + rng.randrange(1, 400)) for k in range(150) for s in [rng.randrange(9000)]]
+    loci += loci[:20] + [(c, s - 7, e) for c, s, e in loci[:30] if s >= 7]  # equal ones, and others with an end in common
+    reads = [(k % 3, "p" if k % 3 else "q", "real" if k % 4 else "sim", f"c{k % 2}", s, s + rng.randrange(1, 60)) for k in range(600) for s in [rng.randrange(9500)]]
+    reads = [r for r in reads if r[0] != 2 or r[2] == "real"]  # a sample without a simulation
+    totals = {(s, p): [sum(r[:3] == (s, p, kind) for r in reads) for kind in ("real", "sim")] for s, p in {r[:2] for r in reads}}
+    places = {(g, c, max(s, a), min(e, b)) for g, c, s, e in windows for d, a, b in loci if c == d and s < b and a < e}
+    want = {}
+    for g, c, s, e in places:
+        for p in ("p", "q"):
+            rates = []
+            for (sample, product), t in totals.items():
+                if product == p:
+                    n = [sum(r[:3] == (sample, p, kind) and r[3] == c and r[4] < e and r[5] > s for r in reads) for kind in ("real", "sim")]
+                    real, sim = (x * 1e9 / ((e - s) * y) if y else None for x, y in zip(n, t, strict=True))
+                    rates.append((real, math.log2(real + 1e-3) - (math.log2(sim + 1e-3) if sim is not None else 0)))
+            want[p, f"{c}:{s}-{e}:{g}"] = (len(rates), sum(r for r, _ in rates) / len(rates), max(r for r, _ in rates), sum(d for _, d in rates) / len(rates), max(d for _, d in rates))
+    given = (spark.createDataFrame(windows, "gene string, chrom string, start long, end long"), spark.createDataFrame(loci, "chrom string, start long, end long"), spark.createDataFrame(reads, "sample_id long, product string, kind string, chrom string, start long, end long"))
+    told = lambda: {(r["product"], r["locus"]): (r["n_samples"], r["real_rpkm_mean"], r["real_rpkm_max"], r["damage_mean"], r["damage_max"]) for r in P.burden(*given)[0].collect()}
+    monkeypatch.setattr("locuspark.operators.cells.PAIRS", 500)
+    with monkeypatch.context() as m:
+        m.setattr(I, "overlap_sums", None)
+        m.setattr(I, "intersect", None)
+        got, genes = told(), P.burden(*given)[1].collect()
+    assert set(got) == set(want) and all(v == pytest.approx(want[k]) for k, v in got.items())
+    for r in genes:
+        own = [v for (p, name), v in want.items() if p == r["product"] and name.endswith(f":{r['gene']}")]
+        assert (r["n_loci"], r["damage_max"], r["damage_mean"], r["real_rpkm_max"]) == pytest.approx((len(own), max(v[4] for v in own), sum(v[3] for v in own) / len(own), max(v[2] for v in own)))
+    assert len(genes) == len({(p, name.split(":")[2]) for p, name in want})
+    monkeypatch.setattr("locuspark.operators.cells.WIDE", 10)  # parts longer than any cell
+    assert {k: pytest.approx(v) for k, v in told().items()} == got
