@@ -542,6 +542,18 @@ def test_quantiles_equal_numpy(spark, n):
         assert r["quantiles"] == pytest.approx(np.quantile([v for v, g in rows if g == r["g"] and v is not None], ps).tolist())
 
 
+def test_exploded_sides_are_never_broadcast(spark):
+    # 81 edges for each of few points, 18 cells for each of few rows: small by Spark's estimate, large in fact
+    points = spark.range(100).selectExpr("id", "'c' as chrom", "id * 50 as pos", "'+' as strand", "1 as g")
+    track = spark.range(100).selectExpr("'c' as chrom", "id * 500 as start", "id * 500 + 500 as end", "1.0D as value")
+    a = spark.range(100).selectExpr("id", "'c' as chrom", "id * 50 as start", "id * 50 + 70 as end")
+    strategies = [I.metaprofile(points, track, 2000, 50, "g", "id"), I.overlap_pairs(a, a), I.max_signal(a, track, ["id"], "value")]
+    for df, at in zip(strategies, ("_at#", "_bin", "_lvl#"), strict=True):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert any("SortMergeJoin" in line and at in line for line in plan.splitlines())
+        assert not any("BroadcastHashJoin" in line and at in line for line in plan.splitlines())
+
+
 def test_burden_makes_no_table_of_loci_and_samples(spark, monkeypatch):
     from locuspark.plans import pipelines as P
 
