@@ -283,7 +283,7 @@ def linear_models(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequen
 def nested_gain(df: DataFrame, y: str, base: Sequence[str], added: Sequence[str], by: Sequence[str] = (), least: int = 20) -> DataFrame:
     """Per group, what ``added`` brings to the linear model of ``base`` on the same rows, both from one pass.
 
-    n, adj_r2_full, adj_r2_base, delta_adj_r2, delta_aic (base less full), lr and its p_value.
+    n, adj_r2_full, adj_r2_base, delta_adj_r2, delta_aic (base less full), lr and its p_value; only n where the design has no full rank.
     """
     cols = _design([*base, *added], ())
     names, k = [c for c, _ in cols], 1 + len(base)
@@ -292,7 +292,7 @@ def nested_gain(df: DataFrame, y: str, base: Sequence[str], added: Sequence[str]
     def fit(n: int, r: np.ndarray) -> list[dict]:
         large, small = _fit(names, n, r, least), _fit(names[:k], n, r, least)
         if not large or not small:
-            return []
+            return [{"n": n}] if n >= max(least, len(names) + 1) else []
         lr = 2 * (large["llf"] - small["llf"])
         return [{"n": large["n"], "adj_r2_full": large["adj_r2"], "adj_r2_base": small["adj_r2"], "delta_adj_r2": large["adj_r2"] - small["adj_r2"], "delta_aic": small["aic"] - large["aic"], "lr": lr, "p_value": pvalues.chi2_sf(lr, len(added))}]
 

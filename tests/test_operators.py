@@ -589,3 +589,15 @@ def test_burden_makes_no_table_of_loci_and_samples(spark, monkeypatch):
     assert len(genes) == len({(p, name.split(":")[2]) for p, name in want})
     monkeypatch.setattr("locuspark.operators.cells.WIDE", 10)  # parts longer than any cell
     assert {k: pytest.approx(v) for k, v in told().items()} == got
+
+
+def test_groups_without_rows_are_told_as_sql_tells_them(spark):
+    from locuspark.plans import pipeline_queries as PQ
+    from locuspark.plans import pipelines as P
+
+    rows = spark.range(40).selectExpr("concat('g', id) as gene", "'hit' as grp", "cast(id % 7 as double) as mean_log2")
+    _, pairs, expressed, _ = P.expression_tests(rows)
+    assert expressed.count() == 0
+    assert {tuple(r) for r in PQ.told_pairs(pairs, "against").collect()} == {(g, 40, 0, 0.0, None, 1.0) for g in ("control", "none")}
+    gain = T.nested_gain(rows.selectExpr("mean_log2 as y", "cast(hash(gene) % 11 as double) as x", "1.0D as hit"), "y", ["x"], ["hit"]).collect()
+    assert [tuple(r) for r in gain] == [(40, None, None, None, None, None, None)]
