@@ -1,4 +1,4 @@
-"""Reads counted over the parts that windows and loci share, within cells of a contig.
+"""Reads counted over the parts that windows and loci share, and values of overlapping rows, within cells of a contig.
 
 A part belongs to the cell that holds its first base, and its windows, loci and reads are all brought there, so equal parts of
 a gene meet in one cell, are told apart there, and are summed up there: no part is shuffled.
@@ -6,15 +6,18 @@ a gene meet in one cell, are told apart there, and are summed up there: no part
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Narrowest and widest cells, in bases; and pairs that a task looks at together.
 NARROW, WIDE, PAIRS = 1 << 11, 1 << 17, 1 << 21
+#: Cells for values of overlapping rows, in bases: at least this.
+VALUES = 1 << 15
 
 LOCUS = "gene string, chrom string, start long, end long, _product int, n_samples long, real_rpkm_mean double, real_rpkm_max double, sim_rpkm_mean double, damage_mean double, damage_max double"
 GENE = "gene string, _product int, n_loci long, damage_max double, damage_sum double, real_rpkm_max double, real_rpkm_sum double"
@@ -104,3 +107,98 @@ def shared_part_rates(windows: DataFrame, loci: DataFrame | None, reads: DataFra
             yield pa.RecordBatch.from_arrays(cols, names=["gene", "_product", "n_loci", "damage_max", "damage_sum", "real_rpkm_max", "real_rpkm_sum"])
 
     return rows.groupBy("chrom", "_bin").applyInArrow(cell, LOCUS if whole else GENE)
+
+
+def overlap_values(a: DataFrame, b: DataFrame, key: Sequence[str], longest: int) -> DataFrame:
+    """Per row of ``a`` (the key, chrom, start, end) and cell: _sum, _max and _n of the ``_v`` of the rows of ``b`` that it overlaps, _rows, and bases shared (_bp).
+
+    Rows are brought to the cells that they touch, at most two. A pair counts in the cell that holds the later of its starts: either
+    b's row starts in the interval, or it reaches over the interval's first base. Both are read off binary trees over the cell's bases,
+    which are as large however many rows of b there are.
+    """
+    width = max(VALUES, 1 << (longest - 1).bit_length())
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_bin")
+    names = [f"_key_{i}" for i in range(len(key))]
+    place = ["chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
+    asked = a.select(*place, F.lit(True).alias("_asked"), F.lit(None).cast("double").alias("_v"), *(F.col(k).alias(n) for k, n in zip(key, names, strict=True)), bins)
+    rows = asked.unionByName(b.select(*place, F.lit(False).alias("_asked"), F.col("_v").cast("double").alias("_v"), bins), allowMissingColumns=True)
+    fields = [("_sum", "double"), ("_max", "double"), ("_n", "long"), ("_rows", "long"), ("_bp", "long")]
+    schema = asked.select(*names).schema
+    for name, kind in fields:
+        schema = schema.add(name, kind)
+
+    def cell(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = group[1].as_py() * width
+        trees = [[np.zeros(2 * width), np.full(2 * width, -np.inf), np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64)] for _ in "ab"]
+        begun, over = trees
+        depth = np.zeros(width + 1, np.int64)
+        windows, some = [], False
+        for batch in batches:
+            asks = batch.column("_asked")
+            if asks.true_count:
+                windows.append(batch.filter(asks))
+            rest = batch.filter(pc.invert(asks))
+            if not rest.num_rows:
+                continue
+            some, values = True, rest.column("_v")
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            start, end, v = rest.column("start").to_numpy() - low, rest.column("end").to_numpy() - low, values.fill_null(0.0).to_numpy(zero_copy_only=False)
+            put = [v, np.where(known, v, -np.inf), known.astype(np.int64), np.ones(len(v), np.int64)]
+            np.add.at(depth, np.maximum(start, 0), 1)
+            np.add.at(depth, np.minimum(end, width), -1)
+            own = start >= 0
+            _put(begun, width + start[own], [x[own] for x in put])
+            for at, where in _blocks(width + np.maximum(start + 1, 0), width + np.minimum(end, width)):
+                _put(over, at, [x[where] for x in put])
+        if not windows or not some:
+            return
+        size = width // 2
+        while size:
+            for f, x in zip(JOINS, begun, strict=True):
+                x[size : 2 * size] = f(x[2 * size : 4 * size : 2], x[2 * size + 1 : 4 * size : 2])
+            size //= 2
+        size = 1
+        while size < width:
+            for f, x in zip(JOINS, over, strict=True):
+                for odd in (0, 1):
+                    x[2 * size + odd : 4 * size : 2] = f(x[2 * size + odd : 4 * size : 2], x[size : 2 * size])
+            size *= 2
+        covered = np.r_[0, np.cumsum(np.cumsum(depth[:width]))]
+        for batch in windows:
+            start, end = batch.column("start").to_numpy() - low, batch.column("end").to_numpy() - low
+            first, last = np.maximum(start, 0), np.minimum(end, width)
+            got = [np.where(start >= 0, x[width + first], none) for x, none in zip(over, (0.0, -np.inf, 0, 0), strict=True)]
+            for at, where in _blocks(width + first, width + last):
+                for k, (f, x) in enumerate(zip(JOINS, begun, strict=True)):
+                    got[k][where] = f(got[k][where], x[at])
+            bases = covered[last] - covered[first]
+            told = np.flatnonzero((got[3] > 0) | (bases > 0))
+            unknown = got[2][told] == 0
+            cols = [batch.column(n).take(pa.array(told)) for n in names]
+            cols += [pa.array(got[0][told], mask=unknown), pa.array(got[1][told], mask=unknown), *(pa.array(x[told]) for x in (got[2], got[3], bases))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *(n for n, _ in fields)])
+
+    return rows.groupBy("chrom", "_bin").applyInArrow(cell, schema)
+
+
+#: How sums, maxima and both counts of two blocks go together.
+JOINS = (np.add, np.maximum, np.add, np.add)
+
+
+def _put(tree: Sequence[np.ndarray], at: np.ndarray, values: Sequence[np.ndarray]) -> None:
+    for f, x, v in zip(JOINS, tree, values, strict=True):
+        f.at(x, at, v)
+
+
+def _blocks(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The nodes of a binary tree that make up the leaves [low, high) of each row: (nodes, rows), level by level."""
+    where = np.flatnonzero(low < high)
+    low, high = low[where], high[where]
+    while len(where):
+        odd = low & 1 == 1
+        yield low[odd], where[odd]
+        odd_high = high & 1 == 1
+        yield high[odd_high] - 1, where[odd_high]
+        low, high = (low + 1) >> 1, high >> 1
+        live = low < high
+        low, high, where = low[live], high[live], where[live]

@@ -601,3 +601,19 @@ def test_groups_without_rows_are_told_as_sql_tells_them(spark):
     assert {tuple(r) for r in PQ.told_pairs(pairs, "against").collect()} == {(g, 40, 0, 0.0, None, 1.0) for g in ("control", "none")}
     gain = T.nested_gain(rows.selectExpr("mean_log2 as y", "cast(hash(gene) % 11 as double) as x", "1.0D as hit"), "y", ["x"], ["hit"]).collect()
     assert [tuple(r) for r in gain] == [(40, None, None, None, None, None, None)]
+
+
+def test_maximum_over_many_overlaps_in_cells(spark, monkeypatch):
+    rng = random.Random(31)
+    a = [(k, f"c{k % 2}", s, s + rng.choice([0, 1, 7, 900, 70_000])) for k in range(120) for s in [rng.randrange(200_000)]] + [(120, None, 0, 5), (121, "c9", 3, 8), (122, "c0", 32_768, 65_536), (7, "c1", 0, 90_000)]
+    b = [(k, f"c{k % 2}", s, s + rng.choice([0, 1, 7, 400, 40_000])) for k in range(400) for s in [rng.randrange(200_000)]] + [(400, None, 0, 5), (401, "c0", 32_767, 32_769), *((402 + k, "c1", 100, 140) for k in range(50))]
+    values = [None if k % 11 == 0 else float(k * 37 % 23 - 9) for k in range(len(b))]
+    track = spark.createDataFrame([(*r, v) for r, v in zip(b, values, strict=True)], "id long, chrom string, start long, end long, value double")
+    told = lambda: {r["id"]: tuple(r)[1:] for r in I.max_signal(ivs(spark, a), track, ["id"], "value").collect()}
+    joined = told()
+    monkeypatch.setattr(I, "JOIN_ROWS", 0)
+    monkeypatch.setattr(I, "_dyadic", None)
+    monkeypatch.setattr(I, "track_totals", None)  # neither rows for each level nor for both ends
+    assert told() == {k: pytest.approx(v) if None not in v else v for k, v in joined.items()}
+    assert len(joined) > 60 and any(v[2] is None for v in joined.values()) == any(v[0] is None for v in joined.values())
+    assert I.max_signal(ivs(spark, a), track.where("false"), ["id"], "value").count() == 0
