@@ -35,6 +35,54 @@ def _listed(df: DataFrame, width: int, back: int, side: int, **more: Column) ->
     return live.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(side).alias("_side"), *(c.alias(n) for n, c in cols.items()), F.explode(bins).alias("_bin"))
 
 
+def _parts(code: np.ndarray, ws: np.ndarray, we: np.ndarray, ps: np.ndarray | None, pe: np.ndarray | None, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(gene, start, end) of the distinct parts of a cell that begin in it, about ``PAIRS`` pairs at a time; windows come in order of their gene's code."""
+    step, k = PAIRS if ps is None else max(1, PAIRS // len(ps)), 0
+    while k < len(ws):
+        upto = int(np.searchsorted(code, code[min(k + step, len(ws)) - 1], "right"))  # all windows of a gene stay together
+        s, e, g = ws[k:upto], we[k:upto], code[k:upto]
+        if ps is not None:
+            i, j = np.nonzero((s[:, None] < pe[None, :]) & (e[:, None] > ps[None, :]))
+            s, e, g = np.maximum(s[i], ps[j]), np.minimum(e[i], pe[j]), g[i]
+        here = (s >= 0) & (s < width)
+        s, e, g = s[here], e[here], g[here]
+        one = np.unique((g * width + s) * (2 * width + 1) + e)
+        k = upto
+        if len(one):
+            yield one // (2 * width + 1) // width, one // (2 * width + 1) % width, one % (2 * width + 1)
+
+
+def shared_parts(windows: DataFrame, loci: DataFrame, key: str, width: int) -> DataFrame:
+    """Each distinct part that the windows of a key share with loci: the key, chrom, start, end; ``width`` is at least a part's length."""
+    place = ["chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_bin")
+    live = [x.where(F.col("chrom").isNotNull() & (F.col("start") < F.col("end"))) for x in (windows, loci)]
+    rows = live[0].select(F.col(key).alias("_key"), *place, F.lit(True).alias("_asked"), bins).unionByName(live[1].select(*place, F.lit(False).alias("_asked"), bins), allowMissingColumns=True)
+    schema = live[0].select(F.col(key).alias("_key"), *place).schema
+
+    def cell(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = group[1].as_py() * width
+        asked, loci = [], np.empty((2, 0), np.int64)
+        for batch in batches:
+            asks = batch.column("_asked")
+            if asks.true_count:
+                asked.append(batch.filter(asks).select(["_key", "start", "end"]))
+            if asks.false_count:
+                rest = batch.filter(pc.invert(asks))
+                loci = np.unique(np.concatenate([loci, np.stack([rest.column(c).to_numpy() - low for c in ("start", "end")])], axis=1), axis=1)
+        if not asked or not loci.shape[1]:
+            return
+        table = pa.Table.from_batches(asked)
+        keys = table.column("_key").combine_chunks().dictionary_encode(null_encoding="encode")
+        code = keys.indices.to_numpy().astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        start, end = (table.column(c).to_numpy()[order] - low for c in ("start", "end"))
+        for g, s, e in _parts(code[order], start, end, *loci, width):
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(g)), pa.repeat(group[0], len(g)), pa.array(s + low), pa.array(e + low)], names=schema.names)
+
+    return rows.groupBy("chrom", "_bin").applyInArrow(cell, schema).withColumnRenamed("_key", key)
+
+
 def shared_part_rates(windows: DataFrame, loci: DataFrame | None, reads: DataFrame, width: int, samples: list[tuple[int, int, int]], whole: bool) -> DataFrame:
     """Per gene, distinct part and product its rates over the product's samples (``whole``), or what they add to the gene.
 
@@ -66,20 +114,8 @@ def shared_part_rates(windows: DataFrame, loci: DataFrame | None, reads: DataFra
         for counts, at in ((began, start), (ended, end)):
             np.add.at(counts, (sample[reads_at], 1 - real[reads_at], np.clip(at[reads_at], 0, 2 * width)), 1)
             np.cumsum(counts, axis=2, out=counts)
-        step, k = max(1, PAIRS // len(ps)) if paired else PAIRS, 0
-        while k < len(ws):
-            upto = int(np.searchsorted(code, code[min(k + step, len(ws)) - 1], "right"))  # all windows of a gene stay together
-            s, e, g = ws[k:upto], we[k:upto], code[k:upto]
-            if paired:
-                i, j = np.nonzero((s[:, None] < pe[None, :]) & (e[:, None] > ps[None, :]))
-                s, e, g = np.maximum(s[i], ps[j]), np.minimum(e[i], pe[j]), g[i]
-            here = (s >= 0) & (s < width)
-            s, e, g = s[here], e[here], g[here]
-            one = np.unique((g * width + s) * (2 * width + 1) + e)
-            g, s, e = one // (2 * width + 1) // width, one // (2 * width + 1) % width, one % (2 * width + 1)
-            k = upto
-            if len(g):
-                yield from told(key[0].as_py(), low, genes.dictionary, g, s, e, began, ended)
+        for g, s, e in _parts(code, ws, we, ps, pe, width):
+            yield from told(key[0].as_py(), low, genes.dictionary, g, s, e, began, ended)
 
     def told(chrom, low, names, g, s, e, began, ended) -> Iterator[pa.RecordBatch]:
         length = (e - s).astype(np.float64)

@@ -414,8 +414,7 @@ def lookup_first(spark, sf):
 
 @query(f"""{cte('win', 'peak')} SELECT DISTINCT gene, a.chrom AS chrom, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM win a JOIN peak b ON {OVER}""")
 def clipped_loci(spark, sf):
-    loci = I.intersect(frame(spark, sf, "win"), frame(spark, sf, "peak"))
-    return loci.select(F.col("gene_a").alias("gene"), "chrom", "start", "end").distinct()
+    return I.intersect_distinct(frame(spark, sf, "win"), frame(spark, sf, "peak"), "gene")
 
 
 @query("""WITH x AS (SELECT 'A' AS g, l_extendedprice AS v FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'R', l_extendedprice FROM lineitem WHERE l_returnflag = 'R'),
