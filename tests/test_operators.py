@@ -633,3 +633,32 @@ def test_one_part_of_a_burden_analysis_works_out_no_other(spark, monkeypatch):
             for name in others:
                 m.setattr(T, name, none)
             assert query(spark, sf).columns
+
+
+def test_distinct_shared_parts_without_pairs(spark, monkeypatch):
+    rng = random.Random(41)
+    a = [(f"g{k % 9}" if k % 7 else None, f"c{k % 2}", s, s + rng.choice([0, 1, 300, 1001])) for k in range(60) for s in [rng.randrange(9000)]] + [("g99", "c0", 0, 10**6), ("g98", None, 0, 9)]
+    b = [(f"c{k % 2}", s, s + rng.randrange(0, 400)) for k in range(200) for s in [rng.randrange(9000)]]
+    b += b[:30] + [(c, s - 7, e) for c, s, e in b[:30] if s >= 7] + [(None, 0, 9), ("c1", 2047, 2049)]
+    want = {(g, c, max(s, x), min(e, y)) for g, c, s, e in a for d, x, y in b if c and c == d and max(s, x) < min(e, y)}
+    given = spark.createDataFrame(a, "gene string, chrom string, start long, end long"), spark.createDataFrame(b, "chrom string, start long, end long")
+    monkeypatch.setattr("locuspark.operators.cells.PAIRS", 500)
+    with monkeypatch.context() as m:
+        m.setattr(I, "overlap_pairs", None)
+        got = [tuple(r) for r in I.intersect_distinct(*given, "gene").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(I, "WIDE", 10)
+    assert {tuple(r) for r in I.intersect_distinct(*given, "gene").collect()} == want
+
+
+def test_structures_of_windows_come_from_few_pairs(spark, monkeypatch):
+    from locuspark.plans import pipelines as P
+
+    windows = spark.range(20).selectExpr("concat('g', id) as gene", "'c' as chrom", "id * 1000 as start", "id * 1000 + 500 as end")
+    loci = spark.range(4000).selectExpr("'c' as chrom", "id * 3 % 9000 as start", "id * 3 % 9000 + 20 as end", "if(id % 2 = 0, 'x', 'y') as structure")
+    members = spark.range(20).selectExpr("concat('g', id) as gene", "if(id % 2 = 0, 'Q4', 'Q1') as expression_class")
+    pairs, plain = [], I.overlap_pairs
+    monkeypatch.setattr(I, "overlap_pairs", lambda a, b, *r: pairs.append(plain(a, b, *r)) or pairs[-1])
+    got = {tuple(r) for r in P.structure_enrichment(members, windows, loci, bottoms=("Q1",))[1].select("structure", "a", "b", "c", "d").collect()}
+    assert got == {("x", 5, 5, 5, 5), ("y", 5, 5, 5, 5)}
+    assert pairs[0].count() <= 40
