@@ -414,6 +414,8 @@ def partial_slope(df: DataFrame, y: str, x: str, zs: Sequence[str]) -> float | N
 BLOCK_ROWS = 1 << 21
 #: Replicates of a block, and cells (rows x replicates) of one array.
 BLOCK, BLOCK_CELLS = 500, 1 << 20
+#: Tasks that replicates are spread over at least, as a group of many rows is long work for few; a task gets all rows of its group.
+BLOCK_TASKS = 24
 _LOW = (1 << 32) - 1
 
 
@@ -478,28 +480,32 @@ def _weighted_rho(m: np.ndarray, *ties: tuple) -> np.ndarray:
         return np.where(spread > 0, (n * sums(m, a, b) - sa * sb) / np.sqrt(np.maximum(spread, 0)), np.nan)
 
 
-def _in_blocks(rows: DataFrame, by: Sequence[str], times: int, fields: str, one: Callable[[pd.DataFrame, np.ndarray], dict]) -> DataFrame:
-    """``one`` of a group's rows for each block of replicates 1..times: the rows go to as many tasks as there are blocks, not replicates."""
+def _in_blocks(rows: DataFrame, by: Sequence[str], times: int, fields: str, one: Callable[[pd.DataFrame], Callable[[np.ndarray], dict]], groups: int = 1) -> DataFrame:
+    """What ``one`` of a group's rows tells of replicates, for each block of replicates 1..times: the rows go to as many tasks as there are blocks, not replicates."""
     schema = StructType([rows.schema[c] for c in by] + StructType.fromDDL(f"replicate int, {fields}").fields)
+    size = min(BLOCK, -(-times // max(1, BLOCK_TASKS // max(1, groups))))
+    order = "key" if "key" in rows.columns else "h"
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key").reset_index(drop=True)
-        low, out = int(pdf["block"].iloc[0]) * BLOCK + 1, []
-        width = max(1, BLOCK_CELLS // len(pdf))
-        for k in range(low, min(low + BLOCK, times + 1), width):
-            r = np.arange(k, min(k + width, low + BLOCK, times + 1))
-            out.append(pd.DataFrame({"replicate": r} | one(pdf, r)))
+        low, out, own = int(pdf["block"].iloc[0]) * size + 1, [], [pdf[c].iloc[0] for c in by]
+        pdf = pdf.drop(columns=[*by, "block"]).sort_values(order, kind="stable", ignore_index=True)
+        width, told = max(1, BLOCK_CELLS // len(pdf)), one(pdf)
+        for k in range(low, min(low + size, times + 1), width):
+            r = np.arange(k, min(k + width, low + size, times + 1))
+            out.append(pd.DataFrame({"replicate": r} | told(r)))
         got = pd.concat(out)
-        for c in by:
-            got[c] = pdf[c].iloc[0]
+        for c, v in zip(by, own, strict=True):
+            got[c] = v
         return got[schema.names]
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((times - 1) // BLOCK)))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((times - 1) // size)))
     return rows.withColumn("block", blocks).groupBy(*by, "block").applyInPandas(block, schema)
 
 
-def _fits(rows: DataFrame, by: Sequence[str]) -> bool:
-    return (rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= BLOCK_ROWS
+def _sizes(rows: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and how many groups there are."""
+    r = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    return r[0] or 0, r[1]
 
 
 def _replicate_rho(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -516,19 +522,25 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, by: Sequence[str
     """Per group n, rho, ci_low, ci_high: percentiles of rho over Poisson(1) bootstraps.
 
     A row's weight in a replicate comes from hashes of its key and the seed and of the replicate, so a run can be repeated
-    anywhere. Replicates are worked in blocks, each as an array of weights over the group's rows; where a group has more
-    than ``BLOCK_ROWS``, rows with weight are spread over replicates instead.
+    anywhere. Replicates are worked in blocks, each as an array of weights over the group's rows, which go there as three numbers; where
+    a group has more than 4 ``BLOCK_ROWS``, rows with weight are spread over replicates instead.
     """
     rows = df.dropna(subset=[x, y]).select(*by, F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), _key_hash(key, seed).alias("h"))
-    rows = staged(rows, "resampled")
-    if _fits(rows, by):
+    rows = staged(rows.drop("key"), "resampled")
+    largest, groups = _sizes(rows, by)
+    if largest <= 4 * BLOCK_ROWS:
 
-        def one(pdf: pd.DataFrame, replicates: np.ndarray) -> dict:
-            u = _draws(pdf["h"].to_numpy(), replicates) / 2.0**32
-            copies = np.searchsorted(COPIES, u.ravel(), "left").reshape(u.shape).astype(np.float64)
-            return {"r": _weighted_rho(copies, _ties(pdf["x"].to_numpy()), _ties(pdf["y"].to_numpy()))}
+        def one(pdf: pd.DataFrame) -> Callable[[np.ndarray], dict]:
+            h, ties = pdf["h"].to_numpy(), (_ties(pdf["x"].to_numpy()), _ties(pdf["y"].to_numpy()))
 
-        per = _in_blocks(rows, by, times, "r double", one).withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
+            def told(replicates: np.ndarray) -> dict:
+                u = _draws(h, replicates) / 2.0**32
+                copies = np.searchsorted(COPIES, u.ravel(), "left").reshape(u.shape).astype(np.float64)
+                return {"r": _weighted_rho(copies, *ties)}
+
+            return told
+
+        per = _in_blocks(rows, by, times, "r double", one, groups).withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
     else:
         many = _with_draw(rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))))
         m = sum(((F.col("draw") / 2.0**32 > s).cast("int") for s in COPIES), F.lit(0))
@@ -549,17 +561,22 @@ def permutation_test(df: DataFrame, x: str, y: str, group: str, a: str, b: str,
     sizes = rows.groupBy(*by).agg(F.count_if("g").alias("n_a"), F.count_if(~F.col("g")).alias("n_b")).where("n_a >= 3 and n_b >= 3")
     rows = rows.join(sizes, list(by)) if by else rows.join(F.broadcast(sizes))
     real = _sides(rows.withColumns({"replicate": F.lit(0), "side": F.col("g")}), by)
-    if _fits(rows, by):
+    largest, groups = _sizes(rows, by)
+    if largest <= BLOCK_ROWS:
 
-        def one(pdf: pd.DataFrame, replicates: np.ndarray) -> dict:
-            place = np.arange(len(pdf), dtype=np.uint64)[:, None]
-            order = np.argpartition((_draws(pdf["h"].to_numpy(), replicates) << np.uint64(22)) | place, int(pdf["n_a"].iloc[0]) - 1, axis=0)
-            side = np.zeros((len(pdf), len(replicates)))
-            np.put_along_axis(side, order[: int(pdf["n_a"].iloc[0])], 1.0, axis=0)
+        def one(pdf: pd.DataFrame) -> Callable[[np.ndarray], dict]:
+            h, n_a, place = pdf["h"].to_numpy(), int(pdf["n_a"].iloc[0]), np.arange(len(pdf), dtype=np.uint64)[:, None]
             ties = _ties(pdf["x"].to_numpy()), _ties(pdf["y"].to_numpy())
-            return {"rho_a": _weighted_rho(side, *ties), "rho_b": _weighted_rho(1 - side, *ties)}
 
-        shuffled = _in_blocks(rows, by, times, "rho_a double, rho_b double", one)
+            def told(replicates: np.ndarray) -> dict:
+                order = np.argpartition((_draws(h, replicates) << np.uint64(22)) | place, n_a - 1, axis=0)
+                side = np.zeros((len(h), len(replicates)))
+                np.put_along_axis(side, order[:n_a], 1.0, axis=0)
+                return {"rho_a": _weighted_rho(side, *ties), "rho_b": _weighted_rho(1 - side, *ties)}
+
+            return told
+
+        shuffled = _in_blocks(rows, by, times, "rho_a double, rho_b double", one, groups)
         shuffled = shuffled.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("rho_a", "rho_b")})
     else:
         many = _with_draw(rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))))

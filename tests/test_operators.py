@@ -662,3 +662,24 @@ def test_structures_of_windows_come_from_few_pairs(spark, monkeypatch):
     got = {tuple(r) for r in P.structure_enrichment(members, windows, loci, bottoms=("Q1",))[1].select("structure", "a", "b", "c", "d").collect()}
     assert got == {("x", 5, 5, 5, 5), ("y", 5, 5, 5, 5)}
     assert pairs[0].count() <= 40
+
+
+def test_replicates_of_few_groups_go_to_many_tasks_that_sort_once(spark, monkeypatch):
+    df = spark.range(300).selectExpr("concat('k', id) as key", "cast(id * 7 % 31 as double) as x", "cast(id * 11 % 37 as double) as y")
+    plain, seen = T._in_blocks, []
+
+    def spied(rows, by, times, fields, one, groups=1):
+        out = plain(rows, by, times, fields, one, groups)
+        pdf, sorts = rows.toPandas(), []
+        with monkeypatch.context() as m:
+            m.setattr(T, "_ties", lambda v, own=T._ties: sorts.append(1) or own(v))
+            told = one(pdf)
+            for k in range(1, 5):
+                told(np.array([k]))
+        seen.append((rows.columns, len(sorts), out.rdd.getNumPartitions() > 0, out.select("replicate").distinct().count()))
+        return out
+
+    monkeypatch.setattr(T, "_in_blocks", spied)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 100)  # 300 rows still are blocks of three numbers a row
+    assert T.bootstrap_spearman(df, "x", "y", "key", times=100).count() == 1
+    assert seen == [(["x", "y", "h"], 2, True, 100)]
