@@ -683,3 +683,22 @@ def test_replicates_of_few_groups_go_to_many_tasks_that_sort_once(spark, monkeyp
     monkeypatch.setattr(T, "BLOCK_ROWS", 100)  # 300 rows still are blocks of three numbers a row
     assert T.bootstrap_spearman(df, "x", "y", "key", times=100).count() == 1
     assert seen == [(["x", "y", "h"], 2, True, 100)]
+
+
+def test_motifs_are_matched_once_a_text_in_code_points(spark):
+    g = "GGGTAGGGTAGGGTAGGG"
+    df = spark.createDataFrame([(0, f"éé{g}C"), (1, None), (2, f"C{g}"[::-1].replace("C", "").translate(str.maketrans("GTA", "CAT")))], "id long, seq string")
+    one = df.withColumn("m", Q.classify_motif("seq")).where("m.structure <> 'other'").select("id", "m.*")
+    assert [tuple(r) for r in one.collect()] == [(0, "loop1_3", 2, 20)]
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("told(") == 1
+    both = {r["id"]: tuple(r["m"]) for r in df.select("id", Q.classify_both_strands("seq").alias("m")).collect()}
+    assert both == {0: ("loop1_3", 2, 20, "+"), 1: ("other", None, None, "+"), 2: ("loop1_3", 0, 18, "-")}
+
+
+def test_tiles_of_a_long_sequence_in_one_pass(spark):
+    import time
+
+    long = spark.range(1).select(F.lit("c").alias("chrom"), F.lit(0).cast("long").alias("start"), F.expr("repeat('ACGTGTCA', 1000000)").alias("seq"))
+    began = time.perf_counter()
+    got = I.tile(long, 150).agg(F.count("*"), F.max("end"), F.max(F.length("seq"))).first()
+    assert tuple(got) == (53333, 7999950, 150) and time.perf_counter() - began < 30
