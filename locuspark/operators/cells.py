@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Narrowest and widest cells, in bases; and pairs that a task looks at together.
 NARROW, WIDE, PAIRS = 1 << 11, 1 << 17, 1 << 21
@@ -217,6 +218,53 @@ def overlap_values(a: DataFrame, b: DataFrame, key: Sequence[str], longest: int)
     return rows.groupBy("chrom", "_bin").applyInArrow(cell, schema)
 
 
+def profiles(points: DataFrame, track: DataFrame, flank: int, step: int, by: str, key: str) -> DataFrame:
+    """What each cell adds to the profiles of groups: rows with the group, a bin and its sum of signal, and rows with the group and the key of a point with signal.
+
+    Points (chrom, pos, strand) and rows of the track are brought to the cells that they touch; a bin over a border has a part in each.
+    A cell's running totals are arrays, so a point's bins are looked up and added up there and are no rows.
+    """
+    n_bins, width = 2 * flank // step, WIDE
+    bins = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))).alias("_bin")
+    first = F.col("pos") - flank
+    asked = points.where("chrom is not null").select("chrom", F.col(by), F.col(key), F.coalesce(F.col("strand") == "-", F.lit(False)).alias("_back"), F.lit(True).alias("_asked"), first.cast("long").alias("start"), bins(first, first + n_bins * step))
+    live = track.where(F.col("chrom").isNotNull() & (F.col("start") < F.col("end")) & (F.col("value") != 0))
+    rows = asked.unionByName(live.select("chrom", F.lit(False).alias("_asked"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("value").cast("double").alias("_v"), bins(F.col("start"), F.col("end"))), allowMissingColumns=True)
+    schema = StructType([StructField(f.name, f.dataType) for f in asked.select(by, key).schema]).add("bin", "long").add("_s", "double")
+    at = np.arange(n_bins + 1) * step
+
+    def cell(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = group[1].as_py() * width
+        value, depth, asks = np.zeros(width + 1), np.zeros(width + 1, np.int64), []
+        for batch in batches:
+            mine = batch.column("_asked")
+            if mine.true_count:
+                asks.append(batch.filter(mine).select([by, key, "_back", "start"]))
+            rest = batch.filter(pc.invert(mine))
+            for end, sign in (("start", 1), ("end", -1)):
+                where = np.clip(rest.column(end).to_numpy() - low, 0, width)
+                np.add.at(value, where, sign * rest.column("_v").to_numpy())
+                np.add.at(depth, where, sign)
+        covered = np.cumsum(depth[:width]) > 0
+        total, bases = (np.r_[0, np.cumsum(x)] for x in (np.where(covered, np.cumsum(value[:width]), 0.0), covered))
+        for batch in asks:
+            edges = np.clip(batch.column("start").to_numpy()[:, None] - low + at, 0, width)
+            some = np.flatnonzero(bases[edges[:, -1]] > bases[edges[:, 0]])
+            if not len(some):
+                continue
+            told = batch.take(pa.array(some))
+            signal = np.diff(total[edges[some]], axis=1)
+            back = told.column("_back").to_numpy(zero_copy_only=False)
+            signal[back] = signal[back, ::-1]
+            groups = told.column(by).dictionary_encode(null_encoding="encode")
+            code = groups.indices.to_numpy()
+            yield pa.RecordBatch.from_arrays([told.column(by), told.column(key), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64())], names=schema.names)
+            for k in range(len(groups.dictionary)):
+                yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array([k] * n_bins)), pa.nulls(n_bins, told.column(key).type), pa.array(np.arange(n_bins)), pa.array(signal[code == k].sum(axis=0) / step)], names=schema.names)
+
+    return rows.groupBy("chrom", "_bin").applyInArrow(cell, schema)
+
+
 #: How sums, maxima and both counts of two blocks go together.
 JOINS = (np.add, np.maximum, np.add, np.add)
 

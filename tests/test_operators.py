@@ -702,3 +702,15 @@ def test_tiles_of_a_long_sequence_in_one_pass(spark):
     began = time.perf_counter()
     got = I.tile(long, 150).agg(F.count("*"), F.max("end"), F.max(F.length("seq"))).first()
     assert tuple(got) == (53333, 7999950, 150) and time.perf_counter() - began < 30
+
+
+def test_profiles_in_cells_equal_those_of_edges(spark, monkeypatch):
+    points = spark.range(60).selectExpr("id", "concat('c', id % 2) as chrom", "131000 + id * 7 as pos", "if(id % 3 = 0, '-', '+') as strand", "id % 4 as g")
+    points = points.unionByName(spark.createDataFrame([(90, None, 131000, "+", 1), (91, "c1", 30, None, None), (92, "c9", 131000, "+", 2)], "id long, chrom string, pos long, strand string, g long"))
+    track = spark.range(80).selectExpr("concat('c', id % 3) as chrom", "130000 + id * 31 % 2300 as start", "130040 + id * 31 % 2300 + id % 50 as end", "if(id % 9 = 0, null, id * 1.5D - 20) as value")
+    run = lambda: {(r["g"], r["bin"]): (r["n"], round(r["signal"], 6)) for r in I.metaprofile(points, track, 400, 20, "g", "id").collect()}
+    joined = run()
+    calls, inner = [], I.profiles
+    monkeypatch.setattr(I, "JOIN_ROWS", 10)
+    monkeypatch.setattr(I, "profiles", lambda *a: calls.append(1) or inner(*a))
+    assert run() == joined and calls and len(joined) == 160
