@@ -714,3 +714,24 @@ def test_profiles_in_cells_equal_those_of_edges(spark, monkeypatch):
     monkeypatch.setattr(I, "JOIN_ROWS", 10)
     monkeypatch.setattr(I, "profiles", lambda *a: calls.append(1) or inner(*a))
     assert run() == joined and calls and len(joined) == 160
+
+
+def test_samples_of_tiles_judge_each_tile_once(spark):
+    from locuspark.plans import pipelines as P
+
+    tiles = spark.createDataFrame([("c", k * 4, k * 4 + 4, s, f"c:{k}") for k, s in enumerate(["GGCC", "GCAT", "AAAT", "GGCN", "CCCC"])], "chrom string, start long, end long, seq string, id string")
+    skip = spark.createDataFrame([("c", 17, 18)], "chrom string, start long, end long")
+    chosen, funnel = P.gc_sample(tiles, {"excluded": skip}, 0.4, 2, "id")
+    assert {tuple(r) for r in chosen.collect()} == {("c", 0, 4, "GGCC", "c:0"), ("c", 4, 8, "GCAT", "c:1")}
+    assert {r["reason"]: r["n"] for r in funnel.collect()} == {"excluded": 1, "not_acgt": 1, "gc": 1, "kept": 2}
+    assert not any("Join" in line and "seq" in line for line in funnel._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert "LocalRelation" not in funnel._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_files_and_sequences_are_read_once(spark):
+    from locuspark.plans import model_queries, operator_queries
+
+    plan = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(operator_queries.canonical_tss).count("Relation [value") == 1
+    assert "lower(" not in plan(model_queries.interval_sequences)
