@@ -66,8 +66,10 @@ def canonical_tss(spark, sf):
     path = shared_path(spark, "gtf")
     both.select(F.concat_ws("\t", chrom, F.lit("db"), "feature", F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), attrs)).write.text(path)
     gtf = R.read_gtf(spark, path)
-    length = gtf.where("feature = 'exon'").groupBy("gene_id", "transcript_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("bases"))
-    starts = gtf.where("feature = 'transcript'").join(length, ["gene_id", "transcript_id"], "left").withColumn("bases", F.coalesce("bases", F.lit(0)))
+    exon, whole = F.col("feature") == "exon", F.col("feature") == "transcript"
+    place = F.max(F.when(whole, F.struct("chrom", "start", "end", "strand"))).alias("at")  # exons and transcripts from one look at the file
+    bases = F.coalesce(F.sum(F.when(exon, F.col("end") - F.col("start") + 1)), F.lit(0)).alias("bases")
+    starts = gtf.groupBy("gene_id", "transcript_id").agg(place, bases).where("at is not null").select("gene_id", "transcript_id", "bases", "at.*")
     longest = B.first_by(starts, ["gene_id"], [F.desc("bases"), F.col("transcript_id").cast("long")])
     return longest.select("chrom", "gene_id", "transcript_id", S.tss("start", "end", "strand").alias("tss"))
 
