@@ -28,12 +28,12 @@ def longest(df: DataFrame) -> int:
     return df.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1
 
 
-def _listed(df: DataFrame, width: int, back: int, side: int, **more: Column) -> DataFrame:
-    """Rows for each cell that they touch, and for ``back`` cells before: a part that begins there may reach into theirs."""
-    bins = F.sequence(F.floor(F.col("start") / width) - back, F.floor((F.col("end") - 1) / width))
-    cols = {"gene": F.lit(None).cast("string"), "_sample": F.lit(0), "_real": F.lit(0)} | more
+def _listed(df: DataFrame, width: int, first: Column, last: Column, of: Column, gene: Column | None = None) -> DataFrame:
+    """Rows for each cell from the one of base ``first`` to that of base ``last``; ``_of`` is 0 for windows, 1 for loci, from 2 on for reads."""
+    bins = F.sequence(F.floor(first / width), F.floor(last / width))
     live = df.where(F.col("chrom").isNotNull() & (F.col("start") < F.col("end")))
-    return live.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(side).alias("_side"), *(c.alias(n) for n, c in cols.items()), F.explode(bins).alias("_bin"))
+    named = F.lit(None).cast("string") if gene is None else gene
+    return live.select("chrom", F.explode(bins).alias("_bin"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), of.cast("int").alias("_of"), named.alias("gene"))
 
 
 def _parts(code: np.ndarray, ws: np.ndarray, we: np.ndarray, ps: np.ndarray | None, pe: np.ndarray | None, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,14 +84,18 @@ def shared_parts(windows: DataFrame, loci: DataFrame, key: str, width: int) -> D
     return rows.groupBy("chrom", "_bin").applyInArrow(cell, schema).withColumnRenamed("_key", key)
 
 
-def shared_part_rates(windows: DataFrame, loci: DataFrame | None, reads: DataFrame, width: int, samples: list[tuple[int, int, int]], whole: bool) -> DataFrame:
+def shared_part_rates(windows: DataFrame, loci: DataFrame | None, reads: DataFrame, most: int, samples: list[tuple[int, int, int]], whole: bool) -> DataFrame:
     """Per gene, distinct part and product its rates over the product's samples (``whole``), or what they add to the gene.
 
     ``windows`` has gene, chrom, start, end; ``loci`` chrom, start, end, or None where windows are the parts; ``reads`` _sample, _real, chrom,
-    start, end. ``samples`` lists product number, real and simulated reads of each sample; ``width`` is at least a part's length.
+    start, end. ``samples`` lists product number, real and simulated reads of each sample; no part is longer than ``most``. A read is listed
+    only where a part that it overlaps may begin: in its own cells, and in the one before if it starts less than ``most`` bases into its first.
     """
-    sides = [_listed(windows, width, 0, 0, gene=F.col("gene")), _listed(reads, width, 1, 2, _sample=F.col("_sample"), _real=F.col("_real"))]
-    sides += [_listed(loci, width, 0, 1)] if loci is not None else []
+    width = max(NARROW, 1 << (most - 1).bit_length())
+    start, last = F.col("start"), F.col("end") - 1
+    sides = [_listed(windows, width, start, start if loci is None else last, F.lit(0), F.col("gene"))]
+    sides += [_listed(reads, width, start - (most - 1), last, 2 + 2 * F.col("_sample") + F.col("_real"))]
+    sides += [_listed(loci, width, start, last, F.lit(1))] if loci is not None else []
     rows = sides[0]
     for x in sides[1:]:
         rows = rows.unionByName(x)
@@ -101,9 +105,10 @@ def shared_part_rates(windows: DataFrame, loci: DataFrame | None, reads: DataFra
     def cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         low = key[1].as_py() * width
-        side, start, end, sample, real = (table.column(c).to_numpy() for c in ("_side", "start", "end", "_sample", "_real"))
+        of, start, end = (table.column(c).to_numpy() for c in ("_of", "start", "end"))
         start, end = start - low, end - low
-        windows_at, loci_at, reads_at = (np.flatnonzero(side == k) for k in (0, 1, 2))
+        windows_at, loci_at, reads_at = (np.flatnonzero(x) for x in (of == 0, of == 1, of > 1))
+        sample, real = of[reads_at] // 2 - 1, of[reads_at] % 2
         if not len(windows_at) or paired and not len(loci_at):
             return
         genes = table.column("gene").take(pa.array(windows_at)).combine_chunks().dictionary_encode()
@@ -113,7 +118,7 @@ def shared_part_rates(windows: DataFrame, loci: DataFrame | None, reads: DataFra
         ps, pe = np.unique(np.stack([start[loci_at], end[loci_at]]), axis=1) if paired else (None, None)
         began, ended = (np.zeros((len(samples), 2, 2 * width + 1), np.int64) for _ in "se")
         for counts, at in ((began, start), (ended, end)):
-            np.add.at(counts, (sample[reads_at], 1 - real[reads_at], np.clip(at[reads_at], 0, 2 * width)), 1)
+            np.add.at(counts, (sample, 1 - real, np.clip(at[reads_at], 0, 2 * width)), 1)
             np.cumsum(counts, axis=2, out=counts)
         for g, s, e in _parts(code, ws, we, ps, pe, width):
             yield from told(key[0].as_py(), low, genes.dictionary, g, s, e, began, ended)

@@ -735,3 +735,41 @@ def test_files_and_sequences_are_read_once(spark):
     plan = lambda q: q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan(operator_queries.canonical_tss).count("Relation [value") == 1
     assert "lower(" not in plan(model_queries.interval_sequences)
+
+
+def test_scores_within_few_groups_leave_rows_where_they_are(spark):
+    df = spark.range(3_000_000).selectExpr("id % 2 as g", "cast(id % 1000 as double) as v", "cast(id % 7 as double) as w")
+    both = B.zscores(df, {"zv": "v", "zw": "w"}, by=["g"])
+    for plan in (x._jdf.queryExecution().sparkPlan().toString() for x in (both, B.zscore(df, "v", "zv", by=["g"]))):
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    row = both.where("v = 4 and w = 4").first()
+    n, mean = 1_500_000, 499.0
+    assert row["zv"] == pytest.approx((4 - mean) / math.sqrt(sum((v - mean) ** 2 for v in range(0, 1000, 2)) / 500 * n / (n - 1)))
+
+
+def test_a_read_is_listed_where_parts_may_begin(spark):
+    from locuspark.operators import cells as C
+
+    reads = spark.createDataFrame([("c", s, s + 20, 0, 1) for s in (2048, 2500, 2547, 2548, 4000, 4090)], "chrom string, start long, end long, _sample int, _real int")
+    windows = spark.createDataFrame([("g", "c", s, s + 500) for s in (1900, 3900)], "gene string, chrom string, start long, end long")
+    listed = C._listed(reads, 2048, F.col("start") - 499, F.col("end") - 1, F.lit(2))
+    assert sorted((r["start"], r["_bin"]) for r in listed.collect()) == [(2048, 0), (2048, 1), (2500, 0), (2500, 1), (2547, 1), (2548, 1), (4000, 1), (4090, 1), (4090, 2)]
+    got = C.shared_part_rates(windows, None, reads, 500, [(0, 6, 0)], True)
+    assert {(r["start"], round(r["real_rpkm_mean"] * 500 * 6 / 1e9)) for r in got.collect()} == {(1900, 1), (3900, 2)}
+
+
+def test_a_burden_table_is_written_once(spark, monkeypatch):
+    from locuspark.plans import model_queries as MQ
+    from locuspark.plans import pipeline_queries as PQ
+    from locuspark.plans import pipelines as P
+
+    sf, written, asked = "/root/testdata/sf0.001", [], []
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    for module in (MQ, PQ, P, B):
+        plain = module.staged
+        monkeypatch.setattr(module, "staged", lambda df, name, plain=plain: written.append((name, df.columns)) or plain(df, name))
+    MQ.q26_linear(spark, sf)
+    assert sum("trajectory" in columns for _, columns in written) == 1
+    assert [name for name, _ in written].count("signal") == 2
+    assert all("trajectory" not in columns for name, columns in written if name == "coded")
