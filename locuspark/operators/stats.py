@@ -127,6 +127,31 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: Sequence[str] =
     return with_p(out.select(*by, "n", rho.alias("rho")), "p_value", lambda r, n: pvalues.correlation_p(r, int(n)), "rho", "n")
 
 
+def partial_spearman_each(df: DataFrame, x: str, ys: dict[object, str], z: str, by: Sequence[str] = (), name: str = "target") -> DataFrame:
+    """``partial_spearman`` of x with each of several columns, told apart by ``name``: a row per group and column.
+
+    Rows stay one for all columns: a value of x or z gets its ranks among the complete rows of each column from one running total.
+    Ranks of the columns themselves are written first, so Spark knows their size: few values are broadcast.
+    """
+    cols = [f"_y{k}" for k in range(len(ys))]
+    rows = staged(df.where(F.col(x).isNotNull() & F.col(z).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(z).alias("_z"), *(F.col(y).alias(c) for c, y in zip(cols, ys.values(), strict=True))), "rows")
+    ranked = rows
+    for c in ("_x", "_z"):
+        counts = rows.groupBy(*by, c).agg(*(F.count(y).alias(f"_n{y}") for y in cols))
+        below = running_totals(counts, c, [f"_n{y}" for y in cols], by)
+        ranked = ranked.join(below.select(*by, c, *((F.col(f"below__n{y}") + (F.col(f"_n{y}") + 1) / 2).alias(f"{c}{y}") for y in cols)), [*by, c])
+    for y in cols:
+        own = staged(value_ranks(rows, y, by).select(*by, y, F.col("rank").alias(f"_r{y}")), "ranks")
+        ranked = ranked.join(own, [*by, y], "left")
+    w = {y: F.when(F.col(y).isNotNull(), 1.0) for y in cols}
+    pairs = {y: {"_xy": (f"_x{y}", f"_r{y}"), "_xz": (f"_x{y}", f"_z{y}"), "_yz": (f"_r{y}", f"_z{y}")} for y in cols}
+    sums = ranked.groupBy(*by).agg(*(F.count(y).alias(f"_n{y}") for y in cols), *(_corr(F.col(a), F.col(b), w[y]).alias(f"{c}{y}") for y in cols for c, (a, b) in pairs[y].items()))
+    told = F.array(*(F.struct(F.lit(n).alias(name), F.col(f"_n{y}").alias("n"), *(F.col(f"{c}{y}").alias(c) for c in ("_xy", "_xz", "_yz"))) for n, y in zip(ys, cols, strict=True)))
+    out = sums.select(*by, F.inline(told)).where("n > 0")
+    rho = (F.col("_xy") - F.col("_xz") * F.col("_yz")) / F.sqrt((1 - F.col("_xz") ** 2) * (1 - F.col("_yz") ** 2))
+    return with_p(out.select(*by, name, "n", rho.alias("rho")), "p_value", lambda r, n: pvalues.correlation_p(r, int(n)), "rho", "n")
+
+
 def bh_adjust(df: DataFrame, p: str = "p_value", family: Sequence[str] = (), name: str = "p_adj", null_as_one: bool = True) -> DataFrame:
     """Benjamini-Hochberg within each family; null p count as 1, or stay null and do not count.
 

@@ -758,6 +758,22 @@ def test_a_read_is_listed_where_parts_may_begin(spark):
     assert {(r["start"], round(r["real_rpkm_mean"] * 500 * 6 / 1e9)) for r in got.collect()} == {(1900, 1), (3900, 2)}
 
 
+def test_partial_correlations_of_several_columns_keep_one_row(spark, monkeypatch):
+    from locuspark.plans import pipelines as P
+
+    rng = random.Random(17)
+    some = lambda v: None if rng.random() < 0.1 else v
+    rows = [("p" if k % 3 else "q", f"g{k}", some(float(rng.randrange(40))), some(float(rng.randrange(9))), *(some(float(rng.randrange(12))) for _ in S.TIMES)) for k in range(400)] + [("r", "g", 1.0, 2.0, None, None, None)]
+    df = spark.createDataFrame(rows, "product string, gene string, damage_mean double, log2_tpm double, " + ", ".join(f"lfc_{t} double" for t in S.TIMES))
+    plain = P._unpivot(df, ["product", "damage_mean", "log2_tpm"], ["lfc"])
+    want = {(r["product"], r["time"]): (r["n"], r["rho"], r["p_value"]) for r in T.partial_spearman(plain, "damage_mean", "lfc", "log2_tpm", by=["product", "time"]).collect()}
+    monkeypatch.setattr(T, "_rank_cells", None)  # no row for each column
+    for rows_of_range in (B.RANGE_ROWS, 5):
+        monkeypatch.setattr(B, "RANGE_ROWS", rows_of_range)
+        got = {(r["product"], r["time"]): (r["n"], r["rho"], r["p_value"]) for r in P.burden_partial(df).collect()}
+        assert {k: pytest.approx(v) for k, v in want.items()} == got and len(got) == 2 * len(S.TIMES)
+
+
 def test_a_burden_table_is_written_once(spark, monkeypatch):
     from locuspark.plans import model_queries as MQ
     from locuspark.plans import pipeline_queries as PQ
