@@ -62,11 +62,12 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str]
     """Join ``rows`` to the one row that ``facts`` has for each key, dealing a frequent key out.
 
     ``facts`` is repeated once per salt and each row goes to the salt that its ``spread``
-    columns give, so no task gets all rows of a key.
+    columns give, so no task gets all rows of a key. The copies are never broadcast: Spark's
+    estimates of sizes do not count what explode repeats, so they would be 32 times too low.
     """
     salted = rows.withColumn("_salt", salt_of(*spread, salts=salts))
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def packed(docs: DataFrame) -> DataFrame:

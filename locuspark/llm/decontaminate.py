@@ -205,12 +205,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     found = staged(found.withColumn("span_key", F.xxhash64("span")), "found")
     spans = staged(found.groupBy("span_key").agg(F.first("span").alias("span"), F.first("windows").alias("windows")), "spans")
     windows = spans.select("span_key", F.inline("windows"))
-    # the items' blocks are many rows, so they are never broadcast
+    # windows and the items' blocks are made by explode and many rows, so they are never broadcast
     left = windows.select("size", "print").distinct().select("*", F.explode(_blocks("print")).alias("block"))
     right = items.select("item_key", "size", "item_print", F.explode(_near_blocks("item_print")).alias("block"))
     near = left.join(right.hint("merge"), ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     close = near.select("size", "print", "item_key").distinct()
-    pairs = windows.join(close, ["size", "print"]).groupBy("span_key", "item_key").agg(F.collect_set("start").alias("starts"))
+    pairs = windows.join(close.hint("merge"), ["size", "print"]).groupBy("span_key", "item_key").agg(F.collect_set("start").alias("starts"))
     texts = attach(pairs.join(spans.select("span_key", "span"), "span_key"), items.select("item_key", "item_id", "item"), ["item_key"], ["span_key"], salts=4)
     like = texts.select("span_key", "item_id", "span", "item", "starts").mapInArrow(verify, "span_key long, item_id long, similarity double, start long, size long")
     like = staged(like.where(F.col("similarity") >= similarity), "like")

@@ -228,11 +228,11 @@ def group_pairs(members: DataFrame, labels: DataFrame, similarity: float) -> tup
     tokens = left.select("hub", "node", "label", "n", "d", "v", F.posexplode(prefix).alias("place", "token"))
     tokens = staged(tokens, "prefixes")
     useful = tokens.groupBy("hub", "token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("hub", "token")
-    tokens = tokens.join(useful, ["hub", "token"], "left_semi")
+    tokens = tokens.join(useful.hint("merge"), ["hub", "token"], "left_semi")  # one row per token of a prefix: a file's size says too little to broadcast by
     a, b = (tokens.select("hub", "token", *(F.col(x).alias(f"{x}_{k}") for x in ("node", "label", "n", "d", "v", "place"))) for k in "ab")
     shared = F.least(F.col("d_a") - F.col("place_a"), F.col("d_b") - F.col("place_b"))
     close = (F.col("label_a") < F.col("label_b")) & (2 * shared >= F.col("v_a") + F.col("v_b") - 1e-9) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = a.join(b, ["hub", "token"]).where(close)
+    pairs = a.join(b.hint("merge"), ["hub", "token"]).where(close)
     return sure, pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 

@@ -776,3 +776,13 @@ def test_pipeline_stages(spark):
     assert not any(brute_spans(t) for t in clean.values()) and set(clean) == ids(seen[2][2])
     assert ids(seen[4][2]) <= set(clean) and {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == ids(seen[4][2])
     assert math.isclose(sum(r["probability"] * r["tokens"] for r in mixing.sampled(seen[3][2]).collect()), sum(len(WORD.findall(t)) for t in clean.values()) / 2, rel_tol=1e-3)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_copies_are_not_broadcast(spark, how):
+    """The copies are 32 times what Spark counts, so a table below its threshold can be far too large for the driver."""
+    rows, facts = spark.range(100).selectExpr("id % 7 as k", "id"), spark.range(5).selectExpr("id as k", "id * 10 as v")
+    out = common.attach(rows, facts, ["k"], ["id"], how=how)
+    assert sorted(((r["id"], r["v"]) for r in out.collect()), key=str) == sorted(((i, i % 7 * 10 if i % 7 < 5 else None) for i in range(100) if how == "left" or i % 7 < 5), key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
