@@ -9,10 +9,11 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -458,6 +459,16 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(16))
 
 
+def _scatter_32(x: np.ndarray) -> np.ndarray:
+    """The same step in place on an array of 32 bits, whose products wrap by themselves."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def _draws(h: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     """A 32-bit number for each row's key hash (rows) and replicate (columns)."""
     return _scatter(h.astype(np.uint64)[:, None] ^ _scatter(replicates.astype(np.uint64))[None, :])
@@ -485,9 +496,12 @@ COPIES = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in r
 def _ties(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the values, where each distinct one begins in it, and each row's distinct value."""
     order = np.argsort(v, kind="stable")
-    new = np.r_[True, np.diff(v[order]) != 0]
-    group = np.empty(len(v), np.int64)
-    group[order] = np.cumsum(new) - 1
+    v = v[order]
+    new = np.ones(len(v), bool)
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    del v
+    group = np.empty(len(order), np.int32)
+    group[order] = np.cumsum(new, dtype=np.int32) - 1
     return order, np.flatnonzero(new), group
 
 
@@ -505,26 +519,76 @@ def _weighted_rho(m: np.ndarray, *ties: tuple) -> np.ndarray:
         return np.where(spread > 0, (n * sums(m, a, b) - sa * sb) / np.sqrt(np.maximum(spread, 0)), np.nan)
 
 
-def _in_blocks(rows: DataFrame, by: Sequence[str], times: int, fields: str, one: Callable[[pd.DataFrame], Callable[[np.ndarray], dict]], groups: int = 1) -> DataFrame:
-    """What ``one`` of a group's rows tells of replicates, for each block of replicates 1..times: the rows go to as many tasks as there are blocks, not replicates."""
+#: Rows that a replicate is worked through at a time, and draws over which a row has one copy more.
+STEP = 1 << 18
+OVER = [np.uint32(math.floor(c * 2.0**32)) for c in COPIES]
+
+
+def _resampled(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> Callable[[int], float]:
+    """The rank correlation of x and y in a replicate; NaN where a side does not vary.
+
+    A row is held in twelve bytes: the hash of its key and the numbers of its two values. A replicate adds a byte for each row and a few numbers
+    for each distinct value: copies are counted by value, ranks are read off the running counts, and only products of both ranks need the rows again.
+    """
+    h = np.asarray(h).astype(np.uint32)
+    (x, n_x), (y, n_y) = ((group, len(starts)) for _, starts, group in (_ties(np.asarray(v)) for v in (x, y)))
+    step = max(STEP, n_x, n_y)  # so that counts are added up over few steps where there are many values
+    copies = np.empty(len(h), np.uint8)
+
+    def centred(own: np.ndarray, total: float) -> np.ndarray:
+        rank = np.cumsum(own)
+        rank -= own / 2
+        rank -= total / 2
+        return rank
+
+    def rho(replicate: int) -> float:
+        seed = np.uint32(_scatter(np.uint64(replicate)))
+        for k in range(0, len(h), STEP):
+            draw = _scatter_32(h[k : k + STEP] ^ seed)
+            m = copies[k : k + STEP]
+            m[:] = 0
+            for most in OVER:
+                m += draw > most
+        counts = []
+        for code, n in ((x, n_x), (y, n_y)):
+            own = np.zeros(n)
+            for k in range(0, len(h), step):
+                own += np.bincount(code[k : k + step], weights=copies[k : k + step], minlength=n)
+            counts.append(own)
+        total = counts[0].sum()
+        a, b = (centred(own, total) for own in counts)
+        spread = float(np.einsum("i,i,i->", counts[0], a, a)) * float(np.einsum("i,i,i->", counts[1], b, b))
+        del counts
+        if not spread > 0:
+            return math.nan
+        both = sum(float(np.einsum("i,i,i->", copies[k : k + STEP], a[x[k : k + STEP]], b[y[k : k + STEP]])) for k in range(0, len(h), STEP))
+        return both / math.sqrt(spread)
+
+    return rho
+
+
+def _in_blocks(rows: DataFrame, by: Sequence[str], times: int, fields: str, one: Callable[[dict[str, np.ndarray]], Callable[[np.ndarray], dict]], groups: int = 1) -> DataFrame:
+    """What ``one`` of a group's columns tells of replicates, for each block of replicates 1..times: the rows go to as many tasks as there are blocks, not replicates."""
     schema = StructType([rows.schema[c] for c in by] + StructType.fromDDL(f"replicate int, {fields}").fields)
     size = min(BLOCK, -(-times // max(1, BLOCK_TASKS // max(1, groups))))
-    order = "key" if "key" in rows.columns else "h"
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, out, own = int(pdf["block"].iloc[0]) * size + 1, [], [pdf[c].iloc[0] for c in by]
-        pdf = pdf.drop(columns=[*by, "block"]).sort_values(order, kind="stable", ignore_index=True)
-        width, told = max(1, BLOCK_CELLS // len(pdf)), one(pdf)
+    names = [c for c in rows.columns if c not in by]
+
+    def block(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, parts = group[-1].as_py() * size + 1, {c: [] for c in names}
+        for batch in batches:
+            for c in names:  # copies: a view of one column would hold the whole batch
+                parts[c].append(np.array(batch.column(c).to_numpy(zero_copy_only=False)))
+        held = {c: np.concatenate(parts.pop(c)) for c in names}
+        width = max(1, BLOCK_CELLS // len(held["h"]))
+        told = one(held)
         for k in range(low, min(low + size, times + 1), width):
             r = np.arange(k, min(k + width, low + size, times + 1))
-            out.append(pd.DataFrame({"replicate": r} | told(r)))
-        got = pd.concat(out)
-        for c, v in zip(by, own, strict=True):
-            got[c] = v
-        return got[schema.names]
+            out = told(r)
+            cols = [*(pa.repeat(x, len(r)) for x in group[:-1]), pa.array(r, pa.int32()), *(pa.array(out[f.name]) for f in schema.fields[len(by) + 1 :])]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit((times - 1) // size)))
-    return rows.withColumn("block", blocks).groupBy(*by, "block").applyInPandas(block, schema)
+    return rows.withColumn("block", blocks).groupBy(*by, "block").applyInArrow(block, schema)
 
 
 def _sizes(rows: DataFrame, by: Sequence[str]) -> tuple[int, int]:
@@ -547,7 +611,7 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, by: Sequence[str
     """Per group n, rho, ci_low, ci_high: percentiles of rho over Poisson(1) bootstraps.
 
     A row's weight in a replicate comes from hashes of its key and the seed and of the replicate, so a run can be repeated
-    anywhere. Replicates are worked in blocks, each as an array of weights over the group's rows, which go there as three numbers; where
+    anywhere. Replicates are worked in blocks, one at a time over the group's rows (``_resampled``), which go there as three numbers; where
     a group has more than 4 ``BLOCK_ROWS``, rows with weight are spread over replicates instead.
     """
     rows = df.dropna(subset=[x, y]).select(*by, F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), _key_hash(key, seed).alias("h"))
@@ -555,15 +619,9 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, by: Sequence[str
     largest, groups = _sizes(rows, by)
     if largest <= 4 * BLOCK_ROWS:
 
-        def one(pdf: pd.DataFrame) -> Callable[[np.ndarray], dict]:
-            h, ties = pdf["h"].to_numpy(), (_ties(pdf["x"].to_numpy()), _ties(pdf["y"].to_numpy()))
-
-            def told(replicates: np.ndarray) -> dict:
-                u = _draws(h, replicates) / 2.0**32
-                copies = np.searchsorted(COPIES, u.ravel(), "left").reshape(u.shape).astype(np.float64)
-                return {"r": _weighted_rho(copies, *ties)}
-
-            return told
+        def one(held: dict[str, np.ndarray]) -> Callable[[np.ndarray], dict]:
+            rho = _resampled(held.pop("h"), held.pop("x"), held.pop("y"))
+            return lambda replicates: {"r": np.array([rho(r) for r in replicates])}
 
         per = _in_blocks(rows, by, times, "r double", one, groups).withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
     else:
@@ -589,9 +647,11 @@ def permutation_test(df: DataFrame, x: str, y: str, group: str, a: str, b: str,
     largest, groups = _sizes(rows, by)
     if largest <= BLOCK_ROWS:
 
-        def one(pdf: pd.DataFrame) -> Callable[[np.ndarray], dict]:
-            h, n_a, place = pdf["h"].to_numpy(), int(pdf["n_a"].iloc[0]), np.arange(len(pdf), dtype=np.uint64)[:, None]
-            ties = _ties(pdf["x"].to_numpy()), _ties(pdf["y"].to_numpy())
+        def one(held: dict[str, np.ndarray]) -> Callable[[np.ndarray], dict]:
+            order = np.argsort(held["key"], kind="stable")
+            h, x, y = (held[c][order] for c in ("h", "x", "y"))
+            n_a, place = int(held["n_a"][0]), np.arange(len(h), dtype=np.uint64)[:, None]
+            ties = _ties(x), _ties(y)
 
             def told(replicates: np.ndarray) -> dict:
                 order = np.argpartition((_draws(h, replicates) << np.uint64(22)) | place, n_a - 1, axis=0)

@@ -793,3 +793,26 @@ def test_a_burden_table_is_written_once(spark, monkeypatch):
         written.clear()
         query(spark, sf)
         assert written and all(name != "signal" and "strength" not in columns for name, columns in written)
+
+
+def test_replicates_hold_few_bytes_a_row():
+    """A task holds the rows of its whole group, so what it holds of a row must stay small, also with no ties; ranks are those of the resampled rows."""
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    n = 400_000
+    rows = pd.DataFrame({"x": rng.normal(size=n), "y": np.round(rng.normal(size=n), 2), "h": rng.integers(0, 1 << 32, n)})
+    few = rows[:500]
+    rho = T._resampled(*(few[c].to_numpy() for c in ("h", "x", "y")))
+    for r in (1, 2, 3):
+        u = T._draws(few["h"].to_numpy(), np.array([r]))[:, 0] / 2.0**32
+        copies = sum((u > c).astype(int) for c in T.COPIES)
+        assert rho(r) == pytest.approx(pd.DataFrame(np.repeat(few[["x", "y"]].to_numpy(), copies, axis=0)).corr("spearman").iloc[0, 1], abs=1e-12)
+    assert math.isnan(T._resampled(np.arange(9), np.ones(9), np.arange(9.0))(1))
+    held = {c: rows[c].to_numpy().copy() for c in ("h", "x", "y")}
+    tracemalloc.start()
+    rho = T._resampled(held.pop("h"), held.pop("x"), held.pop("y"))
+    now, most = tracemalloc.get_traced_memory()
+    rho(1)
+    assert now <= 16 * n and max(most, tracemalloc.get_traced_memory()[1]) <= 80 * n
+    tracemalloc.stop()
